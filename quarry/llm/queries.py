@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hash_tree, line_dedup, wordpiece
+from . import bpe, decontaminate, hash_tree, line_dedup, near_dups, wordpiece
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,7 +47,7 @@ t AS (SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ite
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (rn) LEFT JOIN t USING (rn)
-""".replace("\\x", "\x")
+"""
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +55,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_byte_bpe, op6_token_counts, op7_line_dedup, op9_hash_tree_shards)}
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_dup_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_byte_bpe, op6_token_counts, op7_line_dedup, op8_order_minhash, op9_hash_tree_shards)}
 ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL}
