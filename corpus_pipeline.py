@@ -1,2 +1,57 @@
-"""Corpus pipeline over documents."""
-STAGES: list = []
+"""Corpus pipeline: from documents to token ids, a stage at a time, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, common, decontaminate, langid, line_dedup, near_dups
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language that can be told."""
+    return langid.keep_identified(docs, langid.train(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later repeats of line runs, and documents of which nothing is left."""
+    out = line_dedup.dedup(docs).where("NOT (n_removed > 0 AND n_removed = n_lines)")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return near_dups.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digests of the ids and of the text decoded from them."""
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), outputs=("ids", "digests"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("byte_bpe", tokens),
+]
+
+#: SQL can't express the language model, the alignment or the merges; tests/llm holds each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -195,3 +195,14 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, slop: int
     out = found[0] if chunks == 1 else joined(found).withColumn("doc_id", F.col("doc_id.id"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+
+
+def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents in which no window of a test item occurs."""
+    node = F.xxhash64(text_column)
+    tagged = docs.select(F.struct(F.col(id_column).alias("id"), node.alias("node")).alias("key"), F.col(text_column).alias("text"))
+    hit = decontaminate(tagged, tests, window, id_column="key", text_column="text").where("n_hit > 0")
+    hit = common.materialise(hit.select(F.col("doc_id.id").alias("__quarry_id"), F.col("doc_id.node").alias("__quarry_hit")).distinct(), "contaminated")
+    side = F.broadcast(hit) if common.small_enough(hit, 24) else hit
+    keyed = docs.withColumn("__quarry_node", node)
+    return keyed.join(side, keyed[id_column].eqNullSafe(side["__quarry_id"]) & (keyed["__quarry_node"] == side["__quarry_hit"]), "left_anti").select(*docs.columns)

@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hash_tree, line_dedup, near_dups, wordpiece
-from .common import table
+from . import bpe, decontaminate, hash_tree, langid, line_dedup, near_dups, wordpiece
+from .common import fold, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, langid.train(docs)).select("doc_id", fold().alias("held_out"), "lang_pred", "score")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_RANKS, outputs=("digests",))
 
@@ -59,5 +64,11 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_dup_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_byte_bpe, op6_token_counts, op7_line_dedup, op8_order_minhash, op9_hash_tree_shards)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_ppm_language, op5_byte_bpe, op6_token_counts, op7_line_dedup, op8_order_minhash, op9_hash_tree_shards, pipeline)}
 ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL}
