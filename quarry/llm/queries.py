@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hash_tree, langid, line_dedup, near_dups, wordpiece
+from . import bpe, decontaminate, hash_tree, html_blocks, langid, line_dedup, near_dups, quality_crf, secret_scan, wordpiece
 from .common import fold, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,11 @@ def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs)).select("doc_id", fold().alias("held_out"), "lang_pred", "score")
 
 
+def op4_lstm_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_RANKS, outputs=("digests",))
 
@@ -29,6 +34,12 @@ def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard(table(spark, sf_dir, "documents"), hash_tree.Topology.laid_out(40))
 
 
+def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality_crf.train(docs, table(spark, sf_dir, "labels"))
+    return quality_crf.judge(docs, field).drop("line_labels")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -64,11 +75,25 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_dup_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+
+    def line(column: str) -> Column:
+        return F.concat_ws(",", F.transform(column, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
+
+    counts = [F.size(F.filter("base", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_ppm_language, op5_byte_bpe, op6_token_counts, op7_line_dedup, op8_order_minhash, op9_hash_tree_shards, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_crf_quality, op2_decontaminate, op3_ppm_language, op4_lstm_main_text, op5_byte_bpe, op6_token_counts, op7_line_dedup, op8_order_minhash, op9_hash_tree_shards, op10_grammar_secrets, pipeline)
+}
 ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL}
