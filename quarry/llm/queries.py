@@ -82,7 +82,10 @@ def op10_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def line(column: str) -> Column:
         return F.concat_ws(",", F.transform(column, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
 
-    counts = [F.size(F.filter("base", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    def of(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [of(kind) for kind in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
