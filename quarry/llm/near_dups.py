@@ -10,7 +10,8 @@ common shingles that an order-preserving alignment keeps. As labelled shingles a
 threshold leaves is a longest increasing subsequence.
 
 Buckets are never expanded into all pairs. Every text meets the bucket's first text; the links found give classes, and only buckets
-that still hold texts of several classes are looked at again, for pairs of texts of different classes. Texts are nodes by 64-bit
+that still hold texts of several classes are looked at again, for pairs of texts of different classes: small ones by a join, large ones
+in blocks, with matrix products that count common shingles. Texts are nodes by 64-bit
 hash, so exact copies are one node however many they are. Classes come from alternating large-star and small-star steps.
 
 Cases: null texts and texts without a word link to nothing; texts of one to four words have one shingle, all their words. Rows with
@@ -36,6 +37,8 @@ LONG_FROM, SHORT_TO = 48, 80
 #: Numbers of a hash matrix at a time.
 CELLS = 1 << 21
 CACHE_ENTRIES = 400_000
+#: Buckets of up to so many texts are joined pair by pair where classes differ, larger ones compared in blocks of so many shingles.
+SMALL_BUCKET, BLOCK_SHINGLES = 16, 200_000
 
 _RNG = np.random.default_rng(20240229)
 _MIX = _RNG.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -153,9 +156,7 @@ def sketch(texts: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Those pairs (a, b) whose alignment reaches the threshold. pairs: a materialised table."""
     ends = common.materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "candidates")
-    few = F.broadcast(ends) if common.small_enough(ends, 16) else ends
-    found = texts.join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    found = common.materialise(found, "texts")
+    found = of_nodes(ends, texts)
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("left_text")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("right_text")), "b")
 
     def run(batches):
@@ -199,17 +200,77 @@ def classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = verify(star, texts, threshold)
     found = common.materialise(connected(links), "classes")
     labelled = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 < r1 AND c > 2").select("key")
+    several = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c"), F.sum("n").alias("total")).where("r0 < r1 AND c > 2").select("key", "c", "total")
     rest = common.materialise(labelled.join(several, "key").where("node <> first"), "mixed")
     if not rest.head(1):
         return found
-    left, right = (rest.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"r_{x}")) for x in "ab")
+    small, large = rest.where(F.col("c") <= SMALL_BUCKET), rest.where(F.col("c") > SMALL_BUCKET)
+    left, right = (small.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"r_{x}")) for x in "ab")
     long_enough = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    cross = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & long_enough).select("a", "b").distinct()
-    cross = common.materialise(cross.join(star, ["a", "b"], "left_anti"), "cross")
+    cross = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & long_enough).select("a", "b")
+    if large.head(1):
+        cross = cross.union(alike(large, texts, threshold))
+    cross = common.materialise(cross.distinct().join(star, ["a", "b"], "left_anti"), "cross")
     if not cross.head(1):
         return found
-    return common.materialise(connected(links.union(verify(cross, texts, threshold))), "classes")
+    joined = found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verify(cross, texts, threshold))
+    return common.materialise(connected(joined), "classes")
+
+
+def of_nodes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of a materialised table of nodes, each once."""
+    few = F.broadcast(nodes) if common.small_enough(nodes, 16) else nodes
+    return common.materialise(texts.join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
+def alike(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of large buckets, of different classes, whose sets of labelled shingles are as similar as the threshold; an alignment
+    can't match more. A bucket is dealt into blocks of bounded length, and each pair of blocks is one product of two incidence
+    matrices, so that no pairs are written out but those found."""
+    nodes = common.materialise(rows.select("node").distinct(), "candidates")
+    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
+    dealt = rows.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "root")
+    dealt = dealt.join(of_nodes(nodes, texts), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        known: dict[bytes, int] = {}
+        node, root, blk = (group[c].to_numpy() for c in ("node", "root", "blk"))
+        sets = [shingles(t, known) for t in group["text"].to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        names, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[number]
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        width = int((times > 1).sum())
+        first = blk == blk.min()
+        second = ~first if (~first).any() or group["i"][0].as_py() != group["j"][0].as_py() else first
+        spot = np.full(len(sets), -1)
+        spot[second] = np.arange(second.sum())
+        on, a, b = column >= 0, [], []
+        right = np.flatnonzero(second)
+        step = max(1, CELLS // max(1, width))
+        for at in range(0, len(right), step):
+            part = right[at : at + step]
+            inside = on & second[owner] & (spot[owner] >= at) & (spot[owner] < at + step)
+            y = np.zeros((len(part), width), dtype=np.float32)
+            y[spot[owner[inside]] - at, column[inside]] = 1
+            lefts = np.flatnonzero(first)
+            for from_ in range(0, len(lefts), step):
+                rows_ = lefts[from_ : from_ + step]
+                back = np.full(len(sets), -1)
+                back[rows_] = np.arange(len(rows_))
+                inside = on & (back[owner] >= 0)
+                x = np.zeros((len(rows_), width), dtype=np.float32)
+                x[back[owner[inside]], column[inside]] = 1
+                common_ = x @ y.T
+                both = sizes[rows_][:, None] + sizes[part][None, :]
+                hit = (common_ >= threshold * (both - common_) - 1e-6) & (root[rows_][:, None] != root[part][None, :])
+                u, v = np.nonzero(hit)
+                a.append(node[rows_[u]]), b.append(node[part[v]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def members(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

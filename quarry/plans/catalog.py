@@ -1,6 +1,12 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries and their oracle SQL, collected from the query modules."""
 
 from __future__ import annotations
 
+from . import dialogs, documents, drift, models, operations, relational, spectra, streams
+
+MODULES = (documents, models, drift, spectra, dialogs, operations, relational, streams)
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES |= _module.R.queries
+    ORACLE |= _module.R.oracle

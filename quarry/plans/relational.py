@@ -1,0 +1,3 @@
+from .common import Registry
+
+R = Registry()

@@ -83,6 +83,23 @@ def test_classes_match_all_pairs(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(got.values())) and kept[0].asDict().keys() == {"doc_id", "text", "rep", "node"}
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SMALL_BUCKET", 2)
+    for block, cells in ((150, 1 << 21), (10**6, 700)):
+        monkeypatch.setattr(nd, "BLOCK_SHINGLES", block)
+        r = random.Random(block)
+        base = [f"w{i}" for i in range(70)]
+        rows = []
+        for i in range(40):
+            copy = list(base)
+            for _ in range(r.choice([1, 2, 3, 4])):
+                copy[r.randrange(70)] = f"x{r.randrange(9)}"
+            rows.append((i, " ".join(copy)))
+        monkeypatch.setattr(nd, "CELLS", cells)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert {x.doc_id: x.class_id for x in nd.near_dup_classes(df).collect()} == brute(rows)
+
+
 def test_ties_and_nulls(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, text), (1, text), (1, text + " x"), (None, text), (None, "other words here"), (2, None), (2, None)]
