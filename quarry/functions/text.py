@@ -181,9 +181,9 @@ def human_size(n: Column) -> Column:
     """Bytes as B, KB, MB, GB or TB with one decimal."""
     out = None
     for power, unit in enumerate(("B", "KB", "MB", "GB")):
-        text = F.format_string(f"%.1f {unit}", n.cast("double") / float(1024**power))
+        text = F.format_string(f"%.1f {unit}", F.bround(n.cast("double") / float(1024**power), 1))
         out = F.when(n < 1024 ** (power + 1), text) if out is None else out.when(n < 1024 ** (power + 1), text)
-    return out.otherwise(F.format_string("%.1f TB", n.cast("double") / float(1024**4)))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(n.cast("double") / float(1024**4), 1)))
 
 
 def next_patch(version: Column) -> Column:
