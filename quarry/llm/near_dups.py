@@ -208,12 +208,15 @@ def classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left, right = (small.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"r_{x}")) for x in "ab")
     long_enough = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
     cross = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & long_enough).select("a", "b")
-    if large.head(1):
-        cross = cross.union(alike(large, texts, threshold))
     cross = common.materialise(cross.distinct().join(star, ["a", "b"], "left_anti"), "cross")
-    if not cross.head(1):
+    more = [verify(cross, texts, threshold)] if cross.head(1) else []
+    if large.head(1):
+        more.append(common.materialise(alike(large, texts, threshold).distinct(), "links"))
+    if not any(links.head(1) for links in more):
         return found
-    joined = found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verify(cross, texts, threshold))
+    joined = found.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    for links in more:
+        joined = joined.union(links)
     return common.materialise(connected(joined), "classes")
 
 
@@ -223,10 +226,33 @@ def of_nodes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return common.materialise(texts.join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
+class Forest:
+    """Components of numbered things, joined one link at a time."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, self.of = np.unique(labels, return_index=True, return_inverse=True)
+        self.up = list(range(len(first)))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def labels(self) -> np.ndarray:
+        return np.array([self.find(i) for i in range(len(self.up))], dtype=np.int64)[self.of]
+
+    def join(self, a: int, b: int) -> None:
+        self.up[self.find(self.of[a])] = self.find(self.of[b])
+
+    def apart(self, a: int, b: int) -> bool:
+        return self.find(self.of[a]) != self.find(self.of[b])
+
+
 def alike(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of large buckets, of different classes, whose sets of labelled shingles are as similar as the threshold; an alignment
-    can't match more. A bucket is dealt into blocks of bounded length, and each pair of blocks is one product of two incidence
-    matrices, so that no pairs are written out but those found."""
+    """Links (a, b) between texts of different classes in large buckets. A bucket is dealt into blocks of bounded length, and each pair
+    of blocks is one product of two incidence matrices, which counts common shingles; an alignment can't match more. What may reach
+    the threshold is aligned at once, unless links found before join the two texts: no more links are written out than join classes."""
     nodes = common.materialise(rows.select("node").distinct(), "candidates")
     blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
     dealt = rows.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -238,36 +264,39 @@ def alike(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         node, root, blk = (group[c].to_numpy() for c in ("node", "root", "blk"))
         sets = [shingles(t, known) for t in group["text"].to_pylist()]
         sizes = np.array([len(x) for x in sets])
-        names, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[number]
         owner = np.repeat(np.arange(len(sets)), sizes)
         width = int((times > 1).sum())
         first = blk == blk.min()
         second = ~first if (~first).any() or group["i"][0].as_py() != group["j"][0].as_py() else first
-        spot = np.full(len(sets), -1)
-        spot[second] = np.arange(second.sum())
-        on, a, b = column >= 0, [], []
-        right = np.flatnonzero(second)
+        on, forest, links = column >= 0, Forest(root), []
         step = max(1, CELLS // max(1, width))
-        for at in range(0, len(right), step):
-            part = right[at : at + step]
-            inside = on & second[owner] & (spot[owner] >= at) & (spot[owner] < at + step)
-            y = np.zeros((len(part), width), dtype=np.float32)
-            y[spot[owner[inside]] - at, column[inside]] = 1
-            lefts = np.flatnonzero(first)
-            for from_ in range(0, len(lefts), step):
-                rows_ = lefts[from_ : from_ + step]
-                back = np.full(len(sets), -1)
-                back[rows_] = np.arange(len(rows_))
-                inside = on & (back[owner] >= 0)
-                x = np.zeros((len(rows_), width), dtype=np.float32)
-                x[back[owner[inside]], column[inside]] = 1
-                common_ = x @ y.T
-                both = sizes[rows_][:, None] + sizes[part][None, :]
-                hit = (common_ >= threshold * (both - common_) - 1e-6) & (root[rows_][:, None] != root[part][None, :])
-                u, v = np.nonzero(hit)
-                a.append(node[rows_[u]]), b.append(node[part[v]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
+
+        def incidence(which: np.ndarray) -> np.ndarray:
+            spot = np.full(len(sets), -1)
+            spot[which] = np.arange(len(which))
+            inside = on & (spot[owner] >= 0)
+            out = np.zeros((len(which), width), dtype=np.float32)
+            out[spot[owner[inside]], column[inside]] = 1
+            return out
+
+        lefts, rights = np.flatnonzero(first), np.flatnonzero(second)
+        for at in range(0, len(rights), step):
+            part = rights[at : at + step]
+            y = incidence(part)
+            for start in range(0, len(lefts), step):
+                mine = lefts[start : start + step]
+                shared = incidence(mine) @ y.T
+                both = sizes[mine][:, None] + sizes[part][None, :]
+                label = forest.labels()
+                hit = (shared >= threshold * (both - shared) - 1e-6) & (label[mine][:, None] != label[part][None, :])
+                for u, v in zip(*(x.tolist() for x in np.nonzero(hit))):
+                    a, b = mine[u], part[v]
+                    if forest.apart(a, b) and similarity(sets[a], sets[b], threshold) >= threshold - 1e-12:
+                        forest.join(a, b)
+                        links.append((a, b))
+        a, b = (node[[x[k] for x in links]] if links else np.zeros(0, dtype=np.int64) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
