@@ -1,3 +1,42 @@
+"""Streams over the events table, each drained to its end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import operations as O
+from ..streaming import stateful as S
 from .common import Registry
 
 R = Registry()
+_ARMS = {"control": 0.5, "small": 0.3, "large": 0.2}
+_MOD = """(SELECT list_reduce(list_prepend(0::BIGINT, list_transform(range(0, 16), lambda i: ('0x' || substr(sha256('exp:' || user_id), i * 4 + 1, 4))::BIGINT)), lambda a, b: (a * 65536 + b) % 10000))"""
+
+
+def _events(spark, d):
+    return S.stream_of(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@R.add("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_window_counts(spark, d):
+    out = S.drained(S.window_counts(_events(spark, d), "ts", 3600, ("event_type",), "value"), "complete")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
+
+
+@R.add("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, d):
+    return S.drained(S.first_seen(_events(spark, d).select("user_id", "event_type"), ("user_id", "event_type")))
+
+
+@R.add(f"""SELECT arm, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM (
+  SELECT event_type, value, CASE WHEN {_MOD} / 10000.0::DOUBLE <= 0.5 THEN 'control' WHEN {_MOD} / 10000.0::DOUBLE <= 0.8 THEN 'small' ELSE 'large' END AS arm FROM events) GROUP BY 1, 2""")
+def stream_experiment_totals(spark, d):
+    events = _events(spark, d).withColumn("arm", O.variant(F.lit("exp"), F.col("user_id"), _ARMS))
+    return S.drained(S.metric_totals(events, ("arm", "event_type"), "value"), "complete").withColumn("total", F.round("total", 4))
+
+
+@R.add()
+def stream_rate_limit(spark, d):
+    """No SQL: whether a hit is allowed depends on which ones before it were."""
+    hits = _events(spark, d).withColumn("second", F.unix_micros("ts") / 1e6)
+    return S.drained(S.limited(hits, "user_id", "second", "event_id", 86400.0, 2))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: What the operators rely on or profit from; a cluster's own settings of sizes and partitions are left alone.
@@ -23,3 +25,14 @@ def session(app: str = "quarry", master: str | None = None, **conf: str) -> Spar
 def tables(spark: SparkSession, path: str, *names: str) -> list:
     """The named parquet tables below a folder."""
     return [spark.read.parquet(f"{path}/{name}.parquet") for name in names]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors share; a local one only in local mode, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return f"{root.rstrip('/')}/quarry"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
