@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time.
 SLICE_BYTES = 2 << 20
-#: Rows in an Arrow batch for operators that take whole texts.
-TEXT_BATCH_ROWS = 2000
+#: Rows and bytes in an Arrow batch for operators that take whole texts.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 2000, 8 << 20
 #: A side is broadcast only if its counted rows times their width stay below this.
 BROADCAST_BYTES = 64 << 20
 
@@ -25,13 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> SparkSession:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts fits in a Python worker."""
+    """Bounds the rows and bytes of an Arrow batch, so that a batch of long texts fits in a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > TEXT_BATCH_ROWS:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
     return spark
 
 
+def give_back() -> None:
+    """Hands free memory back to the system: Python workers live on for later tasks, of other stages too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only in local mode, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -93,6 +105,7 @@ def slices(batches, column: str = "text", budget: int = SLICE_BYTES):
             end = min(len(col), max(end, at + 1))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def texts(batch, column: str = "text") -> list:
@@ -107,3 +120,12 @@ def held_out(doc_id: int | None) -> bool:
 def fold() -> Column:
     """held_out() as a column over doc_id."""
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4) == 2
+
+
+def least_by_hash(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """n rows of least hash of the columns, with the hash as h. Only hashes are compared over the whole table; whole rows are taken
+    from those below the n-th hash."""
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    keyed = df.withColumn("h", key)
+    most = keyed.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return keyed.where(F.col("h") <= F.lit(most)).orderBy("h").limit(n)

@@ -151,11 +151,9 @@ def vectors(found: list[Block]) -> np.ndarray:
     for r, b in enumerate(found):
         out[r, :PATH_DIM] = path_vector(b.path)
         words = b.text.split()
-        for w in words[:24]:
-            i, sign = bucket(w.lower(), WORD_DIM)
-            out[r, PATH_DIM + i] += sign
         n = len(words)
-        out[r, PATH_DIM : PATH_DIM + WORD_DIM] /= max(1.0, min(n, 24) ** 0.5)
+        marks = np.array([bucket(w, WORD_DIM) for w in b.text.lower().split()])
+        out[r, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(marks[:, 0].astype(np.int64), weights=marks[:, 1], minlength=WORD_DIM) / n**0.5
         signs = sum(b.text.count(c) for c in ".,;!?")
         place = r / len(found)
         out[r, -MEASURES:] = (np.log1p(n) / 3, b.link, min(1.0, signs / n), b.text[-1] in ".!?", place, 1 - place, len(b.path) / 8, 1)
@@ -332,8 +330,8 @@ def varied(page: str, r: random.Random) -> str:
 
 
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, id_column: str = "page_id", html_column: str = "html") -> Labeller:
-    key = F.xxhash64(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
-    chosen = pages.where(F.length(html_column).between(1, 200_000)).select(key.alias("h"), F.col(html_column).alias("html")).orderBy("h", F.crc32(F.col("html").cast("binary"))).limit(train_pages)
+    rows = pages.select(F.col(id_column).alias("id"), F.col(html_column).alias("html")).where(F.length("html").between(1, 200_000))
+    chosen = common.least_by_hash(rows, train_pages, "id", "html").select("html")
     r, found, truths = random.Random(5), [], []
     for row in chosen.collect():  # train_pages rows
         for page in (row.html, varied(row.html, r), varied(row.html, r)):

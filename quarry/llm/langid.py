@@ -18,7 +18,6 @@ in order. A null id is hashed as the empty text for the fold. Each row gives a r
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,8 @@ from . import common
 ORDER = 4
 PAD = b"\n" * ORDER
 PER_LANGUAGE, TRAIN_BYTES = 600, 1 << 15
-#: Windows outside the table whose lengths a worker keeps.
-CACHE_ENTRIES = 500_000
+#: Windows outside the table whose lengths a task keeps.
+CACHE_ENTRIES = 100_000
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -133,7 +132,7 @@ class Table:
 
 class Model:
     def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.langs, self.id = langs, uuid.uuid4().hex
+        self.langs = langs
         self.trees = [Tree(*c) for c in counts]
         keys = np.unique(np.concatenate([c[0] for c in counts])) if counts else np.zeros(0, dtype=np.int64)
         self.table = Table(keys)
@@ -201,16 +200,6 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, train_bytes: int =
     return Model(langs, [(w[names == lang], n[names == lang]) for lang in langs])
 
 
-_KEPT: dict[str, dict] = {}
-
-
-def kept_of(model: Model) -> dict:
-    """What this worker has coded besides the model's table."""
-    if model.id not in _KEPT:
-        _KEPT.clear()
-    return _KEPT.setdefault(model.id, {})
-
-
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The id column, lang_pred and score of each text."""
     spark = common.text_batches(docs.sparkSession)
@@ -219,7 +208,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
 
     def run(batches):
         m = shared.value
-        kept = kept_of(m)
+        kept: dict[int, np.ndarray] = {}
         for batch in common.slices(batches, budget=1 << 20):
             langs, scores = m.predict(common.texts(batch), kept)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_column, "lang_pred", "score"])
@@ -234,7 +223,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_colu
 
     def run(batches):
         m = shared.value
-        kept = kept_of(m)
+        kept: dict[int, np.ndarray] = {}
         for batch in common.slices(batches, text_column, 1 << 20):
             langs, scores = m.predict(common.texts(batch, text_column), kept)
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)]))

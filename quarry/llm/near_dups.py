@@ -36,7 +36,7 @@ LONG, SHORT = (64, 8), (32, 4)
 LONG_FROM, SHORT_TO = 48, 80
 #: Numbers of a hash matrix at a time.
 CELLS = 1 << 21
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Buckets of up to so many texts are joined pair by pair where classes differ, larger ones compared in blocks of so many shingles.
 SMALL_BUCKET, BLOCK_SHINGLES = 16, 200_000
 
@@ -161,9 +161,11 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         known: dict[bytes, int] = {}
-        for batch in batches:
-            hit, last, h = [], None, None
-            for r, (left, right) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+        last, h = None, None
+        for batch in common.slices(batches, "right_text"):
+            hit = []
+            for r in range(batch.num_rows):
+                left, right = batch.column(2)[r].as_py(), batch.column(3)[r].as_py()
                 if left != last:
                     last, h = left, shingles(left, known)
                 if similarity(h, shingles(right, known), threshold) >= threshold - 1e-12:
@@ -296,6 +298,7 @@ def alike(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     if forest.apart(a, b) and similarity(sets[a], sets[b], threshold) >= threshold - 1e-12:
                         forest.join(a, b)
                         links.append((a, b))
+        common.give_back()
         a, b = (node[[x[k] for x in links]] if links else np.zeros(0, dtype=np.int64) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
