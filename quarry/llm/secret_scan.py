@@ -2,8 +2,9 @@
 
 Labelled credentials make a prefix tree with counts. Its states are merged where their statistics are compatible (the ALERGIA test: the
 shares of each next character and of ending differ by no more than a Hoeffding bound), which leaves a probabilistic automaton for the
-format. Every candidate - a run of credential characters that is not inside a base span - is scored by the automata, per character,
-against the characters of ordinary words and numbers; one that fits a format much better is a span of kind `format`.
+format. Every candidate - a run of credential characters that is not wholly inside one base span, with or without digits, of any length
+that an automaton accepts - is scored by the automata, per character, against the characters of ordinary words and numbers; one that
+fits a format much better is a span of kind `format`, which may overlap base spans.
 
 Training: the base matches of the `train_docs` documents of least id hash that have one, `per_kind` for each kind; the bound does not grow
 with the corpus. Every text is scanned whole.
@@ -34,7 +35,8 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: A text without any of these can't hold an assignment.
 _ASSIGN_HINT = re.compile(r"(?:[Ww][Oo][Rr][Dd]|[Ss][Ww][Dd]|[Rr][Ee][Tt]|[Kk][Ee][Nn]|[Kk][Ee][Yy])[\"' ]*[:=]")
 _LONG_HEX = re.compile(r"[0-9a-f]{24}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_LETTER = re.compile(r"[A-Za-z]")
 TRAIN_DOCS, PER_KIND = 2000, 400
 #: ALERGIA's confidence, and the natural-log gain per character over ordinary words that makes a candidate a secret.
 ALPHA, LEAST_GAIN = 0.05, 1.0
@@ -88,6 +90,18 @@ class Automaton:
                 total += floor
         return total + self.logs[state].get(_END, floor)
 
+    def least(self) -> int:
+        """The fewest characters of a word that it accepts."""
+        depth = {0: 0}
+        for state in (todo := [0]):
+            if self.counts[state][_END]:
+                return depth[state]
+            for below in self.to[state].values():
+                if below not in depth:
+                    depth[below] = depth[state] + 1
+                    todo.append(below)
+        raise ValueError("an automaton without an end")
+
 
 def different(n1: int, f1: int, n2: int, f2: int, alpha: float) -> bool:
     """Whether two shares differ by more than the Hoeffding bound."""
@@ -161,21 +175,25 @@ class Formats:
         ordinary = ordinary + Counter("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
         total = sum(ordinary.values())
         self.ordinary = {c: math.log(n / total) for c, n in ordinary.items()}
+        self.least = min((a.least() for a in self.automata.values()), default=0)
         self.known: dict[str, bool] = {}
 
     def gain(self, word: str) -> float:
-        """The log-likelihood per character, of the best format, over that of ordinary characters; a number's are ten even digits."""
-        plain = -len(word) * math.log(10) if word.isdigit() else sum(self.ordinary[c] for c in word)
+        """The log-likelihood per character, of the best format, over that of ordinary characters; a number's, with or without
+        separators, are ten even digits."""
+        digits = 0 if _LETTER.search(word) else sum("0" <= c <= "9" for c in word)
+        plain = sum(self.ordinary[c] for c in word if not digits or not "0" <= c <= "9") - digits * math.log(10)
         return max((a.score(word) - plain) / (len(word) + 1) for a in self.automata.values())
 
     def is_secret(self, word: str) -> bool:
-        if not self.automata or not any("0" <= c <= "9" for c in word):
+        if not self.automata or len(word) < self.least:
             return False
-        if word not in self.known:
+        found = self.known.get(word)
+        if found is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[word] = self.gain(word) >= LEAST_GAIN
-        return self.known[word]
+            found = self.known[word] = self.gain(word) >= LEAST_GAIN
+        return found
 
 
 def scan_text(text: str, formats: Formats) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -183,11 +201,12 @@ def scan_text(text: str, formats: Formats) -> tuple[list[tuple[str, int, int]],
     base = [x[:3] for x in base_spans(text)]
     more, at, end = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        while at < len(base) and base[at][1] < m.end():
-            end = max(end, base[at][2])
-            at += 1
-        if end <= m.start() and formats.is_secret(m[0]):
-            more.append(("format", m.start(), m.end()))
+        if formats.is_secret(m[0]):
+            while at < len(base) and base[at][1] <= m.start():
+                end = max(end, base[at][2])
+                at += 1
+            if end < m.end():
+                more.append(("format", m.start(), m.end()))
     return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

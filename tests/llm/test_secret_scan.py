@@ -40,6 +40,25 @@ def test_inferred_formats_tell_credentials_from_words():
     assert not any(map(f.is_secret, plain))
 
 
+def test_every_run_is_scored():
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    some = lambda n, of: "".join(r.choices(of, k=n))
+    words = Counter("the quick brown fox jumps over the lazy dog " * 50)
+    f = ss.Formats({"key": ["XK" + some(20, letters) for _ in range(200)], "live": ["sk_live_" + some(24, "0123456789abcdef") + some(8, letters) for _ in range(200)], "short": ["Q7" + some(5, "XYZ0123456789") for _ in range(200)]}, words)
+    key, live, short = "XK" + some(20, letters), "sk_live_" + some(24, "0123456789abcdef") + "ZkQwPmTr", "Q7X0Y1Z"
+    text = f"first {key} then {live} and {short}."
+    found = {text[s:e]: k for k, s, e in ss.scan_text(text, f)[1]}
+    assert found[key] == found[live] == found[short] == "format"  # letters alone, partly a hex span, seven characters
+    assert not any(map(f.is_secret, ["internationalization", "thequickbrownfox", "jumps", "555-7713", "+1"]))
+
+
+def test_runs_inside_a_base_span_are_not_spans_again():
+    f, r = formats()
+    for word in ("".join(r.choices("0123456789abcdef", k=40)), "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))):
+        assert [k for k, _, _ in ss.scan_text(f"a {word} b", f)[1]] != ["format"] and len(ss.scan_text(f"a {word} b", f)[1]) == 1
+
+
 def test_probabilities_of_a_state_sum_to_one():
     f, _ = formats()
     for a in f.automata.values():
