@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import text as T
 
@@ -12,6 +16,10 @@ RATES = {"gpu_hour": 3.00, "token_input": 0.00001, "token_output": 0.00003, "sto
 GPU_HOURLY = {"rtx_4090": 2.25, "rtx_5090": 2.95, "a100_80gb": 3.75, "h100_80gb": 5.5}
 
 
+def _keys(batch, n: int) -> list[tuple]:
+    """The first n columns by row; NaN, which is not equal to itself, by its name."""
+    return list(zip(*[["nan" if isinstance(x, float) and x != x else x for x in c.to_pylist()] for c in batch.columns[:n]]))
+
 
 def price(resource: Column, quantity: Column, multiplier: Column | None = None) -> Column:
     """Rate times quantity; a job's multiplier counts for accelerator hours only."""
@@ -57,17 +65,46 @@ def rolling_mean(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], val
     return df.withColumn("rolling_mean", F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)))
 
 
-def ema(df: DataFrame, by: tuple[str, ...], order: str, value: str, alpha: float = 0.95) -> DataFrame:
-    """Per group (order, ema) rows of the exponential average e = alpha e + (1 - alpha) x, started at the first value. A group is one run's
-    steps and is folded in a row."""
-    runs = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x")))).alias("s"))
-    start = F.array().cast("array<struct<o:bigint,e:double>>")
-
-    def step(acc: Column, s: Column) -> Column:
-        e = F.when(F.size(acc) == 0, s["x"]).otherwise(alpha * F.try_element_at(acc, F.lit(-1))["e"] + (1 - alpha) * s["x"])
-        return F.concat(acc, F.array(F.struct(s["o"].cast("long").alias("o"), e.alias("e"))))
-
-    return runs.select(*by, F.inline(F.aggregate("s", start, step))).withColumnsRenamed({"o": order, "e": "ema"})
+def ema(df: DataFrame, by: tuple[str, ...], order: str, value: str, alpha: float = 0.95, blocks: int = 64) -> DataFrame:
+    """Per group (order, ema) rows of the exponential average e = alpha e + (1 - alpha) x, started at the first value. Quantiles of the
+    order, a number or a timestamp, cut the steps of every group into numbered blocks, so that a large group is spread over tasks. A block
+    is folded from nothing, row by row; it adds alpha^n of what the blocks before it, chained by group, end with. A null makes the rest of
+    its group null."""
+    place = F.col(order).cast("double")
+    cuts = sorted(set(df.select(place.alias("o")).approxQuantile("o", [i / blocks for i in range(1, blocks)], 1 / (4 * blocks)))) if blocks > 1 else []
+    block = F.lit(0)
+    for c in cuts:
+        block = block + F.coalesce(place > c, F.lit(False)).cast("int")
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], block.alias("_b"), F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
+    dealt = rows.repartition(*keys, "_b").sortWithinPartitions(*keys, "_b", "o", "x").select(*keys, "_b", F.col("o").cast("long").alias("o"), "x")
+
+    def fold(batches):
+        last, n, e = None, 0, 0.0
+        for batch in batches:
+            nth, ends = [], []
+            for key, x in zip(_keys(batch, len(by) + 1), batch.column(len(by) + 2).to_pylist()):
+                if key != last:
+                    last, n, e = key, 0, 0.0
+                n += 1
+                e = None if e is None or x is None else alpha * e + (1 - alpha) * x
+                nth.append(n), ends.append(e)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth, pa.int64()), pa.array(ends, pa.float64())], [*batch.schema.names, "n", "e"])
+
+    out = dealt.mapInArrow(fold, T_.StructType([*dealt.schema.fields, T_.StructField("n", T_.LongType()), T_.StructField("e", T_.DoubleType())])).withColumn("d", F.pow(F.lit(float(alpha)), "n"))
+    # Of each block the first value and the end.
+    ends = out.groupBy(*keys, "_b").agg(F.min_by("x", "n").alias("x"), F.max_by("e", "n").alias("e"), F.max_by("d", "n").alias("d"))
+    chain = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "x", "e", "d"))).alias("s"))  # `blocks` at most
+    start = F.struct(F.col("s")[0]["x"].alias("c"), F.array().cast("array<struct<b:int,c:double>>").alias("out"))
+
+    def link(acc: Column, s: Column) -> Column:
+        return F.struct((s["e"] + s["d"] * acc["c"]).alias("c"), F.concat(acc["out"], F.array(F.struct(s["_b"].alias("b"), acc["c"].alias("c")))).alias("out"))
+
+    carry = chain.select(*[F.col(k).alias(f"_c{k}") for k in keys], F.inline(F.aggregate("s", start, link)["out"]))
+    same = F.col("_b") == F.col("b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_c{k}"))
+    return out.join(carry, same).select(*[F.col(k).alias(c) for k, c in zip(keys, by)], F.col("o").alias(order), (F.col("e") + F.col("d") * F.col("c")).alias("ema"))
 
 
 def loss_stats(df: DataFrame, by: tuple[str, ...], order: str, value: str, n: int = 10) -> DataFrame:
@@ -87,16 +124,25 @@ def fixed_window_limit(hits: DataFrame, key: str, ts: str, seconds: int, most: i
 
 def sliding_log_limit(hits: DataFrame, key: str, second: str, ident: str, seconds: int, most: int) -> DataFrame:
     """(key, ident, allowed): a hit is allowed if fewer than `most` allowed ones lie within the last seconds. As rejected hits do not
-    count, this is an ordered fold over the hits of a key, which carries the last `most` allowed times only."""
-    runs = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(second).cast("double").alias("t"), F.col(ident).cast("long").alias("i")))).alias("s"))
-    start = F.struct(F.array().cast("array<double>").alias("log"), F.array().cast("array<struct<i:bigint,ok:boolean>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        live = F.filter(acc["log"], lambda t: t > s["t"] - seconds)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(s["t"]))).otherwise(live).alias("log"), F.concat(acc["out"], F.array(F.struct(s["i"].alias("i"), ok.alias("ok")))).alias("out"))
-
-    return runs.select(key, F.inline(F.aggregate("s", start, step)["out"])).withColumnsRenamed({"i": ident, "ok": "allowed"})
+    count, this is an ordered fold over the hits of a key: they are sorted, by disk if need be, and read in batches, over which the last
+    `most` allowed times are carried."""
+    rows = hits.select(F.col(key), F.col(second).cast("double").alias("_t"), F.col(ident).cast("long").alias("_i")).repartition(key).sortWithinPartitions(key, "_t", "_i")
+
+    def fold(batches):
+        last, log = None, deque()
+        for batch in batches:
+            allowed = []
+            for k, t in zip(_keys(batch, 1), batch.column(1).to_pylist()):
+                if k != last:
+                    last, log = k, deque()
+                while log and (t is None or log[0] is None or not log[0] > t - seconds):
+                    log.popleft()
+                allowed.append(len(log) < most)
+                if allowed[-1]:
+                    log.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(allowed, pa.bool_())], [key, ident, "allowed"])
+
+    return rows.mapInArrow(fold, T_.StructType([rows.schema[0], T_.StructField(ident, T_.LongType()), T_.StructField("allowed", T_.BooleanType())]))
 
 
 def liveness(beats: DataFrame, worker: str, ts: str, now: Column, timeout: int) -> DataFrame:

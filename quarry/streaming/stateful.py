@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,21 +68,56 @@ def observed(stream: DataFrame, name: str, value: str) -> DataFrame:
     return stream.observe(name, F.count(F.lit(1)).alias("rows"), F.avg(value).alias("mean"), F.max(value).alias("max"))
 
 
-def limited(hits: DataFrame, key: str, second: str, ident: str, seconds: float, most: int) -> DataFrame:
+#: Hits of a key that are sorted in memory at a time, and rows in a part that is handed on.
+RUN_ROWS, PART_ROWS = 1_000_000, 10_000
+
+
+def in_order(parts: Iterator[pd.DataFrame], second: str, ident: str, run_rows: int) -> Iterator[tuple[float, int | None]]:
+    """(second, ident) of all parts in order, unknown ones last: runs of run_rows are sorted, and put on disk if there are several."""
+    kind = np.dtype([("t", "f8"), ("none", "?"), ("i", "i8")])
+    with tempfile.TemporaryDirectory() as folder:
+        runs, held, n = [], [], 0
+
+        def run() -> np.ndarray:
+            rows = np.concatenate(held) if held else np.empty(0, kind)
+            return rows[np.lexsort((rows["i"], rows["none"], rows["t"]))]
+
+        for part in parts:
+            rows = np.empty(len(part), kind)
+            rows["t"], rows["none"], rows["i"] = part[second], part[ident].isna(), part[ident].fillna(0)
+            held.append(rows)
+            n += len(rows)
+            if n >= run_rows:
+                np.save(f"{folder}/{len(runs)}.npy", run())
+                runs.append(np.load(f"{folder}/{len(runs)}.npy", mmap_mode="r"))
+                held, n = [], 0
+        runs.append(run())
+
+        def read(rows: np.ndarray) -> Iterator[tuple[float, bool, int]]:
+            for at in range(0, len(rows), PART_ROWS):
+                yield from rows[at : at + PART_ROWS].tolist()
+
+        for t, none, i in heapq.merge(*map(read, runs), key=lambda x: (x[0] != x[0], x[0] if x[0] == x[0] else 0.0, *x[1:])):
+            yield t, None if none else i
+
+
+def limited(hits: DataFrame, key: str, second: str, ident: str, seconds: float, most: int, run_rows: int = RUN_ROWS) -> DataFrame:
     """(key, ident, allowed) by a sliding log: a hit is allowed if fewer than `most` allowed ones lie within the last seconds. A key's
-    state is the times of its last allowed hits, `most` at most; the hits of a batch are taken in the order of time and ident."""
+    state is the times of its last allowed hits, `most` at most; the hits of a batch are taken in the order of time and ident. A key may
+    have any number of hits in a batch: beyond run_rows they are sorted by disk, and results are handed on in parts."""
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         log = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values([second, ident])
-        allowed = []
-        for t in rows[second].tolist():
-            log = [x for x in log if x > t - seconds]
-            allowed.append(len(log) < most)
-            if allowed[-1]:
-                log.append(t)
+        rows = in_order(parts, second, ident, run_rows)
+        while part := list(itertools.islice(rows, PART_ROWS)):
+            allowed = []
+            for t, _ in part:
+                log = [x for x in log if x > t - seconds]
+                allowed.append(len(log) < most)
+                if allowed[-1]:
+                    log.append(t)
+            yield pd.DataFrame({key: [group[0]] * len(part), ident: pd.array([i for _, i in part], "Int64"), "allowed": allowed})
         state.update((log,))
-        yield pd.DataFrame({key: [group[0]] * len(rows), ident: rows[ident].tolist(), "allowed": allowed})
 
     source = hits.select(key, F.col(second).cast("double").alias(second), F.col(ident).cast("long").alias(ident))
     kind = dict(source.dtypes)[key]
