@@ -10,8 +10,16 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once per row. An expression inside a lambda is computed again for each element, so what is the same
+    for all of a row's elements must come in by a name."""
+    return F.transform(F.array(value), use)[0]
+
+
 def finite(a: Column) -> Column:
-    return F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """No null, NaN (the greatest of all values) or infinity; an empty array is finite."""
+    ends = (F.array_min(a).cast("double") > float("-inf")) & (F.array_max(a).cast("double") < float("inf"))
+    return ~F.exists(a, lambda x: x.isNull()) & F.coalesce(ends, F.size(a) == 0)
 
 
 def peaks(mzs: Column, intensities: Column) -> Column:
@@ -27,38 +35,47 @@ def canonicalise(df: DataFrame, mzs: str = "mzs", intensities: str = "intensitie
     pairs = peaks(m, i)
     kept = F.filter(pairs, lambda x: x["i"] > 0) if drop_zero else pairs
     if max_peaks is not None:
-        strongest = F.slice(F.array_sort(F.transform(kept, lambda x: F.struct((-x["i"]).alias("s"), x["mz"].alias("mz"), x["i"].alias("i")))), 1, max_peaks)
-        kept = F.transform(strongest, lambda x: F.struct(x["mz"].alias("mz"), x["i"].alias("i")))
+        first = F.slice(F.sort_array(F.transform(kept, lambda x: F.struct((-x["i"]).alias("s"), x["mz"].alias("mz"), x["i"].alias("i")))), 1, max_peaks)
+        kept = F.transform(first, lambda x: F.struct(x["mz"].alias("mz"), x["i"].alias("i")))
+    if drop_zero:
+        most = bound(kept, lambda k: F.array_max(F.transform(k, lambda x: x["i"])))
+    else:
+        most = F.array_max(i).cast("double")
     status = (
         F.when(m.isNull() | i.isNull() | (F.size(m) != F.size(i)), "shape_mismatch")
         .when(F.size(m) == 0, "empty")
         .when(~finite(m) | ~finite(i), "non_finite")
-        .when(F.exists(m, lambda x: x <= 0), "non_positive_mz")
+        .when(F.array_min(m) <= 0, "non_positive_mz")
         .when(p.isNull() | F.isnan(p) | (p <= 0) | (p >= max_precursor), "bad_precursor")
-        .when(F.size(kept) < min_peaks, "too_few_peaks")
-        .when(F.array_max(F.transform(kept, lambda x: x["i"])) <= 0, "no_intensity")
+        .when(F.size(kept if drop_zero else m) < min_peaks, "too_few_peaks")
+        .when(most <= 0, "no_intensity")
         .otherwise("ok")
     )
-    top = F.array_max(F.transform(kept, lambda x: x["i"]))
-    scaled = F.transform(F.array_sort(kept), lambda x: F.struct(x["mz"].alias("mz"), (x["i"] / top).alias("i")))
+    both = F.struct(F.sort_array(kept).alias("p"), most.alias("top"))
+    scaled = bound(both, lambda b: F.transform(b["p"], lambda x: F.struct(x["mz"].alias("mz"), (x["i"] / b["top"]).alias("i"))))
     return df.withColumn("status", status).withColumn("canon", F.when(F.col("status") == "ok", scaled))
 
 
 def strongest(mzs: Column, intensities: Column, k: int) -> Column:
     """The k strongest peaks, then by mass."""
-    return F.slice(F.array_sort(F.transform(peaks(mzs, intensities), lambda x: F.struct((-x["i"]).alias("neg"), x["mz"].alias("mz"), x["i"].alias("i")))), 1, k)
+    return F.slice(F.sort_array(F.transform(peaks(mzs, intensities), lambda x: F.struct((-x["i"]).alias("neg"), x["mz"].alias("mz"), x["i"].alias("i")))), 1, k)
 
 
 def entropy(intensities: Column) -> Column:
     """-sum p ln(p + 1e-10) over the shares of the intensities; 0 without any."""
-    s = total(intensities)
-    return F.when(s > 0, -F.aggregate(intensities, F.lit(0.0), lambda a, x: a + (x.cast("double") / s) * F.log(x.cast("double") / s + 1e-10))).otherwise(0.0)
+
+    def of(b: Column) -> Column:
+        share = lambda x: x.cast("double") / b["s"]
+        return F.when(b["s"] > 0, -F.aggregate(b["v"], F.lit(0.0), lambda a, x: a + share(x) * F.log(share(x) + 1e-10))).otherwise(0.0)
+
+    return bound(F.struct(intensities.alias("v"), total(intensities).alias("s")), of)
 
 
 def normalised(intensities: Column) -> Column:
     """Divided by the largest; unchanged if that is not positive."""
-    top = F.array_max(intensities)
-    return F.when(top > 0, F.transform(intensities, lambda x: x.cast("double") / top.cast("double"))).otherwise(F.transform(intensities, lambda x: x.cast("double")))
+    top = F.array_max(intensities).cast("double")
+    both = F.struct(intensities.alias("v"), F.when(top > 0, top).otherwise(1.0).alias("top"))
+    return bound(both, lambda b: F.transform(b["v"], lambda x: x.cast("double") / b["top"]))
 
 
 def binned(df: DataFrame, key: str, mzs: str, intensities: str, low: float = 0.0, high: float = 2000.0, width: float = 0.1) -> DataFrame:
@@ -83,8 +100,7 @@ def norm(a: Column) -> Column:
 
 
 def l2(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / (n + 1e-8))
+    return bound(F.struct(a.alias("v"), (norm(a) + 1e-8).alias("n")), lambda b: F.transform(b["v"], lambda x: x.cast("double") / b["n"]))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, total
+
 
 def row_mean(columns: list[str]) -> Column:
     """The mean of the values that are there (not null, not NaN); null without any."""
@@ -95,8 +97,9 @@ def calibration_error(curve: DataFrame) -> DataFrame:
 
 
 def softmax(logits: Column) -> Column:
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, v: a + v))
+    raised = bound(F.struct(logits.alias("v"), F.array_max(logits).alias("top")), lambda b: F.transform(b["v"], lambda x: F.exp((x - b["top"]).cast("double"))))
+    whole = bound(raised, lambda e: F.struct(e.alias("e"), total(e).alias("s")))
+    return bound(whole, lambda b: F.transform(b["e"], lambda x: x / b["s"]))
 
 
 def argmax(values: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import text as T
+from ..session import shared_folder, written
 
 # Prices by resource, and hourly prices of accelerators.
 RATES = {"gpu_hour": 3.00, "token_input": 0.00001, "token_output": 0.00003, "storage_gb_month": 0.05}
@@ -157,20 +159,30 @@ def resolve_tags(versions: DataFrame, tags: DataFrame) -> DataFrame:
     return tags.join(versions, ["name", "version"])
 
 
-def closure(edges: DataFrame, start: DataFrame, downstream: bool = True, depth: int = 100) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, downstream: bool = True, depth: int = 1000) -> DataFrame:
     """(start, node, depth): all nodes reached along edges (source, target), by least depth. Each round joins the last frontier only and
-    drops what is known, so that cycles end. A round's rows are kept for the next; if they are lost they are computed again."""
+    drops what is known, so that cycles end. A round is written to the shared folder and read back with all rounds before it as one scan:
+    plans stay of one size however deep the graph is. A graph with longer ways than `depth` is an error, not a shorter answer."""
+    spark = edges.sparkSession
     a, b = ("source", "target") if downstream else ("target", "source")
-    step = edges.select(F.col(a).alias("node"), F.col(b).alias("_next")).distinct()
-    seen = start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
-    frontier = seen
-    for d in range(1, depth + 1):
-        found = frontier.join(step, "node").select("start", F.col("_next").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
-        found = found.persist()
-        if not found.head(1):
-            break
-        seen, frontier = seen.unionByName(found), found
-    return seen
+    step = written(edges.select(F.col(a).alias("node"), F.col(b).alias("_next")).where("node IS NOT NULL AND _next IS NOT NULL").distinct(), "edges")
+    root = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
+    schema = T_.StructType([T_.StructField("start", start.schema["node"].dataType), T_.StructField("node", start.schema["node"].dataType), T_.StructField("depth", T_.IntegerType())])
+    paths: list[str] = []
+
+    def put(rows: DataFrame) -> DataFrame:
+        paths.append(f"{root}/{len(paths)}")
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(paths[-1])
+        return spark.read.schema(schema).parquet(paths[-1])
+
+    frontier = put(start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
+    while frontier.head(1):
+        if len(paths) > depth:
+            raise ValueError(f"the graph is deeper than {depth}: give a larger depth")
+        seen = spark.read.schema(schema).parquet(*paths)
+        found = frontier.join(step, "node").select("start", F.col("_next").alias("node")).distinct()
+        frontier = put(found.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(len(paths))))
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def features(long: DataFrame, names: list[str], entity: str = "entity") -> DataFrame:

@@ -11,12 +11,12 @@ from .models import rounded
 
 R = Registry()
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
-_TOP = f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, a.label, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0),
+_TOP = f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, a.label, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) """
 
 
 def _queries(spark, d):
-    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @R.add(_TOP + "SELECT query_id, vec_id, label, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
@@ -24,12 +24,12 @@ def vector_topk(spark, d):
     return rounded(V.top_k(table(spark, d, "embeddings"), _queries(spark, d), 10))
 
 
-@R.add(_TOP.replace("WHERE b.vec_id % 50 = 0", "WHERE b.vec_id % 50 = 0 AND a.label = 3") + "SELECT query_id, vec_id, label, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+@R.add(_TOP.replace("WHERE b.vec_id % 20 = 0", "WHERE b.vec_id % 20 = 0 AND a.label = 3") + "SELECT query_id, vec_id, label, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def vector_filtered_topk(spark, d):
     return rounded(V.top_k(table(spark, d, "embeddings").where("label = 3"), _queries(spark, d), 5))
 
 
-@R.add(_TOP.replace("b.vec_id % 50 = 0", "b.vec_id IN (7, 11)") + "SELECT query_id, vec_id, label, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+@R.add(_TOP.replace("b.vec_id % 20 = 0", "b.vec_id IN (7, 11)") + "SELECT query_id, vec_id, label, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def vector_nearest_to_id(spark, d):
     return rounded(V.nearest_to(table(spark, d, "embeddings"), [7, 11], 5))
 
