@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import tempfile
@@ -19,7 +20,7 @@ TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 2000, 8 << 20
 #: A side is broadcast only if its counted rows times their width stay below this.
 BROADCAST_BYTES = 64 << 20
 
-_PATHS: list[str] = []
+_PATHS: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,20 +57,35 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet under the checkpoint folder and reads it back: lineage is cut, a lost executor costs nothing."""
+    """Writes df as Parquet under the checkpoint folder and reads it back: lineage is cut, a lost executor costs nothing. The files go
+    when release() drops them, and at the latest when the process ends."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/quarry/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _PATHS.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_materialised(spark: SparkSession) -> None:
-    """Deletes what materialise() has written in this process; call it after the results have been written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _PATHS:
-        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        path.getFileSystem(conf).delete(path, True)
+    if not _PATHS:
+        atexit.unregister(release)
+        atexit.register(release)
+    _PATHS.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def mark() -> int:
+    """The number of intermediates written so far, for release()."""
+    return len(_PATHS)
+
+
+def release(since: int = 0, *kept: DataFrame) -> None:
+    """Deletes the intermediates written since a mark, but for the kept ones. Nothing that is still to be computed may rest on the others."""
+    stay = {df._quarry_path for df in kept}
+    gone = [x for x in _PATHS[since:] if x[1] not in stay]
+    _PATHS[since:] = [x for x in _PATHS[since:] if x[1] in stay]
+    for spark, name in gone:
+        if spark.sparkContext._jsc is None:  # the session has ended: its folder is its owner's
+            continue
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
@@ -122,10 +138,27 @@ def fold() -> Column:
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
+#: The place of a 64-bit hash in the range of all of them, from 0 to 1.
+def _place(h: Column) -> Column:
+    return h.cast("double") / float(1 << 64) + 0.5
+
+
+def _margin(n: int) -> float:
+    """So many rows are expected below the cut that fewer than n are next to impossible."""
+    return n + 10 * n**0.5 + 50
+
+
+def least_per_group(df: DataFrame, by: str, key: Column, n: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The n rows of each group of least key (a 64-bit hash), with it as h. A cut that follows from the groups' counts leaves little more
+    than n rows of each, wherever they lie, so that the ranking of a large group is no large task. The groups should be few."""
+    counts = df.groupBy(by).agg(F.count("*").alias("__rows"))
+    near = df.withColumn("h", key).join(F.broadcast(counts), by).where(_place(F.col("h")) * F.col("__rows") <= _margin(n)).drop("__rows")
+    order = ", ".join(f"`{c}`" for c in ("h", *ties))
+    return near.withColumn("__nth", F.expr(f"row_number() OVER (PARTITION BY `{by}` ORDER BY {order})")).where(F.col("__nth") <= n).drop("__nth")
+
+
 def least_by_hash(df: DataFrame, n: int, *columns: str) -> DataFrame:
-    """n rows of least hash of the columns, with the hash as h. Only hashes are compared over the whole table; whole rows are taken
-    from those below the n-th hash."""
-    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    keyed = df.withColumn("h", key)
-    most = keyed.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return keyed.where(F.col("h") <= F.lit(most)).orderBy("h").limit(n)
+    """n rows of least hash of the columns, with the hash as h. Only what a cut by the row count leaves, little more than n rows, is sorted."""
+    keyed = df.withColumn("h", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    rows = keyed.count()
+    return keyed.where(_place(F.col("h")) * rows <= _margin(n)).orderBy("h", *columns).limit(n)

@@ -4,12 +4,22 @@ A page is cut into leaf blocks in page order. Each block is a vector: hashed tok
 words of its text, and measures of length, links, signs and place. A bidirectional LSTM (numpy) reads the sequence, so that each verdict
 draws on the whole page; the blocks called content are the text.
 
-Training: `train_pages` pages of least id hash, taken again with further boilerplate put in and with other wrappers, from a seeded
-generator; what is content in them follows from the elements around a block. The bound does not grow with the corpus. Prediction sees
-no rules.
+Training: `train_pages` pages of least id hash, of `train_chars` characters at most and read up to `train_blocks` blocks, taken again with
+further boilerplate put in and with other wrappers, from a seeded generator, and once more without telling names: no classes or ids, and
+every sectioning element a plain division, so that text, links and place have to decide. What is content follows from the elements around a
+block before the names go. The bounds do not grow with the corpus. Prediction sees no rules.
+
+Blocks end at the edges of block elements; elements of other names, unknown ones included, are part of the text around them.
+Scripts, styles, titles and text areas hold no text, up to the end of the page if they are not closed. Embedded frames and templates are
+left out where they are closed; an open or self-closing one loses its tag only. Everything else - pictures, formulas, fallbacks of objects
+and media, choices of forms - is text like any other, for the network to judge. Table cells are blocks.
+
+Prediction goes over pages of like length side by side, in steps of bounded size that carry the states, once in each direction: what is
+held of a page besides its blocks is one number a block. Open elements are found by tag at any depth.
 
 Cases: null and empty pages, and pages without a block, give the empty text. Markup may be cut off anywhere, misnested or unclosed.
-Pages of any length are read whole. Equal rows give a row each.
+Pages of any length are read whole. Equal rows give a row each. Kept columns that the table lacks are left out; columns of other names,
+`text` and `n_chars` included, do not matter.
 """
 
 from __future__ import annotations
@@ -27,7 +37,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TRAIN_PAGES = 160
+TRAIN_PAGES, TRAIN_CHARS, TRAIN_BLOCKS = 160, 200_000, 200
+#: Blocks, padding included, that are read side by side in one step of prediction; nodes of tag paths kept from page to page.
+STEP_CELLS, KEPT_NODES = 8192, 20_000
 PATH_DIM, WORD_DIM, MEASURES = 128, 32, 8
 INPUT, HIDDEN = PATH_DIM + WORD_DIM + MEASURES, 24
 
@@ -36,18 +48,59 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Elements of HTML by what they do to the text around them.
-RAW = {"script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "math", "object", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "title", "textarea"}
+RAW_IF_CLOSED = {"iframe", "noembed", "noframes", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "td", "th", "time", "tt", "u", "var"}
-SPACED = {"br", "td", "th", "img", "wbr"}
-CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
+BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "colgroup", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+SPACED = {"br", "img", "wbr"}
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
+
+
+class Node:
+    """An open element and those around it. raw: signed counts of the path's hashed tokens."""
+
+    __slots__ = ("parent", "tag", "name", "depth", "raw", "below", "_vector")
+
+    def __init__(self, parent: Node | None, tag: str, name: str):
+        self.parent, self.tag, self.name = parent, tag, name
+        self.depth = parent.depth + 1 if parent else 0
+        self.raw = parent.raw.copy() if parent else np.zeros(PATH_DIM, dtype=np.int32)
+        self.below: dict[str, Node] = {}
+        self._vector: np.ndarray | None = None
+        if parent:
+            for token in (f"in:{tag}", *(f"name:{n}" for n in name.split()[1:])):
+                i, sign = bucket(token, PATH_DIM)
+                self.raw[i] += int(sign)
+
+    def child(self, tag: str, name: str) -> Node:
+        found = self.below.get(name)
+        if found is None:
+            found = self.below[name] = Node(self, tag, name)
+        return found
+
+    def vector(self) -> np.ndarray:
+        if self._vector is None:
+            v = self.raw.astype(np.float32)
+            if self.parent:
+                i, sign = bucket(f"leaf:{self.tag}", PATH_DIM)
+                v[i] += sign
+            self._vector = np.clip(v, -2, 2)
+        return self._vector
+
+    def names(self) -> list[str]:
+        """The elements from the outermost to this one."""
+        out, at = [], self
+        while at.parent:
+            out.append(at.name)
+            at = at.parent
+        return out[::-1]
 
 
 class Block:
-    __slots__ = ("path", "text", "link")
+    __slots__ = ("at", "text", "link")
 
-    def __init__(self, path: tuple[str, ...], text: str, link: float):
-        self.path, self.text, self.link = path, text, link
+    def __init__(self, at: Node, text: str, link: float):
+        self.at, self.text, self.link = at, text, link
 
 
 @lru_cache(maxsize=20000)
@@ -57,10 +110,24 @@ def element(tag: str, attributes: str) -> str:
     return " ".join([tag, *(w.lower() for w in _NAME_WORD.findall(names))])
 
 
-def blocks(page: str | None) -> list[Block]:
+class Paths:
+    """The root of the tag paths, shared by the pages of a task and begun anew when many nodes hang from it."""
+
+    def __init__(self):
+        self.root, self.made = Node(None, "", ""), 0
+
+    def start(self) -> Node:
+        if self.made > KEPT_NODES:
+            self.root, self.made = Node(None, "", ""), 0
+        return self.root
+
+
+def blocks(page: str | None, paths: Paths | None = None) -> list[Block]:
     """The leaf blocks: text between the edges of block elements, references decoded, white space made single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    paths = paths or Paths()
+    stack: list[Node] = [paths.start()]
+    open_at: dict[str, list[int]] = {}  # places in the stack by tag
     parts: list[str] = []
     link = linked = at = 0
 
@@ -68,7 +135,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append(Block(tuple(x[1] for x in stack), text, min(1.0, linked / len(text))))
+                out.append(Block(stack[-1], text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
@@ -79,6 +146,11 @@ def blocks(page: str | None) -> list[Block]:
         if link:
             linked += len(piece)
 
+    def leave(place: int):
+        """Closes the elements from a place in the stack on."""
+        while len(stack) > place:
+            open_at[stack.pop().tag].pop()
+
     page = page or ""
     while True:
         m = _MARK.search(page, at)
@@ -96,16 +168,18 @@ def blocks(page: str | None) -> list[Block]:
         if closing:
             if tag == "a":
                 link = 0
-            elif tag not in INLINE and tag not in VOID:
+            elif tag in BLOCK:
                 flush()
-                for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if places := open_at.get(tag):
+                    leave(places[-1])
             continue
-        if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
-            at = end.start() if end else len(page)
+        attributes = m[3] or m[6] or ""
+        if tag in RAW or tag in RAW_IF_CLOSED:
+            end = re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in RAW and not attributes.endswith("/"):
+                at = len(page)
         elif tag in VOID or tag in SPACED:
             if tag in SPACED:
                 parts.append(" ")
@@ -113,14 +187,17 @@ def blocks(page: str | None) -> list[Block]:
                 flush()
         elif tag == "a":
             link = 1
-        elif tag not in INLINE:
+        elif tag in BLOCK:
             flush()
-            if stack:
-                top = stack[-1][0]
-                if top == "p" or tag in (CLOSED_BY.get(top) or ()):
-                    stack.pop()
-            if len(stack) < 500:
-                stack.append((tag, element(tag, m[3] or m[6] or "")))
+            if stack[-1].tag == "p" or tag in CLOSED_BY.get(stack[-1].tag, ()):
+                leave(len(stack) - 1)
+                if tag == "tr" and stack[-1].tag == "tr":
+                    leave(len(stack) - 1)
+            known = len(stack[-1].below)
+            open_at.setdefault(tag, []).append(len(stack))
+            parent = stack[-1]
+            stack.append(parent.child(tag, element(tag, attributes)))
+            paths.made += len(parent.below) - known
     flush()
     return out
 
@@ -131,32 +208,19 @@ def bucket(token: str, dim: int) -> tuple[int, float]:
     return h % dim, 1.0 if h & 0x10000 else -1.0
 
 
-@lru_cache(maxsize=20000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH_DIM, dtype=np.float32)
-    for depth, el in enumerate(reversed(path)):
-        tag, *names = el.split()
-        for token in [f"leaf:{tag}"] * (depth == 0) + [f"in:{tag}"] + [f"name:{n}" for n in names]:
-            i, sign = bucket(token, PATH_DIM)
-            v[i] += sign
-    return np.clip(v, -2, 2)
-
-
-_WORDS = re.compile(r"\w+")
-
-
-def vectors(found: list[Block]) -> np.ndarray:
-    """A row per block."""
-    out = np.zeros((len(found), INPUT), dtype=np.float32)
-    for r, b in enumerate(found):
-        out[r, :PATH_DIM] = path_vector(b.path)
+def vectors(found: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """A row per block from start to stop."""
+    stop = len(found) if stop is None else min(stop, len(found))
+    out = np.zeros((max(0, stop - start), INPUT), dtype=np.float32)
+    for r, b in enumerate(found[start:stop]):
+        out[r, :PATH_DIM] = b.at.vector()
         words = b.text.split()
         n = len(words)
         marks = np.array([bucket(w, WORD_DIM) for w in b.text.lower().split()])
         out[r, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(marks[:, 0].astype(np.int64), weights=marks[:, 1], minlength=WORD_DIM) / n**0.5
         signs = sum(b.text.count(c) for c in ".,;!?")
-        place = r / len(found)
-        out[r, -MEASURES:] = (np.log1p(n) / 3, b.link, min(1.0, signs / n), b.text[-1] in ".!?", place, 1 - place, len(b.path) / 8, 1)
+        place = (start + r) / len(found)
+        out[r, -MEASURES:] = (np.log1p(n) / 3, b.link, min(1.0, signs / n), b.text[-1] in ".!?", place, 1 - place, min(b.at.depth, 64) / 8, 1)
     return out
 
 
@@ -183,12 +247,14 @@ class Labeller:
         p["c"] = np.zeros(1, dtype=np.float32)
         return Labeller(p)
 
-    def run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States of one direction; x: (steps, pages, INPUT) in reading order, mask: (steps, pages)."""
+    def run(self, x: np.ndarray, mask: np.ndarray, d: str, state: list | None = None, kept: list | None = None) -> np.ndarray:
+        """States of one direction; x: (steps, pages, INPUT) in reading order, mask: (steps, pages). state: [h, c] before the first
+        step, replaced by that after the last; kept takes what the gradient needs of each step."""
         steps, n, _ = x.shape
         z = (x.reshape(steps * n, INPUT) @ self.p[f"x{d}"] + self.p[f"c{d}"]).reshape(steps, n, 4 * HIDDEN)
-        h, c = np.zeros((n, HIDDEN), dtype=np.float32), np.zeros((n, HIDDEN), dtype=np.float32)
-        out, kept = np.zeros((steps, n, HIDDEN), dtype=np.float32), []
+        state = [np.zeros((n, HIDDEN), dtype=np.float32) for _ in range(2)] if state is None else state
+        h, c = state
+        out = np.zeros((steps, n, HIDDEN), dtype=np.float32)
         for t in range(steps):
             a = z[t] + h @ self.p[f"h{d}"]
             gate = sigmoid(a[:, : 3 * HIDDEN])
@@ -197,14 +263,17 @@ class Labeller:
             m = mask[t][:, None]
             c2 = f * c + i * g
             tc = np.tanh(c2)
-            kept.append((h, c, i, f, o, g, tc, m))
+            if kept is not None:
+                kept.append((h, c, i, f, o, g, tc, m))
             c, h = np.where(m, c2, c), np.where(m, o * tc, h)
             out[t] = h
-        return out, kept
+        state[:] = h, c
+        return out
 
     def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        ahead, kept_f = self.run(x, mask, "f")
-        behind, kept_b = self.run(x[::-1], mask[::-1], "b")
+        kept_f, kept_b = [], []
+        ahead = self.run(x, mask, "f", kept=kept_f)
+        behind = self.run(x[::-1], mask[::-1], "b", kept=kept_b)
         both = np.concatenate([ahead, behind[::-1]], axis=2)
         return both @ self.p["o"] + x @ self.p["s"] + self.p["c"], (both, kept_f, kept_b)
 
@@ -233,18 +302,42 @@ class Labeller:
             g[f"h{name}"], g[f"x{name}"], g[f"c{name}"] = dw, xs.reshape(-1, INPUT).T @ dz.reshape(-1, 4 * HIDDEN), dz.sum(axis=(0, 1))
         return float(loss), g
 
-    def label(self, pages: list[np.ndarray], width: int = 64) -> list[np.ndarray]:
-        """Which blocks of each page are content. Pages of like length are read side by side."""
+    def label(self, pages: list[list[Block]], cells: int = STEP_CELLS) -> list[np.ndarray]:
+        """Which blocks of each page are content. Pages of like length are read side by side, `cells` blocks at a time."""
         out: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), width):
-            part = order[at : at + width]
-            x, mask = padded([pages[i] for i in part])
-            logit, _ = self.forward(x, mask)
-            for col, i in enumerate(part):
-                out[i] = logit[: len(pages[i]), col] > 0
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * len(pages[order[end]]) <= cells:
+                end += 1
+            part, at = [pages[i] for i in order[at:end]], end
+            for i, logit in zip(order[at - len(part) : at], self.logits(part, cells)):
+                out[i] = logit > 0
         return out
 
+    def logits(self, pages: list[list[Block]], cells: int = STEP_CELLS) -> list[np.ndarray]:
+        """Both directions over some pages, in steps of at most `cells` blocks that hand their states on."""
+        longest, step = max(map(len, pages)), max(1, cells // len(pages))
+        starts = list(range(0, longest, step))
+        out = np.zeros((longest, len(pages)), dtype=np.float32)
+        only = None
+
+        def part(start: int) -> tuple[np.ndarray, np.ndarray]:
+            return padded([vectors(p, min(start, len(p)), start + step) for p in pages])
+
+        for d, half in (("f", self.p["o"][:HIDDEN]), ("b", self.p["o"][HIDDEN:])):
+            state = [np.zeros((len(pages), HIDDEN), dtype=np.float32) for _ in range(2)]
+            for start in starts if d == "f" else reversed(starts):
+                x, mask = only or part(start)
+                only = (x, mask) if len(starts) == 1 else None
+                rows = slice(start, start + len(x))
+                if d == "f":
+                    out[rows] += self.run(x, mask, d, state) @ half + x @ self.p["s"] + self.p["c"]
+                else:
+                    out[rows] += (self.run(x[::-1], mask[::-1], d, state) @ half)[::-1]
+        return [out[: len(p), col] for col, p in enumerate(pages)]
+
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
@@ -305,11 +398,21 @@ FURNITURE = (
 
 def is_content(block: Block) -> bool:
     """The verdict that the elements around a block give, for training."""
-    words = [w for el in block.path for w in el.split()]
-    inside = {"article", "main", "content", "post", "entry", "story", "body"} & {w for el in block.path for w in el.split() if not el.startswith("body")}
+    path = block.at.names()
+    words = [w for el in path for w in el.split()]
+    inside = {"article", "main", "content", "post", "entry", "story", "body"} & {w for el in path for w in el.split() if not el.startswith("body")}
     return bool(inside) and not any(w in BOILERPLATE for w in words)
 
 
+_SECTION = re.compile(r"<(/?)(?:article|main|nav|header|footer|aside|section|form)\b[^>]*>", re.I)
+_NAMED = re.compile(r"""\s(?:class|id|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+
+
+def unnamed(page: str) -> str:
+    """The page without telling names: the same blocks in plain divisions."""
+    return _NAMED.sub("", _SECTION.sub(r"<\1div>", page))
+
+
 def varied(page: str, r: random.Random) -> str:
     """The page with further furniture, and maybe another wrapper around its text."""
     body = re.sub(r"<[^>]*>", " ", page).split()
@@ -329,29 +432,42 @@ def varied(page: str, r: random.Random) -> str:
     return page
 
 
-def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, id_column: str = "page_id", html_column: str = "html") -> Labeller:
-    rows = pages.select(F.col(id_column).alias("id"), F.col(html_column).alias("html")).where(F.length("html").between(1, 200_000))
-    chosen = common.least_by_hash(rows, train_pages, "id", "html").select("html")
+def training_pages(pages: DataFrame, train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
+    """(id, html) of the pages that train() learns from."""
+    rows = pages.select(F.col(id_column).alias("id"), F.col(html_column).alias("html")).where(F.length("html").between(1, train_chars))
+    return common.least_by_hash(rows, train_pages, "id", "html").select("id", "html")
+
+
+def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS, train_blocks: int = TRAIN_BLOCKS, id_column: str = "page_id", html_column: str = "html") -> Labeller:
     r, found, truths = random.Random(5), [], []
-    for row in chosen.collect():  # train_pages rows
-        for page in (row.html, varied(row.html, r), varied(row.html, r)):
-            got = blocks(page)[:200]
-            found.append(vectors(got)), truths.append(np.array([is_content(b) for b in got], dtype=bool))
+    for row in training_pages(pages, train_pages, train_chars, id_column, html_column).collect():  # train_pages rows
+        for page in (row.html, varied(row.html, r), varied(row.html, r), None):
+            if page is not None:
+                got = blocks(page)[:train_blocks]
+                truth = np.array([is_content(b) for b in got], dtype=bool)
+                last = page
+            else:  # the last one once more, its names gone
+                plain = blocks(unnamed(last))[:train_blocks]
+                if [b.text for b in plain] != [b.text for b in got]:
+                    continue
+                got = plain
+            found.append(vectors(got)), truths.append(truth)
     return fit(found, truths)
 
 
 def extract(pages: DataFrame, model: Labeller, id_column: str = "page_id", html_column: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """The id column, the kept ones, text, n_chars, and n_blocks (all blocks of the page)."""
     spark = common.text_batches(pages.sparkSession)
+    keep = tuple(c for c in keep if c in pages.columns)
     source = pages.select(id_column, *keep, F.col(html_column).alias("__quarry_html"))
     shared = spark.sparkContext.broadcast(model.p)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
 
     def run(batches):
-        labeller = Labeller(shared.value)
+        labeller, paths = Labeller(shared.value), Paths()
         for batch in common.slices(batches, "__quarry_html"):
-            found = [blocks(p) for p in common.texts(batch, "__quarry_html")]
-            labels = labeller.label([vectors(b) for b in found])
+            found = [blocks(p, paths) for p in common.texts(batch, "__quarry_html")]
+            labels = labeller.label(found)
             text = ["\n".join(b.text for b, hit in zip(bs, x) if hit) for bs, x in zip(found, labels)]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array([len(b) for b in found], pa.int64())], [id_column, *keep, "text", "n_chars", "n_blocks"])
