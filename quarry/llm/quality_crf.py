@@ -4,11 +4,15 @@ A text is the sequence of its lines that hold a word. Each line has binary featu
 variety, punctuation, repetition). The field scores label sequences by feature and transition weights; Viterbi decoding, side by side
 over many texts, gives the best labels, and the share of words in content lines decides whether a text is kept. Base rules go first.
 
-Training: per quality label the `per_label` labelled documents of least id hash, with their first `train_lines` lines; all lines take
-their document's label. The bound does not grow with the corpus. The weights maximise the penalised conditional likelihood.
+Training: per quality label the `per_label` labelled documents of least id hash, with their first `train_lines` lines; the bound does not
+grow with the corpus. What is labelled are documents, so the labels of lines are latent. A first fit has them follow their document, with
+runs of lines from the other kind spliced in by a seeded generator, whose labels are known. Then, `rounds` times, each document is decoded
+and keeps the decoded labels where they agree with its own label (a good one mostly content, a bad one mostly boilerplate, by words),
+else all lines take its label; spliced copies follow, and the field is fitted again. The weights maximise the penalised conditional
+likelihood.
 
 Cases: null and empty texts have no words and fail the base rules; without labelled rows of both kinds every line is content. Rows
-with equal ids give a row each. Text of any length is read whole; the label of a document with contradicting labels is its least one.
+with equal ids give a row each. Other columns of the input, whatever their names, do not come through. Text of any length is read whole; the label of a document with contradicting labels is its least one.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from . import common
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-PER_LABEL, TRAIN_LINES = 500, 120
+PER_LABEL, TRAIN_LINES, ROUNDS = 500, 120, 2
 CONTENT, BOILERPLATE = 0, 1
 #: A text is kept if so large a part of its words is in content lines.
 LEAST_CONTENT = 0.5
@@ -150,72 +154,124 @@ class Field:
         return out
 
 
-def likelihood(params: np.ndarray, features: np.ndarray, labels: np.ndarray, mask: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
-    """The penalised log-likelihood of the labels and its gradient. features: (texts, lines, slots); mask: (texts, lines)."""
+class Packed:
+    """Texts laid side by side without padding: a row of features per line, the longest text first."""
+
+    def __init__(self, texts: list[np.ndarray], labels: list[np.ndarray]):
+        order = sorted((i for i in range(len(texts)) if len(texts[i])), key=lambda i: -len(texts[i]))
+        self.sizes = np.array([len(texts[i]) for i in order], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.features, self.kind = np.unique(np.concatenate([texts[i] for i in order]), axis=0, return_inverse=True)  # lines are alike
+        self.labels = np.concatenate([labels[i] for i in order]).astype(np.int64)
+        self.steps = [self.starts[: int(np.searchsorted(-self.sizes, -t, side="left"))] + t for t in range(int(self.sizes[0]))]
+        self.later = np.concatenate(self.steps[1:]) if len(self.steps) > 1 else np.zeros(0, dtype=np.int64)
+        self.truth = np.eye(2)[self.labels]
+        self.moves = np.bincount(self.labels[self.later - 1] * 2 + self.labels[self.later], minlength=4).reshape(2, 2)
+
+
+def packed_likelihood(params: np.ndarray, x: Packed, penalty: float) -> tuple[float, np.ndarray]:
+    """The penalised log-likelihood of the labels and its gradient, by the scaled forward and backward sums of all texts side by side."""
     f = N_FEATURES * 2
     weights = np.vstack([params[:f].reshape(N_FEATURES, 2), np.zeros((1, 2))])
     moves, first = params[f : f + 4].reshape(2, 2), params[f + 4 :]
-    emit = weights[features].sum(axis=2)
-    b, t_max = mask.shape
-    ahead, behind = np.empty((b, t_max, 2)), np.zeros((b, t_max, 2))
-    ahead[:, 0] = first + emit[:, 0]
-    for t in range(1, t_max):
-        step = np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves, axis=1) + emit[:, t]
-        ahead[:, t] = np.where(mask[:, t, None], step, ahead[:, t - 1])
-    for t in range(t_max - 2, -1, -1):
-        step = np.logaddexp.reduce(moves + (emit[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
-        behind[:, t] = np.where(mask[:, t + 1, None], step, 0)
-    norm = np.logaddexp.reduce(ahead[:, -1], axis=1)
-    one = np.exp(ahead + behind - norm[:, None, None]) * mask[:, :, None]
-    truth = np.eye(2)[labels] * mask[:, :, None]
-    pair = ahead[:, :-1, :, None] + moves + (emit[:, 1:] + behind[:, 1:])[:, :, None, :] - norm[:, None, None, None]
-    pair = np.exp(pair) * mask[:, 1:, None, None]
-    true_pair = truth[:, :-1, :, None] * truth[:, 1:, None, :]
-    value = (truth * emit).sum() + (truth[:, 0] * first).sum() + (true_pair * moves).sum() - norm.sum() - penalty / 2 * (params**2).sum()
-    gap = truth - one
-    grad_w = np.zeros((N_FEATURES + 1, 2))
-    for slot in range(features.shape[2]):
-        np.add.at(grad_w, features[:, :, slot], gap)
-    grad = np.concatenate([grad_w[:-1].ravel(), (true_pair - pair).sum(axis=(0, 1)).ravel(), gap[:, 0].sum(axis=0)])
-    return value, grad - penalty * params
-
-
-def fit(texts: list[np.ndarray], labels: list[int], rounds: int = 80, penalty: float = 1.0) -> Field:
-    """Maximises the likelihood by Adam over all texts at once."""
+    emit = weights[x.features].sum(axis=1)[x.kind]
+    high = emit.max(axis=1, keepdims=True)
+    e, m, s = np.exp(emit - high), np.exp(moves - moves.max()), np.exp(first - first.max())
+    n = len(emit)
+    ahead, behind, scale = np.empty((n, 2)), np.ones((n, 2)), np.empty(n)
+    for t, rows in enumerate(x.steps):
+        a = e[rows] * (s if t == 0 else ahead[rows - 1] @ m)
+        total = a[:, 0] + a[:, 1]
+        scale[rows] = total
+        ahead[rows] = a / total[:, None]
+    e /= scale[:, None]
+    for rows in reversed(x.steps[1:]):
+        behind[rows - 1] = (e[rows] * behind[rows]) @ m.T
+    norm = np.log(scale).sum() + high.sum() + len(x.later) * moves.max() + len(x.starts) * first.max()
+    after = x.later
+    pair = m * (ahead[after - 1].T @ (e[after] * behind[after]))
+    value = (x.truth * emit).sum() + (x.truth[x.starts] * first).sum() + (x.moves * moves).sum() - norm - penalty / 2 * (params**2).sum()
+    gap = x.truth - ahead * behind
+    by_kind = [np.bincount(x.kind, weights=gap[:, k], minlength=len(x.features)) for k in (0, 1)]
+    slots = x.features.ravel()
+    grad_w = np.stack([np.bincount(slots, weights=np.repeat(g, x.features.shape[1]), minlength=N_FEATURES + 1)[:-1] for g in by_kind], axis=1)
+    grad = np.concatenate([grad_w.ravel(), (x.moves - pair).ravel(), gap[x.starts].sum(axis=0)])
+    return float(value), grad - penalty * params
+
+
+def likelihood(params: np.ndarray, features: np.ndarray, labels: np.ndarray, mask: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """packed_likelihood() of padded texts. features: (texts, lines, slots); labels and mask: (texts, lines)."""
+    return packed_likelihood(params, Packed([f[m] for f, m in zip(features, mask)], [y[m] for y, m in zip(labels, mask)]), penalty)
+
+
+def fit(texts: list[np.ndarray], labels: list[np.ndarray], rounds: int = 80, penalty: float = 1.0) -> Field:
+    """Maximises the likelihood of the lines' labels by Adam over all texts at once. Without lines of both labels all is content."""
     params = np.zeros(N_FEATURES * 2 + 6)
-    if len(set(labels)) == 2:
-        t_max = max(map(len, texts))
-        features = np.full((len(texts), t_max, len(BINS) + FLAGS + 1), N_FEATURES, dtype=np.int64)
-        mask = np.zeros((len(texts), t_max), dtype=bool)
-        for r, f in enumerate(texts):
-            features[r, : len(f)], mask[r, : len(f)] = f, True
-        truth = np.repeat(np.array(labels)[:, None], t_max, axis=1)
+    if len(set(np.concatenate([*labels, np.zeros(0, dtype=np.int64)]).tolist())) == 2:
+        x = Packed(texts, labels)
         m, v = np.zeros_like(params), np.zeros_like(params)
         for i in range(1, rounds + 1):
-            _, grad = likelihood(params, features, truth, mask, penalty)
+            _, grad = packed_likelihood(params, x, penalty)
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             params += 0.15 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     f = N_FEATURES * 2
     return Field(np.vstack([params[:f].reshape(N_FEATURES, 2), np.zeros((1, 2))]), params[f : f + 4].reshape(2, 2), params[f + 4 :])
 
 
+def spliced(texts: list[np.ndarray], labels: list[np.ndarray], kinds: list[int], rng: np.random.Generator) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each text with a run of lines of a text of the other kind put in somewhere, their labels with them."""
+    of = [[i for i, k in enumerate(kinds) if k == kind] for kind in (0, 1)]
+    out, marks = [], []
+    for f, y, k in zip(texts, labels, kinds):
+        i = of[1 - k][int(rng.integers(len(of[1 - k])))]
+        start = int(rng.integers(len(texts[i])))
+        run = slice(start, start + int(rng.integers(1, 1 + len(texts[i]))))
+        at = int(rng.integers(len(f) + 1))
+        out.append(np.concatenate([f[:at], texts[i][run], f[at:]]))
+        marks.append(np.concatenate([y[:at], labels[i][run], y[at:]]))
+    return out, marks
+
+
+def fit_latent(texts: list[np.ndarray], words: list[np.ndarray], kinds: list[int], rounds: int = ROUNDS, seed: int = 17) -> Field:
+    """The field from texts whose documents are labelled: kinds has CONTENT or BOILERPLATE for each, words the words of each line."""
+    labels = [np.full(len(f), k, dtype=np.int64) for f, k in zip(texts, kinds)]
+    if len(set(kinds)) < 2:
+        return fit(texts, labels)
+    rng = np.random.default_rng(seed)
+    more, marks = spliced(texts, labels, kinds, rng)
+    field = fit([*texts, *more], [*labels, *marks])
+    for _ in range(rounds):
+        for i, got in enumerate(field.decode(texts)):
+            agree = words[i][got == kinds[i]].sum() > 0.5 * words[i].sum()
+            labels[i] = got.astype(np.int64) if agree else np.full(len(got), kinds[i], dtype=np.int64)
+        more, marks = spliced(texts, labels, kinds, rng)
+        field = fit([*texts, *more], [*labels, *marks])
+    return field
+
+
+def training_labels(labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """(doc_id, quality) of the documents that train() learns from: per_label of each quality, by least hash of the id."""
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return common.least_per_group(known, "quality", F.xxhash64(F.col("doc_id").cast("string")), per_label, ("doc_id",)).select("doc_id", "quality")
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, train_lines: int = TRAIN_LINES) -> Field:
     """docs: doc_id, text. labels: doc_id, quality (1 is good)."""
     common.text_batches(docs.sparkSession)
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ranked = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).withColumn("nth", F.expr("row_number() OVER (PARTITION BY quality ORDER BY h, doc_id)"))
-    chosen = common.materialise(ranked.where(F.col("nth") <= per_label).select("doc_id", "quality"), "labelled")  # 2 * per_label rows
+    chosen = common.materialise(training_labels(labels, per_label), "labelled")  # 2 * per_label rows
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sample = sample.where(F.length("text") > 0).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
 
     def extract(batches):
         for batch in common.slices(batches):
-            rows = [line_features(t.encode())[0][:train_lines].ravel().tolist() for t in common.texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["quality", "f"])
+            both = [line_features(t.encode()) for t in common.texts(batch)]
+            rows, sizes = [f[:train_lines].ravel().tolist() for f, _ in both], [s[:train_lines] for _, s in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], ["quality", "f", "words"])
 
-    found = sample.select(F.col("quality").cast("int"), "text").mapInArrow(extract, "quality int, f array<int>").where(F.size("f") > 0).orderBy(F.xxhash64("f"), "quality").toArrow()
+    found = sample.select(F.col("quality").cast("int"), "text").mapInArrow(extract, "quality int, f array<int>, words array<int>").where(F.size("f") > 0).orderBy(F.xxhash64("f"), "quality").toArrow()
     width = len(BINS) + FLAGS + 1
-    return fit([np.array(f, dtype=np.int64).reshape(-1, width) for f in found["f"].to_pylist()], [CONTENT if q else BOILERPLATE for q in found["quality"].to_pylist()])
+    texts = [np.array(f, dtype=np.int64).reshape(-1, width) for f in found["f"].to_pylist()]
+    return fit_latent(texts, [np.array(w) for w in found["words"].to_pylist()], [CONTENT if q else BOILERPLATE for q in found["quality"].to_pylist()])
 
 
 def judge(docs: DataFrame, field: Field, least_content: float = LEAST_CONTENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.llm import common, quality_crf as q
 
@@ -64,14 +65,42 @@ def test_gradient():
     assert value < 0
 
 
-def test_held_out_verdicts(spark):
+def test_likelihood_by_all_sequences():
+    rng = np.random.default_rng(8)
+    features, mask = rng.integers(0, q.N_FEATURES, (2, 4, 12)), np.array([[1, 1, 1, 1], [1, 1, 0, 0]], dtype=bool)
+    labels, params = rng.integers(0, 2, (2, 4)), rng.normal(size=q.N_FEATURES * 2 + 6)
+    f = q.N_FEATURES * 2
+    field = q.Field(np.vstack([params[:f].reshape(-1, 2), np.zeros((1, 2))]), params[f : f + 4].reshape(2, 2), params[f + 4 :])
+    want = 0.0
+    for x, y, m in zip(features, labels, mask):
+        x, y = x[m], y[m].tolist()
+        want += score(field, x, y) - np.logaddexp.reduce([score(field, x, z) for z in itertools.product((0, 1), repeat=len(x))])
+    assert abs(q.likelihood(params, features, labels, mask, 0.0)[0] - want) < 1e-9
+
+
+def test_held_out_verdicts_and_mixed_documents(spark):
+    """Documents that were not learned from; and such with a run of the other kind's lines put in, which is found inside them."""
     docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
     field = q.train(docs, labels, per_label=250)
-    got = q.judge(docs.join(labels, "doc_id").select("doc_id", "text"), field).join(labels, "doc_id").where("n_words >= 50").collect()
+    rest = docs.join(labels, "doc_id").join(q.training_labels(labels, 250), "doc_id", "left_anti")
+    got = q.judge(rest.select("doc_id", "text"), field).join(labels, "doc_id").where("n_words >= 50").collect()
     good = [r.kept for r in got if r.quality == 1]
     bad = [r.kept for r in got if r.quality == 0]
+    assert len(good) > 1000 and len(bad) > 100
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.15
 
+    r = random.Random(5)
+    texts = {k: [x.text.split("\n") for x in rest.where(F.col("quality") == k).orderBy("doc_id").limit(120).collect() if len(x.text.split("\n")) > 3] for k in (0, 1)}
+    rows, truth = [], {}
+    for i, host in enumerate(texts[1]):
+        guest, at = r.choice(texts[0])[-3:], r.randrange(len(host) + 1)
+        rows.append((i, "\n".join([*host[:at], *guest, *host[at:]])))
+        truth[i] = [0] * at + [1] * 3 + [0] * (len(host) - at)
+    found = q.judge(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()
+    pairs = [(x, t) for f in found if len(f.line_labels) == len(truth[f.doc_id]) for x, t in zip(f.line_labels, truth[f.doc_id])]
+    assert sum(len(set(f.line_labels)) == 2 and 0 < f.content_share < 1 for f in found) > 0.9 * len(found)
+    assert sum(x == t for x, t in pairs) / len(pairs) > 0.9
+
 
 def test_odd_inputs(spark):
     rows = [(1, None), (2, ""), (None, " \n"), (3, "word " * 60), (4, "x" * 300000), (4, "a b c " * 40 + "\n" + "a b c " * 40)]
@@ -80,4 +109,6 @@ def test_odd_inputs(spark):
     got = q.judge(docs, q.train(docs, labels)).collect()
     assert len(got) == 6 and all(r.base_failed and not r.kept for r in got)
     assert sorted(r.n_dup_lines for r in got)[-1] == 1
+    clash = q.judge(docs.selectExpr("*", "'x' AS n_words", "1 AS kept", "2 AS line_labels", "'t' AS content_share"), q.train(docs, labels))
+    assert dict(clash.dtypes)["n_words"] == "bigint" and clash.count() == 6
     assert q.judge(docs.limit(0), q.train(docs.limit(0), labels)).collect() == []
