@@ -5,11 +5,17 @@ language has seen; where it is new there, an escape leads to the next shorter on
 method C), down to the empty context and last to all bytes that the language has never seen. The probabilities of the 256 bytes
 after any context sum to one, so a text's summed code length is exact. The language that codes a text shortest is predicted.
 
-A byte's code length depends on the four bytes before it only (a text begins after four line feeds). The lengths of all five-byte
-windows of the training sample are laid out in one table for all languages; other windows are coded from the trees and kept.
+A further model, `none`, has no context: each byte by its share of all languages' training bytes. A text that it codes shorter than every
+language does is in none of them. The score of a prediction is the weight of its language among all models, none included, where a
+model's weight falls with its code length in bits; so a text in no learned language, however long, has a score near 0.
+
+A byte's code length depends on the four bytes before it only (a text begins after four line feeds). The lengths of the five-byte
+windows of the training sample are laid out in one table for all languages, the most frequent ones first, up to `TABLE_CELLS` numbers;
+other windows are coded from the trees and kept, with the same lengths.
 
 Training: per language the `per_language` documents of least id hash, each with its first `train_bytes` bytes, from rows with a
-language outside the held-out fold; the bound does not grow with the corpus. Prediction reads whole texts.
+language outside the held-out fold. All languages together take `sample_bytes` at most: with very many languages each gets fewer
+documents. The bounds do not grow with the corpus. Prediction reads whole texts.
 
 Cases: null text, text without a letter, and any text where nothing could be learned: `und`, score 0. Equal lengths: the first language
 in order. A null id is hashed as the empty text for the fold. Each row gives a row; long texts need no more memory than a slice.
@@ -21,6 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +35,9 @@ from . import common
 
 ORDER = 4
 PAD = b"\n" * ORDER
-PER_LANGUAGE, TRAIN_BYTES = 600, 1 << 15
+PER_LANGUAGE, TRAIN_BYTES, SAMPLE_BYTES = 600, 1 << 15, 1 << 29
+#: Code lengths in the table: 4 bytes each, on the driver and in each task.
+TABLE_CELLS = 1 << 25
 #: Windows outside the table whose lengths a task keeps.
 CACHE_ENTRIES = 100_000
 
@@ -131,18 +140,25 @@ class Table:
 
 
 class Model:
-    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], cells: int = TABLE_CELLS):
         self.langs = langs
         self.trees = [Tree(*c) for c in counts]
-        keys = np.unique(np.concatenate([c[0] for c in counts])) if counts else np.zeros(0, dtype=np.int64)
+        keys, where = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True) if counts else (np.zeros(0, dtype=np.int64),) * 2
+        bytes_ = np.ones(256)
+        if counts:
+            times = np.bincount(where, weights=np.concatenate([c[1] for c in counts]))
+            bytes_ += np.bincount(keys & 255, weights=times, minlength=256)
+            if len(keys) > (most := cells // (len(counts) + 1)):
+                keys = keys[np.sort(np.argsort(-times, kind="stable")[:most])]
+        self.none = -np.log2(bytes_ / bytes_.sum())
         self.table = Table(keys)
         self.costs = self.cost(self.table.keys)
 
     def cost(self, keys: np.ndarray) -> np.ndarray:
-        return np.stack([t.bits(keys) for t in self.trees], axis=1).astype(np.float32) if self.trees else np.zeros((len(keys), 0), dtype=np.float32)
+        return np.stack([*(t.bits(keys) for t in self.trees), self.none[keys & 255]], axis=1).astype(np.float32)
 
     def lengths(self, texts: list[bytes], kept: dict[int, np.ndarray] | None = None) -> np.ndarray:
-        """Code lengths in bits: a row per text, a column per language."""
+        """Code lengths in bits: a row per text, a column per language and one, the last, of the model without context."""
         keys, ends = windows(texts)
         row = self.table.find(keys)
         costs = self.costs[row]
@@ -164,20 +180,22 @@ class Model:
         if not self.langs or not texts:
             return ["und"] * len(texts), [0.0] * len(texts)
         bits = self.lengths([(t or "").encode() for t in texts], kept)
-        best = bits.argmin(axis=1)
+        best = bits[:, :-1].argmin(axis=1)
         gap = np.minimum((bits - bits.min(axis=1, keepdims=True)) * np.log(2), 700)
-        score = 1 / np.exp(-gap).sum(axis=1)
+        weight = np.exp(-gap)
+        score = weight[np.arange(len(best)), best] / weight.sum(axis=1)
         ok = [has_letter(t) for t in texts]
         return [self.langs[b] if o else "und" for b, o in zip(best, ok)], [float(s) if o else 0.0 for s, o in zip(score, ok)]
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, train_bytes: int = TRAIN_BYTES) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, train_bytes: int = TRAIN_BYTES, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """docs: doc_id, text, lang."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.fold())
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    nth = F.expr("row_number() OVER (PARTITION BY lang ORDER BY h)")
-    limits = own.select("lang", key.alias("h")).withColumn("nth", nth).where(F.col("nth") <= per_language).groupBy("lang").agg(F.max("h").alias("most"))
-    limits = common.materialise(limits, "languages")  # a row per language
+    languages = own.select(F.count_distinct("lang")).first()[0]
+    per_language = max(1, min(per_language, sample_bytes // (train_bytes * max(1, languages))))
+    limits = common.least_per_group(own.select("lang", "doc_id"), "lang", key, per_language, ("doc_id",))
+    limits = common.materialise(limits.groupBy("lang").agg(F.max("h").alias("most")), "languages")  # a row per language
     sample = own.select("lang", "text", key.alias("h")).join(F.broadcast(limits), "lang").where("h <= most").select("lang", "text")
 
     def count(batches):
@@ -216,16 +234,21 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     return source.mapInArrow(run, f"`{id_column}` {source.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_column: str = "text") -> DataFrame:
-    """The documents whose language is known with a score of least or more."""
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_column: str = "text", lang_column: str | None = "lang") -> DataFrame:
+    """The documents whose language is known with a score of least or more: not those without a letter, and not those that the model
+    without context codes shorter than any language does. A null in lang_column, if the table has it, becomes the predicted language."""
     spark = common.text_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
+    column = docs.columns.index(lang_column) if lang_column in docs.columns and dict(docs.dtypes)[lang_column] == "string" else None
 
     def run(batches):
         m = shared.value
         kept: dict[int, np.ndarray] = {}
         for batch in common.slices(batches, text_column, 1 << 20):
             langs, scores = m.predict(common.texts(batch, text_column), kept)
+            if column is not None:
+                given = batch.column(column)
+                batch = batch.set_column(column, batch.schema.field(column), pc.if_else(pc.is_null(given), pa.array(langs, given.type), given))
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,9 @@
 """Language identification: exact code lengths, held-out accuracy, odd inputs."""
 
+import random
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.llm import common, langid
 
@@ -49,7 +52,7 @@ def test_a_text_is_the_sum_of_its_bytes_however_it_is_batched():
     texts = [b"the hund", b"", b"sat und katze" * 50, b"x"]
     alone = np.concatenate([m.lengths([t]) for t in texts])
     assert np.allclose(m.lengths(texts, {}), alone, atol=1e-3)
-    assert alone[1].tolist() == [0, 0]
+    assert alone[1].tolist() == [0, 0, 0]
     want = sum(m.trees[0].bits(np.array([int.from_bytes((langid.PAD + texts[0])[i : i + 5], "big")]))[0] for i in range(len(texts[0])))
     assert abs(alone[0][0] - want) < 1e-3
 
@@ -68,6 +71,31 @@ def test_odd_inputs(spark):
     model = langid.train(docs)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
     assert got[2] == got[3] == got[5] == ("und", 0.0) and got[1][0] == "x" and got[None][0] == "y"
-    assert sorted(r.doc_id or 0 for r in langid.keep_identified(docs.withColumn("lang_pred", docs.lang), model).collect()) == [0, 1, 6, 7, 8]
+    kept = langid.keep_identified(docs.withColumn("lang_pred", docs.lang), model).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 6, 7]  # 8 is in neither language
     nothing = langid.train(docs.limit(0))
     assert nothing.langs == [] and {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_texts_in_no_learned_language_go_and_missing_languages_are_filled(spark):
+    """Whole corpus learned; gibberish, other scripts and coded data are rejected however long, ordinary prose of any quality stays."""
+    docs = common.table(spark, SF, "documents")
+    model = langid.train(docs)
+    r = random.Random(1)
+    odd = ["".join(r.choices(a, k=n)) for a, n in (("абвгдежз ий", 300), ("bcdfghjkqxzvw ", 400), ("abcdefghijklmnopqrstuvwxyz0123456789+/", 5000))]
+    some = docs.where(F.length("text") > 200).orderBy("doc_id").limit(40).collect()
+    rows = [(i, t, None) for i, t in enumerate(odd)] + [(100 + x.doc_id, x.text, None) for x in some]
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert sorted(x.doc_id for x in kept) == sorted(100 + x.doc_id for x in some)
+    assert {x.doc_id - 100: x.lang for x in kept} == {x.doc_id: x.lang for x in some}
+
+
+def test_a_smaller_table_and_many_languages_give_the_same_lengths(spark):
+    m = small_model()
+    keys, ends = langid.windows([b"the cat", b"der hund"])
+    counts = [np.unique(keys[a:b], return_counts=True) for a, b in zip(ends[::2], ends[1::2])]
+    full, few = langid.Model(["x", "y"], counts), langid.Model(["x", "y"], counts, cells=12)
+    texts = [b"the hund and more", b"cat der"]
+    assert len(few.table.keys) == 4 and np.allclose(full.lengths(texts), few.lengths(texts), atol=1e-4) and m.langs == few.langs
+    docs = spark.createDataFrame([(i, f"text number {i} of this tongue {chr(97 + i % 26) * 5}", f"l{i % 40}") for i in range(400)], "doc_id long, text string, lang string")
+    assert len(langid.train(docs, sample_bytes=40 * langid.TRAIN_BYTES).langs) == 40
