@@ -13,13 +13,14 @@ from quarry.llm import bpe, common, decontaminate, langid, line_dedup, near_dups
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language that can be told."""
+    """Drops documents without a letter and those in no learned language; a missing language becomes the predicted one."""
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeats of line runs, and documents of which nothing is left."""
-    out = line_dedup.dedup(docs).where("NOT (n_removed > 0 AND n_removed = n_lines)")
+    all_, gone = outputs = ("__quarry_lines", "__quarry_removed")
+    out = line_dedup.dedup(docs, outputs=outputs).where(f"NOT ({gone} > 0 AND {gone} = {all_})")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -53,5 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        since = common.mark() if name == STAGES[0][0] else since
         docs = common.materialise(stage(spark, docs, sf_dir), name)
+        common.release(since, docs)  # what the stage before has written
     return STAGES[-1][1](spark, docs, sf_dir)

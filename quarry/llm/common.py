@@ -113,7 +113,7 @@ def slices(batches, column: str = "text", budget: int = SLICE_BYTES):
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
+        col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
         off = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
         at = 0
         while at < len(col):

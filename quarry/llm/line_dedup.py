@@ -4,18 +4,22 @@ A document is the sequence of its lines that hold a word. A run of consecutive l
 earlier - in a document with a smaller id, or further up in the same one - is deleted line by line; the first occurrence stays.
 
 1. Select: the k-grams are the shortest line sequences with `gram_words` words, the windows the shortest with `min_words`; the
-   k-gram of least hash in each window is a fingerprint. Equal windows share it, so each run that counts has a fingerprint.
-2. Join: fingerprints seen once anywhere can't lie in a repeat. Those seen more often mark the lines within a window's reach.
-3. Extend: around them every window, sliding both ways, is matched in full (128-bit hash of its lines); one whose first occurrence
-   lies elsewhere is a repeat. Windows are taken from each line onwards and backwards, which covers a repeated run exactly.
-4. Delete the lines of all repeats.
-
-Hot windows meet in a partial aggregate and a join that can be split; no pairs of occurrences are made. The hashes of repeated
-fingerprints go to the executors if their counted size allows; if not, step 3 takes all lines, with the same result.
+   k-gram of least hash in each window is a fingerprint. Equal windows share it, so each run that counts has a fingerprint. Texts are
+   read once: what is stored of a document are its line hashes and its fingerprints' positions.
+2. Join: the positions are joined with the fingerprints that occur more than once; others can't lie in a repeat. The positions that are
+   left meet their document's line hashes.
+3. Extend: from each position both ways, line by line, every window that holds it is matched in full (128-bit hash of its lines) with all
+   other places; one whose first occurrence lies elsewhere is a repeat. Windows are taken from each line onwards and backwards, which
+   covers a repeated run exactly.
+4. Delete the lines of all repeats. Where a repeat overlaps its own first occurrence, the lines of that one stay.
+
+Nothing goes through the driver, at any size. Hot fingerprints and windows meet in partial aggregates, and in joins against a table with one
+row for each, whose other side can be split; no pairs of occurrences are made.
 
 Cases: null and empty texts, and texts without a word, stay as they are. Lines are compared without white space at their ends.
 Null ids come last in the order; of rows with the same id and text one is the first and the others are copies. Lines of any length are
-whole units. A document all of whose lines go has the empty text and n_removed > 0.
+whole units. A document all of whose lines go has the empty text and n_removed > 0. Input columns called n_lines or n_removed keep name and
+values; the operator's own then take the name with as many underscores behind it as make it free.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -66,8 +70,8 @@ def fingerprints(digests: list[bytes], counts: np.ndarray, min_words: int, gram_
     return out
 
 
-def windows_near(digests: list[bytes], counts: np.ndarray, marked: list[int] | None, min_words: int, gram_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, hash) of the windows, onwards and backwards, that hold a marked fingerprint; all of them if None."""
+def windows_near(digests: list[bytes], counts: np.ndarray, marked: list[int], min_words: int, gram_words: int) -> list[tuple[int, int, bytes]]:
+    """(start, end, hash) of the windows, onwards and backwards, that hold a marked fingerprint."""
     n, out = len(digests), {}
     forward = reaches(counts, min_words)
     for i, e in enumerate(forward.tolist()):
@@ -77,12 +81,11 @@ def windows_near(digests: list[bytes], counts: np.ndarray, marked: list[int] | N
     for i, s in enumerate(back.tolist()):
         if s >= 0:
             out[s, i + 1] = None
-    if marked is not None:
-        ends = reaches(counts, gram_words)[marked]
-        first = np.full(n + 1, n + 1, dtype=np.int64)  # the least end of a marked k-gram from each line on
-        np.minimum.at(first, marked, ends)
-        first = np.minimum.accumulate(first[::-1])[::-1]
-        out = {(s, e): None for s, e in out if first[s] <= e}
+    ends = reaches(counts, gram_words)[marked]
+    first = np.full(n + 1, n + 1, dtype=np.int64)  # the least end of a marked k-gram from each line on
+    np.minimum.at(first, marked, ends)
+    first = np.minimum.accumulate(first[::-1])[::-1]
+    out = {(s, e): None for s, e in out if first[s] <= e}
     return [(s, e, xxhash.xxh3_128_digest(b"".join(digests[s:e]))) for s, e in out]
 
 
@@ -90,87 +93,106 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All input columns, the text without its repeated runs, and n_lines, n_removed (lines with a word: all, deleted)."""
-    spark = common.text_batches(docs.sparkSession)
-    node = F.xxhash64(F.col(text_column))
-    source = docs.select(F.col(id_column).alias("id"), node.alias("node"), F.col(text_column).alias("text"))
-    kind = source.schema[0].dataType.simpleString()
+def free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+def sequences(source: DataFrame, min_words: int, gram_words: int) -> DataFrame:
+    """Of each text with min_words words (id, node, text): the hashes of its lines, 16 bytes each, their word counts, and its fingerprints."""
+    kind = source.schema["id"].dataType.simpleString()
+    prints_t = pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())]))
 
-    def select(batches):
+    def run(batches):
         for batch in common.slices(batches):
-            found = []
-            for text in common.texts(batch):
+            row, lines, words, prints = [], [], [], []
+            for r, text in enumerate(common.texts(batch)):
                 _, digests, counts = lines_of(text)
                 if counts.sum() >= min_words:
-                    found.extend(signed(h) for h in fingerprints(digests, counts, min_words, gram_words).values())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["h"])
+                    row.append(r), lines.append(b"".join(digests)), words.append(counts.astype(np.int32).tobytes())
+                    prints.append([{"at": at, "h": signed(h)} for at, h in fingerprints(digests, counts, min_words, gram_words).items()])
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lines, pa.binary()), pa.array(words, pa.binary()), pa.array(prints, prints_t)], ["id", "node", "lines", "words", "prints"])
 
-    hashes = source.mapInArrow(select, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    hashes = common.materialise(hashes, "fingerprints")
-    known = None
-    if common.small_enough(hashes, 8):
-        known = spark.sparkContext.broadcast(np.sort(hashes.toPandas()["h"].to_numpy(dtype=np.int64)))
+    return common.materialise(source.mapInArrow(run, f"id {kind}, node long, lines binary, words binary, prints array<struct<at:int,h:long>>"), "sequences")
 
-    def extend(batches):
-        for batch in common.slices(batches):
+
+def windows_of(marked: DataFrame, min_words: int, gram_words: int) -> DataFrame:
+    """(id, node, s, e, h): the windows around the marked positions. marked: id, node, lines, words, marks."""
+    kind = marked.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in common.slices(batches, "lines"):
             row, start, end, digest = [], [], [], []
-            for r, text in enumerate(common.texts(batch)):
-                _, digests, counts = lines_of(text)
-                if counts.sum() < min_words:
-                    continue
-                marked = None
-                if known is not None:
-                    prints = fingerprints(digests, counts, min_words, gram_words)
-                    own = np.array([signed(h) for h in prints.values()], dtype=np.int64)
-                    all_ = known.value
-                    at = np.minimum(np.searchsorted(all_, own), max(0, len(all_) - 1))
-                    marked = [i for i, hit in zip(prints, all_[at] == own) if hit] if len(all_) else []
-                    if not marked:
-                        continue
-                for s, e, h in windows_near(digests, counts, marked, min_words, gram_words):
+            for r, (lines, words, marks) in enumerate(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))):
+                digests = [lines[i : i + 16] for i in range(0, len(lines), 16)]
+                for s, e, h in windows_near(digests, np.frombuffer(words, dtype=np.int32).astype(np.int64), marks, min_words, gram_words):
                     row.append(r), start.append(s), end.append(e), digest.append(h)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary())], ["id", "node", "s", "e", "h"])
 
-    spots = source.mapInArrow(extend, f"id {kind}, node long, s int, e int, h binary")
-    spots = common.materialise(spots, "windows")
+    return marked.select("id", "node", "lines", "words", "marks").mapInArrow(run, f"id {kind}, node long, s int, e int, h binary")
+
+
+def repeats(source: DataFrame, min_words: int, gram_words: int) -> DataFrame:
+    """(id, node, gone): the line ranges [s, e), counted among the lines with a word, that go from each text. source: id, node, text."""
+    texts = sequences(source, min_words, gram_words)
+    places = texts.select("id", "node", F.inline("prints"))
+    twice = common.materialise(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "fingerprints")
+    found = places.join(twice, "h").groupBy(F.col("id").alias("i"), F.col("node").alias("k")).agg(F.collect_set("at").alias("marks"))
+    marked = texts.drop("prints").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("k")))
+    spots = common.materialise(windows_of(marked, min_words, gram_words), "windows")
     place = F.struct(F.col("id").isNull().alias("z"), "id", "node", "s")
     first = spots.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("NOT (first <=> last)").select("h", "first")
-    repeats = spots.join(first, "h").where(~place.eqNullSafe(F.col("first")))
-    gone = repeats.groupBy("id", "node").agg(F.collect_set(F.struct("s", "e")).alias("gone"))
-    gone = gone.select(F.col("id").alias("__quarry_id"), F.col("node").alias("__quarry_at"), F.col("gone").alias("__quarry_gone"))
+    again = spots.join(common.materialise(first, "firsts"), "h").where(~place.eqNullSafe(F.col("first")))
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))
+    begin = F.when(same, F.greatest("s", F.col("first.s") + F.col("e") - F.col("s"))).otherwise(F.col("s"))
+    return again.groupBy("id", "node").agg(F.collect_set(F.struct(begin.alias("s"), "e")).alias("gone"))
 
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, id_column: str = "doc_id", text_column: str = "text", outputs: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All input columns, the text without its repeated runs, and n_lines, n_removed (lines with a word: all, deleted)."""
+    common.text_batches(docs.sparkSession)
+    since = common.mark()
+    node = F.xxhash64(F.col(text_column))
+    source = docs.select(F.col(id_column).alias("id"), node.alias("node"), F.col(text_column).alias("text"))
+    gone = common.materialise(repeats(source, min_words, gram_words), "gone")
+    common.release(since, gone)
+    gone = gone.select(F.col("id").alias("__quarry_id"), F.col("node").alias("__quarry_at"), F.col("gone").alias("__quarry_gone"))
     keyed = docs.withColumn("__quarry_node", node)
     both = keyed.join(gone, keyed[id_column].eqNullSafe(gone["__quarry_id"]) & (keyed["__quarry_node"] == gone["__quarry_at"]), "left")
     copies = docs.groupBy(F.col(id_column).alias("__quarry_c"), node.alias("__quarry_cn")).agg(F.count("*").alias("__quarry_n")).where("__quarry_n > 1")
-    return removed(both, common.materialise(copies, "copies"), docs.columns, id_column, text_column, min_words)
+    return removed(both, common.materialise(copies, "copies"), docs.columns, id_column, text_column, min_words, tuple(free(x, docs.columns) for x in outputs))
 
 
-def removed(both: DataFrame, copies: DataFrame, columns: list[str], id_column: str, text_column: str, min_words: int) -> DataFrame:
-    """Deletes the lines of `gone`; of rows that share id and text, all but one lose everything that a window covers."""
-    nth = F.lit(1)
+def removed(both: DataFrame, copies: DataFrame, out: list[str], id_column: str, text_column: str, min_words: int, outputs: tuple[str, str]) -> DataFrame:
+    """Deletes the lines of `gone`; of rows that share id and text, all but one lose everything that a window covers. Which one stays is
+    fixed by numbers that are written before they are compared; a group of copies is reduced to its least number by an aggregate."""
+    first = F.lit(True)
     if copies.head(1):
         both = both.join(copies, both[id_column].eqNullSafe(copies["__quarry_c"]) & (both["__quarry_node"] == copies["__quarry_cn"]), "left")
-        again, once = both.where("__quarry_n IS NOT NULL"), both.where("__quarry_n IS NULL")
-        order = Window.partitionBy(id_column, "__quarry_node").orderBy(F.lit(0))
-        both = once.withColumn("__quarry_nth", F.lit(1)).unionByName(again.withColumn("__quarry_nth", F.row_number().over(order)))
-        nth = F.col("__quarry_nth")
-    out = [c for c in columns if c not in ("n_lines", "n_removed")]
-    given = both.select(*out, "__quarry_gone", nth.alias("__quarry_nth"))
+        again = common.materialise(both.where("__quarry_n IS NOT NULL").withColumn("__quarry_tag", F.monotonically_increasing_id()), "again")
+        least = again.groupBy(F.col(id_column).alias("__quarry_l"), F.col("__quarry_node").alias("__quarry_ln")).agg(F.min("__quarry_tag").alias("__quarry_least"))
+        again = again.join(least, again[id_column].eqNullSafe(least["__quarry_l"]) & (again["__quarry_node"] == least["__quarry_ln"]))
+        again = again.withColumn("__quarry_first", F.col("__quarry_tag") == F.col("__quarry_least"))
+        names = [*out, "__quarry_gone", "__quarry_first"]
+        both = both.where("__quarry_n IS NULL").withColumn("__quarry_first", first).select(names).unionByName(again.select(names))
+        first = F.col("__quarry_first")
+    given = both.select(*out, "__quarry_gone", first.alias("__quarry_first"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in out)
 
     def delete(batches):
         for batch in common.slices(batches, text_column):
             names = batch.schema.names
             gone = batch.column(names.index("__quarry_gone")).to_pylist()
-            copy = batch.column(names.index("__quarry_nth")).to_pylist()
+            firsts = batch.column(names.index("__quarry_first")).to_pylist()
             kept, n_lines, n_removed = [], [], []
-            for text, runs, nth in zip(common.texts(batch, text_column), gone, copy):
+            for text, runs, first in zip(common.texts(batch, text_column), gone, firsts):
                 lines = text.split("\n") if text else []
                 at = [i for i, line in enumerate(lines) if line.encode().split()]
                 drop: set[int] = set()
-                if nth > 1 and sum(len(lines[i].encode().split()) for i in at) >= min_words:
+                if not first and sum(len(lines[i].encode().split()) for i in at) >= min_words:
                     drop.update(at)
                 for run in runs or ():
                     drop.update(at[run["s"] : run["e"]])
@@ -180,6 +202,6 @@ def removed(both: DataFrame, copies: DataFrame, columns: list[str], id_column: s
                 else:
                     kept.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
             cols = [pa.array(kept, pa.string()) if c == text_column else batch.column(names.index(c)) for c in out]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*out, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*out, *outputs])
 
-    return given.mapInArrow(delete, f"{fields}, n_lines long, n_removed long")
+    return given.mapInArrow(delete, f"{fields}, `{outputs[0]}` long, `{outputs[1]}` long")

@@ -19,8 +19,10 @@ def brute(rows, least):
                 total += at[e][2]
                 if total >= least:
                     key = tuple(x[1] for x in at[s : e + 1])
-                    if seen.setdefault(key, (d, s)) != (d, s):
-                        gone[d].update(x[0] for x in at[s : e + 1])
+                    d0, s0 = seen.setdefault(key, (d, s))
+                    if (d0, s0) != (d, s):  # the lines of the first occurrence stay where the two overlap
+                        begin = max(s, s0 + e + 1 - s) if d0 == d else s
+                        gone[d].update(x[0] for x in at[begin : e + 1])
     out = []
     for d, (i, text) in enumerate(rows):
         if not gone[d]:
@@ -43,11 +45,17 @@ def corpus(seed, docs=120):
     return rows
 
 
-def test_matches_brute_force(spark, monkeypatch):
-    for seed, least, gram, bound in ((1, 12, 6, 1 << 20), (2, 20, 5, 1 << 20), (3, 9, 9, 0)):
+def test_the_first_run_stays_in_a_text_that_repeats_itself(spark):
+    rows = [(1, "one two\n" * 30), (2, "one two\n" * 24 + "x"), (3, "a b c d e\n" * 12 + "end of it")]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == "one two\n" * 25 and (got[1].n_lines, got[1].n_removed) == (30, 5)
+    assert got[2].n_removed == 0  # 48 words
+    assert got[3].text == "a b c d e\n" * 10 + "end of it" and got[3].n_removed == 2
+
+
+def test_matches_brute_force(spark):
+    for seed, least, gram in ((1, 12, 6), (2, 20, 5), (3, 9, 9)):
         rows = corpus(seed)
-        monkeypatch.setattr(line_dedup.common, "BROADCAST_BYTES", bound)
-        monkeypatch.setattr(line_dedup.common.small_enough, "__defaults__", (bound,))
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
         got = line_dedup.dedup(df, least, gram).select("doc_id", "text", "n_lines", "n_removed").collect()
         assert sorted(map(tuple, got)) == brute(rows, least)
@@ -58,8 +66,9 @@ def test_ties_nulls_and_clashing_names(spark):
     rows = [(1, text, "x", 1), (1, text, "x", 2), (None, text, None, 3), (2, None, "y", 4), (2, "", "y", 5), (3, "short", "z", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, gone string, n_removed int")
     got = line_dedup.dedup(df).orderBy("doc_id").collect()
-    assert len(got) == 6 and got[0].asDict().keys() == {"doc_id", "text", "gone", "n_lines", "n_removed"}
-    by = sorted((r.doc_id or 9, r.text if r.text is not None else "~", r.n_removed) for r in got)
+    assert len(got) == 6 and got[0].asDict().keys() == {"doc_id", "text", "gone", "n_removed", "n_lines", "n_removed_"}
+    assert sorted(r.n_removed for r in got) == [1, 2, 3, 4, 5, 6] and dict(line_dedup.dedup(df).dtypes)["n_removed"] == "int"
+    by = sorted((r.doc_id or 9, r.text if r.text is not None else "~", r.n_removed_) for r in got)
     assert by == [(1, "", 1), (1, text, 0), (2, "", 0), (2, "~", 0), (3, "short", 0), (9, "", 1)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.dedup(empty).collect() == []
