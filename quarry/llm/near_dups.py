@@ -9,10 +9,15 @@ Similarity is M / (a + b - M), a and b being the shingle counts and M the length
 common shingles that an order-preserving alignment keeps. As labelled shingles are unique, the alignment inside the band that the
 threshold leaves is a longest increasing subsequence.
 
-Buckets are never expanded into all pairs. Every text meets the bucket's first text; the links found give classes, and only buckets
-that still hold texts of several classes are looked at again, for pairs of texts of different classes: small ones by a join, large ones
-in blocks, with matrix products that count common shingles. Texts are nodes by 64-bit
-hash, so exact copies are one node however many they are. Classes come from alternating large-star and small-star steps.
+Buckets are never expanded into all pairs. (1) Every text meets the bucket's first text; the links found give classes. (2) In buckets that
+still hold several classes, one text of each class meets one of each other class. (3) What classes are left there meet text by text, but for
+the pairs that have met. Small buckets are joined, large ones compared in blocks by matrix products that count common shingles; texts of the
+class with most shingles in a bucket meet only those of the others. So a bucket of many near copies and a few strangers costs their number
+times the strangers'. No pair at the threshold that shares a sketch is lost.
+
+Texts are nodes by 64-bit hash, so exact copies are one node however many they are. Hashes of different texts that fall together are found by
+a second 64-bit hash, and those texts are hashed anew. A text's shingles are hashed once for all comparisons. Classes come from alternating
+large-star and small-star steps.
 
 Cases: null texts and texts without a word link to nothing; texts of one to four words have one shingle, all their words. Rows with
 equal id or equal rows give a row each; null ids come last in the choice of a class's id.
@@ -128,9 +133,35 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return m / (both - m)
 
 
-def node() -> Column:
-    """The node of column text: null where there is no word."""
-    return F.when(F.regexp_like("text", F.lit(r"[^ \t\n\x0B\f\r]")), F.xxhash64("text"))
+_HAS_WORD = r"[^ \t\n\x0B\f\r]"
+
+
+def hashed(text: str, salt: int = 0) -> Column:
+    """The node of a text column: null where there is no word. salt: how often its hash has fallen together with that of another text."""
+    return F.when(F.regexp_like(text, F.lit(_HAS_WORD)), F.xxhash64(text, F.lit(salt)) if salt else F.xxhash64(text))
+
+
+def collisions(df: DataFrame, text: str) -> list[DataFrame]:
+    """For each salt, the nodes that stand for several texts; nearly always none at all."""
+    out: list[DataFrame] = []
+    while True:
+        found = with_nodes(df.select(text), text, "node", out).where("node IS NOT NULL").groupBy("node")
+        found = found.agg(F.min(F.xxhash64(text, F.lit("check"))).alias("a"), F.max(F.xxhash64(text, F.lit("check"))).alias("b")).where("a < b")
+        found = common.materialise(found.select("node"), "collisions")
+        if not found.head(1):
+            return out
+        out.append(found)
+
+
+def with_nodes(df: DataFrame, text: str, name: str, fallen: list[DataFrame]) -> DataFrame:
+    """df with the node of its text. fallen: what collisions() gave."""
+    df = df.withColumn(name, hashed(text))
+    for salt, found in enumerate(fallen, 1):
+        side = found.select(F.col("node").alias("__quarry_fallen"))
+        side = F.broadcast(side) if common.small_enough(found, 16) else side
+        again = df.join(side, df[name] == side["__quarry_fallen"], "left")
+        df = again.withColumn(name, F.when(F.col("__quarry_fallen").isNotNull(), hashed(text, salt)).otherwise(F.col(name))).drop("__quarry_fallen")
+    return df
 
 
 def sketch(texts: DataFrame) -> DataFrame:
@@ -153,27 +184,38 @@ def sketch(texts: DataFrame) -> DataFrame:
     return texts.where("node IS NOT NULL").mapInArrow(run, "key long, node long, n int")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (a, b) whose alignment reaches the threshold. pairs: a materialised table."""
-    ends = common.materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "candidates")
-    found = of_nodes(ends, texts)
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("left_text")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("right_text")), "b")
+def hashes_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, h): the labelled shingle hashes, 8 bytes each, of a materialised table of nodes."""
+    few = F.broadcast(nodes) if common.small_enough(nodes, 16) else nodes
+    found = texts.join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
     def run(batches):
         known: dict[bytes, int] = {}
+        for batch in common.slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, known).tobytes() for t in common.texts(batch)], pa.binary())], ["node", "h"])
+
+    return common.materialise(found.select("node", "text").mapInArrow(run, "node long, h binary"), "hashes")
+
+
+def verify(pairs: DataFrame, hashes: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs (a, b) whose alignment reaches the threshold. b's hashes are fetched first, so that those of an a in very many pairs are
+    put beside them only in the last join."""
+    right = pairs.join(hashes.select(F.col("node").alias("b"), F.col("h").alias("right_h")), "b")
+    both = right.join(hashes.select(F.col("node").alias("a"), F.col("h").alias("left_h")), "a")
+
+    def run(batches):
         last, h = None, None
-        for batch in common.slices(batches, "right_text"):
+        for batch in common.slices(batches, "right_h"):
             hit = []
             for r in range(batch.num_rows):
-                left, right = batch.column(2)[r].as_py(), batch.column(3)[r].as_py()
-                if left != last:
-                    last, h = left, shingles(left, known)
-                if similarity(h, shingles(right, known), threshold) >= threshold - 1e-12:
+                if batch.column(0)[r] != last:
+                    last, h = batch.column(0)[r], np.frombuffer(batch.column(2)[r].as_py(), dtype=np.uint64)
+                if similarity(h, np.frombuffer(batch.column(3)[r].as_py(), dtype=np.uint64), threshold) >= threshold - 1e-12:
                     hit.append(r)
             take = pa.array(hit, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
 
-    return common.materialise(both.select("a", "b", "left_text", "right_text").mapInArrow(run, "a long, b long"), "links")
+    return common.materialise(both.select("a", "b", "left_h", "right_h").mapInArrow(run, "a long, b long"), "links")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -198,34 +240,53 @@ def classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = common.materialise(sketch(texts), "sketches")
     shared = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
     rows = common.materialise(rows.join(shared, "key").distinct(), "buckets")
+    hashes = hashes_of(common.materialise(rows.select("node").distinct(), "candidates"), texts)
     star = common.materialise(rows.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = verify(star, texts, threshold)
-    found = common.materialise(connected(links), "classes")
-    labelled = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c"), F.sum("n").alias("total")).where("r0 < r1 AND c > 2").select("key", "c", "total")
-    rest = common.materialise(labelled.join(several, "key").where("node <> first"), "mixed")
-    if not rest.head(1):
-        return found
-    small, large = rest.where(F.col("c") <= SMALL_BUCKET), rest.where(F.col("c") > SMALL_BUCKET)
+    found = common.materialise(connected(verify(star, hashes, threshold)), "classes")
+
+    def labelled(of: DataFrame) -> DataFrame:
+        return of.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def mixed(of: DataFrame, more: str) -> DataFrame:
+        """The rows of buckets that hold several classes, with the bucket's size. more: what else must hold of the bucket."""
+        several = of.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c"), F.min("rep").alias("p0"), F.max("rep").alias("p1")).where(f"r0 < r1 AND {more}").select("key", "c")
+        return common.materialise(of.join(several, "key"), "mixed")
+
+    def merged(links: list[DataFrame]) -> DataFrame:
+        joined = found.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        for more in links:
+            joined = joined.union(more)
+        return common.materialise(connected(joined), "classes")
+
+    # The first of each class in its bucket meets those of the other classes.
+    own = labelled(rows)
+    firsts = own.groupBy("key", "root").agg(F.min(F.struct("node", "n", "first")).alias("m")).select("key", "root", "m.*", F.lit(1).alias("rep"))
+    reps = mixed(firsts, "c > 2 OR p1 > 1")  # two classes alone have met: one of them holds the bucket's first text
+    links = apart(reps, hashes, star, threshold)
+    if links:
+        found = merged(links)
+    # Then texts of classes of which more than the first are in the bucket.
+    marks = firsts.select("key", "node", F.lit(1).alias("rep"))
+    crowd = labelled(rows.join(marks, ["key", "node"], "left").withColumn("rep", F.coalesce("rep", F.lit(0))))
+    crowd = mixed(crowd, "p0 = 0")
+    links = apart(crowd, hashes, star, threshold)
+    return merged(links) if links else found
+
+
+def apart(rows: DataFrame, hashes: DataFrame, met: DataFrame, threshold: float) -> list[DataFrame]:
+    """Links between texts of different classes that share a bucket, but for the pairs in `met`. rows: key, node, n, root, c (the bucket's
+    texts)."""
+    if not rows.head(1):
+        return []
+    small, large = rows.where(F.col("c") <= SMALL_BUCKET), rows.where(F.col("c") > SMALL_BUCKET)
     left, right = (small.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"r_{x}")) for x in "ab")
     long_enough = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
     cross = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & long_enough).select("a", "b")
-    cross = common.materialise(cross.distinct().join(star, ["a", "b"], "left_anti"), "cross")
-    more = [verify(cross, texts, threshold)] if cross.head(1) else []
+    cross = common.materialise(cross.distinct().join(met, ["a", "b"], "left_anti"), "cross")
+    out = [verify(cross, hashes, threshold)] if cross.head(1) else []
     if large.head(1):
-        more.append(common.materialise(alike(large, texts, threshold).distinct(), "links"))
-    if not any(links.head(1) for links in more):
-        return found
-    joined = found.select(F.col("root").alias("a"), F.col("node").alias("b"))
-    for links in more:
-        joined = joined.union(links)
-    return common.materialise(connected(joined), "classes")
-
-
-def of_nodes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, text) of a materialised table of nodes, each once."""
-    few = F.broadcast(nodes) if common.small_enough(nodes, 16) else nodes
-    return common.materialise(texts.join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+        out.append(common.materialise(alike(large, hashes, threshold).distinct(), "links"))
+    return [links for links in out if links.head(1)]
 
 
 class Forest:
@@ -251,27 +312,39 @@ class Forest:
         return self.find(self.of[a]) != self.find(self.of[b])
 
 
-def alike(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between texts of different classes in large buckets. A bucket is dealt into blocks of bounded length, and each pair
-    of blocks is one product of two incidence matrices, which counts common shingles; an alignment can't match more. What may reach
-    the threshold is aligned at once, unless links found before join the two texts: no more links are written out than join classes."""
-    nodes = common.materialise(rows.select("node").distinct(), "candidates")
-    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    dealt = rows.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "root")
-    dealt = dealt.join(of_nodes(nodes, texts), "node")
+def dealt(rows: DataFrame) -> DataFrame:
+    """Large buckets cut into pairs of blocks of bounded length. Side 0 are the texts of the class with most shingles in the bucket, side 1
+    the others: blocks of side 0 meet those of side 1, which meet each other too. (key, i, j, own, node, root); i < 0 stands for side 0."""
+    whole = rows.groupBy("key", "root").agg(F.sum("n").alias("length"))
+    top = whole.groupBy("key").agg(F.max(F.struct("length", "root")).alias("top"), F.sum("length").alias("total"))
+    blocks = [F.ceil(x / BLOCK_SHINGLES).cast("int") for x in (F.col("top.length"), F.col("total") - F.col("top.length"))]
+    sides = top.select("key", F.col("top.root").alias("top"), blocks[0].alias("b0"), blocks[1].alias("b1"))
+    rows = rows.join(sides, "key").withColumn("side", (F.col("root") != F.col("top")).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int"))
+    own, minus = F.col("own"), (-F.col("own") - 1)
+    with_top = F.transform(F.sequence(F.lit(0), F.col("b0") - 1), lambda k: F.struct((-k - 1).alias("i"), own.alias("j")))
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    from_top = F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda k: F.struct(minus.alias("i"), k.alias("j")))
+    pairs = F.when(F.col("side") == 0, from_top).otherwise(F.concat(with_top, with_rest))
+    out = rows.withColumn("own", F.when(F.col("side") == 0, minus).otherwise(own))
+    return out.select("key", F.explode(pairs).alias("p"), "own", "node", "root").select("key", "p.i", "p.j", "own", "node", "root")
+
+
+def alike(rows: DataFrame, hashes: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of different classes in large buckets. Each pair of blocks is one product of two incidence matrices, which
+    counts common shingles; an alignment can't match more. What may reach the threshold is aligned at once, unless links found before join
+    the two texts: no more links are written out than join classes."""
 
     def compare(group: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        node, root, blk = (group[c].to_numpy() for c in ("node", "root", "blk"))
-        sets = [shingles(t, known) for t in group["text"].to_pylist()]
+        node, root, own = (group[c].to_numpy() for c in ("node", "root", "own"))
+        sets = [np.frombuffer(h, dtype=np.uint64) for h in group["h"].to_pylist()]
         sizes = np.array([len(x) for x in sets])
         _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[number]
         owner = np.repeat(np.arange(len(sets)), sizes)
         width = int((times > 1).sum())
-        first = blk == blk.min()
-        second = ~first if (~first).any() or group["i"][0].as_py() != group["j"][0].as_py() else first
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        lefts, rights = np.flatnonzero(own == i), np.flatnonzero(own == j)
         on, forest, links = column >= 0, Forest(root), []
         step = max(1, CELLS // max(1, width))
 
@@ -283,16 +356,18 @@ def alike(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             out[spot[owner[inside]], column[inside]] = 1
             return out
 
-        lefts, rights = np.flatnonzero(first), np.flatnonzero(second)
         for at in range(0, len(rights), step):
             part = rights[at : at + step]
             y = incidence(part)
             for start in range(0, len(lefts), step):
                 mine = lefts[start : start + step]
+                label = forest.labels()
+                different = label[mine][:, None] != label[part][None, :]
+                if not different.any():
+                    continue
                 shared = incidence(mine) @ y.T
                 both = sizes[mine][:, None] + sizes[part][None, :]
-                label = forest.labels()
-                hit = (shared >= threshold * (both - shared) - 1e-6) & (label[mine][:, None] != label[part][None, :])
+                hit = (shared >= threshold * (both - shared) - 1e-6) & different
                 for u, v in zip(*(x.tolist() for x in np.nonzero(hit))):
                     a, b = mine[u], part[v]
                     if forest.apart(a, b) and similarity(sets[a], sets[b], threshold) >= threshold - 1e-12:
@@ -302,14 +377,17 @@ def alike(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         a, b = (node[[x[k] for x in links]] if links else np.zeros(0, dtype=np.int64) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt(rows).join(hashes, "node").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def members(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def members(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", fallen: list[DataFrame] | None = None) -> DataFrame:
     """A row per document: id, node, class_id (the least id of its class) and rep (the id and node of the row that stays)."""
     common.text_batches(docs.sparkSession)
-    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("node", node())
+    since = common.mark()
+    fallen = collisions(docs, text_column) if fallen is None else fallen
+    source = with_nodes(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "text", "node", fallen)
     found = classes(source.select("node", "text"), threshold)
+    common.release(since, found, *fallen)
     own = F.struct(F.col("id").isNull().alias("z"), "id", "node")
     firsts = source.where("node IS NOT NULL").groupBy("node").agg(F.min(own).alias("own")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = common.materialise(firsts, "firsts")
@@ -326,11 +404,12 @@ def near_dup_classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: s
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without all but one of each class (the one of least id stays)."""
-    rows = common.materialise(members(docs, threshold, id_column, text_column).where("node IS NOT NULL"), "members")
+    fallen = collisions(docs, text_column)
+    rows = common.materialise(members(docs, threshold, id_column, text_column, fallen).where("node IS NOT NULL"), "members")
     is_rep = F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("node") == F.col("rep.node"))
     drop = common.materialise(rows.where(~is_rep).select(F.col("id").alias("__quarry_id"), F.col("node").alias("__quarry_drop")).distinct(), "dropped")
     twice = common.materialise(rows.where(is_rep).groupBy(F.col("id").alias("__quarry_id"), F.col("node").alias("__quarry_drop")).count().where("count > 1").drop("count"), "repeated")
-    keyed = docs.withColumn("__quarry_node", F.when(F.regexp_like(text_column, F.lit(r"[^ \t\n\x0B\f\r]")), F.xxhash64(text_column)))
+    keyed = with_nodes(docs, text_column, "__quarry_node", fallen)
 
     def without(side: DataFrame, how: str) -> DataFrame:
         side = F.broadcast(side) if common.small_enough(side, 24) else side

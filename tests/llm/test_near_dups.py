@@ -4,6 +4,9 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from quarry.llm import common
 from quarry.llm import near_dups as nd
 
 
@@ -120,3 +123,39 @@ def test_sketches_are_few_and_whole():
     h = nd.shingles(" ".join(f"w{i}" for i in range(60000)), {})
     assert len(h) == 59996 and len(nd.sketches(h)) == 64
     assert len(np.unique(nd.sketches(nd.shingles("a b", {})))) == 32
+
+
+def test_texts_whose_hashes_fall_together_stay_apart(spark, monkeypatch):
+    strong = nd.hashed
+    monkeypatch.setattr(nd, "hashed", lambda text, salt=0: strong(text, salt) % 5 if salt < 2 else strong(text, salt))
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in nd.near_dup_classes(df).collect()} == brute(rows)
+    assert sorted(r.doc_id for r in nd.keep_one(df).collect()) == sorted(set(brute(rows).values()))
+
+
+def test_many_copies_and_a_stranger_are_linear_work(spark):
+    """The blocks of a large class are not put beside each other: rows grow with the copies, not with their square."""
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("key"), (F.col("id") + 10).alias("node"), F.lit(60).alias("n"), F.lit(10).cast("long").alias("root"))
+    stranger = spark.createDataFrame([(1, 5, 60, 5)], "key long, node long, n int, root long")
+    out = nd.dealt(rows.unionByName(stranger))
+    blocks = 100_000 * 60 // nd.BLOCK_SHINGLES
+    assert 100_000 + blocks <= out.count() <= 100_000 + blocks + 2
+    assert out.groupBy("key", "i", "j").count().agg(F.max("count")).first()[0] < 2 * nd.BLOCK_SHINGLES / 60
+
+
+def test_recall_against_all_pairs_of_the_documents(spark):
+    """Every pair of sf0.01's documents with an ordered similarity of 0.8 or more, found through an exact index of shingles."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text and r.text.split()]
+    sets = {i: nd.shingles(t, {}) for i, t in rows}
+    index, pairs = {}, set()
+    for i, h in sets.items():
+        shared = {}
+        for x in h.tolist():
+            for j in index.get(x, ()):
+                shared[j] = shared.get(j, 0) + 1
+            index.setdefault(x, []).append(i)
+        pairs |= {(j, i) for j, n in shared.items() if n >= 0.8 * (len(h) + len(sets[j]) - n) and nd.similarity(sets[j], h) >= 0.8}
+    of = {r.doc_id: r.class_id for r in nd.near_dup_classes(docs).collect()}
+    assert len(pairs) > 50 and sum(of[a] == of[b] for a, b in pairs) >= 0.99 * len(pairs)
