@@ -1,33 +1,38 @@
 """Benchmark decontamination with a positional inverted index.
 
-The corpus is indexed in blocks of whole documents. A block is one row: its documents, and for every term the sorted list of word
-positions. The blocks are stored as Parquet in the checkpoint folder; only terms that occur in test items get postings, as no
-other list is ever read. The stored lists give each term's corpus frequency, and every test window is then matched in each block
-by intersecting offset-adjusted lists from its rarest term on. slop > 0 asks for proximity instead of exact phrases.
+The corpus is indexed in blocks of whole documents, once for all test sets. A block is one row: its documents, and for every term in it the
+sorted list of word positions. The index is stored as Parquet in the checkpoint folder, or where build_index() is told to.
+
+Test windows are rows like any other. A search takes the stored lists' lengths as the corpus frequencies of the windows' terms, and joins each
+window by its rarest term with the blocks that hold that term. In these blocks alone, offset-adjusted lists are intersected from the rarest
+term on. slop > 0 asks for proximity instead: the shortest word ranges that hold all of a window's terms, as often as it has them, in any
+order, and are at most slop words longer than the window.
 
 Words: A-Z lower-cased, runs of ASCII digits, letters and non-ASCII characters. A window is `window` consecutive words of an item; an
-item of fewer words, but not none, is one window. Test items go to the executors in chunks of a fixed size; several chunks are
-searched one after another and their spans joined by document (each then gets a tag of its own first), so any number works.
+item of fewer words, but not none, is one window. The windows that one block is searched for are dealt into rows of bounded size, so that
+any number of them works; sides are broadcast only behind a count.
 
 Cases: null and empty texts have no words, hits or items. A null item id is written as the empty string; rows with the same item id
-count as one item. Repeated documents and ids give a row each; a document lies in one block however long it is.
+count as one item. Repeated documents and ids give a row each; a document lies in one block however long it is. Other columns of either
+table do not matter.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Bytes of text in a block, and the words left free between two documents of one.
 BLOCK_BYTES, GAP = 4 << 20, 1024
-#: Bytes of item text that are searched for at a time.
-CHUNK_BYTES = 16 << 20
+#: Windows that a block is searched for at a time.
+WINDOWS_AT_ONCE = 20_000
 
 _MAP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -40,99 +45,95 @@ def windows(item: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1))] if item else []
 
 
-INDEX_SCHEMA = "doc_ids array<{id}>, n_words array<int>, terms array<int>, counts array<int>, postings binary"
+INDEX_SCHEMA = "block long, doc_ids array<{id}>, n_words array<int>, terms array<binary>, counts array<int>, postings binary"
 
 
-def build_index(docs: DataFrame, lexicon: dict[bytes, int]) -> DataFrame:
-    """The stored index: a row per block. postings: the differences of all positions (int32), lists in the order of terms."""
+def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
+    """The stored index: a row per block. terms: in order; postings: the differences of all positions (int32), lists in the order of terms."""
     common.text_batches(docs.sparkSession)
-    source = docs.select("doc_id", "text")
+    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches):
+        block = TaskContext.get().partitionId() << 33
         for batch in common.slices(batches, budget=BLOCK_BYTES):
-            ids, lengths = [], []
-            for t in common.texts(batch):
-                ws = words(t)
-                ids.append(np.fromiter(map(lexicon.get, ws, repeat(-1)), dtype=np.int32, count=len(ws)))
-                lengths.append(len(ws))
+            texts = [words(t) for t in common.texts(batch)]
+            lengths = [len(ws) for ws in texts]
             bases = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64) + GAP)[:-1]])
-            term = np.concatenate(ids)
-            at = np.concatenate([np.arange(n, dtype=np.int64) + b for n, b in zip(lengths, bases)])
-            at, term = at[term >= 0], term[term >= 0]
-            order = np.argsort(term, kind="stable")
-            names, counts = np.unique(term, return_counts=True)
-            postings = np.diff(at[order], prepend=0).astype(np.int32).tobytes()
-            row = [[batch.column(0).to_pylist()], [lengths], [names], [counts.astype(np.int32)], [postings]]
-            types = [pa.list_(batch.column(0).type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], ["doc_ids", "n_words", "terms", "counts", "postings"])
-
-    return common.materialise(source.mapInArrow(run, INDEX_SCHEMA.format(id=kind)), "postings")
+            names = sorted(set().union(*texts))
+            number = dict(zip(names, range(len(names))))
+            term = np.fromiter((number[w] for ws in texts for w in ws), dtype=np.int32, count=sum(lengths))
+            at = np.repeat(bases - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(term))
+            postings = np.diff(at[np.argsort(term, kind="stable")], prepend=0).astype(np.int32).tobytes()
+            row = [[block], [batch.column(0).to_pylist()], [lengths], [names], [np.bincount(term, minlength=len(names)).astype(np.int32)], [postings]]
+            types = [pa.int64(), pa.list_(batch.column(0).type), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], ["block", "doc_ids", "n_words", "terms", "counts", "postings"])
+            block += 1
+
+    rows = source.mapInArrow(run, INDEX_SCHEMA.format(id=kind))
+    if path is None:
+        return common.materialise(rows, "postings")
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 class Lists:
     """The posting lists of one block."""
 
-    def __init__(self, terms: np.ndarray, counts: np.ndarray, postings: bytes, n_terms: int):
+    def __init__(self, terms: list[bytes], counts: list[int], postings: bytes):
+        self.number = dict(zip(terms, range(len(terms))))
         self.at = np.cumsum(np.frombuffer(postings, dtype=np.int32), dtype=np.int64)
-        self.first = np.zeros(n_terms + 1, dtype=np.int64)
-        size = np.zeros(n_terms, dtype=np.int64)
-        size[terms] = counts
-        self.first[1:] = np.cumsum(size)
-        self.present = size > 0
+        self.first = np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])
 
-    def of(self, term: int) -> np.ndarray:
-        return self.at[self.first[term] : self.first[term + 1]]
+    def of(self, term: bytes) -> np.ndarray:
+        i = self.number.get(term)
+        return self.at[:0] if i is None else self.at[self.first[i] : self.first[i + 1]]
 
 
-def phrase(lists: Lists, terms: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Start positions of exact occurrences: candidates from the rarest term, thinned by each next rarest list."""
-    starts = lists.of(terms[order[0]]) - order[0]
-    for o in order[1:]:
+def phrase(lists: Lists, terms: list[bytes], rarest: int) -> np.ndarray:
+    """Start positions of exact occurrences: candidates from the rarest term of all, thinned by each next rarest list of the block."""
+    found = [lists.of(t) for t in terms]
+    if not all(map(len, found)):
+        return lists.at[:0]
+    starts = found[rarest] - rarest
+    for o in sorted(range(len(terms)), key=lambda i: len(found[i])):
         if not len(starts):
             break
-        there = lists.of(terms[o])
-        found = np.minimum(np.searchsorted(there, starts + o), len(there) - 1)
-        starts = starts[there[found] == starts + o]
+        there = found[o]
+        spot = np.minimum(np.searchsorted(there, starts + o), len(there) - 1)
+        starts = starts[there[spot] == starts + o]
     return starts
 
 
-def proximity(lists: Lists, terms: np.ndarray, order: np.ndarray, slop: int) -> np.ndarray:
-    """Positions of the rarest term that have every other term within len(terms) - 1 + slop words."""
-    anchors, reach = lists.of(terms[order[0]]), len(terms) - 1 + slop
-    for term in dict.fromkeys(terms[order[1:]].tolist()):
-        there = lists.of(term)
-        anchors = anchors[np.searchsorted(there, anchors + reach, side="right") > np.searchsorted(there, anchors - reach)]
-    return anchors
-
-
-def search(index: DataFrame, plan: list, n_terms: int, slop: int) -> DataFrame:
-    """Per document: doc_id, n_words, spans (word ranges hit, [start, end)) and items. plan: (windows as a matrix
-    of terms, their rarest-first orders, their items) for each window length."""
-    kind = index.schema["doc_ids"].dataType.elementType
-
-    def run(batches):
-        for batch in batches:
-            for ids, lengths, terms, counts, postings in zip(*(c.to_pylist() for c in batch.columns)):
-                lists = Lists(np.array(terms, dtype=np.int64), np.array(counts, dtype=np.int64), postings, n_terms)
-                bases = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64) + GAP)])
-                items: list[set] = [set() for _ in ids]
-                spans: list[list] = [[] for _ in ids]
-                for matrix, orders, names in plan:
-                    for w in np.flatnonzero(lists.present[matrix].all(axis=1)):
-                        size = matrix.shape[1]
-                        hits = proximity(lists, matrix[w], orders[w], slop) if slop else phrase(lists, matrix[w], orders[w])
-                        size = 1 if slop else size
-                        for d, s in zip((np.searchsorted(bases, hits, side="right") - 1).tolist(), hits.tolist()):
-                            items[d].update(names[w])
-                            spans[d].append((s - int(bases[d]), s - int(bases[d]) + size))
-                for at in range(0, len(ids), 2000):
-                    part = slice(at, at + 2000)
-                    span_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                    merged = [[{"start": a, "end": b} for a, b in union(x)] for x in spans[part]]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[part], batch.schema.field("doc_ids").type.value_type), pa.array(lengths[part], pa.int64()), pa.array(merged, span_t), pa.array([sorted(x) for x in items[part]], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
-
-    return index.mapInArrow(run, f"doc_id {kind.simpleString()}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+def proximity(lists: Lists, terms: list[bytes], rarest: int, slop: int) -> list[tuple[int, int]]:
+    """The shortest ranges [start, end) that hold the terms as often as the window does, of len(terms) + slop words at most. A range ends and
+    begins with a term of the window, and none lies in another."""
+    need, most = Counter(terms), len(terms) + slop
+    anchors = lists.of(terms[rarest])
+    for t in need:
+        there = lists.of(t)
+        anchors = anchors[np.searchsorted(there, anchors + most) - np.searchsorted(there, anchors - most) >= need[t]]
+    if not len(anchors):
+        return []
+    marks = sorted({(int(p), t) for t in need for p in lists.of(t) if abs(anchors[min(np.searchsorted(anchors, p), len(anchors) - 1)] - p) < most or abs(anchors[max(np.searchsorted(anchors, p) - 1, 0)] - p) < most})
+    out, have, missing, left = [], Counter(), len(terms), 0
+    for end, (p, t) in enumerate(marks):
+        have[t] += 1
+        missing -= have[t] <= need[t]
+        while have[marks[left][1]] > need[marks[left][1]]:
+            have[marks[left][1]] -= 1
+            left += 1
+        if not missing:
+            start = marks[left][0]
+            if p + 1 - start <= most:
+                while out and out[-1][0] >= start:
+                    out.pop()
+                if not out or out[-1][1] < p + 1:
+                    out.append((start, p + 1))
+            have[marks[left][1]] -= 1
+            missing += 1
+            left += 1
+    return out
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,63 +147,112 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def joined(found: list[DataFrame]) -> DataFrame:
-    """The chunks' results as one: overlapping spans are joined by a fold over the sorted spans."""
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    every = every.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+def item_windows(tests: DataFrame, window: int, item_column: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(wid, terms) of the different windows, and (wid, item) of the items that hold them; both are stored."""
+    source = tests.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0)
+
+    def run(batches):
+        for batch in common.slices(batches):
+            for item, text in zip(batch.column(0).to_pylist(), common.texts(batch)):
+                found = list(dict.fromkeys(windows(words(text), window)))
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(found, pa.list_(pa.binary()))], ["item", "terms"])
+
+    every = common.materialise(source.mapInArrow(run, "item string, terms array<binary>"), "windows")
+    distinct = common.materialise(every.select("terms").distinct().select(F.monotonically_increasing_id().alias("wid"), "terms"), "distinct")
+    return distinct, common.materialise(every.join(distinct, "terms").select("wid", "item").distinct(), "owners")
+
+
+def candidates(index: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(block, windows): the windows to be looked for in each block, those whose rarest term it holds, as rows of bounded size."""
+    wanted = common.materialise(distinct.select(F.explode("terms").alias("term")).distinct(), "terms")
+    lists = index.select("block", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("block", F.col("p.terms").alias("term"), F.col("p.counts").alias("n"))
+    few = F.broadcast(wanted) if common.small_enough(wanted, 64) else wanted
+    lists = common.materialise(lists.join(few, "term"), "lists")
+    frequency = common.materialise(lists.groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
+    spots = distinct.select("wid", F.size("terms").alias("size"), F.posexplode("terms").alias("place", "term")).join(frequency, "term")
+    best = spots.groupBy("wid").agg(F.min(F.struct("n", "place", "term")).alias("best"), F.count("*").alias("found"), F.max("size").alias("size"))
+    best = best.where("found = size").select("wid", F.col("best.place").alias("place"), F.col("best.term").alias("term"))  # others have a term that no text has
+    met = best.join(lists.select("term", "block"), "term").join(distinct, "wid")
+    met = common.materialise(met.select("block", "wid", "place", "terms"), "met")
+    slots = met.groupBy("block").agg(F.ceil(F.count("*") / WINDOWS_AT_ONCE).cast("int").alias("slots"))
+    dealt = met.join(slots, "block").groupBy("block", F.pmod(F.xxhash64("wid"), "slots").alias("slot"))
+    return common.materialise(dealt.agg(F.collect_list(F.struct("wid", "place", "terms")).alias("windows")).drop("slot"), "candidates")
+
+
+def search(index: DataFrame, looked_for: DataFrame, slop: int) -> DataFrame:
+    """(block, d, spans, wids): the word ranges of the d-th document of a block that are hit, and the windows that hit it."""
+    some = F.broadcast(looked_for) if common.small_enough(looked_for, 1 << 20, 64 << 20) else looked_for
+    both = index.select("block", "n_words", "terms", "counts", "postings").join(some, "block")
+    span_t, wid_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())
+
+    def run(batches):
+        last, lists = None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block, lengths, terms, counts, postings, wanted = (batch.column(i)[r].as_py() for i in range(6))
+                if block != last:
+                    last, lists = block, Lists(terms, counts, postings)
+                bases = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64) + GAP)])
+                spans: dict[int, list] = {}
+                wids: dict[int, set] = {}
+                for w in wanted:
+                    ts = w["terms"]
+                    hits = proximity(lists, ts, w["place"], slop) if slop else [(s, s + len(ts)) for s in phrase(lists, ts, w["place"]).tolist()]
+                    for s, e in hits:
+                        d = int(np.searchsorted(bases, s, side="right")) - 1
+                        spans.setdefault(d, []).append((s - int(bases[d]), e - int(bases[d])))
+                        wids.setdefault(d, set()).add(w["wid"])
+                merged = [[{"start": a, "end": b} for a, b in union(x)] for x in spans.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(spans), pa.int64()), pa.array(list(spans), pa.int32()), pa.array(merged, span_t), pa.array([sorted(wids[d]) for d in spans], wid_t)], ["block", "d", "spans", "wids"])
+            common.give_back()
+
+    return common.materialise(both.mapInArrow(run, "block long, d int, spans array<struct<start:int,end:int>>, wids array<long>"), "hits")
+
+
+def folded(spans: str) -> Column:
+    """Sorted word ranges without overlaps: those found for one document in several rows."""
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def fold(done, s):
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(F.size(done) == 0, F.array(s)).when(s["start"] <= F.try_element_at(done, F.lit(-1))["end"], F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+        return F.when(s["start"] <= last["end"], F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(s)))
 
-    return every.withColumn("spans", F.aggregate("spans", empty, fold))
+    return F.aggregate(F.sort_array(F.flatten(F.collect_list(spans))), empty, fold)
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside a match), items (sorted ids), spans (word ranges of the matches)."""
+def matches(index: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document of a stored index: doc_id, n_words, n_hit (words inside a match), items (sorted ids), spans (word ranges of the matches)."""
     if slop and window + slop > GAP:
         raise ValueError(f"window and slop may be {GAP} words at most")
-    items = tests.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0)
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    chunks = max(1, -(-int(total) // chunk_bytes))
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    if chunks > 1:  # rows that share an id stay apart when the chunks' results meet
-        source = common.materialise(source.select(F.struct(F.col("doc_id").alias("id"), F.expr("uuid()").alias("tag")).alias("doc_id"), "text"), "tagged")
-    found = []
-    for k in range(chunks):
-        mine = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(chunks)) == k)
-        lexicon: dict[bytes, int] = {}
-        owners: dict[tuple, set] = {}
-        for item, text in mine.collect():  # one chunk: CHUNK_BYTES of text
-            for w in windows(words(text), window):
-                owners.setdefault(tuple(lexicon.setdefault(x, len(lexicon)) for x in w), set()).add(item)
-        index = build_index(source, lexicon)
-        pairs = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("p"))
-        counts = pairs.groupBy("p.terms").agg(F.sum("p.counts").alias("n")).collect()  # a row per term of the chunk
-        frequency = np.zeros(max(1, len(lexicon)), dtype=np.int64)
-        for term, n in counts:
-            frequency[term] = n
-        plan = []
-        for size in sorted({len(w) for w in owners}):
-            same = [w for w in owners if len(w) == size]
-            matrix = np.array(same, dtype=np.int64)
-            plan.append((matrix, np.argsort(frequency[matrix], axis=1, kind="stable"), [sorted(owners[w]) for w in same]))
-        found.append(search(index, plan, max(1, len(lexicon)), slop))
-    out = found[0] if chunks == 1 else joined(found).withColumn("doc_id", F.col("doc_id.id"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+    since = common.mark()
+    distinct, owners = item_windows(tests, window, item_column, item_text)
+    hits = search(index, candidates(index, distinct), slop)
+    items = hits.select("block", "d", F.explode("wids").alias("wid")).join(owners, "wid").groupBy("block", "d").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    spans = hits.groupBy("block", "d").agg(folded("spans").alias("spans"))
+    found = common.materialise(spans.join(items, ["block", "d"]), "found")
+    common.release(since, found)
+    docs = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("d", "x")).select("block", "d", F.col("x.doc_ids").alias("doc_id"), F.col("x.n_words").cast("long").alias("n_words"))
+    side = F.broadcast(found) if common.small_enough(found, 1 << 10) else found
+    out = docs.join(side, ["block", "d"], "left")
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), spans.alias("spans"))
+
+
+def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """matches() of documents that are indexed for it."""
+    return matches(build_index(docs, id_column, text_column), tests, window, slop, item_column, item_text)
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents in which no window of a test item occurs."""
+    """The documents in which no window of a test item occurs. Rows with the same id and the same 64-bit hash of the text share a verdict."""
+    since = common.mark()
     node = F.xxhash64(text_column)
     tagged = docs.select(F.struct(F.col(id_column).alias("id"), node.alias("node")).alias("key"), F.col(text_column).alias("text"))
     hit = decontaminate(tagged, tests, window, id_column="key", text_column="text").where("n_hit > 0")
     hit = common.materialise(hit.select(F.col("doc_id.id").alias("__quarry_id"), F.col("doc_id.node").alias("__quarry_hit")).distinct(), "contaminated")
+    common.release(since, hit)
     side = F.broadcast(hit) if common.small_enough(hit, 24) else hit
     keyed = docs.withColumn("__quarry_node", node)
     return keyed.join(side, keyed[id_column].eqNullSafe(side["__quarry_id"]) & (keyed["__quarry_node"] == side["__quarry_hit"]), "left_anti").select(*docs.columns)

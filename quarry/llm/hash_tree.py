@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Rows of a shard are numbered in so many buckets side by side, so that no task holds a shard.
 SLOT_BUCKETS = 1024
 
@@ -75,7 +77,7 @@ def number(rows: DataFrame, group: str, out: str = "slot", buckets: int = SLOT_B
     inside a group the rows go through buckets by hash, whose first numbers come from the buckets' counts."""
     columns = rows.columns
     counted = rows.groupBy(*columns).agg(F.count("*").alias("__n"))
-    counted = counted.withColumn("__b", F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int"))
+    counted = materialise(counted.withColumn("__b", F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")), "counted")  # read twice
     totals = counted.groupBy(group, "__b").agg(F.sum("__n").alias("__total"))
     before = F.sum("__total").over(Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     starts = totals.select(group, "__b", F.coalesce(before, F.lit(0)).alias("__start"))

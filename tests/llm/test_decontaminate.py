@@ -30,20 +30,60 @@ def data(seed):
     return docs, items
 
 
-def test_matches_brute_force(spark):
-    for seed, size, chunk in ((1, 4, 1 << 20), (2, 3, 150)):
+def test_matches_brute_force(spark, monkeypatch):
+    for seed, size, at_once, block in ((1, 4, 20_000, 4 << 20), (2, 3, 5, 600)):
+        monkeypatch.setattr(dc, "WINDOWS_AT_ONCE", at_once)
+        monkeypatch.setattr(dc, "BLOCK_BYTES", block)
         docs, items = data(seed)
         d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
         t = spark.createDataFrame(items, "item_id long, text string")
-        got = dc.decontaminate(d, t, size, chunk_bytes=chunk).collect()
+        got = dc.decontaminate(d, t, size).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=str) == brute(docs, items, size)
 
 
+def test_one_index_serves_any_test_set(spark, tmp_path):
+    docs, items = data(5)
+    index = dc.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), path=f"{tmp_path}/index")
+    terms = {bytes(t) for r in index.select("terms").collect() for t in r.terms}
+    assert terms == {w for _, t in docs for w in dc.words(t)}
+    for part in (items[:9], items[9:]):
+        got = dc.matches(index, spark.createDataFrame(part, "item_id long, text string"), 3).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=str) == brute(docs, part, 3)
+
+
+def test_a_window_that_is_everywhere(spark):
+    docs = spark.createDataFrame([(i, "the same few words " * (i % 4) + f"x{i}") for i in range(300)], "doc_id long, text string").repartition(7)
+    tests = spark.createDataFrame([(f"q{i}", "the same few words") for i in range(50)], "item_id string, text string")
+    got = dc.decontaminate(docs, tests).collect()
+    assert all((r.n_hit, len(r["items"])) == (4 * (r.doc_id % 4), 50 * (r.doc_id % 4 > 0)) for r in got) and len(got) == 300
+
+
+def near(ws, terms, slop):
+    """The shortest ranges with all terms, as often as they are asked for, by trying all."""
+    from collections import Counter
+
+    need, found = Counter(terms), []
+    for s in range(len(ws)):
+        for e in range(s + len(terms), min(len(ws), s + len(terms) + slop) + 1):
+            if not need - Counter(ws[s:e]):
+                found.append((s, e))
+    return [x for x in found if not any(y != x and x[0] <= y[0] and y[1] <= x[1] for y in found)]
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha x x x x beta x x gamma"), (3, "gamma beta alpha")], "doc_id long, text string")
+    docs = [(1, "alpha x beta y gamma"), (2, "alpha x x x x beta x x gamma"), (3, "gamma beta alpha"), (4, "alpha alpha beta")]
     tests = spark.createDataFrame([("q", "alpha beta gamma")], "item_id string, text string")
-    got = {r.doc_id: r["items"] for r in dc.decontaminate(docs, tests, 10, slop=2).collect()}
-    assert got == {1: ["q"], 2: [], 3: ["q"]}
+    got = {r.doc_id: (r["items"], r.n_hit) for r in dc.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), tests, 10, slop=2).collect()}
+    assert got == {1: (["q"], 5), 2: ([], 0), 3: (["q"], 3), 4: ([], 0)}
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choices("abcde", k=r.randint(0, 25)))) for i in range(60)]
+    item = "a b a c"
+    got = dc.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("q", item)], "item_id string, text string"), slop=3).collect()
+    text = dict(rows)
+    for x in got:
+        want = near(text[x.doc_id].split(), item.split(), 3)
+        hit = {k for s, e in want for k in range(s, e)}
+        assert x.n_hit == len(hit) and list(x["items"]) == (["q"] if want else []), (text[x.doc_id], x.spans, want)
 
 
 def test_empty_tables(spark):
