@@ -41,6 +41,12 @@ def truncation(outputs: DataFrame, flag: Column, model: str = "model_id") -> Dat
     return out.withColumn("truncation_rate", F.bround(100.0 * F.col("truncated") / F.col("total"), 1))
 
 
+def with_truncation(board: DataFrame, stats: DataFrame, model: str = "model_id") -> DataFrame:
+    """A leaderboard with each model's truncation, where there is any, and its status. stats: a row per model."""
+    out = board.join(stats, model, "left")
+    return out.withColumn("truncation_status", F.when(F.col("truncation_rate") > 0, "truncated").otherwise("complete"))
+
+
 def long_form(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     """A row per id and metric: metric, score."""
     return df.unpivot(ids, [F.col(m).cast("double").alias(m) for m in metrics], "metric", "score")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dialogs, documents, drift, models, operations, spectra, streams
+from . import dialogs, distillation, documents, drift, models, operations, spectra, streams
 
-MODULES = (documents, models, drift, spectra, dialogs, operations, streams)
+MODULES = (documents, models, drift, spectra, dialogs, distillation, operations, streams)
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _module in MODULES:

@@ -221,9 +221,9 @@ def doc_source_shares(spark, d):
     return S.shares(table(spark, d, "documents"), ("source",), ("lang",))
 
 
-@R.add("SELECT d.doc_id, d.text FROM documents d WHERE d.source = 'src1' AND d.doc_id NOT IN (SELECT doc_id FROM labels)")
+@R.add("SELECT d.doc_id, d.text FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
 def doc_resume_anti(spark, d):
-    return dedup.remaining(table(spark, d, "documents").where("source = 'src1'").select("doc_id", "text"), table(spark, d, "labels"), "doc_id")
+    return dedup.remaining(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"), "doc_id")
 
 
 @R.add("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'label' ELSE d.source END AS source, l.doc_id IS NOT NULL AS regenerated FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 0) l USING (doc_id)")
@@ -232,7 +232,7 @@ def doc_update_join(spark, d):
     return dedup.update_from(table(spark, d, "documents").select("doc_id", "source"), new, ("doc_id",), ("source",))
 
 
-@R.add("SELECT doc_id, CAST(quality AS BIGINT) AS value FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id % 7 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@R.add("SELECT doc_id, CAST(quality AS BIGINT) AS value FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def doc_upsert(spark, d):
-    old = table(spark, d, "documents").where("doc_id % 7 = 0").select("doc_id", F.lit(-1).cast("long").alias("value"))
+    old = table(spark, d, "documents").select("doc_id", F.lit(-1).cast("long").alias("value"))
     return dedup.upsert(old, table(spark, d, "labels").where("quality = 1").select("doc_id", F.col("quality").cast("long").alias("value")), ("doc_id",))

@@ -12,12 +12,12 @@ R = Registry()
 METRICS = ["quantity", "discount", "tax"]
 
 
-def _scores(spark, d):
-    """(id, model_id, task, three metrics, overall_score)"""
+def _scores(spark, d, prompts=True):
+    """(id, model_id, task, three metrics, overall_score), with the prompts' domain and task where they are asked for"""
     line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate").alias("part"), (F.col("l_suppkey") % 20).alias("model_id"), F.col("l_returnflag").alias("task"), (F.col("l_quantity") / 10).alias("quantity"), (F.col("l_discount") * 10).alias("discount"), F.when(F.col("l_tax") > 0, F.col("l_tax") * 10).alias("tax"))
     outputs, judged = line.select("id", "part", "model_id", "task"), line.select("id", "part", "model_id", *METRICS)
-    prompts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("domain"), F.col("o_orderstatus").alias("task"))
-    return E.merge_judgments(outputs, judged, METRICS, ("id", "part", "model_id"), prompts)
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("domain"), F.col("o_orderstatus").alias("task")) if prompts else None
+    return E.merge_judgments(outputs, judged, METRICS, ("id", "part", "model_id"), asked)
 
 
 _SCORES = """WITH s0 AS (SELECT l_orderkey AS id, l_suppkey % 20 AS model_id, l_returnflag AS task, o_orderpriority AS domain, o_orderstatus AS task_prompt, l_quantity / 10 AS quantity, l_discount * 10 AS discount, CASE WHEN l_tax > 0 THEN l_tax * 10 END AS tax FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey),
@@ -38,7 +38,7 @@ _BOARD = _SCORES + ", b AS (SELECT model_id, avg(quantity) AS quantity, avg(disc
 
 @R.add(_BOARD + "SELECT model_id, round(quantity, 6) AS quantity, round(discount, 6) AS discount, round(tax, 6) AS tax, round(overall_score, 6) AS overall_score, n, row_number() OVER (ORDER BY overall_score DESC, model_id) AS rank FROM b")
 def model_leaderboard(spark, d):
-    return rounded(E.leaderboard(_scores(spark, d), METRICS))
+    return rounded(E.leaderboard(_scores(spark, d, prompts=False), METRICS))
 
 
 @R.add(_SCORES + "SELECT model_id, domain, task, CAST(grouping(model_id, domain, task) AS BIGINT) AS grouping, round(avg(overall_score), 6) AS overall_score, count(*) AS n FROM s GROUP BY GROUPING SETS ((model_id), (model_id, domain), (model_id, task))")
@@ -48,17 +48,17 @@ def model_grouped_means(spark, d):
 
 @R.add(_BOARD + ", u AS (UNPIVOT (SELECT model_id, quantity, discount, tax, overall_score FROM b) ON quantity, discount, tax, overall_score INTO NAME metric VALUE score) SELECT metric, model_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY score DESC, model_id) AS r FROM u) WHERE r = 1")
 def metric_argmax(spark, d):
-    return rounded(E.best_per_metric(E.leaderboard(_scores(spark, d), METRICS), [*METRICS, "overall_score"]))
+    return rounded(E.best_per_metric(E.leaderboard(_scores(spark, d, prompts=False), METRICS), [*METRICS, "overall_score"]))
 
 
 @R.add(_BOARD + "SELECT model_id, metric, round(score, 6) AS score FROM (UNPIVOT (SELECT model_id, quantity, discount, tax FROM b) ON quantity, discount, tax INTO NAME metric VALUE score)")
 def score_unpivot(spark, d):
-    return rounded(E.long_form(E.leaderboard(_scores(spark, d), METRICS), ["model_id"], METRICS))
+    return rounded(E.long_form(E.leaderboard(_scores(spark, d, prompts=False), METRICS), ["model_id"], METRICS))
 
 
 @R.add(_SCORES + "SELECT model_id, count(*) FILTER (quantity > 4.5) AS truncated, count(*) AS total, round_even(100.0::DOUBLE * count(*) FILTER (quantity > 4.5) / count(*), 1) AS truncation_rate FROM s GROUP BY 1")
 def truncation_rates(spark, d):
-    return E.truncation(_scores(spark, d), F.col("quantity") > 4.5)
+    return E.truncation(_scores(spark, d, prompts=False), F.col("quantity") > 4.5)
 
 
 def _labelled(spark, d):
@@ -121,24 +121,24 @@ def embedding_softmax(spark, d):
 t(tier, metric, threshold, "of") AS (VALUES ('Tier 1', 'top10_accuracy', 0.05, 6), ('Tier 1', 'tanimoto_at1', 0.50, 6), ('Tier 1', 'hitrate_at1', 0.35, 6), ('Tier 2', 'top10_accuracy', 0.10, 7), ('Tier 2', 'mces_at1', 9.0, 7), ('Tier 2', 'hitrate_at1', 0.50, 7), ('Tier 3', 'top10_accuracy', 0.20, 8), ('Tier 3', 'tanimoto_at1', 0.60, 8), ('Tier 3', 'mces_at1', 8.0, 8), ('Tier 3', 'hitrate_at1', 0.60, 8))
 SELECT model_id, tier, "of", count(*) FILTER (CASE WHEN metric = 'mces_at1' THEN value <= threshold ELSE value >= threshold END) AS met, met >= 0.8 * "of" AS reached FROM m JOIN t USING (metric) GROUP BY model_id, tier, "of" """)
 def adoption_tiers(spark, d):
-    b = E.leaderboard(_scores(spark, d), METRICS)
+    b = E.leaderboard(_scores(spark, d, prompts=False), METRICS)
     values = b.select("model_id", (F.col("discount") / 10).alias("top10_accuracy"), (F.col("quantity") / 5).alias("tanimoto_at1"), (F.col("overall_score") / 2).alias("hitrate_at1"), (F.col("tax") * 20).alias("mces_at1"))
     return E.adoption_tiers(E.long_form(values, ["model_id"], values.columns[1:]).withColumnRenamed("score", "value"))
 
 
 @R.add(_BOARD + ", m AS (SELECT avg(quantity) AS quantity, avg(tax) AS tax FROM b) SELECT v.metric, v.threshold, v.direction, coalesce(CASE v.metric WHEN 'quantity' THEN (SELECT quantity FROM m) >= v.threshold WHEN 'tax' THEN (SELECT tax FROM m) <= v.threshold END, false) AS passed FROM (VALUES ('quantity', 2.0::DOUBLE, 'min'), ('tax', 0.1::DOUBLE, 'max'), ('other', 1.0::DOUBLE, 'min')) v(metric, threshold, direction)")
 def rubric_verdicts(spark, d):
-    b = E.leaderboard(_scores(spark, d), METRICS).agg(F.avg("quantity").alias("quantity"), F.avg("tax").alias("tax"), F.lit(1).alias("one"))
+    b = E.leaderboard(_scores(spark, d, prompts=False), METRICS).agg(F.avg("quantity").alias("quantity"), F.avg("tax").alias("tax"), F.lit(1).alias("one"))
     rubric = spark.createDataFrame([("quantity", 2.0, "min"), ("tax", 0.1, "max"), ("other", 1.0, "min")], "metric string, threshold double, direction string")
     return E.verdicts(E.long_form(b, ["one"], ["quantity", "tax"]).withColumnRenamed("score", "value"), rubric).select("metric", "threshold", "direction", "passed")
 
 
-@R.add("WITH g AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings), r AS (SELECT rank FROM g WHERE vec_id % 13 = 0) SELECT avg((rank <= 1)::INT) AS hit_at_1, avg((rank <= 5)::INT) AS hit_at_5, avg((rank <= 20)::INT) AS hit_at_20, round(avg(1.0::DOUBLE / rank), 9) AS mrr FROM r")
+@R.add("WITH g AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings), r AS (SELECT rank FROM g) SELECT avg((rank <= 1)::INT) AS hit_at_1, avg((rank <= 5)::INT) AS hit_at_5, avg((rank <= 20)::INT) AS hit_at_20, round(avg(1.0::DOUBLE / rank), 9) AS mrr FROM r")
 def ranked_hits(spark, d):
     from pyspark.sql import Window
 
     e = table(spark, d, "embeddings").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.col("embedding")[0]), "vec_id")))
-    return rounded(E.ranked_hits(e.where("vec_id % 13 = 0")), 9)
+    return rounded(E.ranked_hits(e), 9)
 
 
 @R.add("SELECT s_suppkey AS key, old, new FROM (SELECT s_suppkey, round(s_acctbal, 2) AS old FROM supplier WHERE s_suppkey % 5 > 0) FULL JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN round(s_acctbal, 2) ELSE round(s_acctbal + 1, 2) END AS new FROM supplier WHERE s_suppkey % 7 > 0) USING (s_suppkey) WHERE old IS DISTINCT FROM new")
