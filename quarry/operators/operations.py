@@ -204,3 +204,57 @@ def sampled_rate(events: DataFrame, ts: str, seconds: int) -> DataFrame:
     before = totals.select("day", F.coalesce(F.sum("d").over(Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("day").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
     return days.join(F.broadcast(before), "day").select("start", "n", (inside + F.col("before")).alias("cumulative"))
+
+
+def desired_replicas(current: Column, load: Column, target: float, least: int, most: int, may_shrink: Column | None = None) -> Column:
+    """Above the target in proportion, rounded down; below 70 percent of it one less, where shrinking is allowed; else unchanged."""
+    shrink = F.lit(True) if may_shrink is None else may_shrink
+    up = F.least(F.lit(most), F.floor(current * load / target))
+    return F.when(load > target, up).when((load < target * 0.7) & shrink, F.greatest(F.lit(least), current - 1)).otherwise(current).cast("int")
+
+
+def batch_advice(gpu_percent: Column, memory: Column, capacity: Column, batch: Column) -> Column:
+    """(action, batch_size): double the batch at low use of memory and accelerator, halve it near the memory's end; null fields otherwise."""
+    used = memory / capacity
+    low, high = (used < 0.5) & (gpu_percent < 80), used > 0.95
+    half = F.greatest(F.lit(1), F.floor(batch / 2))
+    return F.struct(F.when(low, "increase_batch_size").when(high, "decrease_batch_size").alias("action"), F.when(low, batch * 2).when(high, half).cast("long").alias("batch_size"))
+
+
+def instance_advice(gpu_percent: Column, cpu_percent: Column) -> Column:
+    return F.when(gpu_percent < 30, "downgrade_gpu").when((cpu_percent > 90) & (gpu_percent < 60), "upgrade_cpu")
+
+
+def within_budget(limits: dict[str, tuple[Column, float | None]]) -> Column:
+    """Whether no known value is over its limit; a null value or no limit passes."""
+    ok = F.lit(True)
+    for value, limit in limits.values():
+        if limit is not None:
+            ok = ok & F.coalesce(value <= limit, F.lit(True))
+    return ok
+
+
+def reclaims(versions: Column, keep: int | None) -> Column:
+    """Whether old versions may go: there are more than are to be kept. Without a number to keep, none go."""
+    return F.lit(False) if keep is None else F.coalesce(versions > keep, F.lit(False))
+
+
+def of_user(usage: DataFrame, user: str, value: object, ts: str, start: str, end: str) -> DataFrame:
+    """A user's rows from start on, before end."""
+    return usage.where((F.col(user) == value) & (F.col(ts) >= F.lit(start).cast("timestamp")) & (F.col(ts) < F.lit(end).cast("timestamp")))
+
+
+def matching_workers(workers: DataFrame, gpus: int, kind: str | None = None, status: str = "idle") -> DataFrame:
+    """Workers that are alive, in the status, and have enough accelerators of the kind."""
+    out = workers.where(F.col("alive") & (F.col("status") == status) & (F.col("gpu_count") >= gpus))
+    return out if kind is None else out.where(F.col("gpu_type") == kind)
+
+
+def cost_totals(manifests: DataFrame, total: str = "total") -> DataFrame:
+    return manifests.agg(F.count("*").alias("runs"), F.sum(total).alias("total"))
+
+
+def batch_judgments(rows: DataFrame, batch: str, first: str, second: str, least: float) -> DataFrame:
+    """Per batch: rows, mean of both judges, and the share of rows that both accept."""
+    both = (F.col(first) >= least) & (F.col(second) >= least)
+    return rows.groupBy(batch).agg(F.count("*").alias("n"), F.avg(first).alias("judge_f_mean"), F.avg(second).alias("judge_r_mean"), F.avg(F.coalesce(both, F.lit(False)).cast("double")).alias("pass_rate"))

@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 from .ordering import hash_order, numbered, running
 
 
+#: From so many rows on, first_n() numbers rows in buckets; below, each task keeps that many and one merges them.
+TOP_IN_ONE_TASK = 10_000
+
+
 def first_n(df: DataFrame, key: Column, n: int, ties: tuple[str, ...] = ()) -> DataFrame:
-    """The n rows of least key."""
-    return df.withColumn("_key", key).orderBy("_key", *ties).limit(n).drop("_key")
+    """The n rows of least key, a hex one. Many rows are not brought to one task: the buckets of the key that can hold them follow from the
+    buckets' counts, and only their rows are numbered."""
+    keyed = df.withColumn("_key", key)
+    if n <= TOP_IN_ONE_TASK:
+        return keyed.orderBy("_key", *ties).limit(n).drop("_key")
+    return numbered(keyed, "_key", "_nth", ties=ties, upto=n).where(F.col("_nth") <= n).drop("_key", "_nth")
 
 
-def shuffled(df: DataFrame, columns: tuple[str, ...], seed: int = 42, out: str = "position") -> DataFrame:
-    """All rows numbered in the order of a seeded shuffle."""
-    return numbered(df.withColumn("_key", hash_order(*columns, seed=seed)), "_key", out, ties=columns).drop("_key")
+def shuffled(df: DataFrame, columns: tuple[str, ...], seed: int = 42, out: str = "position", rows: int | None = None) -> DataFrame:
+    """All rows numbered in the order of a seeded shuffle. rows: their number, if it is known; then buckets keep to a size."""
+    return numbered(df.withColumn("_key", hash_order(*columns, seed=seed)), "_key", out, ties=columns, rows=rows).drop("_key")
 
 
 def split_sizes(n: int, weights: dict[str, float], mode: str = "round") -> dict[str, int]:
@@ -36,8 +44,9 @@ def split_sizes(n: int, weights: dict[str, float], mode: str = "round") -> dict[
 
 def split(df: DataFrame, columns: tuple[str, ...], weights: dict[str, float], mode: str = "round", seed: int = 42) -> DataFrame:
     """df with the part of each row: disjoint parts of exact sizes in a seeded shuffle."""
-    sizes, upto, cases = split_sizes(df.count(), weights, mode), 0, None
-    out = shuffled(df, columns, seed, "_pos")
+    rows = df.count()
+    sizes, upto, cases = split_sizes(rows, weights, mode), 0, None
+    out = shuffled(df, columns, seed, "_pos", rows)
     for name, size in sizes.items():
         upto += size
         cases = F.when(F.col("_pos") <= upto, name) if cases is None else cases.when(F.col("_pos") <= upto, name)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import range_bucket, range_edges, running
+from .ordering import joined_by, range_bucket, range_edges, running
 
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -49,10 +50,32 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return every.join(counts, "bin", "left").select("bin", low.alias("low"), high.alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def quantiles(df: DataFrame, column: str, places: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """A row per group with the linearly interpolated quantiles, by name. Values are counted, then placed by bucketed running counts, so that
+    no task holds the values of a group. Nulls are left out; a table without values has no row for a group, and nulls without groups."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    ran = running(counts, range_bucket(F.col("_x"), range_edges(counts, "_x")), [F.col("_x")], {"_upto": F.col("_c")}, by)
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    ran = joined_by(ran, sizes, by) if by else ran.join(F.broadcast(sizes), how="cross")
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > place, F.col("_x")))
+
+    ends, out = [], []
+    for i, (name, q) in enumerate(places.items()):
+        spot = (F.col("_n") - 1) * F.lit(float(q))
+        ends += [at(F.floor(spot)).alias(f"_l{i}"), at(F.ceil(spot)).alias(f"_h{i}"), F.max(spot - F.floor(spot)).alias(f"_f{i}")]
+        out.append((F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(name))
+    return ran.groupBy(*by).agg(*ends).select(*by, *out)
+
+
 def describe(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """count, mean, sample std, min, interpolated quartiles, max."""
     v = F.col(column).cast("double")
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.75).alias("q3"), F.max(v).alias("max"))
+    head = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    parts = quantiles(df, column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    out = joined_by(head, parts, by) if by else head.join(parts, how="cross")  # a row each
+    return out.select(*by, "n", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def shares(df: DataFrame, columns: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
@@ -84,11 +107,35 @@ def ks_statistic(reference: DataFrame, current: DataFrame, column: str, by: tupl
     counts = both.where("v IS NOT NULL").groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     ran = running(counts, range_bucket(F.col("v"), range_edges(counts, "v")), [F.col("v")], {"ca": F.col("a"), "cb": F.col("b")}, by)
     sizes = counts.groupBy(*by).agg(F.sum("a").alias("n_reference"), F.sum("b").alias("n_current"))
-    ran = ran.join(sizes, list(by)) if by else ran.join(F.broadcast(sizes), how="cross")
+    ran = joined_by(ran, sizes, by) if by else ran.join(F.broadcast(sizes), how="cross")
     gap = F.abs(F.try_divide(F.col("ca"), F.col("n_reference")) - F.try_divide(F.col("cb"), F.col("n_current")))
     return ran.groupBy(*by).agg(F.max(gap).alias("ks"), F.first("n_reference").alias("n_reference"), F.first("n_current").alias("n_current"))
 
 
+def ks_p(d: Column, n: Column, m: Column) -> Column:
+    """ks_p_value() as a column."""
+    en = F.sqrt(n * m / (n + m))
+    x = (en + 0.12 + 0.11 / en) * d
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.pow(F.lit(-1.0), k - 1) * F.exp(-2 * F.pow(k * x, F.lit(2.0))))
+    p = 2 * F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+    return F.when(d <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
+
+
+def ks_test(reference: DataFrame, current: DataFrame, column: str, by: tuple[str, ...] = (), limit: float = 0.05) -> DataFrame:
+    """ks_statistic()'s row with its p-value and whether that is below the limit."""
+    out = ks_statistic(reference, current, column, by)
+    return out.withColumn("p_value", ks_p(F.col("ks"), F.col("n_reference"), F.col("n_current"))).withColumn("drift", F.col("p_value") < limit)
+
+
+def chi_square_p(x: Column, dof: Column) -> Column:
+    """chi_square_p_value() as a column, for results of a few rows."""
+
+    def run(xs: pd.Series, dofs: pd.Series) -> pd.Series:
+        return pd.Series([chi_square_p_value(a, int(b)) if a == a and b == b else None for a, b in zip(xs, dofs)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(x, dof)
+
+
 def ks_p_value(d: float, n: int, m: int) -> float:
     """The asymptotic p-value of a KS statistic."""
     if d <= 0:
@@ -150,7 +197,9 @@ def psi(expected: DataFrame, actual: DataFrame, every: DataFrame, added: Column)
 def psi_deciles(reference: DataFrame, current: DataFrame, column: str, buckets: int = 10, floor: float = 1e-4) -> DataFrame:
     """The index over the reference's quantile buckets. Values outside the reference's range fall out of the counts but stay in the sizes;
     empty buckets have the floor for a count. The last bucket is closed."""
-    edges = reference.select(F.percentile(F.col(column).cast("double"), [i / buckets for i in range(buckets + 1)])).first()[0]
+    edges = list(quantiles(reference, column, {f"e{i}": i / buckets for i in range(buckets + 1)}).first() or ())  # buckets + 1 numbers
+    if not edges or edges[0] is None:
+        return reference.sparkSession.createDataFrame([(None,)], "psi double")
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         v = F.col(column).cast("double")

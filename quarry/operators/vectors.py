@@ -6,7 +6,9 @@ after another. Each task keeps its own best k before the shuffle by way of the w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -65,9 +67,18 @@ def best_per_id(results: DataFrame, key: str = "vec_id") -> DataFrame:
     return results.groupBy("query_id", key).agg(F.max("score").alias("score"))
 
 
+def gaussian(*parts: Column) -> Column:
+    """A normal variate that the parts fix, the same in any engine: the Box-Muller transform of two numbers from their MD5."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    u, v = (((F.conv(F.substring(digest, at, 8), 16, 10).cast("double")) + 0.5) / float(1 << 32) for at in (1, 9))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+
+
 def expanded(queries: DataFrame, n: int, scale: float = 0.0, seed: int = 7) -> DataFrame:
-    """Each query and n variants with Gaussian noise of the scale; variant 0 is the query."""
-    noisy = F.transform("query_vector", lambda x: x.cast("double") + F.when(F.col("variant") > 0, scale * F.randn(seed)).otherwise(0.0))
+    """Each query and n variants with Gaussian noise of the scale; variant 0 is the query. The noise follows from seed, query, variant and
+    place, so that it does not depend on how the table is partitioned."""
+    noise = lambda i: F.when(F.col("variant") > 0, scale * gaussian(F.lit(seed), F.col("query_id"), F.col("variant"), i)).otherwise(0.0)
+    noisy = F.transform("query_vector", lambda x, i: x.cast("double") + noise(i))
     return queries.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("query_vector", noisy)
 
 

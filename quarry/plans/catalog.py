@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dialogs, distillation, documents, drift, models, operations, spectra, streams
+from . import contracts, dialogs, distillation, documents, drift, models, operations, spectra, streams, tools
 
-MODULES = (documents, models, drift, spectra, dialogs, distillation, operations, streams)
+MODULES = (documents, models, drift, spectra, dialogs, distillation, contracts, operations, streams, tools)
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _module in MODULES:

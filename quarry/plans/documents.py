@@ -100,7 +100,8 @@ _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\x0B\f]+'))"
 @R.add(f"SELECT lang, count(*) AS n, avg(w) AS mean_words, median(w) AS median_words, min(w) AS min_words, max(w) AS max_words FROM (SELECT lang, {_WORDS} AS w FROM documents) WHERE w > 0 GROUP BY lang")
 def doc_word_stats(spark, d):
     w = table(spark, d, "documents").select("lang", T.word_count(F.col("text")).alias("w")).where("w > 0")
-    return w.groupBy("lang").agg(F.count("*").alias("n"), F.avg("w").alias("mean_words"), F.percentile("w", F.lit(0.5)).alias("median_words"), F.min("w").alias("min_words"), F.max("w").alias("max_words"))
+    out = S.describe(w, "w", ("lang",))
+    return out.select("lang", "n", F.col("mean").alias("mean_words"), F.col("median").alias("median_words"), F.col("min").cast("long").alias("min_words"), F.col("max").cast("long").alias("max_words"))
 
 
 @R.add("SELECT doc_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE CAST(ceil(length(text) / 4.0) AS BIGINT) END AS tokens FROM documents")

@@ -69,7 +69,13 @@ def rate_limit_fixed_window(spark, d):
     return e.select("event_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "allowed", F.col("remaining").cast("int").alias("remaining"))
 
 
-@R.add()
+_LOG = """WITH RECURSIVE o AS (SELECT user_id, event_id, {second} AS t, row_number() OVER (PARTITION BY user_id ORDER BY {second}, event_id) AS k FROM events),
+l AS (SELECT user_id, event_id, k, t, true AS allowed, [t] AS log FROM o WHERE k = 1
+UNION ALL SELECT user_id, event_id, k, t, ok, CASE WHEN ok THEN list_append(near, t) ELSE near END FROM (SELECT *, len(near) < 2 AS ok FROM (SELECT o.user_id, o.event_id, o.k, o.t, list_filter(l.log, lambda x: x > o.t - 86400) AS near FROM l JOIN o ON o.user_id = l.user_id AND o.k = l.k + 1)))
+SELECT {key}event_id, allowed FROM l"""
+
+
+@R.add(_LOG.format(second="epoch(date_trunc('second', ts))", key="user_id, "))
 def rate_limit_sliding_log(spark, d):
     e = table(spark, d, "events").withColumn("second", F.unix_timestamp(F.col("ts").cast("timestamp")))
     return O.sliding_log_limit(e, "user_id", "second", "event_id", 24 * 3600, 2)

@@ -46,9 +46,15 @@ def vector_rerank(spark, d):
     return rounded(V.rerank(found, {"label": "2"}, "rt", 4, 2).drop("rt"))
 
 
-@R.add(_TOP.replace("a.vec_id, a.label", "a.vec_id") + "SELECT query_id, vec_id, round(score, 6) AS score FROM r WHERE rank <= 8")
+_HEX = "(('0x' || substr(md5(concat_ws('|', 7, vec_id, v, i - 1)), {at}, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE"
+
+
+@R.add(f"""WITH q AS (SELECT vec_id AS query_id, v, list(embedding[i]::DOUBLE + CASE WHEN v > 0 THEN 0.05::DOUBLE * sqrt(-2 * ln({_HEX.format(at=1)})) * cos(2 * pi() * {_HEX.format(at=9)}) ELSE 0 END ORDER BY i) AS x FROM embeddings, range(3) t(v), range(1, 65) r(i) WHERE vec_id % 20 = 0 GROUP BY ALL),
+s AS (SELECT query_id, v, vec_id, list_dot_product(embedding::DOUBLE[], x) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(x, x))) AS score FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round(max(score), 6) AS score FROM r WHERE rank <= 8 GROUP BY ALL""")
 def vector_expanded(spark, d):
-    variants = V.expanded(_queries(spark, d), 2, 0.0).select(F.struct("query_id", "variant").alias("query_id"), "query_vector")
+    variants = V.expanded(_queries(spark, d), 2, 0.05).select(F.struct("query_id", "variant").alias("query_id"), "query_vector")
     found = V.top_k(table(spark, d, "embeddings"), variants, 8).withColumn("query_id", F.col("query_id.query_id"))
     return rounded(V.best_per_id(found))
 
