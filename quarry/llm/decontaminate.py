@@ -1,11 +1,11 @@
 """Benchmark decontamination with a positional inverted index.
 
-The corpus is indexed in blocks of whole documents, once for all test sets. A block is one row: its documents, and for every term in it the
-sorted list of word positions. The index is stored as Parquet in the checkpoint folder, or where build_index() is told to.
+The corpus is indexed in blocks of whole documents, once for all test sets. Of each block the index has a row for every term, with the sorted
+list of its word positions, and a row for its documents. It is stored as Parquet in the checkpoint folder, or where build_index() is told to.
 
 Test windows are rows like any other. A search takes the stored lists' lengths as the corpus frequencies of the windows' terms, and joins each
-window by its rarest term with the blocks that hold that term. In these blocks alone, offset-adjusted lists are intersected from the rarest
-term on. slop > 0 asks for proximity instead: the shortest word ranges that hold all of a window's terms, as often as it has them, in any
+window by its rarest term with the blocks that hold that term. The lists of the terms of windows that are left meet by block, and in each
+window's blocks alone offset-adjusted lists are intersected from the rarest term on. slop > 0 asks for proximity instead: the shortest word ranges that hold all of a window's terms, as often as it has them, in any
 order, and are at most slop words longer than the window.
 
 Words: A-Z lower-cased, runs of ASCII digits, letters and non-ASCII characters. A window is `window` consecutive words of an item; an
@@ -45,11 +45,12 @@ def windows(item: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1))] if item else []
 
 
-INDEX_SCHEMA = "block long, doc_ids array<{id}>, n_words array<int>, terms array<binary>, counts array<int>, postings binary"
+INDEX_SCHEMA = "block long, doc_ids array<{id}>, n_words array<int>, term binary, n int, postings binary"
 
 
 def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
-    """The stored index: a row per block. terms: in order; postings: the differences of all positions (int32), lists in the order of terms."""
+    """The stored index. Rows of documents have doc_ids and n_words, rows of terms have term, n and postings, the differences of the
+    positions (int32)."""
     common.text_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = source.schema[0].dataType.simpleString()
@@ -64,10 +65,17 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             number = dict(zip(names, range(len(names))))
             term = np.fromiter((number[w] for ws in texts for w in ws), dtype=np.int32, count=sum(lengths))
             at = np.repeat(bases - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(term))
-            postings = np.diff(at[np.argsort(term, kind="stable")], prepend=0).astype(np.int32).tobytes()
-            row = [[block], [batch.column(0).to_pylist()], [lengths], [names], [np.bincount(term, minlength=len(names)).astype(np.int32)], [postings]]
-            types = [pa.int64(), pa.list_(batch.column(0).type), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], ["block", "doc_ids", "n_words", "terms", "counts", "postings"])
+            at = at[np.argsort(term, kind="stable")]
+            counts = np.bincount(term, minlength=len(names))
+            ends = np.cumsum(counts)
+            gaps = np.diff(at, prepend=0)
+            gaps[ends[:-1]] = at[ends[:-1]]  # each list begins anew
+            offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
+            lists = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(gaps.astype(np.int32))])
+            ids_t, words_t, n = pa.list_(batch.column(0).type), pa.list_(pa.int32()), len(names)
+            blocks, schema = pa.array([block] * (n + 1), pa.int64()), ["block", "doc_ids", "n_words", "term", "n", "postings"]
+            yield pa.RecordBatch.from_arrays([blocks[:1], pa.array([batch.column(0).to_pylist()], ids_t), pa.array([lengths], words_t), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], schema)
+            yield pa.RecordBatch.from_arrays([blocks[1:], pa.nulls(n, ids_t), pa.nulls(n, words_t), pa.array(names, pa.binary()), pa.array(counts, pa.int32()), lists], schema)
             block += 1
 
     rows = source.mapInArrow(run, INDEX_SCHEMA.format(id=kind))
@@ -78,23 +86,22 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 class Lists:
-    """The posting lists of one block."""
+    """Posting lists of one block."""
 
-    def __init__(self, terms: list[bytes], counts: list[int], postings: bytes):
-        self.number = dict(zip(terms, range(len(terms))))
-        self.at = np.cumsum(np.frombuffer(postings, dtype=np.int32), dtype=np.int64)
-        self.first = np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])
+    none = np.zeros(0, dtype=np.int64)
+
+    def __init__(self, terms: list[bytes], postings: list[bytes]):
+        self.lists = {t: np.cumsum(np.frombuffer(p, dtype=np.int32), dtype=np.int64) for t, p in zip(terms, postings)}
 
     def of(self, term: bytes) -> np.ndarray:
-        i = self.number.get(term)
-        return self.at[:0] if i is None else self.at[self.first[i] : self.first[i + 1]]
+        return self.lists.get(term, self.none)
 
 
 def phrase(lists: Lists, terms: list[bytes], rarest: int) -> np.ndarray:
     """Start positions of exact occurrences: candidates from the rarest term of all, thinned by each next rarest list of the block."""
     found = [lists.of(t) for t in terms]
     if not all(map(len, found)):
-        return lists.at[:0]
+        return lists.none
     starts = found[rarest] - rarest
     for o in sorted(range(len(terms)), key=lambda i: len(found[i])):
         if not len(starts):
@@ -162,51 +169,53 @@ def item_windows(tests: DataFrame, window: int, item_column: str = "item_id", it
     return distinct, common.materialise(every.join(distinct, "terms").select("wid", "item").distinct(), "owners")
 
 
+def of_terms(index: DataFrame, terms: DataFrame, *columns: str) -> DataFrame:
+    """The index's rows of the given terms (a stored table)."""
+    few = F.broadcast(terms) if common.small_enough(terms, 64) else terms
+    return index.where("term IS NOT NULL").select("block", "term", *columns).join(few, "term")
+
+
 def candidates(index: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(block, windows): the windows to be looked for in each block, those whose rarest term it holds, as rows of bounded size."""
-    wanted = common.materialise(distinct.select(F.explode("terms").alias("term")).distinct(), "terms")
-    lists = index.select("block", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("block", F.col("p.terms").alias("term"), F.col("p.counts").alias("n"))
-    few = F.broadcast(wanted) if common.small_enough(wanted, 64) else wanted
-    lists = common.materialise(lists.join(few, "term"), "lists")
+    """(block, wid, place, terms): the windows to be looked for in each block, those whose rarest term (at a place of the window) it holds."""
+    lists = of_terms(index, common.materialise(distinct.select(F.explode("terms").alias("term")).distinct(), "terms"), "n")
+    lists = common.materialise(lists, "lists")
     frequency = common.materialise(lists.groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
     spots = distinct.select("wid", F.size("terms").alias("size"), F.posexplode("terms").alias("place", "term")).join(frequency, "term")
     best = spots.groupBy("wid").agg(F.min(F.struct("n", "place", "term")).alias("best"), F.count("*").alias("found"), F.max("size").alias("size"))
     best = best.where("found = size").select("wid", F.col("best.place").alias("place"), F.col("best.term").alias("term"))  # others have a term that no text has
     met = best.join(lists.select("term", "block"), "term").join(distinct, "wid")
-    met = common.materialise(met.select("block", "wid", "place", "terms"), "met")
-    slots = met.groupBy("block").agg(F.ceil(F.count("*") / WINDOWS_AT_ONCE).cast("int").alias("slots"))
-    dealt = met.join(slots, "block").groupBy("block", F.pmod(F.xxhash64("wid"), "slots").alias("slot"))
-    return common.materialise(dealt.agg(F.collect_list(F.struct("wid", "place", "terms")).alias("windows")).drop("slot"), "candidates")
+    return common.materialise(met.select("block", "wid", "place", "terms"), "met")
 
 
-def search(index: DataFrame, looked_for: DataFrame, slop: int) -> DataFrame:
+def search(index: DataFrame, met: DataFrame, slop: int) -> DataFrame:
     """(block, d, spans, wids): the word ranges of the d-th document of a block that are hit, and the windows that hit it."""
-    some = F.broadcast(looked_for) if common.small_enough(looked_for, 1 << 20, 64 << 20) else looked_for
-    both = index.select("block", "n_words", "terms", "counts", "postings").join(some, "block")
+    most = met.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    slots = max(1, -(-most // WINDOWS_AT_ONCE))
+    wanted = common.materialise(met.select(F.explode("terms").alias("term")).distinct(), "terms")
+    dealt = met.groupBy("block", F.pmod(F.xxhash64("wid"), F.lit(slots)).alias("slot")).agg(F.collect_list(F.struct("wid", "place", "terms")).alias("windows"))
+    dealt = dealt.join(index.where("term IS NULL").select("block", "n_words"), "block").select("block", "slot", "n_words", "windows")
+    lists = of_terms(index, wanted, "postings").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
     span_t, wid_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())
 
-    def run(batches):
-        last, lists = None, None
-        for batch in batches:
-            for r in range(batch.num_rows):
-                block, lengths, terms, counts, postings, wanted = (batch.column(i)[r].as_py() for i in range(6))
-                if block != last:
-                    last, lists = block, Lists(terms, counts, postings)
-                bases = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64) + GAP)])
-                spans: dict[int, list] = {}
-                wids: dict[int, set] = {}
-                for w in wanted:
-                    ts = w["terms"]
-                    hits = proximity(lists, ts, w["place"], slop) if slop else [(s, s + len(ts)) for s in phrase(lists, ts, w["place"]).tolist()]
-                    for s, e in hits:
-                        d = int(np.searchsorted(bases, s, side="right")) - 1
-                        spans.setdefault(d, []).append((s - int(bases[d]), e - int(bases[d])))
-                        wids.setdefault(d, set()).add(w["wid"])
-                merged = [[{"start": a, "end": b} for a, b in union(x)] for x in spans.values()]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(spans), pa.int64()), pa.array(list(spans), pa.int32()), pa.array(merged, span_t), pa.array([sorted(wids[d]) for d in spans], wid_t)], ["block", "d", "spans", "wids"])
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        spans: dict[int, list] = {}
+        wids: dict[int, set] = {}
+        if left.num_rows and right.num_rows:
+            lists = Lists(right["term"].to_pylist(), right["postings"].to_pylist())
+            bases = np.concatenate([[0], np.cumsum(np.array(left["n_words"][0].as_py(), dtype=np.int64) + GAP)])
+            for w in left["windows"][0].as_py():
+                ts = w["terms"]
+                hits = proximity(lists, ts, w["place"], slop) if slop else [(s, s + len(ts)) for s in phrase(lists, ts, w["place"]).tolist()]
+                for s, e in hits:
+                    d = int(np.searchsorted(bases, s, side="right")) - 1
+                    spans.setdefault(d, []).append((s - int(bases[d]), e - int(bases[d])))
+                    wids.setdefault(d, set()).add(w["wid"])
             common.give_back()
+        merged = [[{"start": a, "end": b} for a, b in union(x)] for x in spans.values()]
+        return pa.table([pa.array([key[0].as_py()] * len(spans), pa.int64()), pa.array(list(spans), pa.int32()), pa.array(merged, span_t), pa.array([sorted(wids[d]) for d in spans], wid_t)], ["block", "d", "spans", "wids"])
 
-    return common.materialise(both.mapInArrow(run, "block long, d int, spans array<struct<start:int,end:int>>, wids array<long>"), "hits")
+    both = dealt.groupBy("block", "slot").cogroup(lists.groupBy("block", "slot"))
+    return common.materialise(both.applyInArrow(run, "block long, d int, spans array<struct<start:int,end:int>>, wids array<long>"), "hits")
 
 
 def folded(spans: str) -> Column:
@@ -232,7 +241,7 @@ def matches(index: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0,
     spans = hits.groupBy("block", "d").agg(folded("spans").alias("spans"))
     found = common.materialise(spans.join(items, ["block", "d"]), "found")
     common.release(since, found)
-    docs = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("d", "x")).select("block", "d", F.col("x.doc_ids").alias("doc_id"), F.col("x.n_words").cast("long").alias("n_words"))
+    docs = index.where("term IS NULL").select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("d", "x")).select("block", "d", F.col("x.doc_ids").alias("doc_id"), F.col("x.n_words").cast("long").alias("n_words"))
     side = F.broadcast(found) if common.small_enough(found, 1 << 10) else found
     out = docs.join(side, ["block", "d"], "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
