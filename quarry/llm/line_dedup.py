@@ -14,7 +14,8 @@ earlier - in a document with a smaller id, or further up in the same one - is de
 4. Delete the lines of all repeats. Where a repeat overlaps its own first occurrence, the lines of that one stay.
 
 Nothing goes through the driver, at any size. Hot fingerprints and windows meet in partial aggregates, and in joins against a table with one
-row for each, whose other side can be split; no pairs of occurrences are made.
+row for each, whose other side can be split; no pairs of occurrences are made. Joins whose sides grow with the corpus are merge joins at
+every size.
 
 Cases: null and empty texts, and texts without a word, stay as they are. Lines are compared without white space at their ends.
 Null ids come last in the order; of rows with the same id and text one is the first and the others are copies. Lines of any length are
@@ -140,12 +141,12 @@ def repeats(source: DataFrame, min_words: int, gram_words: int) -> DataFrame:
     texts = sequences(source, min_words, gram_words)
     places = texts.select("id", "node", F.inline("prints"))
     twice = common.materialise(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "fingerprints")
-    found = places.join(twice, "h").groupBy(F.col("id").alias("i"), F.col("node").alias("k")).agg(F.collect_set("at").alias("marks"))
-    marked = texts.drop("prints").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("k")))
+    found = places.join(twice.hint("merge"), "h").groupBy(F.col("id").alias("i"), F.col("node").alias("k")).agg(F.collect_set("at").alias("marks"))
+    marked = texts.drop("prints").join(found.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("k")))
     spots = common.materialise(windows_of(marked, min_words, gram_words), "windows")
     place = F.struct(F.col("id").isNull().alias("z"), "id", "node", "s")
     first = spots.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("NOT (first <=> last)").select("h", "first")
-    again = spots.join(common.materialise(first, "firsts"), "h").where(~place.eqNullSafe(F.col("first")))
+    again = spots.join(common.materialise(first, "firsts").hint("merge"), "h").where(~place.eqNullSafe(F.col("first")))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))
     begin = F.when(same, F.greatest("s", F.col("first.s") + F.col("e") - F.col("s"))).otherwise(F.col("s"))
     return again.groupBy("id", "node").agg(F.collect_set(F.struct(begin.alias("s"), "e")).alias("gone"))
@@ -161,7 +162,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WO
     common.release(since, gone)
     gone = gone.select(F.col("id").alias("__quarry_id"), F.col("node").alias("__quarry_at"), F.col("gone").alias("__quarry_gone"))
     keyed = docs.withColumn("__quarry_node", node)
-    both = keyed.join(gone, keyed[id_column].eqNullSafe(gone["__quarry_id"]) & (keyed["__quarry_node"] == gone["__quarry_at"]), "left")
+    both = keyed.join(gone.hint("merge"), keyed[id_column].eqNullSafe(gone["__quarry_id"]) & (keyed["__quarry_node"] == gone["__quarry_at"]), "left")
     copies = docs.groupBy(F.col(id_column).alias("__quarry_c"), node.alias("__quarry_cn")).agg(F.count("*").alias("__quarry_n")).where("__quarry_n > 1")
     return removed(both, common.materialise(copies, "copies"), docs.columns, id_column, text_column, min_words, tuple(free(x, docs.columns) for x in outputs))
 
@@ -171,10 +172,10 @@ def removed(both: DataFrame, copies: DataFrame, out: list[str], id_column: str,
     fixed by numbers that are written before they are compared; a group of copies is reduced to its least number by an aggregate."""
     first = F.lit(True)
     if copies.head(1):
-        both = both.join(copies, both[id_column].eqNullSafe(copies["__quarry_c"]) & (both["__quarry_node"] == copies["__quarry_cn"]), "left")
+        both = both.join(copies.hint("merge"), both[id_column].eqNullSafe(copies["__quarry_c"]) & (both["__quarry_node"] == copies["__quarry_cn"]), "left")
         again = common.materialise(both.where("__quarry_n IS NOT NULL").withColumn("__quarry_tag", F.monotonically_increasing_id()), "again")
         least = again.groupBy(F.col(id_column).alias("__quarry_l"), F.col("__quarry_node").alias("__quarry_ln")).agg(F.min("__quarry_tag").alias("__quarry_least"))
-        again = again.join(least, again[id_column].eqNullSafe(least["__quarry_l"]) & (again["__quarry_node"] == least["__quarry_ln"]))
+        again = again.join(least.hint("merge"), again[id_column].eqNullSafe(least["__quarry_l"]) & (again["__quarry_node"] == least["__quarry_ln"]))
         again = again.withColumn("__quarry_first", F.col("__quarry_tag") == F.col("__quarry_least"))
         names = [*out, "__quarry_gone", "__quarry_first"]
         both = both.where("__quarry_n IS NULL").withColumn("__quarry_first", first).select(names).unionByName(again.select(names))
