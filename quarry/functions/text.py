@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bound
+
 # Word lists of the heuristic filters and cleaners.
 ACTION_VERBS = ("analyze", "assess", "calibrate", "compare", "culture", "evaluate", "incubate", "measure", "mix", "prepare", "run", "simulate", "synthesize", "test", "validate")
 MEASURABLE = (
@@ -50,10 +52,9 @@ def squeezed(text: Column) -> Column:
 
 def contains_any(text: Column, words) -> Column:
     """Whether the lower-cased text has one of the words as a substring. Null has none."""
-    low, hit = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
-    for w in words:
-        hit = hit | low.contains(w)
-    return hit
+    if not words:
+        return F.lit(False)
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
 def has_word(text: Column, words) -> Column:
@@ -89,14 +90,13 @@ def sentences(text: Column) -> Column:
 
 
 def ended(text: Column) -> Column:
-    return F.when((text != "") & ~text.rlike(r"[.!?]$"), F.concat(text, F.lit("."))).otherwise(text)
+    return bound(text, lambda t: F.when((t != "") & ~t.rlike(r"[.!?]$"), F.concat(t, F.lit("."))).otherwise(t))
 
 
 def first_sentences(text: Column, n: int = 3) -> Column:
     """The first n sentences, if there are more; else the trimmed text."""
-    parts = sentences(text)
-    cut = F.regexp_replace(F.array_join(F.slice(parts, 1, n), " "), r"\s*\.\.\.\s*$", "")
-    return F.when(F.size(parts) > n, ended(cut)).otherwise(F.trim(F.coalesce(text, F.lit(""))))
+    cut = lambda parts: F.regexp_replace(F.array_join(F.slice(parts, 1, n), " "), r"\s*\.\.\.\s*$", "")
+    return bound(sentences(text), lambda parts: F.when(F.size(parts) > n, ended(cut(parts))).otherwise(F.trim(F.coalesce(text, F.lit("")))))
 
 
 def distilled_response(text: Column) -> Column:
@@ -120,16 +120,20 @@ def section(text: Column, heading: str = "Distilled Response") -> Column:
 def hypothesis(text: Column, n: int = 3) -> Column:
     """At most n sentences that make a testable claim; without enough of them the first acceptable ones."""
     clean = F.filter(sentences(distilled_response(text)), lambda s: ~contains_any(s, FLUFF) & (contains_any(s, MEASURABLE) | contains_any(s, ACTIONABLE)) & ~contains_any(s, KNOWN_FACTS))
-    testable = F.filter(F.slice(clean, 1, 2 * n), lambda s: contains_any(s, TESTABLE) | (contains_any(s, MEASURABLE) & contains_any(s, ACTIONABLE)))
-    best = F.when(F.size(testable) >= n, F.slice(testable, 1, n)).otherwise(F.slice(clean, 1, n))
-    return F.trim(ended(F.array_join(best, " ")))
+
+    def best(c: Column) -> Column:
+        testable = F.filter(F.slice(c, 1, 2 * n), lambda s: contains_any(s, TESTABLE) | (contains_any(s, MEASURABLE) & contains_any(s, ACTIONABLE)))
+        return bound(testable, lambda t: F.when(F.size(t) >= n, F.slice(t, 1, n)).otherwise(F.slice(c, 1, n)))
+
+    return F.trim(ended(F.array_join(bound(clean, best), " ")))
 
 
 def methodology(text: Column, n: int = 6, least: int = 4) -> Column:
     """The n lines of the highest score, in the order of score and place, filled up to `least` from the other lines."""
-    t = distilled_response(text)
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    lines = F.when(F.size(lines) == 1, sentences(t)).otherwise(lines)
+
+    def lines_of(t: Column) -> Column:
+        lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+        return bound(lines, lambda ls: F.when(F.size(ls) == 1, sentences(t)).otherwise(ls))
 
     def score(line: Column) -> Column:
         total = F.when(contains_any(line, ACTIONABLE), 1).otherwise(0)
@@ -137,27 +141,33 @@ def methodology(text: Column, n: int = 6, least: int = 4) -> Column:
             total = total + F.when(contains_any(line, group), 2).otherwise(0)
         return total
 
-    scored = F.transform(lines, lambda x, i: F.struct((-score(x)).alias("s"), i.alias("i"), x.alias("line"), contains_any(x, FLUFF).alias("fluff")))
-    best = F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: (x["s"] < 0) & ~x["fluff"])), 1, n), lambda x: x["line"])
-    rest = F.filter(lines, lambda x: ~F.array_contains(best, x))
-    filled = F.concat(best, F.slice(rest, 1, F.greatest(F.lit(0), F.lit(least) - F.size(best))))
-    return F.trim(F.array_join(F.when((F.size(best) < least) & (F.size(lines) >= least), filled).otherwise(best), "\n"))
+    def chosen(lines: Column) -> Column:
+        scored = F.transform(lines, lambda x, i: F.struct((-score(x)).alias("s"), i.alias("i"), x.alias("line"), contains_any(x, FLUFF).alias("fluff")))
+        best = F.transform(F.slice(F.sort_array(F.filter(scored, lambda x: (x["s"] < 0) & ~x["fluff"])), 1, n), lambda x: x["line"])
+        rest = lambda b: F.filter(lines, lambda x: ~F.array_contains(b, x))
+        filled = lambda b: F.concat(b, F.slice(rest(b), 1, F.greatest(F.lit(0), F.lit(least) - F.size(b))))
+        return bound(best, lambda b: F.when((F.size(b) < least) & (F.size(lines) >= least), filled(b)).otherwise(b))
+
+    return F.trim(F.array_join(bound(bound(distilled_response(text), lines_of), chosen), "\n"))
 
 
 def cut_at_sentence(text: Column, limit: int = 600) -> Column:
     """Text over the limit is cut before the sentence that would cross it."""
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("n"), F.lit(False).alias("full"))
-
-    def add(acc: Column, s: Column) -> Column:
-        fits = ~acc["full"] & (acc["n"] + F.length(s) + 1 <= limit)
-        return F.struct(
-            F.when(fits, F.concat(acc["parts"], F.array(s))).otherwise(acc["parts"]).alias("parts"),
-            F.when(fits, acc["n"] + F.length(s) + 1).otherwise(acc["n"]).alias("n"),
-            (acc["full"] | ~fits).alias("full"),
-        )
-
-    cut = ended(F.array_join(F.aggregate(F.split(text, r"(?<=[.!?])\s+"), start, add)["parts"], " "))
-    return F.when(F.length(text) > limit, cut).otherwise(text)
+
+    def cut(t: Column) -> Column:
+        sums = lambda parts: F.transform(parts, lambda x, i: F.struct(x.alias("p"), i.alias("i")))
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(False).alias("full"))
+
+        def add(acc: Column, p: Column) -> Column:
+            longer = acc["n"] + F.length(p["p"]) + 1
+            fits = ~acc["full"] & (longer <= limit)
+            return F.struct(F.when(fits, longer).otherwise(acc["n"]).alias("n"), F.when(fits, p["i"] + 1).otherwise(acc["k"]).alias("k"), (~fits).alias("full"))
+
+        parts = F.split(t, r"(?<=[.!?])\s+")
+        short = bound(parts, lambda ps: F.array_join(F.slice(ps, 1, F.aggregate(sums(ps), start, add)["k"]), " "))
+        return F.when(F.length(t) > limit, ended(short)).otherwise(t)
+
+    return bound(text, cut)
 
 
 def prompt_class(text: Column) -> Column:

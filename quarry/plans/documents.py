@@ -129,17 +129,64 @@ def benchmark_prompt_class(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.prompt_class(F.col("text")).alias("class"))
 
 
-@R.add()
+_WHITE = r"[ \t\n\x0B\f\r]"
+
+
+def _parts_sql(t: str) -> str:
+    return rf"string_split(regexp_replace({t}, '([.!?]){_WHITE}+', '\1' || chr(1), 'g'), chr(1))"
+
+
+def _sentences_sql(t: str) -> str:
+    return f"list_filter(list_transform({_parts_sql(f'trim({t})')}, lambda p: trim(p)), lambda p: length(p) > 0)"
+
+
+def _ended_sql(t: str) -> str:
+    return f"CASE WHEN {t} <> '' AND NOT regexp_matches({t}, '[.!?]$') THEN {t} || '.' ELSE {t} END"
+
+
+_DISTILLED = rf"""WITH d0 AS (SELECT doc_id, trim(coalesce(text, '')) AS t FROM documents),
+d1 AS (SELECT doc_id, t, trim(replace(replace(replace(regexp_extract(t, '(?s)"distilled_response"{_WHITE}*:{_WHITE}*"([^"]+(?:\\.[^"]*)*)"', 1), '\n', chr(10)), '\"', '"'), '\/', '/')) AS quoted, trim(trim(regexp_extract(t, '(?s)"distilled_response"{_WHITE}*:{_WHITE}*([^,}}]+)', 1)), '"') AS bare,
+trim(regexp_replace(t, '(?i)\*\*Distilled Response\*\*{_WHITE}*|\*\*Reasoning\*\*{_WHITE}*|Distilled Response{_WHITE}*|Reasoning{_WHITE}*', '', 'g')) AS plain FROM d0),
+d AS (SELECT doc_id, coalesce(nullif(quoted, ''), nullif(bare, ''), plain) AS t FROM d1), """
+_CUT = f"""c0 AS (SELECT doc_id, t, {_parts_sql("t")} AS ps FROM found),
+c1 AS (SELECT doc_id, t, array_to_string(ps[1 : len(list_filter(range(1, len(ps) + 1), lambda k: list_sum(list_transform(ps[1:k], lambda x: length(x) + 1)) <= 600))], ' ') AS j FROM c0)
+SELECT doc_id, CASE WHEN length(t) > 600 THEN {_ended_sql("j")} ELSE t END AS text FROM c1"""
+
+
+def _said(words, x="x"):
+    return _any_sql(words, f"lower({x})")
+
+
+@R.add(rf"WITH p AS (SELECT doc_id, trim(coalesce(text, '')) AS t, {_sentences_sql("coalesce(text, '')")} AS s FROM documents), c AS (SELECT doc_id, t, s, regexp_replace(array_to_string(s[1:3], ' '), '{_WHITE}*\.\.\.{_WHITE}*$', '') AS j FROM p) SELECT doc_id, CASE WHEN len(s) > 3 THEN {_ended_sql('j')} ELSE t END AS text FROM c")
 def doc_first_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", T.first_sentences(F.col("text")).alias("text"))
 
 
-@R.add()
+@R.add(
+    _DISTILLED
+    + f"""s AS (SELECT doc_id, list_filter({_sentences_sql("t")}, lambda x: NOT {_said(T.FLUFF)} AND ({_said(T.MEASURABLE)} OR {_said(T.ACTIONABLE)}) AND NOT {_said(T.KNOWN_FACTS)}) AS clean FROM d),
+h AS (SELECT doc_id, clean, list_filter(clean[1:6], lambda x: {_said(T.TESTABLE)} OR ({_said(T.MEASURABLE)} AND {_said(T.ACTIONABLE)})) AS testable FROM s),
+b AS (SELECT doc_id, array_to_string(CASE WHEN len(testable) >= 3 THEN testable[1:3] ELSE clean[1:3] END, ' ') AS j FROM h),
+found AS (SELECT doc_id, trim({_ended_sql("j")}) AS t FROM b), """
+    + _CUT
+)
 def doc_hypotheses(spark, d):
     return table(spark, d, "documents").select("doc_id", T.cut_at_sentence(T.hypothesis(F.col("text"))).alias("text"))
 
 
-@R.add()
+_SCORE = " + ".join([f"CASE WHEN {_said(T.ACTIONABLE)} THEN 1 ELSE 0 END", *(f"CASE WHEN {_said(g)} THEN 2 ELSE 0 END" for g in T.METHOD_GROUPS)])
+
+
+@R.add(
+    _DISTILLED
+    + f"""l0 AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda p: trim(p)), lambda p: length(p) > 0) AS ls FROM d),
+l AS (SELECT doc_id, CASE WHEN len(ls) = 1 THEN {_sentences_sql("t")} ELSE ls END AS ls FROM l0),
+s AS (SELECT doc_id, ls, list_transform(ls, lambda x, i: {{'s': -({_SCORE}), 'i': i, 'line': x, 'f': {_said(T.FLUFF)}}}) AS sc FROM l),
+b AS (SELECT doc_id, ls, list_transform(list_sort(list_filter(sc, lambda e: e.s < 0 AND NOT e.f))[1:6], lambda e: e.line) AS best FROM s),
+f AS (SELECT doc_id, ls, best, list_filter(ls, lambda x: NOT list_contains(best, x)) AS rest FROM b),
+found AS (SELECT doc_id, trim(array_to_string(CASE WHEN len(best) < 4 AND len(ls) >= 4 THEN list_concat(best, rest[1 : 4 - len(best)]) ELSE best END, chr(10))) AS t FROM f), """
+    + _CUT
+)
 def doc_methods(spark, d):
     return table(spark, d, "documents").select("doc_id", T.cut_at_sentence(T.methodology(F.col("text"))).alias("text"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import operations as O
 from ..streaming import stateful as S
 from .common import Registry
+from .operations import _LOG
 
 R = Registry()
 _ARMS = {"control": 0.5, "small": 0.3, "large": 0.2}
@@ -35,8 +36,7 @@ def stream_experiment_totals(spark, d):
     return S.drained(S.metric_totals(events, ("arm", "event_type"), "value"), "complete").withColumn("total", F.round("total", 4))
 
 
-@R.add()
+@R.add(_LOG.format(second="epoch_us(ts) / 1e6::DOUBLE", key="user_id, "))
 def stream_rate_limit(spark, d):
-    """No SQL: whether a hit is allowed depends on which ones before it were."""
     hits = _events(spark, d).withColumn("second", F.unix_micros("ts") / 1e6)
     return S.drained(S.limited(hits, "user_id", "second", "event_id", 86400.0, 2))
