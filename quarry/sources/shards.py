@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
+#: Bytes of a file that a checksum takes at a time, and rows whose size as JSON gives the mean size of a row.
+PIECE_BYTES, SIZED_ROWS = 1 << 20, 10_000
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -15,19 +21,59 @@ def row_bytes(df: DataFrame) -> Column:
     return F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
 
 
+def sha256_of_files(spark: SparkSession, path: str, pattern: str = "*.parquet", keep_path: bool = False) -> DataFrame:
+    """(file, bytes, sha256) of the files below a path. Executors read each file as a stream of small pieces, through the file system library
+    of Arrow for its path's scheme, so that no file is ever a cell of a table."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    listed = files.select("path", F.col("length").alias("bytes"))
+
+    def run(batches):
+        for batch in batches:
+            digests = []
+            for name in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                system, inner = pa_fs.FileSystem.from_uri(uri_of(name))
+                with system.open_input_stream(inner) as stream:
+                    while piece := stream.read(PIECE_BYTES):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], ["path", "bytes", "sha256"])
+
+    out = listed.mapInArrow(run, "path string, bytes long, sha256 string")
+    more = [F.col("path").alias("full")] if keep_path else []
+    return out.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", *more)
+
+
+def uri_of(path: str) -> str:
+    """A file path as Arrow wants it: local ones with three slashes."""
+    return re.sub(r"^file:/+", "file:///", path)
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes, sha256) of every data file below a path, read by the executors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return sha256_of_files(spark, path)
+
 
+def write_shards(df: DataFrame, path: str, key: str, shard_bytes: int = 1 << 30, dataset: str = "dataset", run_id: str = "run", rules: dict[str, Column] | None = None, quarantine: str | None = None) -> DataFrame:
+    """Writes one row per key (the first by all columns) in shards of about shard_bytes, and a manifest beside them. Null keys raise. rules
+    are conditions that a row must meet: rows that fail one go, with the first such rule's name as `fault`, to the quarantine folder, or raise
+    without one. Returns the manifest: dataset, run_id, shard_index, file, num_samples, bytes, sha256, schema_version."""
+    from ..operators.contracts import quarantined
 
-def write_shards(df: DataFrame, path: str, key: str, shard_bytes: int = 1 << 30, dataset: str = "dataset", run_id: str = "run") -> DataFrame:
-    """Writes one row per key (the first by all columns) in shards of about shard_bytes, and a manifest beside them. Null keys raise.
-    Returns the manifest: dataset, run_id, shard_index, file, num_samples, bytes, sha256, schema_version."""
     spark = df.sparkSession
-    checked = df.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(F.lit(f"{key} is null"))).otherwise(F.col(key)))
+    rows = df
+    if rules:
+        judged = quarantined(df, rules)
+        if quarantine:
+            judged.where("fault IS NOT NULL").write.mode("append").parquet(quarantine)
+            rows = judged.where("fault IS NULL").drop("fault")
+        else:
+            told = F.raise_error(F.concat(F.lit("a row fails "), F.col("fault")))
+            rows = judged.withColumn(key, F.when(F.col("fault").isNotNull(), told).otherwise(F.col(key))).drop("fault")
+    checked = rows.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(F.lit(f"{key} is null"))).otherwise(F.col(key)))
     once = checked.groupBy(key).agg(F.min(F.struct(*[c for c in df.columns if c != key])).alias("_r")).select(key, "_r.*").select(*df.columns)
-    total = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    mean = df.limit(SIZED_ROWS).agg(F.avg(row_bytes(df))).first()[0] or 0.0
+    total = mean * rows.select(key).distinct().count()
     once.repartitionByRange(max(1, math.ceil(total / shard_bytes)), key).sortWithinPartitions(key).write.option("compression", "zstd").parquet(f"{path}/data")
     manifest = describe(spark, path, dataset, run_id)
     manifest.write.mode("overwrite").json(f"{path}/manifest")
