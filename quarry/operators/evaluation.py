@@ -76,15 +76,33 @@ def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFram
     return per.agg((F.sum("tp") / F.sum("real")).alias("accuracy"), F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg("f").alias("f1"))
 
 
-def auroc(df: DataFrame, truth: Column, score: Column) -> DataFrame:
-    """Area under the curve by the rank sum with ties at mid rank. Rows are counted by score first, and ranks come from bucketed sums."""
+def auroc(df: DataFrame, truth: Column, score: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Area under the curve, of each group if asked for, by the rank sum with ties at mid rank. Rows are counted by score first, and ranks
+    come from bucketed sums."""
     from .ordering import range_bucket, range_edges, running
 
-    by = df.select(truth.cast("int").alias("y"), score.cast("double").alias("s")).where("y IS NOT NULL AND s IS NOT NULL").groupBy("s").agg(F.sum("y").cast("long").alias("pos"), F.count("*").alias("n"))
-    ranked = running(by, range_bucket(F.col("s"), range_edges(by, "s", 32)), [F.col("s")], {"upto": F.col("n")})
+    counts = df.select(*by, truth.cast("int").alias("y"), score.cast("double").alias("s")).where("y IS NOT NULL AND s IS NOT NULL").groupBy(*by, "s").agg(F.sum("y").cast("long").alias("pos"), F.count("*").alias("n"))
+    ranked = running(counts, range_bucket(F.col("s"), range_edges(counts, "s", 32)), [F.col("s")], {"upto": F.col("n")}, by)
     mid = F.col("upto") - (F.col("n") - 1) / 2.0
-    out = ranked.agg(F.sum(mid * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
-    return out.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0, (F.col("p") * (F.col("n") - F.col("p"))).cast("double")).alias("auroc"))
+    out = ranked.groupBy(*by).agg(F.sum(mid * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    return out.select(*by, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0, (F.col("p") * (F.col("n") - F.col("p"))).cast("double")).alias("auroc"))
+
+
+def auroc_of_classes(df: DataFrame, truth: str, scores: str) -> DataFrame:
+    """The mean over ordered pairs of classes (one against one) of the area under the curve. truth: a class from 0; scores: an array with a
+    score for each class. A row takes part in twice as many pairs as there are other classes, and pairs are ranked side by side."""
+    y, s = F.col(truth).cast("int"), F.col(scores)
+    others = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: k != y)
+    positive = F.transform(others, lambda k: F.struct(y.alias("i"), k.alias("j"), F.lit(1).alias("y"), s[y].cast("double").alias("s")))
+    negative = F.transform(others, lambda k: F.struct(k.alias("i"), y.alias("j"), F.lit(0).alias("y"), F.element_at(s, k + 1).cast("double").alias("s")))
+    pairs = df.where(y.between(0, F.size(s) - 1)).select(F.inline(F.concat(positive, negative)))
+    return auroc(pairs, F.col("y"), F.col("s"), ("i", "j")).agg(F.avg("auroc").alias("auroc"))
+
+
+def best_tier(tiers: DataFrame, group: str = "model_id") -> DataFrame:
+    """The highest tier that each group of adoption_tiers()'s rows has reached."""
+    best = F.max(F.when(F.col("reached"), F.col("tier")))  # tiers' names are in order
+    return tiers.groupBy(group).agg(F.coalesce(best, F.lit("Below Tier 1")).alias("tier"))
 
 
 def rmse(truth: Column, predicted: Column) -> Column:

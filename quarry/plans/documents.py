@@ -284,3 +284,37 @@ def doc_update_join(spark, d):
 def doc_upsert(spark, d):
     old = table(spark, d, "documents").select("doc_id", F.lit(-1).cast("long").alias("value"))
     return dedup.upsert(old, table(spark, d, "labels").where("quality = 1").select("doc_id", F.col("quality").cast("long").alias("value")), ("doc_id",))
+
+
+_PAYLOAD = "CASE doc_id % 5 WHEN 0 THEN '{\"distilled_response\": \"a b\", \"x\": 1}' WHEN 1 THEN '**Distilled Response** first part' || chr(10) || chr(10) || 'rest' WHEN 2 THEN '{\"instruction\": 1' WHEN 3 THEN 'see distilled response below **end**' ELSE coalesce(text, '') END"
+
+
+@R.add("SELECT doc_id, doc_id % 5 = 0 AS like_json FROM documents")
+def doc_json_like(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.looks_like_json(F.expr(_PAYLOAD)).alias("like_json"))
+
+
+@R.add(f"SELECT doc_id, sha256(CASE doc_id % 5 WHEN 1 THEN 'first part' WHEN 3 THEN 'below' ELSE trim({_PAYLOAD}) END) AS section FROM documents WHERE doc_id % 5 > 0")
+def doc_section(spark, d):
+    return table(spark, d, "documents").where("doc_id % 5 > 0").select("doc_id", F.sha2(T.section(F.expr(_PAYLOAD)), 256).alias("section"))
+
+
+@R.add("SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 AND text <> '' THEN text WHEN doc_id % 3 < 2 THEN source || chr(10) || lang ELSE 'user: ' || source || chr(10) || 'assistant: ' || lang END) AS content FROM documents")
+def doc_resolved_content(spark, d):
+    k = F.col("doc_id")
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.col("source").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("lang").alias("content")))
+    t = table(spark, d, "documents").select("doc_id", F.when(k % 3 == 0, F.col("text")).alias("text"), F.when(k % 3 < 2, F.col("source")).alias("prompt"), F.col("lang").alias("response"), turns.alias("messages"))
+    return t.select("doc_id", F.sha2(filters.resolved_content(t), 256).alias("content"))
+
+
+@R.add("""WITH o AS (SELECT 'shard-' || lpad(doc_id::VARCHAR, 9, '0') AS shard FROM documents), p AS (SELECT shard, row_number() OVER (ORDER BY md5(concat_ws('|', '42', shard)), shard) AS p, count(*) OVER () AS n FROM o)
+SELECT shard, CASE WHEN p <= floor(n * 0.98 + 0.5) THEN 'train' WHEN p <= floor(n * 0.98 + 0.5) + floor(n * 0.01 + 0.5) THEN 'val' ELSE 'test' END AS split FROM p""")
+def shard_split(spark, d):
+    names = table(spark, d, "documents").select(F.concat(F.lit("shard-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("shard"))
+    return sampling.split(names, ("shard",), {"train": 0.98, "val": 0.01, "test": 0.01})
+
+
+@R.add("SELECT doc_id, row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) AS occurrence FROM documents")
+def doc_occurrences(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    return dedup.occurrence(t, ("digest",), ("doc_id",)).select("doc_id", F.col("occurrence").cast("long").alias("occurrence"))

@@ -126,6 +126,22 @@ def adoption_tiers(spark, d):
     return E.adoption_tiers(E.long_form(values, ["model_id"], values.columns[1:]).withColumnRenamed("score", "value"))
 
 
+_MADE = {"m1": {"top10_accuracy": 0.3, "tanimoto_at1": 0.7, "hitrate_at1": 0.7, "peaks_explained": 0.9, "intensity_explained": 0.9, "formula_match": 0.5}, "m2": {"top10_accuracy": 0.01, "formula_match": 0.95}}
+
+
+@R.add("SELECT * FROM (VALUES ('m1', 'Tier 1'), ('m2', 'Below Tier 1')) v(model_id, tier)")
+def adoption_best_tier(spark, d):
+    rows = [(g, m, v) for g, values in _MADE.items() for m, v in values.items()]
+    return E.best_tier(E.adoption_tiers(spark.createDataFrame(rows, "model_id string, metric string, value double")))
+
+
+@R.add("""WITH e AS (SELECT vec_id, vec_id % 4 AS y, embedding[1:4] AS s FROM embeddings),
+p AS (SELECT a.y AS i, b.y AS j, avg(CASE WHEN a.s[a.y + 1] > b.s[a.y + 1] THEN 1.0 WHEN a.s[a.y + 1] = b.s[a.y + 1] THEN 0.5 ELSE 0.0 END) AS u FROM e a, e b WHERE a.y <> b.y GROUP BY ALL) SELECT round(avg(u)::DOUBLE, 9) AS auroc FROM p""")
+def class_auroc(spark, d):
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 4).alias("y"), F.slice("embedding", 1, 4).alias("s"))
+    return rounded(E.auroc_of_classes(e, "y", "s"), 9)
+
+
 @R.add(_BOARD + ", m AS (SELECT avg(quantity) AS quantity, avg(tax) AS tax FROM b) SELECT v.metric, v.threshold, v.direction, coalesce(CASE v.metric WHEN 'quantity' THEN (SELECT quantity FROM m) >= v.threshold WHEN 'tax' THEN (SELECT tax FROM m) <= v.threshold END, false) AS passed FROM (VALUES ('quantity', 2.0::DOUBLE, 'min'), ('tax', 0.1::DOUBLE, 'max'), ('other', 1.0::DOUBLE, 'min')) v(metric, threshold, direction)")
 def rubric_verdicts(spark, d):
     b = E.leaderboard(_scores(spark, d, prompts=False), METRICS).agg(F.avg("quantity").alias("quantity"), F.avg("tax").alias("tax"), F.lit(1).alias("one"))

@@ -122,3 +122,11 @@ def spectrum_explained(spark, d):
     seen = s.select("vec_id", F.inline(A.peaks(F.col("mzs"), F.col("intensities"))))
     said = seen.where("mz % 2 = 1").select("vec_id", (F.col("mz") + (F.col("vec_id") % 5) * 0.004).alias("mz"), "i")
     return rounded(V.explained(seen, said, "vec_id"))
+
+
+@R.add("SELECT vec_id, round(list_max(embedding[1:60]), 6) AS top, round(list_sum(list_transform(embedding[1:60], lambda x: x::DOUBLE / CASE WHEN list_max(embedding[1:60]) > 0 THEN list_max(embedding[1:60])::DOUBLE ELSE 1 END)), 6) AS total, 100 AS length FROM embeddings")
+def spectrum_fitted(spark, d):
+    """Cut to 60 peaks and filled up to 100 with zeros, then divided by the largest."""
+    v = A.fitted(F.slice("embedding", 1, 60).cast("array<double>"), 100)
+    e = table(spark, d, "embeddings").select("vec_id", F.array_max(v).alias("top"), A.total(A.normalised(v)).alias("total"), F.size(v).alias("length"))
+    return rounded(e)
