@@ -258,8 +258,13 @@ def classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             joined = joined.union(more)
         return common.materialise(connected(joined), "classes")
 
-    # The first of each class in its bucket meets those of the other classes.
+    # Only buckets that hold several classes are looked at again.
     own = labelled(rows)
+    several = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    own = common.materialise(own.join(several, "key"), "mixed")
+    if not own.head(1):
+        return found
+    # The first of each class in its bucket meets those of the other classes.
     firsts = own.groupBy("key", "root").agg(F.min(F.struct("node", "n", "first")).alias("m")).select("key", "root", "m.*", F.lit(1).alias("rep"))
     reps = mixed(firsts, "c > 2 OR p1 > 1")  # two classes alone have met: one of them holds the bucket's first text
     links = apart(reps, hashes, star, threshold)
@@ -267,7 +272,7 @@ def classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found = merged(links)
     # Then texts of classes of which more than the first are in the bucket.
     marks = firsts.select("key", "node", F.lit(1).alias("rep"))
-    crowd = labelled(rows.join(marks, ["key", "node"], "left").withColumn("rep", F.coalesce("rep", F.lit(0))))
+    crowd = labelled(own.drop("root").join(marks, ["key", "node"], "left").withColumn("rep", F.coalesce("rep", F.lit(0))))
     crowd = mixed(crowd, "p0 = 0")
     links = apart(crowd, hashes, star, threshold)
     return merged(links) if links else found
