@@ -71,6 +71,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+#: All windows of all documents, where the operator takes those around repeated fingerprints only.
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT rn, doc_id, i, ls[i] AS line, len(regexp_extract_all(ls[i], '[^ \t\n\r\x0B\f]+')) AS w FROM (SELECT rn, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+c AS (SELECT rn, doc_id, i, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, w, row_number() OVER (PARTITION BY rn ORDER BY i) - 1 AS k, sum(w) OVER (PARTITION BY rn ORDER BY i) AS upto FROM l WHERE w > 0),
+f AS (SELECT a.rn, a.doc_id, a.k AS s, min(b.k) + 1 AS e FROM c a JOIN c b ON a.rn = b.rn AND b.k >= a.k AND b.upto - a.upto + a.w >= 50 GROUP BY ALL),
+g AS (SELECT b.rn, b.doc_id, max(a.k) AS s, b.k + 1 AS e FROM c a JOIN c b ON a.rn = b.rn AND b.k >= a.k AND b.upto - a.upto + a.w >= 50 GROUP BY b.rn, b.doc_id, b.k),
+w AS (SELECT DISTINCT rn, doc_id, s, e FROM (SELECT * FROM f UNION ALL SELECT * FROM g)),
+h AS (SELECT w.rn, w.doc_id, w.s, w.e, sha256(string_agg(c.t, chr(10) ORDER BY c.k)) AS h FROM w JOIN c ON c.rn = w.rn AND c.k >= w.s AND c.k < w.e GROUP BY ALL),
+o AS (SELECT *, first_value(rn) OVER p AS rn0, first_value(s) OVER p AS s0 FROM h WINDOW p AS (PARTITION BY h ORDER BY doc_id NULLS LAST, s)),
+r AS (SELECT rn, CASE WHEN rn = rn0 THEN greatest(s, s0 + e - s) ELSE s END AS b, e FROM o WHERE rn <> rn0 OR s <> s0),
+x AS (SELECT DISTINCT c.rn, c.i FROM r JOIN c ON c.rn = r.rn AND c.k >= r.b AND c.k < r.e),
+n AS (SELECT l.rn, count(*) FILTER (l.w > 0) AS n_lines, count(x.i) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (x.i IS NULL) AS left_over FROM l LEFT JOIN x ON x.rn = l.rn AND x.i = l.i GROUP BY l.rn)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN coalesce(n_removed, 0) = 0 THEN text WHEN n_removed = n_lines THEN '' ELSE left_over END AS text FROM d LEFT JOIN n USING (rn)
+"""
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_dup_classes(table(spark, sf_dir, "documents"))
 
@@ -99,4 +116,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_crf_quality, op2_decontaminate, op3_ppm_language, op4_lstm_main_text, op5_byte_bpe, op6_token_counts, op7_line_dedup, op8_order_minhash, op9_hash_tree_shards, op10_grammar_secrets, pipeline)
 }
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL}
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_line_dedup": OP7_SQL}
