@@ -5,7 +5,8 @@ node that stands for what is left of its string once the longest matching pieces
 pieces are popped on the way. A word is then read once, byte by byte, and only counts are added up; no piece is built.
 
 A word is a run of bytes other than ASCII white space; a mark (one space byte, as in the vocabulary) goes before it. Words are read
-side by side, one byte of every word at a time. The vocabulary must hold every single byte, so that any word can be matched.
+side by side, one byte of every word at a time. The vocabulary must hold every single byte, so that any word can be matched; the query takes
+the pieces of the byte-level ranks as its vocabulary, and their ranks play no part.
 
 Cases: a null or empty text has no words and no tokens; texts and words of any length are read whole; each row gives a row.
 """
