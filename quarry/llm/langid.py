@@ -5,9 +5,13 @@ language has seen; where it is new there, an escape leads to the next shorter on
 method C), down to the empty context and last to all bytes that the language has never seen. The probabilities of the 256 bytes
 after any context sum to one, so a text's summed code length is exact. The language that codes a text shortest is predicted.
 
-A further model, `none`, has no context: each byte by its share of all languages' training bytes. A text that it codes shorter than every
-language does is in none of them. The score of a prediction is the weight of its language among all models, none included, where a
-model's weight falls with its code length in bits; so a text in no learned language, however long, has a score near 0.
+A text is in none of the languages if one of two models without context codes it shorter than every language does, by a bit that says
+which: `shares`, each byte by its share of all languages' training bytes mixed with 1/256 at the weight `UNIFORM`, and 8 bits for every byte.
+The first meets letters in no order, the second other scripts and coded data, whose bytes a language must escape to.
+
+The score of a prediction is the weight of its language among all languages and that better model without context; a model's weight falls
+with its mean code length per byte times `SCORE_BYTES` (times the text's bytes where it has fewer). So it does not run to 0 or 1 with the
+length of the text: it says how far apart the models are on a stretch of that length.
 
 A byte's code length depends on the four bytes before it only (a text begins after four line feeds). The lengths of the five-byte
 windows of the training sample are laid out in one table for all languages, the most frequent ones first, up to `TABLE_CELLS` numbers;
@@ -35,7 +39,9 @@ from . import common
 
 ORDER = 4
 PAD = b"\n" * ORDER
-PER_LANGUAGE, TRAIN_BYTES, SAMPLE_BYTES = 600, 1 << 15, 1 << 29
+PER_LANGUAGE, TRAIN_BYTES, SAMPLE_BYTES = 600, 1 << 13, 1 << 25
+#: The uniform part of the byte shares, and the stretch that a score is for.
+UNIFORM, SCORE_BYTES = 1 / 64, 4
 #: Code lengths in the table: 4 bytes each, on the driver and in each task.
 TABLE_CELLS = 1 << 25
 #: Windows outside the table whose lengths a task keeps.
@@ -150,15 +156,15 @@ class Model:
             bytes_ += np.bincount(keys & 255, weights=times, minlength=256)
             if len(keys) > (most := cells // (len(counts) + 1)):
                 keys = keys[np.sort(np.argsort(-times, kind="stable")[:most])]
-        self.none = -np.log2(bytes_ / bytes_.sum())
+        self.shares = -np.log2((1 - UNIFORM) * bytes_ / bytes_.sum() + UNIFORM / 256)
         self.table = Table(keys)
         self.costs = self.cost(self.table.keys)
 
     def cost(self, keys: np.ndarray) -> np.ndarray:
-        return np.stack([*(t.bits(keys) for t in self.trees), self.none[keys & 255]], axis=1).astype(np.float32)
+        return np.stack([*(t.bits(keys) for t in self.trees), self.shares[keys & 255]], axis=1).astype(np.float32)
 
     def lengths(self, texts: list[bytes], kept: dict[int, np.ndarray] | None = None) -> np.ndarray:
-        """Code lengths in bits: a row per text, a column per language and one, the last, of the model without context."""
+        """Code lengths in bits: a row per text, a column per language and one, the last, by byte shares alone."""
         keys, ends = windows(texts)
         row = self.table.find(keys)
         costs = self.costs[row]
@@ -176,16 +182,20 @@ class Model:
         sums[ends[::2] == ends[1::2]] = 0
         return sums
 
-    def predict(self, texts: list[str | None], kept: dict | None = None) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], kept: dict | None = None) -> tuple[list[str], list[float], list[bool]]:
+        """Of each text the language, the score, and whether it is in a learned language at all."""
         if not self.langs or not texts:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        bits = self.lengths([(t or "").encode() for t in texts], kept)
+            return ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        data = [(t or "").encode() for t in texts]
+        bits, size = self.lengths(data, kept), np.array([max(1, len(t)) for t in data])
+        bits[:, -1] = np.minimum(bits[:, -1], 8 * size) + 1
         best = bits[:, :-1].argmin(axis=1)
-        gap = np.minimum((bits - bits.min(axis=1, keepdims=True)) * np.log(2), 700)
-        weight = np.exp(-gap)
-        score = weight[np.arange(len(best)), best] / weight.sum(axis=1)
+        least = bits[np.arange(len(best)), best]
+        weight = np.exp2(-np.clip((bits - least[:, None]) * np.minimum(1, SCORE_BYTES / size)[:, None], -1000, 1000))
+        score = 1 / weight.sum(axis=1)
         ok = [has_letter(t) for t in texts]
-        return [self.langs[b] if o else "und" for b, o in zip(best, ok)], [float(s) if o else 0.0 for s, o in zip(score, ok)]
+        inside = least <= bits[:, -1]
+        return [self.langs[b] if o else "und" for b, o in zip(best, ok)], [float(s) if o else 0.0 for s, o in zip(score, ok)], [bool(i and o) for i, o in zip(inside, ok)]
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, train_bytes: int = TRAIN_BYTES, sample_bytes: int = SAMPLE_BYTES) -> Model:
@@ -212,10 +222,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, train_bytes: int =
 
     grams = sample.mapInArrow(count, "lang string, w long, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
     found = grams.toArrow()  # bounded by the sample
-    names = np.array(found["lang"].to_pylist(), dtype=object)
-    w, n = found["w"].to_numpy(), found["n"].to_numpy()
-    langs = sorted(set(names))
-    return Model(langs, [(w[names == lang], n[names == lang]) for lang in langs])
+    names = found["lang"].combine_chunks().dictionary_encode()
+    of, w, n = names.indices.to_numpy(), found["w"].to_numpy(), found["n"].to_numpy()
+    number = {lang: i for i, lang in enumerate(names.dictionary.to_pylist())}
+    return Model(sorted(number), [(w[of == number[lang]], n[of == number[lang]]) for lang in sorted(number)])
 
 
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -228,15 +238,15 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
         m = shared.value
         kept: dict[int, np.ndarray] = {}
         for batch in common.slices(batches, budget=1 << 20):
-            langs, scores = m.predict(common.texts(batch), kept)
+            langs, scores, _ = m.predict(common.texts(batch), kept)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_column, "lang_pred", "score"])
 
     return source.mapInArrow(run, f"`{id_column}` {source.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_column: str = "text", lang_column: str | None = "lang") -> DataFrame:
-    """The documents whose language is known with a score of least or more: not those without a letter, and not those that the model
-    without context codes shorter than any language does. A null in lang_column, if the table has it, becomes the predicted language."""
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.0, text_column: str = "text", lang_column: str | None = "lang") -> DataFrame:
+    """The documents in a learned language, with a score of least or more: not those without a letter, and not those that a model without
+    context codes shorter than any language does. A null in lang_column, if the table has it, becomes the predicted language."""
     spark = common.text_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     column = docs.columns.index(lang_column) if lang_column in docs.columns and dict(docs.dtypes)[lang_column] == "string" else None
@@ -245,10 +255,10 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_colu
         m = shared.value
         kept: dict[int, np.ndarray] = {}
         for batch in common.slices(batches, text_column, 1 << 20):
-            langs, scores = m.predict(common.texts(batch, text_column), kept)
+            langs, scores, inside = m.predict(common.texts(batch, text_column), kept)
             if column is not None:
                 given = batch.column(column)
                 batch = batch.set_column(column, batch.schema.field(column), pc.if_else(pc.is_null(given), pa.array(langs, given.type), given))
-            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)]))
+            yield batch.filter(pa.array([i and s >= least for i, s in zip(inside, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -90,6 +90,37 @@ def test_texts_in_no_learned_language_go_and_missing_languages_are_filled(spark)
     assert {x.doc_id - 100: x.lang for x in kept} == {x.doc_id: x.lang for x in some}
 
 
+#: A few sentences each of scripts that no document of the corpus is in.
+FOREIGN = (
+    "Вчера вечером мы долго гуляли по набережной и говорили о том, как изменился город за последние годы.",
+    "昨日の夜、私たちは川沿いを長い間歩きながら、この町がどれほど変わったかについて話しました。",
+    "Χθες το βράδυ περπατήσαμε πολλή ώρα στην παραλία και μιλήσαμε για το πόσο άλλαξε η πόλη.",
+    "אתמול בערב הלכנו זמן רב לאורך הטיילת ודיברנו על כמה העיר השתנתה בשנים האחרונות.",
+    "कल शाम हम देर तक नदी के किनारे टहलते रहे और बात करते रहे कि शहर कितना बदल गया है।",
+    "مشينا مساء أمس طويلا على شاطئ البحر وتحدثنا عن مدى تغير المدينة في السنوات الأخيرة.",
+)
+
+
+def test_other_scripts_are_in_no_language_and_no_document_is_lost(spark):
+    docs = common.table(spark, SF, "documents")
+    model = langid.train(docs)
+    odd = [(i, t * n, None) for i, t in enumerate(FOREIGN) for n in (1, 40)]
+    odd += [(100, "p. 12, 2019: " + FOREIGN[0] + " (vol. 3)", None)]
+    kept = langid.keep_identified(spark.createDataFrame(odd, "doc_id long, text string, lang string"), model)
+    assert kept.collect() == []
+    scores = [r.score for r in langid.identify(spark.createDataFrame(odd, "doc_id long, text string, lang string"), model).collect()]
+    assert max(scores) < 0.5
+    assert langid.keep_identified(docs, model).count() == sum(langid.has_letter(r.text) for r in docs.collect())
+
+
+def test_scores_do_not_run_to_one_with_length():
+    """The mean code length of a stretch counts, so a text's score and that of its repetition are near each other."""
+    m = small_model()
+    mixed = "the cat und der hund and the hat sat der hut "
+    _, scores, _ = m.predict([mixed * n for n in (3, 30, 300)])
+    assert max(scores) - min(scores) < 0.2 and max(scores) < 0.999
+
+
 def test_a_smaller_table_and_many_languages_give_the_same_lengths(spark):
     m = small_model()
     keys, ends = langid.windows([b"the cat", b"der hund"])

@@ -12,6 +12,7 @@ import corpus_pipeline
 from quarry.llm import bpe, common, queries
 
 from .. import oracle
+from .test_langid import FOREIGN
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,6 +43,14 @@ def test_language_stage_keeps_texts_with_letters(stages):
     assert not any(any(c.isalpha() for c in t or "") and len((t or "").split()) > 50 for t in gone.text)
 
 
+def test_language_stage_fills_no_language_of_a_foreign_text(spark):
+    docs = common.table(spark, SMALL, "documents")
+    foreign = [(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(FOREIGN)]
+    got = corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(foreign, docs.schema)), SMALL)
+    assert got.where("doc_id >= 1000000000").count() == 0
+    assert got.where("lang IS NULL").count() == 0
+
+
 def test_near_duplicate_stage_keeps_one_of_each_class(spark, stages):
     before, after = stages[2], stages[3]
     shingles = {}
