@@ -16,7 +16,7 @@ class with most shingles in a bucket meet only those of the others. So a bucket
 times the strangers'. No pair at the threshold that shares a sketch is lost.
 
 Texts are nodes by 64-bit hash, so exact copies are one node however many they are. Hashes of different texts that fall together are found by
-a second 64-bit hash, and those texts are hashed anew. A text's shingles are hashed once for all comparisons. Classes come from alternating
+a second 64-bit hash with another seed, and those texts are hashed anew. A text's shingles are hashed once for all comparisons. Classes come from alternating
 large-star and small-star steps.
 
 Cases: null texts and texts without a word link to nothing; texts of one to four words have one shingle, all their words. Rows with
@@ -137,8 +137,14 @@ _HAS_WORD = r"[^ \t\n\x0B\f\r]"
 
 
 def hashed(text: str, salt: int = 0) -> Column:
-    """The node of a text column: null where there is no word. salt: how often its hash has fallen together with that of another text."""
-    return F.when(F.regexp_like(text, F.lit(_HAS_WORD)), F.xxhash64(text, F.lit(salt)) if salt else F.xxhash64(text))
+    """The node of a text column: null where there is no word. salt: how often its hash has fallen together with that of another text.
+    xxhash64 takes the hash of each argument as the seed of the next, so the salt stands first: behind the text it would add nothing."""
+    return F.when(F.regexp_like(text, F.lit(_HAS_WORD)), F.xxhash64(F.lit(salt), text) if salt else F.xxhash64(text))
+
+
+def checked(text: str) -> Column:
+    """A hash of a text column that does not follow from hashed()."""
+    return F.xxhash64(F.lit("check"), text)
 
 
 def collisions(df: DataFrame, text: str) -> list[DataFrame]:
@@ -146,7 +152,7 @@ def collisions(df: DataFrame, text: str) -> list[DataFrame]:
     out: list[DataFrame] = []
     while True:
         found = with_nodes(df.select(text), text, "node", out).where("node IS NOT NULL").groupBy("node")
-        found = found.agg(F.min(F.xxhash64(text, F.lit("check"))).alias("a"), F.max(F.xxhash64(text, F.lit("check"))).alias("b")).where("a < b")
+        found = found.agg(F.min(checked(text)).alias("a"), F.max(checked(text)).alias("b")).where("a < b")
         found = common.materialise(found.select("node"), "collisions")
         if not found.head(1):
             return out
