@@ -95,7 +95,9 @@ def signed(x: int) -> int:
 
 
 def free(name: str, taken: list[str]) -> str:
-    while name in taken:
+    """The name with as many underscores as set it apart from the others, whatever their case: Spark does not tell names apart by it."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
         name += "_"
     return name
 

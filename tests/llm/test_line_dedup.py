@@ -70,5 +70,7 @@ def test_ties_nulls_and_clashing_names(spark):
     assert sorted(r.n_removed for r in got) == [1, 2, 3, 4, 5, 6] and dict(line_dedup.dedup(df).dtypes)["n_removed"] == "int"
     by = sorted((r.doc_id or 9, r.text if r.text is not None else "~", r.n_removed_) for r in got)
     assert by == [(1, "", 1), (1, text, 0), (2, "", 0), (2, "~", 0), (3, "short", 0), (9, "", 1)]
+    cased = line_dedup.dedup(df.withColumnRenamed("n_removed", "N_LINES")).collect()
+    assert set(cased[0].asDict()) == {"doc_id", "text", "gone", "N_LINES", "n_lines_", "n_removed"} and sorted(r.N_LINES for r in cased) == [1, 2, 3, 4, 5, 6]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.dedup(empty).collect() == []
