@@ -128,6 +128,7 @@ def blocks(page: str | None, paths: Paths | None = None) -> list[Block]:
     paths = paths or Paths()
     stack: list[Node] = [paths.start()]
     open_at: dict[str, list[int]] = {}  # places in the stack by tag
+    unclosed: set[str] = set()  # tags of raw elements that nothing ahead closes
     parts: list[str] = []
     link = linked = at = 0
 
@@ -175,7 +176,9 @@ def blocks(page: str | None, paths: Paths | None = None) -> list[Block]:
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW or tag in RAW_IF_CLOSED:
-            end = re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
+            end = None if tag in unclosed else re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
+            if end is None:
+                unclosed.add(tag)
             if end:
                 at = end.end()
             elif tag in RAW and not attributes.endswith("/"):
