@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hash_tree, html_blocks, langid, line_dedup, near_dups, quality_crf, secret_scan, wordpiece
+from . import bpe, decontaminate, filter_audit, hash_tree, html_blocks, kmeans_tree, langid, line_dedup, near_dups, quality_crf, resampling, secret_scan, wordpiece
 from .common import fold, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -106,6 +106,81 @@ def op10_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\x0B\f]+') AS w FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (
+  SELECT part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(min(w.doc_id) OVER (PARTITION BY t) < w.doc_id, min(w.doc_id) OVER (PARTITION BY t) IS NOT NULL) AS e,
+    CAST(coalesce(good, FALSE) AS INT) AS good, CAST(coalesce(toxic, FALSE) AS INT) AS toxic
+  FROM w LEFT JOIN l USING (doc_id)),
+k AS (
+  SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails, good, toxic FROM m),
+n AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM k GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT concat(p.x, q.x, r.x, s.x, t.x) AS o FROM f p, f q, f r, f s, f t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+s AS (SELECT o, step, substr(o, CAST(step AS INT), 1) AS own, substr(o, 1, CAST(step AS INT) - 1) AS before FROM o, range(1, 6) AS g(step)),
+x AS (
+  SELECT part, n, n.good, n.toxic, o, step, contains(fails, own) AS hit, len(translate(fails, before, '')) < len(fails) AS gone, len(fails) AS size
+  FROM n, s)
+SELECT part, o AS filter_order, CAST(step AS INT) AS step, CAST(sum(CASE WHEN hit OR gone THEN 0 ELSE n END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN hit AND size = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails, CAST(sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost, CAST(sum(CASE WHEN hit THEN n * 120 // size ELSE 0 END) AS BIGINT) AS shapley
+FROM x GROUP BY part, o, step
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The crc32 of a feature byte by byte, from the table of its polynomial; each different feature once.
+OP12_SQL = r"""
+WITH tab AS (
+  SELECT list(c ORDER BY b) AS tab FROM (
+    SELECT b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, i : CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS g(b))),
+d AS (
+  SELECT 0 AS side, row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+g AS (
+  SELECT side, rn, array_to_string(w[i : i + n - 1], ' ') AS f
+  FROM (SELECT side, rn, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, range(1, 4) AS k(n) WHERE len(w) >= n)),
+c AS (SELECT side, rn, f, count(*) AS n FROM g GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM c)),
+b AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i : CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+    lambda c, y : xor(c >> 8, tab[CAST(xor(c & 255, y) AS INT) + 1])), 4294967295) % 10000 AS bucket
+  FROM h, tab),
+e AS (SELECT side, rn, bucket, sum(n) AS n FROM c JOIN b USING (f) GROUP BY ALL),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM e GROUP BY bucket),
+z AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) + 10000 AS zs, CAST(coalesce(sum(t), 0) AS DOUBLE) + 10000 AS zt FROM s),
+a AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * zs / ((CAST(s AS DOUBLE) + 1) * zt))) AS BIGINT) AS gain FROM s, z),
+q AS (SELECT rn, sum(n) AS n_features, sum(n * gain) AS weight FROM e JOIN a USING (bucket) WHERE side = 0 GROUP BY rn),
+r AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN q USING (rn) WHERE side = 0),
+v AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM r),
+u AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS nth, count(*) FILTER (n_words >= 20) OVER () AS total FROM v)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN n_words >= 20 AND nth <= 5 * total // 100 THEN nth END AS BIGINT) AS rank FROM u
+"""
+
+
+def op13_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = kmeans_tree.neighbours(rows, rows.where("vec_id % 100 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,6 +189,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_crf_quality, op2_decontaminate, op3_ppm_language, op4_lstm_main_text, op5_byte_bpe, op6_token_counts, op7_line_dedup, op8_order_minhash, op9_hash_tree_shards, op10_grammar_secrets, pipeline)
+    for f in (op1_crf_quality, op2_decontaminate, op3_ppm_language, op4_lstm_main_text, op5_byte_bpe, op6_token_counts, op7_line_dedup, op8_order_minhash, op9_hash_tree_shards, op10_grammar_secrets, op11_filter_audit, op12_importance_resampling, op13_kmeans_tree_neighbours, pipeline)
 }
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_line_dedup": OP7_SQL, "op11_filter_audit": OP11_SQL, "op12_importance_resampling": OP12_SQL}

@@ -104,7 +104,7 @@ def test_op2_matches_its_sql(spark):
     oracle.check(queries.op2_decontaminate(spark, SMALL), queries.OP2_SQL, SMALL)
 
 
-@pytest.mark.parametrize("name", ["op1_crf_quality", "op4_lstm_main_text", "op5_byte_bpe", "op6_token_counts", "op9_hash_tree_shards", "op10_grammar_secrets"])
+@pytest.mark.parametrize("name", ["op1_crf_quality", "op4_lstm_main_text", "op5_byte_bpe", "op6_token_counts", "op9_hash_tree_shards", "op10_grammar_secrets", "op12_importance_resampling"])
 def test_queries_give_a_row_for_each_input_row(spark, name):
     source, key = ("pages", "page_id") if name.startswith("op4") else ("documents", "doc_id")
     got = queries.QUERIES[name](spark, SMALL)
@@ -114,7 +114,7 @@ def test_queries_give_a_row_for_each_input_row(spark, name):
 
 def test_registered():
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
-    assert [n.split("_")[0] for n in queries.QUERIES if n != "pipeline"] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES if n != "pipeline"] == [f"op{i}" for i in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
 
 
