@@ -3,14 +3,14 @@
 1. Tree. k-means of `BRANCH` centres on a bounded sample of the vectors, then on each cell's part of the sample again, until cells hold few enough.
    The tree is small and goes to every task.
 2. Index. Every vector goes down to the nearest child at each level; its leaf is stored beside it. Equal vectors are one entry with their least
-   ids, as many as a result can name, so that a vector with very many copies is no large leaf. A leaf of more than `BLOCK_ROWS` entries is cut
-   into blocks by hash.
+   ids, as many as a result can name, so that a vector with very many copies is no large leaf. Leaves side by side in the tree share a block of
+   at most `BLOCK_ROWS` entries; a larger leaf is cut into blocks by hash.
 3. Traversal. A priority queue holds cells by distance of their centre from the query; the nearest one is opened, its children are pushed, and
    leaves are visited in the order in which they come up.
 4. Calibration. A bounded sample of the queries is answered by brute force over all vectors, in one pass. For each true neighbour the traversal
-   says as how manyth leaf its own comes up; the number of visits is widened, by half each time, until the share found reaches `recall`.
-5. Search. (query, leaf) rows of that many visits meet the blocks of the leaves; queries of a leaf that many visit are dealt into slots. Each pair
-   of block and slot gives the nearest few of each query, and those are merged by query.
+   says as how manyth leaf its own comes up; the number of visits is widened, by an eighth each time, until the share found reaches `recall`.
+5. Search. A query goes once to each block that holds leaves of its visits, with their list, and meets those leaves' entries alone; the queries of a
+   block that many visit are dealt into slots. Each block and slot gives the nearest few of each query, and those are merged by query.
 
 Distances are Euclidean, in doubles, from the original values; ties go to the smaller id. Equal query vectors are searched once.
 
@@ -34,7 +34,7 @@ NEAREST, EVERY, RECALL = 10, 100, 0.97
 BRANCH, LEAF_ROWS, MOST_LEAVES, ROUNDS = 16, 128, 8192, 8
 #: Bytes of the sample that the tree is fitted on, and the queries that the visits are calibrated with.
 SAMPLE_BYTES, SAMPLE_PER_LEAF, PROBES = 64 << 20, 40, 256
-#: Entries of a leaf and queries that meet in one group.
+#: Entries of a block and queries that meet in one group.
 BLOCK_ROWS, SLOT_ROWS = 4096, 2048
 #: Numbers of a distance matrix at a time.
 CELLS = 1 << 21
@@ -160,7 +160,7 @@ def entries(rows: DataFrame, n: int) -> DataFrame:
 
 
 class Index:
-    """The tree and the stored entries (key, v, ids, leaf, block)."""
+    """The tree, the stored entries (a, b, v, ids, leaf), and the blocks of each leaf."""
 
     def __init__(self, rows: DataFrame, n: int, leaf_rows: int = LEAF_ROWS, most_leaves: int = MOST_LEAVES, sample_bytes: int = SAMPLE_BYTES):
         spark = common.text_batches(rows.sparkSession)
@@ -181,7 +181,19 @@ class Index:
 
         kinds = f"a long, b long, v array<double>, ids {distinct.schema['ids'].dataType.simpleString()}, leaf long"
         self.entries = common.materialise(distinct.select("key.a", "key.b", "v", "ids").mapInArrow(descend, kinds), "leaves")
-        self.sizes = common.materialise(self.entries.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "sizes")  # a row per leaf
+        self.blocks = blocks_of({r[0]: r[1] for r in self.entries.groupBy("leaf").count().collect()})  # a row per leaf of the tree
+
+
+def blocks_of(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """leaf: (its first block, how many it is cut into). Small leaves are put together in the tree's order."""
+    out: dict[int, tuple[int, int]] = {}
+    block = filled = 0
+    for leaf, n in sorted(sizes.items()):
+        if filled and filled + n > BLOCK_ROWS:
+            block, filled = block + 1, 0
+        out[leaf] = (block, max(1, -(-n // BLOCK_ROWS)))
+        block, filled = (block, filled + n) if n <= BLOCK_ROWS else (block + out[leaf][1], 0)
+    return out
 
 
 def truth(probes: np.ndarray, index: Index, n: int) -> list[list[int]]:
@@ -217,47 +229,60 @@ def calibrate(index: Index, probes: np.ndarray, n: int, recall: float) -> tuple[
         places += [place[leaf] for leaf in leaves]
     visits, places = 1, np.array(places)
     while visits < tree.leaves and (places < visits).mean() < recall:
-        visits = min(tree.leaves, visits + max(1, visits // 2))
+        visits = min(tree.leaves, visits + max(1, visits // 8))
     return visits, float((places < visits).mean()) if len(places) else 1.0
 
 
 def search(index: Index, queries: DataFrame, visits: int, n: int) -> DataFrame:
     """(key, found): of each query vector the n nearest (d, id) in the leaves that it visits. queries: key, v, stored."""
-    shared, blocks = index.shared, index.sizes
-    small = common.small_enough(blocks, 16)  # at most the leaves of the tree
+    spark, shared = queries.sparkSession, index.shared
+    blocks = spark.sparkContext.broadcast(index.blocks)
 
     def visit(batches):
         for batch in batches:
             if batch.num_rows:
-                leaves = [shared.value.visits(q, visits) for q in matrix(batch.column(2))]
-                take = pa.array(np.repeat(np.arange(len(leaves)), [len(x) for x in leaves]))
-                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array([x for own in leaves for x in own], pa.int64())], ["a", "b", "v", "leaf"])
-
-    asked = queries.select("key.a", "key.b", "v").mapInArrow(visit, "a long, b long, v array<double>, leaf long")
+                row, block, leaves = [], [], []
+                for r, q in enumerate(matrix(batch.column(2))):
+                    own: dict[int, list[int]] = {}
+                    for leaf in shared.value.visits(q, visits):
+                        first, n = blocks.value.get(leaf, (0, 0))  # leaves that hold nothing have no block
+                        for k in range(first, first + n):
+                            own.setdefault(k, []).append(leaf)
+                    row += [r] * len(own)
+                    block += own.keys()
+                    leaves += own.values()
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(block, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], ["a", "b", "v", "block", "leaves"])
+
+    asked = queries.select("key.a", "key.b", "v").mapInArrow(visit, "a long, b long, v array<double>, block long, leaves array<long>")
     asked = common.materialise(asked, "visits")
-    slots = common.materialise(asked.groupBy("leaf").agg(F.ceil(F.count("*") / SLOT_ROWS).cast("int").alias("slots")), "slots")
-    sides = slots.join(F.broadcast(blocks) if small else blocks, "leaf")  # leaves that hold nothing go
-    sides = common.materialise(sides, "sides")
-    sides = F.broadcast(sides) if small else sides
-
-    def part(of: str) -> Column:
-        return F.pmod(F.xxhash64("a", "b"), F.col(of)).cast("int")
-
-    def every(of: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-
-    left = asked.join(sides, "leaf").select("leaf", every("blocks").alias("block"), part("slots").alias("slot"), "a", "b", "v")
-    right = index.entries.join(sides, "leaf").select("leaf", part("blocks").alias("block"), every("slots").alias("slot"), "v", "ids")
+    slots = common.materialise(asked.groupBy("block").agg(F.ceil(F.count("*") / SLOT_ROWS).cast("int").alias("slots")), "slots")
+    slots = F.broadcast(slots) if common.small_enough(slots, 16) else slots
+    homes = spark.createDataFrame([(leaf, first, n) for leaf, (first, n) in index.blocks.items()], "leaf long, first long, n int")  # a row per leaf of the tree
+    at = F.pmod(F.xxhash64("a", "b"), F.col("n"))
+    held = index.entries.join(F.broadcast(homes), "leaf").withColumn("block", F.col("first") + at)
+    left = asked.join(slots, "block").select("block", F.pmod(F.xxhash64("a", "b"), F.col("slots")).cast("int").alias("slot"), "a", "b", "v", "leaves")
+    right = held.join(slots, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "leaf", "v", "ids")
     kind = index.entries.schema["ids"].dataType.elementType.simpleString()
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        best = nearest(matrix(left["v"]), matrix(right["v"]), right["ids"].to_pylist(), n) if left.num_rows and right.num_rows else []
+        best: list[list] = [[] for _ in range(left.num_rows)]
+        if left.num_rows and right.num_rows:
+            q, x, leaf, ids = matrix(left["v"]), matrix(right["v"]), right["leaf"].to_numpy(), right["ids"].to_pylist()
+            asks: dict[int, list[int]] = {}
+            for r, leaves in enumerate(left["leaves"].to_pylist()):
+                for k in leaves:
+                    asks.setdefault(k, []).append(r)
+            for k, mine in asks.items():
+                rows = np.flatnonzero(leaf == k)
+                for r, own in zip(mine, nearest(q[mine], x[rows], [ids[i] for i in rows], n)):
+                    best[r] = sorted(best[r] + own)[:n]
         found = [(r, d, i) for r, own in enumerate(best) for d, i in own]
         take, d, ids = zip(*found) if found else ((), (), ())
         take = pa.array(take, pa.int64())
         return pa.table([left["a"].take(take), left["b"].take(take), pa.array(d, pa.float64()), pa.array(ids, right["ids"].type.value_type)], ["a", "b", "d", "id"])
 
-    met = left.groupBy("leaf", "block", "slot").cogroup(right.groupBy("leaf", "block", "slot"))
+    met = left.groupBy("block", "slot").cogroup(right.groupBy("block", "slot"))
     rows = met.applyInArrow(meet, f"a long, b long, d double, id {kind}").select(F.struct("a", "b").alias("key"), "d", "id")
     best = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("d", "id"))).where(F.col("nth") <= n)
     return best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("d", "id"))).alias("found"))
