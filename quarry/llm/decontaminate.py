@@ -4,8 +4,8 @@ The corpus is indexed in blocks of whole documents, once for all test sets. Of e
 list of its word positions, and a row for its documents. It is stored as Parquet in the checkpoint folder, or where build_index() is told to.
 
 Test windows are rows like any other. A search takes the stored lists' lengths as the corpus frequencies of the windows' terms, and joins each
-window by its rarest term with the blocks that hold that term. The lists of the terms of windows that are left meet by block, and in each
-window's blocks alone offset-adjusted lists are intersected from the rarest term on. slop > 0 asks for proximity instead: the shortest word ranges that hold all of a window's terms, as often as it has them, in any
+window by its rarest term with the blocks that hold that term. What a block's own windows ask for, (block, term) pairs, is all that is taken from the
+index: those lists meet the windows by block, and offset-adjusted lists are intersected from the rarest term on. slop > 0 asks for proximity instead: the shortest word ranges that hold all of a window's terms, as often as it has them, in any
 order, and are at most slop words longer than the window.
 
 Words: A-Z lower-cased, runs of ASCII digits, letters and non-ASCII characters. A window is `window` consecutive words of an item; an
@@ -50,7 +50,7 @@ INDEX_SCHEMA = "block long, doc_ids array<{id}>, n_words array<int>, term binary
 
 def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
     """The stored index. Rows of documents have doc_ids and n_words, rows of terms have term, n and postings, the differences of the
-    positions (int32)."""
+    positions in as many bytes as each needs."""
     common.text_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = source.schema[0].dataType.simpleString()
@@ -70,8 +70,9 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             ends = np.cumsum(counts)
             gaps = np.diff(at, prepend=0)
             gaps[ends[:-1]] = at[ends[:-1]]  # each list begins anew
-            offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
-            lists = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(gaps.astype(np.int32))])
+            data, upto = packed(gaps)
+            offsets = np.concatenate([[0], upto[ends - 1]]).astype(np.int32)
+            lists = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
             ids_t, words_t, n = pa.list_(batch.column(0).type), pa.list_(pa.int32()), len(names)
             blocks, schema = pa.array([block] * (n + 1), pa.int64()), ["block", "doc_ids", "n_words", "term", "n", "postings"]
             yield pa.RecordBatch.from_arrays([blocks[:1], pa.array([batch.column(0).to_pylist()], ids_t), pa.array([lengths], words_t), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], schema)
@@ -85,13 +86,34 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def packed(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each number's end): seven bits a byte, lowest first, the top bit set on all but a number's last."""
+    size = 1 + sum((gaps >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(size)
+    out = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint8)
+    for k in range(int(size.max(initial=0))):
+        more = np.flatnonzero(size > k)
+        out[(ends - size)[more] + k] = (gaps[more] >> 7 * k & 127) | np.where(size[more] > k + 1, 128, 0)
+    return out, ends
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, dtype=np.uint8)
+    ends = np.flatnonzero(b < 128)
+    if len(ends) == len(b):
+        return b.astype(np.int64)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(b)) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat((b & 127).astype(np.int64) << 7 * place, starts)
+
+
 class Lists:
     """Posting lists of one block."""
 
     none = np.zeros(0, dtype=np.int64)
 
     def __init__(self, terms: list[bytes], postings: list[bytes]):
-        self.lists = {t: np.cumsum(np.frombuffer(p, dtype=np.int32), dtype=np.int64) for t, p in zip(terms, postings)}
+        self.lists = {t: np.cumsum(unpacked(p)) for t, p in zip(terms, postings)}
 
     def of(self, term: bytes) -> np.ndarray:
         return self.lists.get(term, self.none)
@@ -179,7 +201,8 @@ def candidates(index: DataFrame, distinct: DataFrame) -> DataFrame:
     """(block, wid, place, terms): the windows to be looked for in each block, those whose rarest term (at a place of the window) it holds."""
     lists = of_terms(index, common.materialise(distinct.select(F.explode("terms").alias("term")).distinct(), "terms"), "n")
     lists = common.materialise(lists, "lists")
-    frequency = common.materialise(lists.groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
+    frequency = common.materialise(lists.groupBy("term").agg(F.sum("n").alias("n")), "frequencies")  # a row per term of the test sets
+    frequency = F.broadcast(frequency) if common.small_enough(frequency, 64) else frequency
     spots = distinct.select("wid", F.size("terms").alias("size"), F.posexplode("terms").alias("place", "term")).join(frequency, "term")
     best = spots.groupBy("wid").agg(F.min(F.struct("n", "place", "term")).alias("best"), F.count("*").alias("found"), F.max("size").alias("size"))
     best = best.where("found = size").select("wid", F.col("best.place").alias("place"), F.col("best.term").alias("term"))  # others have a term that no text has
@@ -189,12 +212,14 @@ def candidates(index: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def search(index: DataFrame, met: DataFrame, slop: int) -> DataFrame:
     """(block, d, spans, wids): the word ranges of the d-th document of a block that are hit, and the windows that hit it."""
-    most = met.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    slots = max(1, -(-most // WINDOWS_AT_ONCE))
-    wanted = common.materialise(met.select(F.explode("terms").alias("term")).distinct(), "terms")
-    dealt = met.groupBy("block", F.pmod(F.xxhash64("wid"), F.lit(slots)).alias("slot")).agg(F.collect_list(F.struct("wid", "place", "terms")).alias("windows"))
+    slots = common.materialise(met.groupBy("block").agg(F.ceil(F.count("*") / WINDOWS_AT_ONCE).alias("slots")), "slots")
+    slots = F.broadcast(slots) if common.small_enough(slots, 16) else slots
+    asked = common.materialise(met.select("block", F.explode("terms").alias("term")).distinct(), "asked")
+    asked = F.broadcast(asked) if common.small_enough(asked, 48) else asked
+    dealt = met.join(slots, "block").groupBy("block", F.pmod(F.xxhash64("wid"), F.col("slots")).alias("slot")).agg(F.collect_list(F.struct("wid", "place", "terms")).alias("windows"))
     dealt = dealt.join(index.where("term IS NULL").select("block", "n_words"), "block").select("block", "slot", "n_words", "windows")
-    lists = of_terms(index, wanted, "postings").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    lists = index.where("term IS NOT NULL").select("block", "term", "postings").join(asked, ["block", "term"]).join(slots, "block")
+    lists = lists.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), "term", "postings")
     span_t, wid_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quarry.llm import decontaminate as dc
 
 
@@ -91,3 +93,24 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit, r["items"]) for r in dc.decontaminate(docs, none).collect()] == [(2, 0, [])]
     assert dc.decontaminate(docs.limit(0), none).collect() == []
+
+
+def test_positions_are_packed_and_unpacked():
+    r = np.random.default_rng(1)
+    gaps = np.concatenate([r.integers(0, 1 << k, 50) for k in (1, 7, 8, 14, 15, 21, 28, 31)] + [[0, 127, 128, 16383, 16384, (1 << 28) - 1, 1 << 28]])
+    data, ends = dc.packed(gaps)
+    assert np.array_equal(dc.unpacked(data.tobytes()), gaps) and ends[-1] == len(data)
+    for i in (0, 60, 200):
+        assert dc.unpacked(data[ends[i] : ends[i + 1]].tobytes()).tolist() == [gaps[i + 1]]
+    assert len(dc.packed(gaps[:0])[0]) == 0 == len(dc.unpacked(b""))
+
+
+def test_a_window_in_every_document_and_slots_by_block(spark, monkeypatch):
+    """One passage stands in all documents, so one term's lists are asked for in every block; blocks with few windows keep one slot."""
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 3000), monkeypatch.setattr(dc, "WINDOWS_AT_ONCE", 7)
+    hot = " ".join(f"hot{i}" for i in range(12))
+    rows = [(i, f"filler{i} " * 20 + hot + (" rare" + " ".join(f"r{j}" for j in range(30)) if i % 50 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tests = spark.createDataFrame([(1, hot), (2, " ".join(f"r{j}" for j in range(1, 30))), (3, "nowhere at all")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in dc.decontaminate(docs, tests).collect()}
+    assert got == {i: (41, ["1", "2"]) if i % 50 == 0 else (12, ["1"]) for i in range(200)}
