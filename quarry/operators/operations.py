@@ -12,6 +12,7 @@ from pyspark.sql import types as T_
 
 from ..functions import text as T
 from ..session import shared_folder, written
+from .folds import BLOCK_ROWS, folded
 
 # Prices by resource, and hourly prices of accelerators.
 RATES = {"gpu_hour": 3.00, "token_input": 0.00001, "token_output": 0.00003, "storage_gb_month": 0.05}
@@ -258,3 +259,41 @@ def batch_judgments(rows: DataFrame, batch: str, first: str, second: str, least:
     """Per batch: rows, mean of both judges, and the share of rows that both accept."""
     both = (F.col(first) >= least) & (F.col(second) >= least)
     return rows.groupBy(batch).agg(F.count("*").alias("n"), F.avg(first).alias("judge_f_mean"), F.avg(second).alias("judge_r_mean"), F.avg(F.coalesce(both, F.lit(False)).cast("double")).alias("pass_rate"))
+
+
+def tiered_limit(hits: DataFrame, limits: DataFrame, key: str, tier: str, second: str, ident: str, most: int, seconds: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, tier, ident, allowed) by a sliding log for each key and tier. limits: tier, most, seconds; a tier whose most is null is exempt, and
+    one that is not listed has `most` and `seconds`. A hit is allowed if fewer than most allowed ones of its key and tier lie within the last
+    seconds; hits of one second are taken in the order of ident. The hits of one key are folded in blocks, by many tasks."""
+    listed = limits.select(F.col("tier").alias("_tier"), F.col("most").cast("long").alias("_most"), F.col("seconds").cast("double").alias("_seconds"), F.lit(True).alias("_known"))
+    both = hits.select(F.col(key), F.col(tier), F.col(second).cast("double").alias("_t"), F.col(ident).cast("long").alias(ident)).join(listed, F.col(tier) == F.col("_tier"), "left")
+    exempt = F.col("_known").isNotNull() & F.col("_most").isNull()
+    free = both.where(exempt).select(key, tier, ident, F.lit(True).alias("allowed"))
+    held = both.where(~exempt).withColumns({"_most": F.coalesce("_most", F.lit(most)), "_seconds": F.coalesce("_seconds", F.lit(float(seconds)))})
+
+    def step(log: list, t: float | None, most: int, seconds: float) -> tuple[list, bool]:
+        log = [x for x in log if t is not None and x is not None and x > t - seconds]
+        return (log + [t], True) if len(log) < most else (log, False)
+
+    out = folded(held, (key, tier), ("_t",), ("_t", "_most", "_seconds"), step, [], ("allowed", T_.BooleanType()), (ident,), block_rows)
+    return free.unionByName(out)
+
+
+def autoscaled(loads: DataFrame, pool: str, second: str, ident: str, load: str, target: float, least: int, most: int, up_cooldown: float = 60, down_cooldown: float = 300, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(pool, ident, replicas) after each load report of a pool, in the order of second and ident, from `least` on. Nothing changes within
+    up_cooldown seconds of the last change. Above the target the replicas grow in proportion, rounded down, to `most`; below 70 percent of it
+    one goes, down to `least`, if the last change is more than down_cooldown seconds ago. A null load changes nothing."""
+
+    def step(state: list, t: float | None, value: float | None) -> tuple[list, int]:
+        now, last = state
+        if t is None or value is None or (last is not None and t - last < up_cooldown):
+            return state, now
+        want = now
+        if value > target:
+            want = min(int(now * (value / target)), most)
+        elif value < target * 0.7 and (last is None or t - last > down_cooldown):
+            want = max(now - 1, least)
+        return [want, t if want != now else last], want
+
+    rows = loads.select(pool, F.col(second).cast("double").alias("_t"), F.col(ident).cast("long").alias(ident), F.col(load).cast("double").alias("_load"))
+    return folded(rows, (pool,), ("_t",), ("_t", "_load"), step, [least, None], ("replicas", T_.IntegerType()), (ident,), block_rows)

@@ -66,10 +66,8 @@ def semantic_drift(df: DataFrame, order: str, size: int, peaks: str, precursor:
     w = df.withColumn("window", F.floor(F.col(order) / size).cast("long"))
     out = None
     for name, value in (("peaks", F.col(peaks)), ("precursor", F.col(precursor))):
-        later, first = w.select("window", value.cast("double").alias("v")), w.where("window = 0").select(value.cast("double").alias("v"))
-        windows = later.select("window").distinct().where("window > 0")
-        both = S.ks_statistic(windows.join(first, how="cross"), later.where("window > 0"), "v", ("window",))
-        part = both.select("window", F.col("ks").alias(f"{name}_ks"), S.ks_p(F.col("ks"), F.col("n_reference"), F.col("n_current")).alias(f"{name}_p"))
+        both = S.windowed_drift(df.select(F.col(order), value.cast("double").alias("v")), "v", order, size, first=True)
+        part = both.select("window", F.col("ks").alias(f"{name}_ks"), S.ks_p(F.col("ks"), F.col("n_reference"), F.col("n")).alias(f"{name}_p"))
         out = part if out is None else out.join(part, "window")
     q = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     exploded = w.select("window", F.explode(F.col(intensities).cast("array<double>")).alias("v"))
@@ -85,20 +83,16 @@ def semantic_drift(df: DataFrame, order: str, size: int, peaks: str, precursor:
 
 
 def category_drift(w: DataFrame, column: str) -> DataFrame:
-    """(window, chi2, p) of each later window's counts against the first one's shares; null where the first lacks a value."""
+    """(window, chi2, p) of each later window's counts against the first one's shares; null where the first lacks a value. With e the expected
+    counts, which add up to a window's rows, the sum of (n - e)^2 / e is that of n^2 / e less the rows: values that a window lacks need no row."""
     counts = w.where(F.col(column).isNotNull()).groupBy("window", F.col(column).alias("v")).agg(F.count("*").alias("n"))
     base = counts.where("window = 0").select("v", F.col("n").alias("b"))
-    sizes = counts.groupBy("window").agg(F.sum("n").alias("size"))
-    whole = sizes.where("window = 0").select(F.col("size").alias("base"))
-    later = sizes.where("window > 0")
-    grid = later.join(F.broadcast(base), how="cross").join(F.broadcast(whole), how="cross")  # windows times values
-    cells = grid.join(counts.where("window > 0").select("window", "v", "n"), ["window", "v"], "left")
-    fresh = counts.where("window > 0").join(base.select("v"), "v", "left_anti").groupBy("window").agg(F.count("*").alias("new"))
-    expected = F.col("b") / F.col("base") * F.col("size")
-    gap = F.coalesce("n", F.lit(0)) - expected
-    out = cells.groupBy("window").agg(F.sum(gap * gap / expected).alias("x"), (F.count("*") - 1).alias("dof")).join(fresh, "window", "left")
-    known = F.col("new").isNull()
-    return out.select("window", F.when(known, F.col("x")).alias(f"{column}_chi2"), F.when(known, S.chi_square_p(F.col("x"), F.col("dof"))).alias(f"{column}_p"))
+    whole = base.agg(F.sum("b").alias("base"), (F.count("*") - 1).alias("dof"))
+    cells = counts.where("window > 0").join(base, "v", "left")
+    by = cells.groupBy("window").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n") / F.col("b")).alias("x"), F.count_if(F.col("b").isNull()).alias("new"))
+    out = by.join(F.broadcast(whole), how="cross")  # one row
+    known, x = F.col("new") == 0, F.greatest(F.col("x") * F.col("base") / F.col("size") - F.col("size"), F.lit(0.0))
+    return out.select("window", F.when(known, x).alias(f"{column}_chi2"), F.when(known, S.chi_square_p(x, F.col("dof"))).alias(f"{column}_p"))
 
 
 def exact_at_k(truth: Column, ranked: Column, k: int) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .ordering import joined_by, range_bucket, range_edges, running
 
 
@@ -53,7 +54,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def quantiles(df: DataFrame, column: str, places: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
     """A row per group with the linearly interpolated quantiles, by name. Values are counted, then placed by bucketed running counts, so that
     no task holds the values of a group. Nulls are left out; a table without values has no row for a group, and nulls without groups."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    counts = written(df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_x")).agg(F.count("*").alias("_c")), "counts")
     ran = running(counts, range_bucket(F.col("_x"), range_edges(counts, "_x")), [F.col("_x")], {"_upto": F.col("_c")}, by)
     sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
     ran = joined_by(ran, sizes, by) if by else ran.join(F.broadcast(sizes), how="cross")
@@ -104,7 +105,7 @@ def ks_statistic(reference: DataFrame, current: DataFrame, column: str, by: tupl
     """The largest gap between two empirical distributions, with both sizes. Values are counted first; the distributions are bucketed
     running sums over the distinct values."""
     both = reference.select(*by, F.col(column).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(current.select(*by, F.col(column).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    counts = both.where("v IS NOT NULL").groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = written(both.where("v IS NOT NULL").groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
     ran = running(counts, range_bucket(F.col("v"), range_edges(counts, "v")), [F.col("v")], {"ca": F.col("a"), "cb": F.col("b")}, by)
     sizes = counts.groupBy(*by).agg(F.sum("a").alias("n_reference"), F.sum("b").alias("n_current"))
     ran = joined_by(ran, sizes, by) if by else ran.join(F.broadcast(sizes), how="cross")
@@ -244,20 +245,24 @@ def divergences(reference: DataFrame, current: DataFrame, column: str, smoothing
     return both.agg(kl("p", "q").alias("kl_pq"), kl("q", "p").alias("kl_qp"), ((kl("p", "m") + kl("q", "m")) / 2).alias("js"))
 
 
-def windowed_drift(df: DataFrame, column: str, order: str, size: int) -> DataFrame:
-    """KS of each run of `size` rows in order against the whole table. order: an integer that counts rows."""
+def windowed_drift(df: DataFrame, column: str, order: str, size: int, first: bool = False) -> DataFrame:
+    """KS of each run of `size` rows in order against the whole table, or against the first run alone (which then has no row), with both
+    sizes. order: an integer that counts rows. A run meets the reference at its own values: between two of them its share stays, so that
+    the gap is largest at one or just before the other."""
     windows = df.withColumn("window", F.floor(F.col(order) / size).cast("long"))
-    counts = windows.where(F.col(column).isNotNull()).groupBy("window", F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    whole = counts.groupBy("v").agg(F.sum("c").alias("w"))
+    counts = written(windows.where(F.col(column).isNotNull()).groupBy("window", F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c")), "counts")
+    theirs = F.when(F.col("window") == 0, F.col("c")).otherwise(0) if first else F.col("c")
+    whole = written(counts.groupBy("v").agg(F.sum(theirs).alias("w")), "counts")
     edges = range_edges(whole, "v")
     whole = running(whole, range_bucket(F.col("v"), edges), [F.col("v")], {"upto": F.col("w")})
-    total = whole.agg(F.max("upto").alias("total"))
+    total = counts.agg(F.sum(theirs).alias("n_reference"))
+    counts = counts.where("window > 0") if first else counts
     own = running(counts, range_bucket(F.col("v"), edges), [F.col("v")], {"own": F.col("c")}, ("window",))
     sizes = counts.groupBy("window").agg(F.sum("c").alias("n"))
-    joined = own.join(whole.select("v", "upto", "w"), "v").join(sizes, "window").join(F.broadcast(total), how="cross")
-    here = F.abs(F.col("own") / F.col("n") - F.col("upto") / F.col("total"))
-    before = F.abs((F.col("own") - F.col("c")) / F.col("n") - (F.col("upto") - F.col("w")) / F.col("total"))
-    return joined.groupBy("window").agg(F.greatest(F.max(here), F.max(before)).alias("ks"), F.max("n").alias("n"))
+    joined = own.join(whole.select("v", "upto", "w"), "v").join(sizes, "window").join(F.broadcast(total), how="cross")  # one row
+    here = F.abs(F.col("own") / F.col("n") - F.col("upto") / F.col("n_reference"))
+    before = F.abs((F.col("own") - F.col("c")) / F.col("n") - (F.col("upto") - F.col("w")) / F.col("n_reference"))
+    return joined.groupBy("window").agg(F.greatest(F.max(here), F.max(before)).alias("ks"), F.max("n").alias("n"), F.max("n_reference").alias("n_reference"))
 
 
 def contract(report: DataFrame, rules: dict[str, str]) -> DataFrame:

@@ -137,7 +137,7 @@ def ks_decision(spark, d):
     return out.select(F.round("ks", 9).alias("ks"), "n_reference", "n_current", F.round("p_value", 6).alias("p_value"), "drift")
 
 
-@R.add(f"""WITH w AS (SELECT vec_id // 100 AS "window", vec_id % 17 + CASE WHEN vec_id >= 300 THEN 4 ELSE 0 END AS peaks, vec_id % 23 + 0.5 AS precursor, embedding, 'a' || (vec_id * vec_id % 3) AS adduct FROM embeddings),
+_SEMANTIC = f"""WITH w AS (SELECT vec_id // 100 AS "window", vec_id % 17 + CASE WHEN vec_id >= 300 THEN 4 ELSE 0 END AS peaks, vec_id % 23 + 0.5 AS precursor, embedding, 'a' || (vec_id * vec_id % 3) AS adduct FROM embeddings),
 g AS (SELECT DISTINCT "window" AS win FROM w WHERE "window" > 0),
 kp AS (SELECT win, max(abs(c - f)) AS ks, max(n) AS n, max(m) AS m FROM (SELECT win, v, (SELECT count(*) FROM w WHERE "window" = 0 AND peaks <= v) / (SELECT count(*) FROM w WHERE "window" = 0) AS f, (SELECT count(*) FROM w WHERE "window" = win AND peaks <= v) / (SELECT count(*) FROM w WHERE "window" = win) AS c, (SELECT count(*) FROM w WHERE "window" = 0) AS n, (SELECT count(*) FROM w WHERE "window" = win) AS m FROM g, (SELECT DISTINCT peaks AS v FROM w)) GROUP BY win),
 kq AS (SELECT win, max(abs(c - f)) AS ks, max(n) AS n, max(m) AS m FROM (SELECT win, v, (SELECT count(*) FROM w WHERE "window" = 0 AND precursor <= v) / (SELECT count(*) FROM w WHERE "window" = 0) AS f, (SELECT count(*) FROM w WHERE "window" = win AND precursor <= v) / (SELECT count(*) FROM w WHERE "window" = win) AS c, (SELECT count(*) FROM w WHERE "window" = 0) AS n, (SELECT count(*) FROM w WHERE "window" = win) AS m FROM g, (SELECT DISTINCT precursor AS v FROM w)) GROUP BY win),
@@ -148,10 +148,21 @@ gap AS (SELECT a.win, greatest(abs(a.q[1] - b.q[1]), abs(a.q[2] - b.q[2]), abs(a
 ca AS (SELECT "window" AS win, adduct, count(*) AS n FROM w GROUP BY ALL), sz AS (SELECT win, sum(n) AS s FROM ca GROUP BY 1),
 ch AS (SELECT sz.win, sum(pow(coalesce(c.n, 0) - b.n / (SELECT s FROM sz WHERE win = 0) * sz.s, 2) / (b.n / (SELECT s FROM sz WHERE win = 0) * sz.s)) AS x, count(*) - 1 AS dof FROM sz JOIN ca b ON b.win = 0 LEFT JOIN ca c ON c.win = sz.win AND c.adduct = b.adduct WHERE sz.win > 0 GROUP BY sz.win)
 SELECT pp.win AS "window", round(pp.ks, 6) AS peaks_ks, round(pp.p, 6) AS peaks_p, round(pq.ks, 6) AS precursor_ks, round(pq.p, 6) AS precursor_p, round(gap, 6) AS intensity_gap, round(x, 6) AS adduct_chi2,
-list_filter([CASE WHEN pp.p < 0.01 THEN 'peak counts' END, CASE WHEN pq.p < 0.01 THEN 'precursor masses' END, CASE WHEN gap > 0.1 THEN 'intensity quantiles' END, CASE WHEN exp(-x / 2) < 0.01 THEN 'adduct' END], lambda r: r IS NOT NULL) AS reasons, pp.p < 0.01 OR pq.p < 0.01 OR gap > 0.1 OR exp(-x / 2) < 0.01 AS drift FROM pp JOIN pq USING (win) JOIN gap USING (win) JOIN ch USING (win)""")
-def semantic_drift(spark, d):
+list_filter([CASE WHEN pp.p < 0.01 THEN 'peak counts' END, CASE WHEN pq.p < 0.01 THEN 'precursor masses' END, CASE WHEN gap > 0.1 THEN 'intensity quantiles' END, CASE WHEN exp(-x / 2) < 0.01 THEN 'adduct' END], lambda r: r IS NOT NULL) AS reasons, pp.p < 0.01 OR pq.p < 0.01 OR gap > 0.1 OR exp(-x / 2) < 0.01 AS drift FROM pp JOIN pq USING (win) JOIN gap USING (win) JOIN ch USING (win)"""
+
+
+def semantic_rows(vectors):
+    """Stand-ins for spectra: peak counts, precursors, intensities and adducts made from ids and embeddings."""
     k = F.col("vec_id")
-    t = table(spark, d, "embeddings").select("vec_id", (k % 17 + F.when(k >= 300, 4).otherwise(0)).alias("peaks"), (k % 23 + 0.5).alias("precursor"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("intensities"), F.concat(F.lit("a"), (k * k % 3).cast("string")).alias("adduct"))
+    return vectors.select("vec_id", (k % 17 + F.when(k >= 300, 4).otherwise(0)).alias("peaks"), (k % 23 + 0.5).alias("precursor"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("intensities"), F.concat(F.lit("a"), (k * k % 3).cast("string")).alias("adduct"))
+
+
+semantic_rows.sql = _SEMANTIC
+
+
+@R.add(_SEMANTIC)
+def semantic_drift(spark, d):
+    t = semantic_rows(table(spark, d, "embeddings"))
     return rounded(P.semantic_drift(t, "vec_id", 100, "peaks", "precursor", "intensities", ("adduct",)).drop("adduct_p"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedup
 from ..operators import operations as O
+from ..operators import sketches
 from .common import Registry, table
 from .models import rounded
 
@@ -81,6 +82,47 @@ def rate_limit_sliding_log(spark, d):
     return O.sliding_log_limit(e, "user_id", "second", "event_id", 24 * 3600, 2)
 
 
+_TIERED = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM (
+  SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, ['free', 'pro', 'academic', 'trial'][user_id % 4 + 1] AS tier, CASE user_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 3 THEN 3 END AS most, CASE user_id % 4 WHEN 0 THEN 86400 WHEN 1 THEN 172800 ELSE 259200 END AS seconds FROM events) WHERE most IS NOT NULL),
+l AS (SELECT user_id, tier, event_id, k, true AS allowed, [t] AS log FROM o WHERE k = 1
+UNION ALL SELECT user_id, tier, event_id, k, ok, CASE WHEN ok THEN list_append(near, t) ELSE near END FROM (SELECT *, len(near) < most AS ok FROM (SELECT o.user_id, o.tier, o.event_id, o.k, o.t, o.most, list_filter(l.log, lambda x: x > o.t - o.seconds) AS near FROM l JOIN o ON o.user_id = l.user_id AND o.k = l.k + 1)))
+SELECT user_id, tier, event_id, allowed FROM l UNION ALL SELECT user_id, 'academic', event_id, true FROM events WHERE user_id % 4 = 2"""
+
+
+@R.add(_TIERED)
+def rate_limit_tiers(spark, d):
+    tiers = F.array(*map(F.lit, ("free", "pro", "academic", "trial")))
+    e = table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("second"), F.get(tiers, (F.col("user_id") % 4).cast("int")).alias("tier"))
+    limits = spark.createDataFrame([("free", 2, 86400), ("pro", 5, 172800), ("academic", None, None), ("commercial", None, None)], "tier string, most int, seconds int")
+    return O.tiered_limit(e, limits, "user_id", "tier", "second", "event_id", 3, 259200)
+
+
+@R.add("""WITH RECURSIVE o AS (SELECT event_type, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+s(event_type, event_id, k, r, last) AS (SELECT event_type, NULL::BIGINT, 0::BIGINT, 1, NULL::DOUBLE FROM (SELECT DISTINCT event_type FROM events)
+UNION ALL SELECT event_type, event_id, k, want, CASE WHEN want <> r THEN t ELSE last END FROM (SELECT o.event_type, o.event_id, o.k, o.t, s.r, s.last,
+  CASE WHEN o.v IS NULL OR coalesce(o.t - s.last < 600, false) THEN s.r WHEN o.v > 50 THEN least(floor(s.r * (o.v / 50::DOUBLE)), 20)::INT WHEN o.v < 50::DOUBLE * 0.7::DOUBLE AND coalesce(o.t - s.last > 3000, true) THEN greatest(s.r - 1, 1) ELSE s.r END AS want
+  FROM s JOIN o ON o.event_type IS NOT DISTINCT FROM s.event_type AND o.k = s.k + 1))
+SELECT event_type, event_id, r AS replicas FROM s WHERE k > 0""")
+def autoscale_with_cooldown(spark, d):
+    e = table(spark, d, "events").select("event_type", "event_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("second"))
+    return O.autoscaled(e, "event_type", "second", "event_id", "value", 50.0, 1, 20, 600, 3000)
+
+
+_SKETCH = "SELECT event_type, sign(value)::INT AS sign, CASE WHEN value = 0 THEN 0 ELSE ceil(ln(abs(value)) / ln(1.01::DOUBLE / 0.99::DOUBLE))::INT END AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL"
+
+
+@R.add(_SKETCH)
+def latency_sketch(spark, d):
+    return sketches.sketch(table(spark, d, "events"), "value", ("event_type",))
+
+
+@R.add(f"""WITH s AS ({_SKETCH}), c AS (SELECT *, CASE WHEN sign = 0 THEN 0 ELSE sign * 2 * pow(1.01::DOUBLE / 0.99::DOUBLE, bucket) / (1.01::DOUBLE / 0.99::DOUBLE + 1) END AS v, sum(n) OVER (PARTITION BY event_type ORDER BY sign, sign * bucket) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM s)
+SELECT event_type, sum(n)::BIGINT AS n, round(min(v) FILTER (upto > floor(0.5 * (total - 1))), 6) AS p50, round(min(v) FILTER (upto > floor(0.95::DOUBLE * (total - 1))), 6) AS p95, round(min(v) FILTER (upto > floor(0.99::DOUBLE * (total - 1))), 6) AS p99 FROM c GROUP BY 1""")
+def latency_quantiles(spark, d):
+    s = sketches.sketch(table(spark, d, "events"), "value", ("event_type",))
+    return rounded(sketches.quantiles(s, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ("event_type",)), 6)
+
+
 @R.add("SELECT user_id, max(ts) AS last_seen, datediff('second', date_trunc('second', max(ts)), TIMESTAMP '2024-02-01') AS age, age < 3 * 86400 AS alive FROM events GROUP BY 1")
 def heartbeat_liveness(spark, d):
     return O.liveness(table(spark, d, "events"), "user_id", "ts", F.lit("2024-02-01").cast("timestamp"), 3 * 86400)

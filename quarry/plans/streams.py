@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import operations as O
+from ..operators import sketches
 from ..streaming import stateful as S
+from ..streaming import tumbling
 from .common import Registry
-from .operations import _LOG
+from .models import rounded
+from .contracts import semantic_rows
+from .operations import _LOG, _SKETCH, _TIERED
 
 R = Registry()
 _ARMS = {"control": 0.5, "small": 0.3, "large": 0.2}
@@ -40,3 +44,23 @@ def stream_experiment_totals(spark, d):
 def stream_rate_limit(spark, d):
     hits = _events(spark, d).withColumn("second", F.unix_micros("ts") / 1e6)
     return S.drained(S.limited(hits, "user_id", "second", "event_id", 86400.0, 2))
+
+
+@R.add(_TIERED)
+def stream_rate_limit_tiers(spark, d):
+    tiers = F.array(*map(F.lit, ("free", "pro", "academic", "trial")))
+    hits = _events(spark, d).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("second"), F.get(tiers, (F.col("user_id") % 4).cast("int")).alias("tier"))
+    return S.drained(S.limited_by_tier(hits, "user_id", "tier", "second", "event_id", {"free": (2, 86400), "pro": (5, 172800), "academic": None, "commercial": None}, (3, 259200)))
+
+
+@R.add(_SKETCH)
+def stream_latency_sketch(spark, d):
+    return S.drained(sketches.sketch(_events(spark, d), "value", ("event_type",)), "complete")
+
+
+@R.add(f"""SELECT 'all' AS source, "window", peaks_ks, peaks_p, precursor_ks, precursor_p, intensity_gap AS gap, adduct_chi2, reasons, drift FROM ({semantic_rows.sql}) WHERE ("window" + 1) * 100 <= (SELECT count(*) FROM embeddings)""".replace("'peak counts'", "'peaks'").replace("'precursor masses'", "'precursor'").replace("'intensity quantiles'", "'intensities'"))
+def stream_semantic_drift(spark, d):
+    rows = semantic_rows(S.stream_of(spark, d, "embeddings")).withColumn("source", F.lit("all"))
+    with tumbling.rocks_state(spark):
+        out = S.drained(tumbling.tumbling_drift(rows, "source", "vec_id", 100, ("peaks", "precursor"), "intensities", ("adduct",)))
+    return rounded(out.drop("adduct_p"), 6)

@@ -6,6 +6,7 @@ import heapq
 import itertools
 import tempfile
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -105,23 +106,35 @@ def limited(hits: DataFrame, key: str, second: str, ident: str, seconds: float,
     """(key, ident, allowed) by a sliding log: a hit is allowed if fewer than `most` allowed ones lie within the last seconds. A key's
     state is the times of its last allowed hits, `most` at most; the hits of a batch are taken in the order of time and ident. A key may
     have any number of hits in a batch: beyond run_rows they are sorted by disk, and results are handed on in parts."""
+    return _limited(hits, (key,), second, ident, lambda group: (most, seconds), run_rows)
 
+
+def limited_by_tier(hits: DataFrame, key: str, tier: str, second: str, ident: str, limits: dict[str, tuple[int, float] | None], other: tuple[int, float], run_rows: int = RUN_ROWS) -> DataFrame:
+    """(key, tier, ident, allowed): limited() for each key and tier, with the (most, seconds) of the tier; None is exempt, and tiers that are not
+    listed have `other`. Exempt hits need no state."""
+    exempt = F.coalesce(F.col(tier).isin([t for t, x in limits.items() if x is None]), F.lit(False))
+    free = hits.where(exempt).select(key, tier, F.col(ident).cast("long").alias(ident), F.lit(True).alias("allowed"))
+    return free.unionByName(_limited(hits.where(~exempt), (key, tier), second, ident, lambda group: limits.get(group[1], other), run_rows))
+
+
+def _limited(hits: DataFrame, keys: tuple[str, ...], second: str, ident: str, limit: Callable[[tuple], tuple[int, float]], run_rows: int) -> DataFrame:
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
+        log, (most, seconds) = deque(state.get[0] if state.exists else ()), limit(group)
         rows = in_order(parts, second, ident, run_rows)
         while part := list(itertools.islice(rows, PART_ROWS)):
             allowed = []
             for t, _ in part:
-                log = [x for x in log if x > t - seconds]
+                while log and not log[0] > t - seconds:  # a time after all others is the latest: the log is in order
+                    log.popleft()
                 allowed.append(len(log) < most)
                 if allowed[-1]:
                     log.append(t)
-            yield pd.DataFrame({key: [group[0]] * len(part), ident: pd.array([i for _, i in part], "Int64"), "allowed": allowed})
-        state.update((log,))
+            yield pd.DataFrame({k: [x] * len(part) for k, x in zip(keys, group)} | {ident: pd.array([i for _, i in part], "Int64"), "allowed": allowed})
+        state.update((sorted(log),))
 
-    source = hits.select(key, F.col(second).cast("double").alias(second), F.col(ident).cast("long").alias(ident))
-    kind = dict(source.dtypes)[key]
-    return source.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ident} long, allowed boolean", "log array<double>", "append", GroupStateTimeout.NoTimeout)
+    source = hits.select(*keys, F.col(second).cast("double").alias(second), F.col(ident).cast("long").alias(ident))
+    kinds = "".join(f"{k} {dict(source.dtypes)[k]}, " for k in keys)
+    return source.groupBy(*keys).applyInPandasWithState(step, f"{kinds}{ident} long, allowed boolean", "log array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def silent(beats: DataFrame, worker: str, timeout_ms: int) -> DataFrame:
@@ -154,9 +167,10 @@ def drift_windows(values: DataFrame, feature: str, value: str, reference: dict[s
     """(feature, n, distance) after each batch: the last `size` values of a feature against its reference sample, from `least` values on."""
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
+        last = deque(state.get[0] if state.exists else (), size)
         for part in parts:
-            kept = (kept + part[value].astype(float).tolist())[-size:]
+            last.extend(part[value].astype(float).tolist())
+        kept = list(last)
         state.update((kept,))
         ref = reference.get(group[0])
         if ref and len(kept) >= least:
