@@ -3,9 +3,10 @@
 The corpus is indexed in blocks of whole documents, once for all test sets. Of each block the index has a row for every term, with the sorted
 list of its word positions, and a row for its documents. It is stored as Parquet in the checkpoint folder, or where build_index() is told to.
 
-Test windows are rows like any other. A search takes the stored lists' lengths as the corpus frequencies of the windows' terms, and joins each
-window by its rarest term with the blocks that hold that term. What a block's own windows ask for, (block, term) pairs, is all that is taken from the
-index: those lists meet the windows by block, and offset-adjusted lists are intersected from the rarest term on. slop > 0 asks for proximity instead: the shortest word ranges that hold all of a window's terms, as often as it has them, in any
+Test windows come in chunks of bounded size, nearly always one, that every task can hold; each chunk is a search of its own. The stored lists'
+lengths are the corpus frequencies of the windows' terms, and a window is sought by its rarest term: it is a candidate in the blocks that hold that
+term and all its others. What a block's candidates ask for, (block, term) pairs, is all that is taken from the index: those lists meet the windows'
+numbers by block, and offset-adjusted lists are intersected from the rarest term on. slop > 0 asks for proximity instead: the shortest word ranges that hold all of a window's terms, as often as it has them, in any
 order, and are at most slop words longer than the window.
 
 Words: A-Z lower-cased, runs of ASCII digits, letters and non-ASCII characters. A window is `window` consecutive words of an item; an
@@ -23,7 +24,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from . import common
 BLOCK_BYTES, GAP = 4 << 20, 1024
 #: Windows that a block is searched for at a time.
 WINDOWS_AT_ONCE = 20_000
+#: Bytes of windows in a chunk, and what one takes besides its terms' bytes.
+CHUNK_BYTES, WINDOW_BYTES = 16 << 20, 64
 
 _MAP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -113,7 +116,7 @@ class Lists:
     none = np.zeros(0, dtype=np.int64)
 
     def __init__(self, terms: list[bytes], postings: list[bytes]):
-        self.lists = {t: np.cumsum(unpacked(p)) for t, p in zip(terms, postings)}
+        self.lists = {t: np.cumsum(unpacked(p)) for t, p in zip(terms, postings) if t is not None}
 
     def of(self, term: bytes) -> np.ndarray:
         return self.lists.get(term, self.none)
@@ -191,35 +194,66 @@ def item_windows(tests: DataFrame, window: int, item_column: str = "item_id", it
     return distinct, common.materialise(every.join(distinct, "terms").select("wid", "item").distinct(), "owners")
 
 
+class Windows:
+    """A chunk of the test windows: terms by id, and by each term the windows of which it is the rarest, with its place."""
+
+    def __init__(self, rows: list, frequency: dict[bytes, int]):
+        self.terms = {r.wid: [bytes(t) for t in r.terms] for r in rows}
+        self.by: dict[bytes, list[tuple[int, int]]] = {}
+        for wid, terms in self.terms.items():
+            if all(t in frequency for t in terms):  # others have a term that no text has
+                place = min(range(len(terms)), key=lambda i: (frequency[terms[i]], i))
+                self.by.setdefault(terms[place], []).append((wid, place))
+
+    def met(self, there: set[bytes]) -> list[tuple[int, int]]:
+        """(wid, place) of those all of whose terms a block has, sought from its rarest terms on."""
+        return [(wid, place) for t in there & self.by.keys() for wid, place in self.by[t] if there.issuperset(self.terms[wid])]
+
+
+def chunks(distinct: DataFrame) -> list[DataFrame]:
+    """The windows in parts that fit in every task's memory; nearly always one."""
+    size = distinct.agg(F.sum(F.octet_length(F.concat_ws("", F.transform("terms", lambda t: t.cast("string")))) + WINDOW_BYTES)).first()[0] or 0
+    n = max(1, -(-size // CHUNK_BYTES))
+    return [distinct.where(F.pmod(F.xxhash64("wid"), F.lit(n)) == k) for k in range(n)]
+
+
+def candidates(index: DataFrame, chunk: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """(block, wid, place, term): a row for each window to be looked for in a block, with the place of its rarest term, and one for each term that
+    those windows ask the block for; the lists' lengths say which term is rarest. Then the terms of the chunk, and its windows."""
+    terms = common.materialise(chunk.select(F.explode("terms").alias("term")).distinct(), "terms")
+    lists = common.materialise(of_terms(index, terms, "n"), "lists")
+    frequency = {bytes(r.term): r.n for r in lists.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # of the chunk's terms
+    shared = index.sparkSession.sparkContext.broadcast(Windows(chunk.collect(), frequency))
+
+    def run(rows: pa.Table) -> pa.Table:
+        windows = shared.value
+        met = windows.met(set(rows["term"].to_pylist()))
+        asked = list({t for wid, _ in met for t in windows.terms[wid]})
+        none = [None] * len(asked)
+        columns = [[wid for wid, _ in met] + none, [place for _, place in met] + none, [None] * len(met) + asked]
+        return pa.table([pa.array([rows["block"][0].as_py()] * (len(met) + len(asked)), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary())))], ["block", "wid", "place", "term"])
+
+    met = lists.select("block", "term").groupBy("block").applyInArrow(run, "block long, wid long, place int, term binary")
+    return common.materialise(met, "met"), terms, shared
+
+
 def of_terms(index: DataFrame, terms: DataFrame, *columns: str) -> DataFrame:
-    """The index's rows of the given terms (a stored table)."""
+    """The index's rows of the given terms, those of one chunk (a stored table)."""
     few = F.broadcast(terms) if common.small_enough(terms, 64) else terms
     return index.where("term IS NOT NULL").select("block", "term", *columns).join(few, "term")
 
 
-def candidates(index: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(block, wid, place, terms): the windows to be looked for in each block, those whose rarest term (at a place of the window) it holds."""
-    lists = of_terms(index, common.materialise(distinct.select(F.explode("terms").alias("term")).distinct(), "terms"), "n")
-    lists = common.materialise(lists, "lists")
-    frequency = common.materialise(lists.groupBy("term").agg(F.sum("n").alias("n")), "frequencies")  # a row per term of the test sets
-    frequency = F.broadcast(frequency) if common.small_enough(frequency, 64) else frequency
-    spots = distinct.select("wid", F.size("terms").alias("size"), F.posexplode("terms").alias("place", "term")).join(frequency, "term")
-    best = spots.groupBy("wid").agg(F.min(F.struct("n", "place", "term")).alias("best"), F.count("*").alias("found"), F.max("size").alias("size"))
-    best = best.where("found = size").select("wid", F.col("best.place").alias("place"), F.col("best.term").alias("term"))  # others have a term that no text has
-    met = best.join(lists.select("term", "block"), "term").join(distinct, "wid")
-    return common.materialise(met.select("block", "wid", "place", "terms"), "met")
-
-
-def search(index: DataFrame, met: DataFrame, slop: int) -> DataFrame:
+def search(index: DataFrame, chunk: DataFrame, slop: int) -> DataFrame:
     """(block, d, spans, wids): the word ranges of the d-th document of a block that are hit, and the windows that hit it."""
-    slots = common.materialise(met.groupBy("block").agg(F.ceil(F.count("*") / WINDOWS_AT_ONCE).alias("slots")), "slots")
+    met, terms, shared = candidates(index, chunk)
+    slots = common.materialise(met.where("wid IS NOT NULL").groupBy("block").agg(F.ceil(F.count("*") / WINDOWS_AT_ONCE).alias("slots")), "slots")
     slots = F.broadcast(slots) if common.small_enough(slots, 16) else slots
-    asked = common.materialise(met.select("block", F.explode("terms").alias("term")).distinct(), "asked")
+    asked = common.materialise(met.where("wid IS NULL").select("block", "term"), "asked")
     asked = F.broadcast(asked) if common.small_enough(asked, 48) else asked
-    dealt = met.join(slots, "block").groupBy("block", F.pmod(F.xxhash64("wid"), F.col("slots")).alias("slot")).agg(F.collect_list(F.struct("wid", "place", "terms")).alias("windows"))
-    dealt = dealt.join(index.where("term IS NULL").select("block", "n_words"), "block").select("block", "slot", "n_words", "windows")
-    lists = index.where("term IS NOT NULL").select("block", "term", "postings").join(asked, ["block", "term"]).join(slots, "block")
-    lists = lists.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), "term", "postings")
+    dealt = met.where("wid IS NOT NULL").join(slots, "block").select("block", F.pmod(F.xxhash64("wid"), F.col("slots")).alias("slot"), "wid", "place")
+    lists = of_terms(index, terms, "postings").join(asked, ["block", "term"]).select("block", F.lit(None).cast("array<int>").alias("n_words"), "term", "postings")
+    lists = lists.unionByName(index.where("term IS NULL").select("block", "n_words", "term", "postings")).join(slots, "block")
+    lists = lists.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), "n_words", "term", "postings")
     span_t, wid_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -227,14 +261,15 @@ def search(index: DataFrame, met: DataFrame, slop: int) -> DataFrame:
         wids: dict[int, set] = {}
         if left.num_rows and right.num_rows:
             lists = Lists(right["term"].to_pylist(), right["postings"].to_pylist())
-            bases = np.concatenate([[0], np.cumsum(np.array(left["n_words"][0].as_py(), dtype=np.int64) + GAP)])
-            for w in left["windows"][0].as_py():
-                ts = w["terms"]
-                hits = proximity(lists, ts, w["place"], slop) if slop else [(s, s + len(ts)) for s in phrase(lists, ts, w["place"]).tolist()]
+            (n_words,) = (x for x in right["n_words"].to_pylist() if x is not None)
+            bases = np.concatenate([[0], np.cumsum(np.array(n_words, dtype=np.int64) + GAP)])
+            for wid, place in zip(left["wid"].to_pylist(), left["place"].to_pylist()):
+                ts = shared.value.terms[wid]
+                hits = proximity(lists, ts, place, slop) if slop else [(s, s + len(ts)) for s in phrase(lists, ts, place).tolist()]
                 for s, e in hits:
                     d = int(np.searchsorted(bases, s, side="right")) - 1
                     spans.setdefault(d, []).append((s - int(bases[d]), e - int(bases[d])))
-                    wids.setdefault(d, set()).add(w["wid"])
+                    wids.setdefault(d, set()).add(wid)
             common.give_back()
         merged = [[{"start": a, "end": b} for a, b in union(x)] for x in spans.values()]
         return pa.table([pa.array([key[0].as_py()] * len(spans), pa.int64()), pa.array(list(spans), pa.int32()), pa.array(merged, span_t), pa.array([sorted(wids[d]) for d in spans], wid_t)], ["block", "d", "spans", "wids"])
@@ -261,7 +296,9 @@ def matches(index: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0,
         raise ValueError(f"window and slop may be {GAP} words at most")
     since = common.mark()
     distinct, owners = item_windows(tests, window, item_column, item_text)
-    hits = search(index, candidates(index, distinct), slop)
+    hits, *more = [search(index, chunk, slop) for chunk in chunks(distinct)]
+    for part in more:
+        hits = hits.unionByName(part)
     items = hits.select("block", "d", F.explode("wids").alias("wid")).join(owners, "wid").groupBy("block", "d").agg(F.sort_array(F.collect_set("item")).alias("items"))
     spans = hits.groupBy("block", "d").agg(folded("spans").alias("spans"))
     found = common.materialise(spans.join(items, ["block", "d"]), "found")

@@ -113,4 +113,9 @@ def test_a_window_in_every_document_and_slots_by_block(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     tests = spark.createDataFrame([(1, hot), (2, " ".join(f"r{j}" for j in range(1, 30))), (3, "nowhere at all")], "item_id long, text string")
     got = {r.doc_id: (r.n_hit, list(r["items"])) for r in dc.decontaminate(docs, tests).collect()}
-    assert got == {i: (41, ["1", "2"]) if i % 50 == 0 else (12, ["1"]) for i in range(200)}
+    want = {i: (41, ["1", "2"]) if i % 50 == 0 else (12, ["1"]) for i in range(200)}
+    assert got == want
+    monkeypatch.setattr(dc, "CHUNK_BYTES", 700)  # several chunks
+    distinct, _ = dc.item_windows(tests, 10)
+    assert 2 < len(dc.chunks(distinct)) < 10 and sum(c.count() for c in dc.chunks(distinct)) == distinct.count()
+    assert {r.doc_id: (r.n_hit, list(r["items"])) for r in dc.decontaminate(docs, tests).collect()} == want
