@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 
 import pyarrow as pa
-import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+from .sink import SCHEMA_VERSION, save_shards, system_of
+
 #: Bytes of a file that a checksum takes at a time, and rows whose size as JSON gives the mean size of a row.
 PIECE_BYTES, SIZED_ROWS = 1 << 20, 10_000
 
@@ -32,7 +31,7 @@ def sha256_of_files(spark: SparkSession, path: str, pattern: str = "*.parquet",
             digests = []
             for name in batch.column(0).to_pylist():
                 digest = hashlib.sha256()
-                system, inner = pa_fs.FileSystem.from_uri(uri_of(name))
+                system, inner = system_of(name)
                 with system.open_input_stream(inner) as stream:
                     while piece := stream.read(PIECE_BYTES):
                         digest.update(piece)
@@ -44,19 +43,14 @@ def sha256_of_files(spark: SparkSession, path: str, pattern: str = "*.parquet",
     return out.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", *more)
 
 
-def uri_of(path: str) -> str:
-    """A file path as Arrow wants it: local ones with three slashes."""
-    return re.sub(r"^file:/+", "file:///", path)
-
-
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes, sha256) of every data file below a path, read by the executors."""
     return sha256_of_files(spark, path)
 
 
 def write_shards(df: DataFrame, path: str, key: str, shard_bytes: int = 1 << 30, dataset: str = "dataset", run_id: str = "run", rules: dict[str, Column] | None = None, quarantine: str | None = None) -> DataFrame:
-    """Writes one row per key (the first by all columns) in shards of about shard_bytes, and a manifest beside them. Null keys raise. rules
-    are conditions that a row must meet: rows that fail one go, with the first such rule's name as `fault`, to the quarantine folder, or raise
+    """Writes one row per key (the first by all columns) in shards that a task ends when their rows reach shard_bytes, and a manifest, which is
+    published last: see sink.py. Null keys raise. rules are conditions that a row must meet: rows that fail one go, with the first such rule's name as `fault`, to the quarantine folder, or raise
     without one. Returns the manifest: dataset, run_id, shard_index, file, num_samples, bytes, sha256, schema_version."""
     from ..operators.contracts import quarantined
 
@@ -73,11 +67,8 @@ def write_shards(df: DataFrame, path: str, key: str, shard_bytes: int = 1 << 30,
     checked = rows.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(F.lit(f"{key} is null"))).otherwise(F.col(key)))
     once = checked.groupBy(key).agg(F.min(F.struct(*[c for c in df.columns if c != key])).alias("_r")).select(key, "_r.*").select(*df.columns)
     mean = df.limit(SIZED_ROWS).agg(F.avg(row_bytes(df))).first()[0] or 0.0
-    total = mean * rows.select(key).distinct().count()
-    once.repartitionByRange(max(1, math.ceil(total / shard_bytes)), key).sortWithinPartitions(key).write.option("compression", "zstd").parquet(f"{path}/data")
-    manifest = describe(spark, path, dataset, run_id)
-    manifest.write.mode("overwrite").json(f"{path}/manifest")
-    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+    tasks = max(1, math.ceil(mean * rows.select(key).distinct().count() / shard_bytes))
+    return save_shards(once.repartitionByRange(tasks, key).sortWithinPartitions(key), path, shard_bytes, dataset, run_id)
 
 
 def describe(spark: SparkSession, path: str, dataset: str = "dataset", run_id: str = "run") -> DataFrame:

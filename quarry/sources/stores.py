@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import arrays as A
+from .chunks import checkout, commit  # noqa: F401  versions by content
 from .shards import sha256_of_files
 
+
 SUFFIXES = {"jsonl": "json", "parquet": "parquet"}
 
 
@@ -50,39 +50,6 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def commit(spark: SparkSession, name: str, source: str, store: str, metadata: dict | None = None, parent: str | None = None) -> str:
-    """Puts every file below source into the store under its SHA-256, once, and writes the version: a row per file. Returns its id, the
-    SHA-256 of name, files, metadata and parent. Tasks read and copy the files; what reaches the driver is one hash."""
-    base = str(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source).toUri().getPath()).rstrip("/")
-    listed = sha256_of_files(spark, source, "*", keep_path=True).withColumn("path", F.regexp_replace("full", rf"^.*?\Q{base}\E/", "")).select("path", "sha256", "full")
-    about = json.dumps({"name": name, "metadata": metadata or {}, "parent": parent}, sort_keys=True)
-    files = listed.agg(F.sha2(F.concat(F.lit(about), F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "path", "sha256"))), ",")), 256)).first()[0]
-    blobs = listed.groupBy("sha256").agg(F.min("full").alias("full"))
-    for row in blobs.toLocalIterator():  # a name per different file; the bytes go from store to store
-        copy_once(spark, row.full, f"{store}/blobs/{row.sha256}")
-    out = listed.select(F.lit(name).alias("name"), F.lit(files).alias("version"), "path", "sha256", F.lit(json.dumps(metadata or {}, sort_keys=True)).alias("metadata"), F.lit(parent).cast("string").alias("parent"))
-    out.write.mode("overwrite").json(f"{store}/versions/{name}/{files}")
-    return files
-
-
-def copy_once(spark: SparkSession, source: str, target: str) -> None:
-    """Copies a file by the file systems of the two paths, unless the target is there."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    if not b.getFileSystem(conf).exists(b):
-        jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
-
-
-def checkout(spark: SparkSession, name: str, version: str, store: str, target: str) -> int:
-    """Restores the files of a version below target; returns their number."""
-    files = spark.read.json(f"{store}/versions/{name}/{version}").select("path", "sha256")
-    n = 0
-    for row in files.toLocalIterator():  # names only
-        copy_once(spark, f"{store}/blobs/{row.sha256}", f"{target}/{row.path}")
-        n += 1
-    return n
-
-
 def evaluation_reports(spark: SparkSession, folder: str, prefix: str = "eval_report_") -> DataFrame:
     """A row per report with its run id and its metrics as columns; files that are no object with metrics are left out."""
     raw = spark.read.option("wholetext", True).option("pathGlobFilter", f"{prefix}*.json").text(folder).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))

@@ -77,7 +77,7 @@ def test_shards(spark, tmp_path):
     part = sorted((tmp_path / "s/data").glob("part*.parquet"))[0]
     spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/other")
     part.write_bytes(next((tmp_path / "other").glob("part*.parquet")).read_bytes())
-    (part.parent / f".{part.name}.crc").unlink()
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)  # only Hadoop writers leave one
     assert [tuple(r) for r in shards.verify(spark, f"{tmp_path}/s").collect()] == [(part.name, "checksum")]
     assert shards.runs(manifest).first().samples == 400
 
