@@ -24,7 +24,7 @@ NUMBER = r"[-+]?\d*\.?\d+"
 REQUEST = r"(?i)convert\s+([-+]?\d*\.?\d+)\s*([A-Za-z/%^0-9\-\s]+?)\s+to\s+([A-Za-z/%^0-9\-\s]+)"
 LIMITATION = "Controller inserted limitation: verify citation(s) {ids} with papers.fetch."
 CATEGORIES = ("units", "literature", "simulation", "hybrid")
-REPAIRS = ("wrong_format", "missing_argument", "unknown_tool")
+REPAIRS = ("malformed_json", "missing_fetch", "python_error")
 
 
 def numbers(text: Column) -> Column:

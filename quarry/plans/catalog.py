@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contracts, dialogs, distillation, documents, drift, models, operations, spectra, streams, tools
+from . import contracts, dialogs, distillation, documents, drift, models, operations, spectra, streams, synthetic, tools
 
-MODULES = (documents, models, drift, spectra, dialogs, distillation, contracts, operations, streams, tools)
+MODULES = (documents, models, drift, spectra, dialogs, distillation, contracts, operations, streams, synthetic, tools)
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _module in MODULES:

@@ -86,7 +86,7 @@ def completed_reports(spark, d):
     return table(spark, d, "part").select("p_partkey", X.completed_report(report, fetched).alias("r")).select("p_partkey", "r.*")
 
 
-@R.add("""SELECT p_partkey, ['units', 'literature', 'simulation', 'hybrid'][p_partkey % 4 + 1] AS category, ['wrong_format', 'missing_argument', 'unknown_tool'][p_partkey % 3 + 1] AS repair, 1::BIGINT AS tool_calls, 1::BIGINT AS valid_calls, true AS final_valid, true AS cites,
+@R.add("""SELECT p_partkey, ['units', 'literature', 'simulation', 'hybrid'][p_partkey % 4 + 1] AS category, ['malformed_json', 'missing_fetch', 'python_error'][p_partkey % 3 + 1] AS repair, 1::BIGINT AS tool_calls, 1::BIGINT AS valid_calls, true AS final_valid, true AS cites,
 (20 + ('0x' || substr(sha256('convert ' || p_size || ' m to cm'), 1, 4))::BIGINT % 120)::DOUBLE AS mean_ms FROM part""")
 def tool_episodes(spark, d):
     """Episodes scored by the operator that scores dialogues: their calls are valid, and cited works are fetched by the call's tool."""
