@@ -6,15 +6,17 @@ earlier - in a document with a smaller id, or further up in the same one - is de
 1. Select: the k-grams are the shortest line sequences with `gram_words` words, the windows the shortest with `min_words`; the
    k-gram of least hash in each window is a fingerprint. Equal windows share it, so each run that counts has a fingerprint. Texts are
    read once: what is stored of a document are its line hashes and its fingerprints' positions.
-2. Join: the positions are joined with the fingerprints that occur more than once; others can't lie in a repeat. The positions that are
-   left meet their document's line hashes.
-3. Extend: from each position both ways, line by line, every window that holds it is matched in full (128-bit hash of its lines) with all
-   other places; one whose first occurrence lies elsewhere is a repeat. Windows are taken from each line onwards and backwards, which
-   covers a repeated run exactly.
-4. Delete the lines of all repeats. Where a repeat overlaps its own first occurrence, the lines of that one stay.
+2. Join: the positions are joined with the fingerprints that occur more than once; others can't lie in a repeat. Each position that is
+   left gets its context: the hashes of the lines of all windows that hold it. Of each fingerprint the first position is found.
+3. Extend: every later position is paired with the first one of its fingerprint, never with all, and the match is extended both ways, line by
+   line, as far as the two contexts agree. A window inside the match is a repeat, and its first occurrence is there: no earlier place has the
+   fingerprint. What the first position can't tell are windows that go beyond the match. They may occur at another position of the
+   fingerprint, where they go beyond the match as well; so they alone are hashed (128 bits) and meet each other, and the first stays.
+4. Delete the lines of all repeats. Where a repeat overlaps its own first occurrence, the lines of that one stay. Windows are taken from each line
+   onwards and backwards, which covers a repeated run exactly; a run of any length has fingerprints all along.
 
 Nothing goes through the driver, at any size. Hot fingerprints and windows meet in partial aggregates, and in joins against a table with one
-row for each, whose other side can be split; no pairs of occurrences are made. Joins whose sides grow with the corpus are merge joins at
+row for each, whose other side can be split; an occurrence is in one pair. Joins whose sides grow with the corpus are merge joins at
 every size.
 
 Cases: null and empty texts, and texts without a word, stay as they are. Lines are compared without white space at their ends.
@@ -71,23 +73,41 @@ def fingerprints(digests: list[bytes], counts: np.ndarray, min_words: int, gram_
     return out
 
 
-def windows_near(digests: list[bytes], counts: np.ndarray, marked: list[int], min_words: int, gram_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, hash) of the windows, onwards and backwards, that hold a marked fingerprint."""
-    n, out = len(digests), {}
-    forward = reaches(counts, min_words)
-    for i, e in enumerate(forward.tolist()):
-        if e <= n:
-            out[i, e] = None
-    back = n - reaches(counts[::-1], min_words)[::-1]
-    for i, s in enumerate(back.tolist()):
-        if s >= 0:
-            out[s, i + 1] = None
-    ends = reaches(counts, gram_words)[marked]
-    first = np.full(n + 1, n + 1, dtype=np.int64)  # the least end of a marked k-gram from each line on
-    np.minimum.at(first, marked, ends)
-    first = np.minimum.accumulate(first[::-1])[::-1]
-    out = {(s, e): None for s, e in out if first[s] <= e}
-    return [(s, e, xxhash.xxh3_128_digest(b"".join(digests[s:e]))) for s, e in out]
+def windows_with(counts: np.ndarray, at: int, end: int, min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the windows, onwards and backwards, that hold the lines from at to end."""
+    n = len(counts)
+    forward, back = reaches(counts, min_words), n - reaches(counts[::-1], min_words)[::-1]
+    first, last = int(np.searchsorted(forward, end)), int(np.searchsorted(back, at, side="right"))
+    out = {(i, int(forward[i])): None for i in range(first, at + 1) if forward[i] <= n}
+    out |= {(int(back[j]), j + 1): None for j in range(end - 1, last) if back[j] >= 0}
+    return list(out)
+
+
+def contexts_of(counts: np.ndarray, marks: list[int], min_words: int, gram_words: int) -> list[tuple[int, int]]:
+    """For each marked fingerprint the lines [low, high) of all windows_with() it, from the ends of their ranges."""
+    n, out = len(counts), []
+    forward, back = reaches(counts, min_words), n - reaches(counts[::-1], min_words)[::-1]
+    fit, short = int(np.searchsorted(forward, n, side="right")), int(np.searchsorted(back, 0))  # windows onwards before fit, backwards from short on
+    for at, end in zip(marks, reaches(counts, gram_words)[marks].tolist()):
+        first, to = int(np.searchsorted(forward, end)), min(at, fit - 1)
+        since, last = max(end - 1, short), int(np.searchsorted(back, at, side="right"))
+        spans = [(at, end)]
+        if first <= to:
+            spans.append((first, int(forward[to])))
+        if since < last:
+            spans.append((int(back[since]), last))
+        out.append((min(a for a, _ in spans), max(b for _, b in spans)))
+    return out
+
+
+def extended(own: bytes, k: int, first: bytes, f: int) -> tuple[int, int]:
+    """How many lines before k, and from k on, agree with those before and from f on. 16 bytes a line."""
+    left, right, n, m = 0, 0, len(own) // 16, len(first) // 16
+    while left < min(k, f) and own[16 * (k - left - 1) : 16 * (k - left)] == first[16 * (f - left - 1) : 16 * (f - left)]:
+        left += 1
+    while right < min(n - k, m - f) and own[16 * (k + right) : 16 * (k + right + 1)] == first[16 * (f + right) : 16 * (f + right + 1)]:
+        right += 1
+    return left, right
 
 
 def signed(x: int) -> int:
@@ -121,21 +141,51 @@ def sequences(source: DataFrame, min_words: int, gram_words: int) -> DataFrame:
     return common.materialise(source.mapInArrow(run, f"id {kind}, node long, lines binary, words binary, prints array<struct<at:int,h:long>>"), "sequences")
 
 
-def windows_of(marked: DataFrame, min_words: int, gram_words: int) -> DataFrame:
-    """(id, node, s, e, h): the windows around the marked positions. marked: id, node, lines, words, marks."""
+def contexts(marked: DataFrame, min_words: int, gram_words: int) -> DataFrame:
+    """(h, id, node, at, low, lines, words): the marked positions with the lines around them. marked: id, node, lines, words, marks."""
     kind = marked.schema["id"].dataType.simpleString()
+    names = ["h", "id", "node", "at", "low", "lines", "words"]
 
     def run(batches):
         for batch in common.slices(batches, "lines"):
-            row, start, end, digest = [], [], [], []
+            row, h, at, low, around, sizes = [], [], [], [], [], []
             for r, (lines, words, marks) in enumerate(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))):
-                digests = [lines[i : i + 16] for i in range(0, len(lines), 16)]
-                for s, e, h in windows_near(digests, np.frombuffer(words, dtype=np.int32).astype(np.int64), marks, min_words, gram_words):
-                    row.append(r), start.append(s), end.append(e), digest.append(h)
+                counts = np.frombuffer(words, dtype=np.int32).astype(np.int64)
+                for mark, (a, b) in zip(marks, contexts_of(counts, [m["at"] for m in marks], min_words, gram_words)):
+                    row.append(r), h.append(mark["h"]), at.append(mark["at"]), low.append(a), around.append(lines[16 * a : 16 * b]), sizes.append(words[4 * a : 4 * b])
+            take = pa.array(row, pa.int64())
+            columns = [pa.array(h, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(low, pa.int32()), pa.array(around, pa.binary()), pa.array(sizes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return common.materialise(marked.select("id", "node", "lines", "words", "marks").mapInArrow(run, f"h long, id {kind}, node long, at int, low int, lines binary, words binary"), "contexts")
+
+
+def runs(pairs: DataFrame, min_words: int, gram_words: int) -> DataFrame:
+    """(id, node, s, e, h): of each position paired with its fingerprint's first, the lines that are repeats of that place (h null), and the windows
+    that go beyond the match, with their hashes. pairs: id, node, at, low, lines, words, same (one text), f_at, f_low, f_lines."""
+    kind = pairs.schema["id"].dataType.simpleString()
+    columns = ["id", "node", "at", "low", "lines", "words", "same", "f_at", "f_low", "f_lines"]
+
+    def run(batches):
+        for batch in common.slices(batches, "lines"):
+            row, start, end, digest = [], [], [], []
+            for r, (at, low, lines, words, same, f_at, f_low, f_lines) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(2, 10)))):
+                counts, k = np.frombuffer(words, dtype=np.int32).astype(np.int64), at - low
+                left, right = extended(lines, k, f_lines, f_at - f_low)
+                held = windows_with(counts, k, int(reaches(counts, gram_words)[k]), min_words)
+                inside = [(s, e) for s, e in held if s >= k - left and e <= k + right]
+                if same:
+                    gone = {(max(s, e - (at - f_at)), e): None for s, e in inside}
+                else:  # all hold the fingerprint, so together they are one run
+                    gone = [(min(s for s, _ in inside), max(e for _, e in inside))] if inside else []
+                for s, e in gone:
+                    row.append(r), start.append(low + s), end.append(low + e), digest.append(None)
+                for s, e in set(held).difference(inside):
+                    row.append(r), start.append(low + s), end.append(low + e), digest.append(xxhash.xxh3_128_digest(lines[16 * s : 16 * e]))
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary())], ["id", "node", "s", "e", "h"])
 
-    return marked.select("id", "node", "lines", "words", "marks").mapInArrow(run, f"id {kind}, node long, s int, e int, h binary")
+    return common.materialise(pairs.select(columns).mapInArrow(run, f"id {kind}, node long, s int, e int, h binary"), "runs")
 
 
 def repeats(source: DataFrame, min_words: int, gram_words: int) -> DataFrame:
@@ -143,15 +193,26 @@ def repeats(source: DataFrame, min_words: int, gram_words: int) -> DataFrame:
     texts = sequences(source, min_words, gram_words)
     places = texts.select("id", "node", F.inline("prints"))
     twice = common.materialise(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "fingerprints")
-    found = places.join(twice.hint("merge"), "h").groupBy(F.col("id").alias("i"), F.col("node").alias("k")).agg(F.collect_set("at").alias("marks"))
+    found = places.join(twice.hint("merge"), "h").groupBy(F.col("id").alias("i"), F.col("node").alias("k")).agg(F.collect_set(F.struct("at", "h")).alias("marks"))
     marked = texts.drop("prints").join(found.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("k")))
-    spots = common.materialise(windows_of(marked, min_words, gram_words), "windows")
+    around = contexts(marked, min_words, gram_words)
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "node", "at")
+    firsts = around.groupBy("h").agg(F.min(F.struct(place.alias("place"), "low", "lines")).alias("f"))
+    firsts = common.materialise(firsts.select("h", "f.place", F.col("f.low").alias("f_low"), F.col("f.lines").alias("f_lines")), "firsts")
+    pairs = around.join(firsts.hint("merge"), "h").where(~place.eqNullSafe(F.col("place")))
+    same = F.col("id").eqNullSafe(F.col("place.id")) & (F.col("node") == F.col("place.node"))
+    ran = runs(pairs.withColumns({"same": same, "f_at": F.col("place.at")}), min_words, gram_words)
+    return ran.where("h IS NULL").select("id", "node", "s", "e").unionByName(beyond(ran.where("h IS NOT NULL"))).groupBy("id", "node").agg(F.collect_set(F.struct("s", "e")).alias("gone"))
+
+
+def beyond(spots: DataFrame) -> DataFrame:
+    """(id, node, s, e): of the hashed windows those that are not the first of their hash, without what overlaps the first."""
     place = F.struct(F.col("id").isNull().alias("z"), "id", "node", "s")
     first = spots.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("NOT (first <=> last)").select("h", "first")
-    again = spots.join(common.materialise(first, "firsts").hint("merge"), "h").where(~place.eqNullSafe(F.col("first")))
+    again = spots.join(common.materialise(first, "window_firsts").hint("merge"), "h").where(~place.eqNullSafe(F.col("first")))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))
     begin = F.when(same, F.greatest("s", F.col("first.s") + F.col("e") - F.col("s"))).otherwise(F.col("s"))
-    return again.groupBy("id", "node").agg(F.collect_set(F.struct(begin.alias("s"), "e")).alias("gone"))
+    return again.select("id", "node", begin.alias("s"), "e")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, id_column: str = "doc_id", text_column: str = "text", outputs: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quarry.llm import line_dedup
 
 
@@ -61,6 +63,53 @@ def test_matches_brute_force(spark):
         assert sorted(map(tuple, got)) == brute(rows, least)
 
 
+def test_windows_and_contexts_by_search_are_those_by_definition():
+    r = random.Random(6)
+    for _ in range(300):
+        counts = np.array([r.randint(1, 9) for _ in range(r.randint(1, 25))])
+        least, gram = r.randint(5, 40), r.randint(1, 20)
+        n, total = len(counts), lambda s, e: int(counts[s:e].sum())
+        every = {(s, e) for s in range(n) for e in range(s + 1, n + 1) if total(s, e) >= least and (total(s, e - 1) < least or total(s + 1, e) < least)}
+        every = {(s, e) for s, e in every if total(s, e - 1) < least or total(s + 1, e) < least}
+        marks = [i for i in range(n) if total(i, n) >= gram]
+        for at, context in zip(marks, line_dedup.contexts_of(counts, marks, least, gram)):
+            end = next(e for e in range(at + 1, n + 1) if total(at, e) >= gram)
+            want = {(s, e) for s, e in every if s <= at and e >= end}
+            assert set(line_dedup.windows_with(counts, at, end, least)) == want
+            assert context == (min([at, *(s for s, _ in want)]), max([end, *(e for _, e in want)]))
+
+
+def test_matches_extend_line_by_line_from_the_pair():
+    own, first = b"".join(bytes([x]) * 16 for x in b"abcdefg"), b"".join(bytes([x]) * 16 for x in b"xbcdefy")
+    assert line_dedup.extended(own, 3, first, 3) == (2, 3) and line_dedup.extended(own, 0, first, 0) == (0, 0)
+    assert line_dedup.extended(own, 2, first[32:], 0) == (0, 4)
+
+
+def test_what_the_first_place_does_not_tell(spark):
+    """One passage in all documents; the lines around it are the same in pairs of documents that the first one is not in. A run of very many
+    lines is found whole, by pairs with one first place."""
+    core = "\n".join(f"core line {i} of the passage that all documents have" for i in range(4))
+    rows = [(0, core)]
+    for i in range(1, 13):
+        edge = f"left {i // 2} one two three four five six\n" * 3
+        rows.append((i, f"own {i}\n{edge}{core}\nright {i // 3} and some more words here\nend {i}"))
+    long = "\n".join(f"line {i} with some few words" for i in range(10_000))
+    rows += [(100, long), (101, "before\n" + long + "\nafter")]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert sorted(map(tuple, got))[:13] == brute(rows[:13], 50)
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id >= 100} == {100: 0, 101: 10_000}
+
+
+def test_work_is_linear_in_the_lines(spark):
+    """Each line of a repeated run is in a bounded number of contexts and hashed windows, however long the run is."""
+    for n in (300, 3000):
+        text = "\n".join(f"line {i} with some few words" for i in range(n))
+        _, digests, counts = line_dedup.lines_of(text)
+        marks = list(line_dedup.fingerprints(digests, counts, 50, 25))
+        contexts = line_dedup.contexts_of(counts, marks, 50, 25)
+        assert sum(b - a for a, b in contexts) < 12 * n
+
+
 def test_ties_nulls_and_clashing_names(spark):
     text = "alpha " * 60
     rows = [(1, text, "x", 1), (1, text, "x", 2), (None, text, None, 3), (2, None, "y", 4), (2, "", "y", 5), (3, "short", "z", 6)]
