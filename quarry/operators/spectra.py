@@ -29,6 +29,12 @@ def shard_statistics(df: DataFrame, shard: str, mzs: str = "mzs", intensities: s
     )
 
 
+def shard_value_counts(df: DataFrame, shard: str, fields: tuple[str, ...]) -> DataFrame:
+    """(shard, field, value, n): how often each charge, adduct or other label occurs in a shard. Nulls are left out."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields])
+    return df.select(shard, F.inline(pairs)).where("value IS NOT NULL").groupBy(shard, "field", "value").agg(F.count("*").alias("n"))
+
+
 def peak_counts(df: DataFrame, by: tuple[str, ...], mzs: str = "mzs") -> DataFrame:
     """The median number of peaks, by counted values."""
     return S.quantiles(df.select(*by, F.size(mzs).alias("_n")), "_n", {"median_peaks": 0.5}, by)

@@ -88,6 +88,14 @@ def shard_statistics(spark, d):
     return rounded(P.shard_statistics(_shards(spark, d), "shard", fields=("precursor_mz",)))
 
 
+@R.add("""WITH s AS (SELECT vec_id % 4 AS shard, (vec_id % 3 + 1)::VARCHAR AS charge, CASE WHEN label <> 1 THEN '[M+H]' || label END AS adduct FROM embeddings)
+SELECT shard, 'charge' AS field, charge AS value, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT shard, 'adduct', adduct, count(*) FROM s WHERE adduct IS NOT NULL GROUP BY ALL""")
+def shard_value_counts(spark, d):
+    k = F.col("vec_id")
+    rows = table(spark, d, "embeddings").select((k % 4).alias("shard"), (k % 3 + 1).alias("charge"), F.when(F.col("label") != 1, F.concat(F.lit("[M+H]"), F.col("label").cast("string"))).alias("adduct"))
+    return P.shard_value_counts(rows, "shard", ("charge", "adduct"))
+
+
 @R.add(_SHARDS + "SELECT shard, round(quantile_cont(x, 0.05), 6) AS q05, round(quantile_cont(x, 0.25), 6) AS q25, round(median(x), 6) AS median, round(quantile_cont(x, 0.75), 6) AS q75, round(quantile_cont(x, 0.95), 6) AS q95 FROM (SELECT shard, unnest(v) AS x FROM s) GROUP BY 1")
 def intensity_quantiles(spark, d):
     return rounded(P.intensity_quantiles(_shards(spark, d), ("shard",)))

@@ -99,9 +99,9 @@ _TEMPLATES = {"hypothesis": "State a hypothesis on {context} now", "methodology"
 _TASKS = ("hypothesis", "Methodology", "other")
 
 
-@R.add(f"WITH s AS (SELECT doc_id, {_SQUEEZE} AS t, {_sql_pick(_TASKS)} AS task FROM documents) SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 AND t <> '' THEN t WHEN task = 'hypothesis' THEN 'State a hypothesis on ' || t || ' now' WHEN task = 'Methodology' THEN 'Plan: ' || t END) AS prompt FROM s WHERE NOT (doc_id % 2 = 0 AND t = '')")
+@R.add(f"WITH s AS (SELECT doc_id, coalesce(text, '') AS raw, {_SQUEEZE} AS t, {_sql_pick(_TASKS)} AS task FROM documents) SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 AND raw <> '' THEN t WHEN task = 'hypothesis' THEN 'State a hypothesis on ' || t || ' now' WHEN task = 'Methodology' THEN 'Plan: ' || t END) AS prompt FROM s")
 def resolved_prompts(spark, d):
-    t = table(spark, d, "documents").where((F.col("doc_id") % 2 > 0) | (T.squeezed(F.coalesce("text", F.lit(""))) != ""))
+    t = table(spark, d, "documents")
     p = Q.resolved_prompt(F.when(F.col("doc_id") % 2 == 0, F.col("text")), F.col("text"), _pick(_TASKS), _TEMPLATES)
     return t.select("doc_id", F.sha2(p, 256).alias("prompt"))
 

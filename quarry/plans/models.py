@@ -117,22 +117,35 @@ def embedding_softmax(spark, d):
     return rounded(e.select("vec_id", E.argmax(F.col("v")).alias("predicted"), F.array_max(E.softmax(F.col("v"))).alias("confidence")))
 
 
-@R.add(_BOARD + """, m AS (SELECT model_id, 'top10_accuracy' AS metric, discount / 10 AS value FROM b UNION ALL SELECT model_id, 'tanimoto_at1', quantity / 5 FROM b UNION ALL SELECT model_id, 'hitrate_at1', overall_score / 2 FROM b UNION ALL SELECT model_id, 'mces_at1', tax * 20 FROM b),
+_TIERS_SQL = _BOARD + """, m AS (SELECT model_id, 'top10_accuracy' AS metric, discount / 10 AS value FROM b UNION ALL SELECT model_id, 'tanimoto_at1', quantity / 5 FROM b UNION ALL SELECT model_id, 'hitrate_at1', overall_score / 2 FROM b UNION ALL SELECT model_id, 'mces_at1', tax * 20 FROM b),
 t(tier, metric, threshold, "of") AS (VALUES ('Tier 1', 'top10_accuracy', 0.05, 6), ('Tier 1', 'tanimoto_at1', 0.50, 6), ('Tier 1', 'hitrate_at1', 0.35, 6), ('Tier 2', 'top10_accuracy', 0.10, 7), ('Tier 2', 'mces_at1', 9.0, 7), ('Tier 2', 'hitrate_at1', 0.50, 7), ('Tier 3', 'top10_accuracy', 0.20, 8), ('Tier 3', 'tanimoto_at1', 0.60, 8), ('Tier 3', 'mces_at1', 8.0, 8), ('Tier 3', 'hitrate_at1', 0.60, 8))
-SELECT model_id, tier, "of", count(*) FILTER (CASE WHEN metric = 'mces_at1' THEN value <= threshold ELSE value >= threshold END) AS met, met >= 0.8 * "of" AS reached FROM m JOIN t USING (metric) GROUP BY model_id, tier, "of" """)
-def adoption_tiers(spark, d):
+SELECT model_id, tier, "of", count(*) FILTER (CASE WHEN metric = 'mces_at1' THEN value <= threshold ELSE value >= threshold END) AS met, met >= 0.8 * "of" AS reached FROM m JOIN t USING (metric) GROUP BY model_id, tier, "of" """
+
+
+def _tiers(spark, d):
     b = E.leaderboard(_scores(spark, d, prompts=False), METRICS)
     values = b.select("model_id", (F.col("discount") / 10).alias("top10_accuracy"), (F.col("quantity") / 5).alias("tanimoto_at1"), (F.col("overall_score") / 2).alias("hitrate_at1"), (F.col("tax") * 20).alias("mces_at1"))
     return E.adoption_tiers(E.long_form(values, ["model_id"], values.columns[1:]).withColumnRenamed("score", "value"))
 
 
-_MADE = {"m1": {"top10_accuracy": 0.3, "tanimoto_at1": 0.7, "hitrate_at1": 0.7, "peaks_explained": 0.9, "intensity_explained": 0.9, "formula_match": 0.5}, "m2": {"top10_accuracy": 0.01, "formula_match": 0.95}}
+@R.add(_TIERS_SQL)
+def adoption_tiers(spark, d):
+    return _tiers(spark, d)
+
+
+#: The tiers with thresholds that each supplier's own orders reach or miss: shares of its lines by what holds of them.
+_SHARES = {"top10_accuracy": "l_discount >= 0.05", "tanimoto_at1": "l_quantity > 25", "hitrate_at1": "l_tax < 0.05", "peaks_explained": "l_returnflag <> 'R'", "intensity_explained": "l_linestatus = 'O' OR l_quantity > 20", "formula_match": "l_quantity > 5", "class_accuracy": "l_quantity > 8", "top1_tanimoto": "l_quantity > 22", "candidate_reduction": "l_discount >= 0"}
+_SHARES_SQL = " UNION ALL ".join(f"SELECT l_suppkey AS model_id, '{m}' AS metric, avg(({c})::INT) * {40 if m == 'candidate_reduction' else 1} AS value FROM lineitem GROUP BY 1" for m, c in _SHARES.items())
+_LIMITS_SQL = ", ".join(f"('{t}', '{m}', {v}::DOUBLE, {len(ms)})" for t, ms in E.TIERS.items() for m, v in ms.items())
 
 
-@R.add("SELECT * FROM (VALUES ('m1', 'Tier 1'), ('m2', 'Below Tier 1')) v(model_id, tier)")
+@R.add(f"""WITH m AS ({_SHARES_SQL}), t(tier, metric, threshold, of) AS (VALUES {_LIMITS_SQL}),
+r AS (SELECT model_id, tier, count(*) FILTER (CASE WHEN metric = 'mces_at1' THEN value <= threshold ELSE value >= threshold END) >= 0.8 * max(of) AS reached FROM m JOIN t USING (metric) GROUP BY 1, 2)
+SELECT model_id, coalesce(max(tier) FILTER (reached), 'Below Tier 1') AS tier FROM r GROUP BY 1""")
 def adoption_best_tier(spark, d):
-    rows = [(g, m, v) for g, values in _MADE.items() for m, v in values.items()]
-    return E.best_tier(E.adoption_tiers(spark.createDataFrame(rows, "model_id string, metric string, value double")))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("model_id"))
+    shares = lines.agg(*[(F.avg(F.expr(c).cast("int")) * (40 if m == "candidate_reduction" else 1)).alias(m) for m, c in _SHARES.items()])
+    return E.best_tier(E.adoption_tiers(E.long_form(shares, ["model_id"], list(_SHARES)).withColumnRenamed("score", "value")))
 
 
 @R.add("""WITH e AS (SELECT vec_id, vec_id % 4 AS y, embedding[1:4] AS s FROM embeddings),

@@ -72,18 +72,22 @@ def scholarly_items(spark, d):
     return table(spark, d, "part").select("p_partkey", X.scholarly_item(item).alias("w")).select("p_partkey", "w.title", "w.authors", "w.year", "w.doi")
 
 
-@R.add("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '{"id": "c", "args": {"n": ' || p_size || '}}' WHEN 1 THEN '{"id": "c", "ok": true, "none": null}' WHEN 2 THEN NULL END AS call FROM part WHERE p_partkey % 4 < 3""")
+@R.add("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '{"id": "c", "args": {"n": ' || p_size || '}}' WHEN 1 THEN '{"id": "c", "ok": true, "none": null}' END AS call FROM part""")
 def tool_call_repairs(spark, d):
     k = F.col("p_partkey")
     call = F.when(k % 4 == 0, F.concat(F.lit("{'id': 'c', 'args': {'n': "), F.col("p_size").cast("string"), F.lit("}}"))).when(k % 4 == 1, "{'id': 'c', 'ok': True, 'none': None}").otherwise("{'id': import os")
-    return table(spark, d, "part").where(k % 4 < 3).select("p_partkey", X.repaired(call).alias("call"))
+    return table(spark, d, "part").select("p_partkey", X.repaired(call).alias("call"))
 
 
-@R.add("""SELECT p_partkey, ['10.1/a', '10.1/b'] AS cited, CASE WHEN p_partkey % 2 = 0 THEN ['10.1/a'] ELSE []::VARCHAR[] END AS unfetched, CASE WHEN p_partkey % 2 = 0 THEN ['small', 'Controller inserted limitation: verify citation(s) [''10.1/a''] with papers.fetch.'] ELSE ['small'] END AS limitations FROM part""")
+@R.add("""WITH w AS (SELECT l_orderkey AS k, '10.1/' || l_partkey AS doi, bool_or(l_linenumber % 2 = 1) AS fetched FROM lineitem GROUP BY ALL),
+c AS (SELECT k, list(doi ORDER BY doi) AS cited, coalesce(list(doi ORDER BY doi) FILTER (NOT fetched), []) AS unfetched FROM w GROUP BY k)
+SELECT k AS l_orderkey, cited, unfetched, CASE WHEN len(unfetched) > 0 THEN ['small', 'Controller inserted limitation: verify citation(s) [' || array_to_string(list_transform(unfetched, lambda x: chr(39) || x || chr(39)), ', ') || '] with papers.fetch.'] ELSE ['small'] END AS limitations FROM c""")
 def completed_reports(spark, d):
-    report = F.lit('{"evidence": [{"doi": "10.1/b"}, {"doi": "10.1/a"}, {"doi": ""}, {"note": 1}], "limitations": ["small"]}')
-    fetched = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("10.1/b"))).otherwise(F.array(F.lit("10.1/a"), F.lit("10.1/b")))
-    return table(spark, d, "part").select("p_partkey", X.completed_report(report, fetched).alias("r")).select("p_partkey", "r.*")
+    """A report per order that cites a work for each of its parts; the parts of odd lines were fetched."""
+    line = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("10.1/"), F.col("l_partkey").cast("string")).alias("doi"), (F.col("l_linenumber") % 2 == 1).alias("odd"))
+    by = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.struct("doi"))).alias("evidence"), F.collect_set(F.when(F.col("odd"), F.col("doi"))).alias("fetched"))
+    report = F.to_json(F.struct("evidence", F.array(F.lit("small")).alias("limitations")))
+    return by.select("l_orderkey", X.completed_report(report, F.col("fetched")).alias("r")).select("l_orderkey", "r.*")
 
 
 @R.add("""SELECT p_partkey, ['units', 'literature', 'simulation', 'hybrid'][p_partkey % 4 + 1] AS category, ['malformed_json', 'missing_fetch', 'python_error'][p_partkey % 3 + 1] AS repair, 1::BIGINT AS tool_calls, 1::BIGINT AS valid_calls, true AS final_valid, true AS cites,
