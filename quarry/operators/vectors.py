@@ -1,20 +1,31 @@
-"""Vector search by brute force over a stated set of queries, reranking, and averages of vectors.
+"""Exact vector search over a stated set of queries, reranking, and averages of vectors.
 
-The queries are broadcast only behind a count; past the bound they are dealt over partitions in blocks that the corpus is joined with one
-after another. Each task keeps its own best k before the shuffle by way of the window's group limit.
+Few products of queries and rows are made at once: the queries are broadcast in blocks behind a count, and each task keeps its own best k before the
+shuffle by way of the window's group limit. Where there are many, whole cells are skipped. Rows are stored by the nearest of some centres, with their
+angle to it; a cell's radius is its largest angle. No row of a cell has a higher cosine with a query than that of the angle between query and centre
+less the radius. A query first meets the nearest cells that hold k rows; its k-th score there is a bound, and only cells that can beat it are met
+as well. The result is that of all products, also in its ties.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import arrays as A
+from ..session import written
 
-#: Queries that are held on every executor at a time.
-QUERY_BLOCK = 4096
+#: Queries that are held on every executor at a time, and products of queries and rows from which on cells are used.
+QUERY_BLOCK, PLAIN_PRODUCTS = 4096, 10_000_000
+#: Rows of a cell, cells at most, sampled rows for a centre, and rounds in which centres settle.
+CELL_ROWS, MOST_CELLS, SAMPLED, SETTLE = 256, 2048, 32, 5
+#: Rows and queries of a cell that meet in one task, and numbers of a matrix of scores at a time.
+BLOCK_ROWS, SLOT_ROWS, SCORES = 8192, 4096, 1 << 21
 
 
 def _scored(corpus: DataFrame, queries: DataFrame, vector: str) -> DataFrame:
@@ -25,18 +36,155 @@ def _scored(corpus: DataFrame, queries: DataFrame, vector: str) -> DataFrame:
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
-    """The k rows of the corpus of highest cosine for each query (query_id, query_vector), ranked, then by key."""
+    """The k rows of the corpus of highest cosine for each query (query_id, query_vector), ranked, then by key. Rows and queries without a
+    direction have no score and come last."""
     n = queries.count()
+    if n * corpus.count() > PLAIN_PRODUCTS:
+        return pruned(corpus, queries, k, key, vector)
     blocks = max(1, -(-n // block))
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-        found = _scored(corpus, part, vector).withColumn("rank", nth).where(F.col("rank") <= k)
+        found = best(_scored(corpus, part, vector), k, key)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def best(scored: DataFrame, k: int, key: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", nth).where(F.col("rank") <= k)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+class Cells:
+    """Centres of unit length, and of each cell its radius and its number of rows."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        x = _unit(sample)
+        self.centres = x[:: max(1, len(x) // cells)][:cells]
+        for _ in range(SETTLE):
+            own = (x @ self.centres.T).argmax(1)
+            sums = np.zeros_like(self.centres)
+            np.add.at(sums, own, x)
+            size = np.sqrt((sums * sums).sum(1))
+            self.centres = np.where(size[:, None] > 1e-9, sums / np.maximum(size, 1e-9)[:, None], self.centres)
+        self.radius, self.rows = np.zeros(len(self.centres)), np.zeros(len(self.centres), dtype=np.int64)
+
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(_unit(x) @ self.centres.T, -1, 1))
+
+    def near(self, angles: np.ndarray, k: int) -> np.ndarray:
+        """The cells nearest to a query that hold k rows together."""
+        order = np.argsort(angles, kind="stable")
+        return order[: np.searchsorted(np.cumsum(self.rows[order]), k) + 1]
+
+    def may_beat(self, angles: np.ndarray, score: float) -> np.ndarray:
+        """The cells that may hold a row of that cosine or a higher one."""
+        bound = np.cos(np.maximum(0, angles - self.radius - 1e-7))
+        return np.flatnonzero((self.rows > 0) & (bound >= score - 1e-9))
+
+
+def pruned(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """top_k() by cells."""
+    norm = A.norm(F.col(vector))
+    whole = corpus.where(F.coalesce(norm > 0, F.lit(False)))
+    turned = F.coalesce(A.norm(F.col("query_vector")) > 0, F.lit(False))
+    rows = whole.count()
+    payload = [c for c in corpus.columns if c != vector]
+    if rows < k:  # rows without a direction fill up: there are fewer than k others
+        rest = corpus.where(~F.coalesce(norm > 0, F.lit(False))).orderBy(key).limit(k)
+        few = whole.unionByName(rest)
+        return best(_scored(few, queries, vector), k, key).select(*payload, "query_id", "score", "rank")
+    cells, shared = min(MOST_CELLS, max(1, rows // CELL_ROWS)), None
+    keyed = whole.withColumn("_h", F.xxhash64(key, vector))
+    share = cells * SAMPLED * 2 / rows
+    sample = (keyed.where(F.col("_h") % 1_000_003 < share * 2_000_006 - 1_000_003) if share < 1 else keyed).orderBy("_h").limit(cells * SAMPLED).select(vector).toArrow()
+    found = Cells(_matrix(sample[vector]) if len(sample) else _matrix(whole.limit(1).select(vector).toArrow()[vector]), cells)
+    shared = corpus.sparkSession.sparkContext.broadcast(found)
+    schema = T_.StructType([*[corpus.schema[c] for c in payload], corpus.schema[vector], T_.StructField("_cell", T_.IntegerType()), T_.StructField("_angle", T_.DoubleType())])
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a = shared.value.angles(_matrix(batch.column(batch.num_columns - 1)))
+                own = a.argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(a[np.arange(len(own)), own])], schema.names)
+
+    stored = written(whole.select(*payload, vector).mapInArrow(place, schema), "cells")
+    for r in stored.groupBy("_cell").agg(F.max("_angle").alias("r"), F.count("*").alias("n")).collect():  # a row per cell
+        found.radius[r[0]], found.rows[r[0]] = r.r, r.n
+    asked = written(queries.where(turned).select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector")), "queries")
+    first = written(met(stored, asked.withColumn("_bound", F.lit(None).cast("double")), found, k, key, vector, payload), "near")
+    bound = first.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("_bound"))
+    more = met(stored, asked.join(bound, "query_id"), found, k, key, vector, payload)
+    out = best(first.drop("rank").unionByName(more.drop("rank")), k, key)
+    lost = queries.where(~turned).select("query_id").withColumn("score", F.lit(None).cast("double"))
+    least = corpus.select(*payload).orderBy(key).limit(k)  # without a score the key alone counts
+    return out.unionByName(best(lost.join(F.broadcast(least), how="cross"), k, key))
+
+
+def met(stored: DataFrame, asked: DataFrame, cells: Cells, k: int, key: str, vector: str, payload: list[str]) -> DataFrame:
+    """The best k of each query (query_id, query_vector, _bound) in its nearest cells or, with a bound, in the other cells that may beat it."""
+    spark = stored.sparkSession
+    shared = spark.sparkContext.broadcast(cells)
+    kind = asked.schema["query_id"].dataType
+    visit_t = T_.StructType([asked.schema["query_id"], asked.schema["query_vector"], T_.StructField("_cell", T_.IntegerType())])
+
+    def visit(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, cell = [], []
+            for r, (angles, bound) in enumerate(zip(shared.value.angles(_matrix(batch.column(1))), batch.column(2).to_pylist())):
+                near = shared.value.near(angles, k)
+                mine = near if bound is None else np.setdiff1d(shared.value.may_beat(angles, bound), near)
+                row += [r] * len(mine)
+                cell += mine.tolist()
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cell, pa.int32())], visit_t.names)
+
+    visits = written(asked.select("query_id", "query_vector", "_bound").mapInArrow(visit, visit_t), "visits")
+    counts = {r[0]: r[1] for r in visits.groupBy("_cell").count().collect()}  # a row per cell
+    sides = spark.createDataFrame([(c, max(1, -(-int(cells.rows[c]) // BLOCK_ROWS)), max(1, -(-n // SLOT_ROWS))) for c, n in counts.items()], "_cell int, _blocks int, _slots int")
+
+    def part(of: str, *by: str) -> Column:
+        return F.pmod(F.xxhash64(*by), F.col(of)).cast("int")
+
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    left = visits.join(F.broadcast(sides), "_cell").select("_cell", every("_blocks").alias("_b"), part("_slots", "query_id").alias("_s"), "query_id", "query_vector")
+    right = stored.join(F.broadcast(sides), "_cell").select("_cell", part("_blocks", key).alias("_b"), every("_slots").alias("_s"), *payload, vector)
+    schema = T_.StructType([*[stored.schema[c] for c in payload], T_.StructField("query_id", kind), T_.StructField("score", T_.DoubleType())])
+
+    def meet(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        query, row, scores = [], [], []
+        if left.num_rows and right.num_rows:
+            q, x = _unit(_matrix(left["query_vector"])), _matrix(right[vector])
+            size, keys = np.sqrt((x * x).sum(1)), right[key].to_pylist()
+            for at in range(0, len(q), step := max(1, SCORES // len(x))):
+                near = (q[at : at + step] @ x.T) / size
+                cut = np.partition(near, -k, axis=1)[:, -k] - 1e-9 if len(x) > k else np.full(len(near), -2.0)
+                for i in range(len(near)):
+                    mine = np.flatnonzero(near[i] >= cut[i])
+                    exact = (x[mine] * q[at + i]).sum(1) / size[mine]
+                    for score, _, j in sorted(((-s, keys[j], j) for s, j in zip(exact.tolist(), mine.tolist())), key=lambda t: (t[0], t[1] is not None, t[1]))[:k]:
+                        query.append(at + i), row.append(j), scores.append(-score)
+        take = pa.array(row, pa.int64())
+        return pa.table([*(right[c].take(take) for c in payload), left["query_id"].take(pa.array(query, pa.int64())), pa.array(scores, pa.float64())], names=schema.names)
+
+    found = left.groupBy("_cell", "_b", "_s").cogroup(right.groupBy("_cell", "_b", "_s")).applyInArrow(meet, schema)
+    return best(found, k, key)
+
+
 def nearest_to(corpus: DataFrame, ids: list, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """top_k for stored rows; a row is among its own results."""
     queries = corpus.where(F.col(key).isin(ids)).select(F.col(key).alias("query_id"), F.col(vector).alias("query_vector"))
