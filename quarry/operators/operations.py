@@ -160,15 +160,43 @@ def resolve_tags(versions: DataFrame, tags: DataFrame) -> DataFrame:
     return tags.join(versions, ["name", "version"])
 
 
+def chains(step: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, end, n) forwards and backwards for the nodes with one edge in and one out, `ends` apart: the first node on their way that is not
+    such a one, and the steps to it. A round doubles the ways of all at once; nodes on a ring have no end and no row. step: node, next."""
+    into, out = step.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("i"), F.first("node").alias("last")), step.groupBy("node").agg(F.count("*").alias("o"), F.first("next").alias("next"))
+    inner = written(into.join(out, "node").where("i = 1 AND o = 1 AND node <> next").join(ends, "node", "left_anti").select("node", "last", "next"), "inner")
+    found = []
+    for column in ("next", "last"):
+        open_ = inner.select(F.col("node").alias("_inner"))
+        way = inner.select("node", F.col(column).alias("end"), F.lit(1).cast("long").alias("n"))
+        way = written(way.join(open_, F.col("end") == F.col("_inner"), "left").select("node", "end", "n", F.col("_inner").isNotNull().alias("open")), "ways")
+        left, before = way.where("open").count(), -1
+        while left and left != before:
+            further = way.select(F.col("node").alias("end"), F.col("end").alias("_end"), F.col("n").alias("_n"), F.col("open").alias("_open"))
+            ahead = way.where("open").join(further, "end").select("node", F.col("_end").alias("end"), (F.col("n") + F.col("_n")).alias("n"), F.col("_open").alias("open"))
+            way = written(way.where("NOT open").unionByName(ahead), "ways")
+            left, before = way.where("open").count(), left
+        found.append(way.where("NOT open").drop("open"))
+    return found[0], found[1]
+
+
 def closure(edges: DataFrame, start: DataFrame, downstream: bool = True, depth: int = 1000) -> DataFrame:
-    """(start, node, depth): all nodes reached along edges (source, target), by least depth. Each round joins the last frontier only and
-    drops what is known, so that cycles end. A round is written to the shared folder and read back with all rounds before it as one scan:
-    plans stay of one size however deep the graph is. A graph with longer ways than `depth` is an error, not a shorter answer."""
+    """(start, node, depth): all nodes reached along edges (source, target), by least depth. Chains of nodes with one edge in and one out are
+    walked by path doubling, log2 of their length in rounds, and stand for one edge of that length. A round over what is left joins the last
+    improvements only and keeps what is shorter than known, so that rings end: as many rounds as a way has branchings. Each is written to the
+    shared folder and read back with all rounds before it as one scan: plans stay of one size however deep the graph is. A graph with longer
+    ways than `depth` is an error, not a shorter answer."""
     spark = edges.sparkSession
     a, b = ("source", "target") if downstream else ("target", "source")
-    step = written(edges.select(F.col(a).alias("node"), F.col(b).alias("_next")).where("node IS NOT NULL AND _next IS NOT NULL").distinct(), "edges")
+    step = written(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct(), "edges")
+    onward, back = chains(step, start.select("node").distinct())
+    inner = onward.select("node")
+    jumps = step.join(inner, "node", "left_anti").join(onward.select(F.col("node").alias("next"), "end", "n"), "next", "left")
+    jumps = jumps.select("node", F.coalesce("end", "next").alias("_next"), (F.coalesce("n", F.lit(0).cast("long")) + 1).alias("_n"))
+    jumps = written(jumps.groupBy("node", "_next").agg(F.min("_n").alias("_n")), "jumps")
     root = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
-    schema = T_.StructType([T_.StructField("start", start.schema["node"].dataType), T_.StructField("node", start.schema["node"].dataType), T_.StructField("depth", T_.IntegerType())])
+    kind = start.schema["node"].dataType
+    schema = T_.StructType([T_.StructField("start", kind), T_.StructField("node", kind), T_.StructField("depth", T_.LongType())])
     paths: list[str] = []
 
     def put(rows: DataFrame) -> DataFrame:
@@ -176,14 +204,21 @@ def closure(edges: DataFrame, start: DataFrame, downstream: bool = True, depth:
         rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(paths[-1])
         return spark.read.schema(schema).parquet(paths[-1])
 
-    frontier = put(start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
+    def known() -> DataFrame:
+        return spark.read.schema(schema).parquet(*paths).groupBy("start", "node").agg(F.min("depth").alias("depth"))
+
+    frontier = put(start.select(F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("depth")).distinct())
     while frontier.head(1):
-        if len(paths) > depth:
+        if len(paths) > depth + 1:
             raise ValueError(f"the graph is deeper than {depth}: give a larger depth")
-        seen = spark.read.schema(schema).parquet(*paths)
-        found = frontier.join(step, "node").select("start", F.col("_next").alias("node")).distinct()
-        frontier = put(found.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(len(paths))))
-    return spark.read.schema(schema).parquet(*paths)
+        found = frontier.join(jumps, "node").groupBy("start", F.col("_next").alias("node")).agg(F.min(F.col("depth") + F.col("_n")).alias("depth"))
+        frontier = put(found.join(known().withColumnRenamed("depth", "_known"), ["start", "node"], "left").where("_known IS NULL OR depth < _known"))
+    met = written(known(), "met")
+    inside = met.join(back.select(F.col("node").alias("_inner"), F.col("end").alias("node"), "n"), "node").select("start", F.col("_inner").alias("node"), (F.col("depth") + F.col("n")).alias("depth"))
+    out = written(met.unionByName(inside).select("start", "node", F.col("depth").cast("int").alias("depth")), "closure")
+    if (out.agg(F.max("depth")).first()[0] or 0) > depth:
+        raise ValueError(f"the graph is deeper than {depth}: give a larger depth")
+    return out
 
 
 def features(long: DataFrame, names: list[str], entity: str = "entity") -> DataFrame:
