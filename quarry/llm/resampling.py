@@ -14,8 +14,8 @@ of a hash of the id makes the highest scores a draw without replacement in propo
 4. Draw: rows are dealt by ranges of (eligible, score, id), sorted and numbered inside each range; the ranges' counts give the first number of
    each. Ranges can cut through equal scores, and no task sees all rows.
 
-A dictionary starts anew when it holds `MOST_WORDS` words, so that a packed tuple fits in 63 bits; a distinct tuple is hashed once in each slice
-of `SLICE_TEXT` bytes that holds it (a single longer text is one slice, in pieces of `MOST_WORDS` words). Results don't depend on either.
+A dictionary starts anew when it holds `MOST_WORDS` words, so that a packed tuple fits in 63 bits; a distinct tuple is hashed once in each piece
+of `PIECE_WORDS` words that holds it, of one text or of many. Results don't depend on either.
 
 Cases: a null text has no words, and neither has one of separators alone; such documents weigh 0 and are not drawn. A null id takes part in the
 noise as the empty text and comes last among equal scores. Rows with the same id or equal rows are drawn each for itself. An empty target or
@@ -37,10 +37,10 @@ from .decontaminate import words
 
 LONGEST, BUCKETS = 3, 10_000
 LEAST_WORDS, PERCENT, SEED = 20, 5, 42
-#: Bits of a word id in a tuple, and the bytes of text whose tuples are sorted together.
+#: Bits of a word id in a tuple, the words whose tuples are sorted together, and the bytes of text that a task reads at a time.
 WORD_BITS = 21
 MOST_WORDS = (1 << WORD_BITS) - 1
-SLICE_TEXT = 4 << 20
+PIECE_WORDS, SLICE_TEXT = 1 << 18, 4 << 20
 
 
 class Words:
@@ -82,10 +82,10 @@ def tuples(ids: np.ndarray, row: np.ndarray, longest: int, starts: int) -> tuple
 
 def counted(texts: list[list[bytes]], known: Words, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows of words: (features of each row; where its distinct buckets end; those buckets, rising; their counts). Words are taken in pieces
-    that a dictionary can hold, each with the words that its last runs go on to."""
+    of bounded size, each with the words that its last runs go on to."""
     flat = [w for t in texts for w in t]
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    step, cells, times, per_row = MOST_WORDS - longest, [], [], np.zeros(len(texts), dtype=np.int64)
+    step, cells, times, per_row = min(PIECE_WORDS, MOST_WORDS - longest), [], [], np.zeros(len(texts), dtype=np.int64)
     for at in range(0, len(flat), step):
         piece = flat[at : at + step + longest - 1]
         if len(known.words) + len(piece) > MOST_WORDS and len(known.words) + len(set(piece)) > MOST_WORDS:
