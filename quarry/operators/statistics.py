@@ -28,8 +28,8 @@ def reductions(df: DataFrame, column: str) -> DataFrame:
     """mean, population std, min, max, and the values at places n/2, 0.95 n and 0.99 n of the sorted column (from 0); zeros if empty.
     Values are counted, then placed by bucketed running counts."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    head = values.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
-    by = values.groupBy("v").agg(F.count("*").alias("c"))
+    head = written(values.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")), "head")
+    by = written(values.groupBy("v").agg(F.count("*").alias("c")), "counts")
     upto = running(by, range_bucket(F.col("v"), range_edges(by, "v")), [F.col("v")], {"upto": F.col("c")})
     places = head.select("n", F.floor(F.col("n") / 2).alias("i50"), *[F.least(F.floor(F.col("n") * q), F.col("n") - 1).alias(f"i{int(q * 100)}") for q in (0.95, 0.99)])
     at = upto.join(F.broadcast(places), how="cross").agg(*[F.min(F.when(F.col("upto") > F.col(f"i{p}"), F.col("v"))).alias(f"p{p}") for p in (50, 95, 99)])
