@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from .arrays import bound
 
+# Patterns by which a response is cut out of JSON or from under its headings.
+QUOTED_RESPONSE = r'(?s)"distilled_response"\s*:\s*"([^"]+(?:\\.[^"]*)*)"'
+BARE_RESPONSE = r'(?s)"distilled_response"\s*:\s*([^,}]+)'
+HEADINGS = r"(?i)\*\*Distilled Response\*\*\s*|\*\*Reasoning\*\*\s*|Distilled Response\s*|Reasoning\s*"
+BOLD_SECTION, PLAIN_SECTION = r"(?si)\*\*{heading}\*\*\s*(.+?)(?:\n\n|\*\*|$)", r"(?si){heading}\s*(.+?)(?:\n\n|\*\*|$)"
+
 # Word lists of the heuristic filters and cleaners.
 ACTION_VERBS = ("analyze", "assess", "calibrate", "compare", "culture", "evaluate", "incubate", "measure", "mix", "prepare", "run", "simulate", "synthesize", "test", "validate")
 MEASURABLE = (
@@ -102,18 +108,18 @@ def first_sentences(text: Column, n: int = 3) -> Column:
 def distilled_response(text: Column) -> Column:
     """The quoted JSON value, else the bare one, else the text without the headings."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    quoted = F.regexp_extract(t, r'(?s)"distilled_response"\s*:\s*"([^"]+(?:\\.[^"]*)*)"', 1)
+    quoted = F.regexp_extract(t, QUOTED_RESPONSE, 1)
     quoted = F.trim(F.replace(F.replace(F.replace(quoted, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\\/"), F.lit("/")))
-    bare = F.btrim(F.trim(F.regexp_extract(t, r'(?s)"distilled_response"\s*:\s*([^,}]+)', 1)), F.lit('"'))
-    plain = F.trim(F.regexp_replace(t, r"(?i)\*\*Distilled Response\*\*\s*|\*\*Reasoning\*\*\s*|Distilled Response\s*|Reasoning\s*", ""))
+    bare = F.btrim(F.trim(F.regexp_extract(t, BARE_RESPONSE, 1)), F.lit('"'))
+    plain = F.trim(F.regexp_replace(t, HEADINGS, ""))
     return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit("")), plain)
 
 
 def section(text: Column, heading: str = "Distilled Response") -> Column:
     """The section under a bold heading, else under a plain one, else the whole text."""
     t = F.coalesce(text, F.lit(""))
-    bold = F.trim(F.regexp_extract(t, rf"(?si)\*\*{heading}\*\*\s*(.+?)(?:\n\n|\*\*|$)", 1))
-    plain = F.trim(F.regexp_extract(t, rf"(?si){heading}\s*(.+?)(?:\n\n|\*\*|$)", 1))
+    bold = F.trim(F.regexp_extract(t, BOLD_SECTION.replace("{heading}", heading), 1))
+    plain = F.trim(F.regexp_extract(t, PLAIN_SECTION.replace("{heading}", heading), 1))
     return F.coalesce(F.nullif(bold, F.lit("")), F.nullif(plain, F.lit("")), F.trim(t))
 
 

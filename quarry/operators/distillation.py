@@ -58,14 +58,20 @@ def score_bands(rows: DataFrame, score: str, high: float = 4.5, mid: float = 3.5
     return rows.agg(F.count_if(s >= high).alias("high"), F.count_if((s >= mid) & (s < high)).alias("middle"), F.count_if(s < mid).alias("low"))
 
 
+# The labels of the judge's and the generation prompt.
+JUDGE_LABELS = ("Domain: ", "\nTask Type: ", "\n\nOriginal Prompt:\n", "\n\nModel Answer:\n")
+CONTEXT_LABEL, QUESTION_LABEL = "Context: ", "\n\nQuestion: "
+
+
 def judge_prompt(domain: Column, task: Column, prompt: Column, answer: Column) -> Column:
     unknown, none = F.lit("unknown"), F.lit("")
-    return F.concat(F.lit("Domain: "), F.coalesce(domain, unknown), F.lit("\nTask Type: "), F.coalesce(task, unknown), F.lit("\n\nOriginal Prompt:\n"), F.coalesce(prompt, none), F.lit("\n\nModel Answer:\n"), F.coalesce(answer, none), F.lit("\n"))
+    values = (F.coalesce(domain, unknown), F.coalesce(task, unknown), F.coalesce(prompt, none), F.coalesce(answer, none))
+    return F.concat(*[x for label, v in zip(JUDGE_LABELS, values) for x in (F.lit(label), v)], F.lit("\n"))
 
 
 def generation_prompt(prompt: Column, context: Column) -> Column:
     p = F.coalesce(prompt, F.lit(""))
-    return F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("Context: "), context, F.lit("\n\nQuestion: "), p)).otherwise(p)
+    return F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit(CONTEXT_LABEL), context, F.lit(QUESTION_LABEL), p)).otherwise(p)
 
 
 def resolved_prompt(prompt: Column, context: Column, task: Column, templates: dict[str, str]) -> Column:

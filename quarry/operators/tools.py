@@ -68,8 +68,8 @@ def synthetic_works(prompt: Column, n: int) -> Column:
 
     def one(i: Column) -> Column:
         mark = F.substring(digest, i * 8 + 1, F.lit(8))
-        title = F.concat(F.lit("Study on "), F.initcap(F.substring(prompt, 1, 40)), F.lit(" ("), (i + 1).cast("string"), F.lit(")"))
-        return F.struct(title.alias("title"), (2015 + i % 8).alias("year"), F.concat(F.lit("10.1234/"), mark).alias("doi"), F.concat(F.lit("https://example.org/"), mark).alias("url"))
+        title = F.concat(F.lit(WORK_TITLE), F.initcap(F.substring(prompt, 1, 40)), F.lit(" ("), (i + 1).cast("string"), F.lit(")"))
+        return F.struct(title.alias("title"), (2015 + i % 8).alias("year"), F.concat(F.lit(WORK_DOI), mark).alias("doi"), F.concat(F.lit(WORK_URL), mark).alias("url"))
 
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
 
@@ -85,8 +85,13 @@ def truncated(flag: Column | None, raw: Column) -> Column:
     return nested if flag is None else F.coalesce(flag, F.lit(False)) | nested
 
 
+# The marks of rendered chats, and the forms of made-up works.
+USER_MARK, ASSISTANT_MARK = "<|user|>\n", "\n<|assistant|>\n"
+WORK_TITLE, WORK_DOI, WORK_URL = "Study on ", "10.1234/", "https://example.org/"
+
+
 def chat_text(prompt: Column, response: Column) -> Column:
-    return F.concat(F.lit("<|user|>\n"), F.coalesce(prompt, F.lit("")), F.lit("\n<|assistant|>\n"), F.coalesce(response, F.lit("")))
+    return F.concat(F.lit(USER_MARK), F.coalesce(prompt, F.lit("")), F.lit(ASSISTANT_MARK), F.coalesce(response, F.lit("")))
 
 
 def cut(tokens: Column, most: int) -> Column:
