@@ -2,7 +2,8 @@
 
 Tasks write their rows in files of a staging folder of the job and begin a new one when the rows in it have reached `shard_bytes` (as Arrow holds
 them): a shard is over the limit by less than a row, and only a task's last one is smaller. Each file's SHA-256 is taken from the bytes as they are
-written. What a task hands to the driver is a line per file. The driver's commit moves the files of the tasks that succeeded to their names and
+written. What a task hands to the driver is a line per file. Only the driver makes the staging folder, so that tasks of a job that was aborted, which may
+live on for a while, find none. The driver's commit moves the files of the tasks that succeeded to their names and
 then publishes the manifest, by one rename: until then no reader of the manifest sees anything. An aborted job leaves no file; what failed
 attempts of tasks have written goes with the staging folder.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -109,7 +111,6 @@ class ShardWriter(DataSourceArrowWriter):
             files.append((name, rows, out.size, held, out.digest.hexdigest()))
             writer, held = None, 0
 
-        system.create_dir(staging, recursive=True)
         for batch in iterator:
             at = 0
             while at < batch.num_rows:
@@ -156,8 +157,15 @@ class ShardWriter(DataSourceArrowWriter):
     def clear(self, system: pa_fs.FileSystem, root: str) -> None:
         """Takes this job's staging away, and the folder itself when no other job uses it."""
         mine = f"{root}/_staging/{self.job}"
-        if system.get_file_info(mine).type == pa_fs.FileType.Directory:
-            system.delete_dir(mine)
+        for left in range(9, -1, -1):
+            try:
+                if system.get_file_info(mine).type == pa_fs.FileType.Directory:
+                    system.delete_dir(mine)
+                break
+            except OSError:  # a task that is being stopped has opened a file meanwhile
+                if not left:
+                    raise
+                time.sleep(0.2)
         top = f"{root}/_staging"
         if system.get_file_info(top).type == pa_fs.FileType.Directory and not system.get_file_info(pa_fs.FileSelector(top)):
             system.delete_dir(top)
@@ -181,7 +189,10 @@ class ShardSink(DataSource):
         return NAME
 
     def writer(self, schema: StructType, overwrite: bool) -> ShardWriter:
-        return ShardWriter(dict(self.options), schema, overwrite)
+        writer = ShardWriter(dict(self.options), schema, overwrite)
+        system, staging = system_of(writer.staging)
+        system.create_dir(staging, recursive=True)
+        return writer
 
 
 def save_shards(df: DataFrame, path: str, shard_bytes: int = 1 << 30, dataset: str = "dataset", run_id: str = "run", mode: str = "append") -> DataFrame:
