@@ -193,13 +193,14 @@ def looks_like_json(text: Column) -> Column:
     return marked & (t.rlike(r'(?s)"distilled_response"\s*:\s*"([^"]+)"') | ((body != "") & F.try_parse_json(body).isNotNull()))
 
 
-def human_size(n: Column) -> Column:
-    """Bytes as B, KB, MB, GB or TB with one decimal."""
+def human_size(n: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB")) -> Column:
+    """Bytes with one decimal, in the largest of the units that is not above them; beyond the last one in that."""
     out = None
-    for power, unit in enumerate(("B", "KB", "MB", "GB")):
+    for power, unit in enumerate(units):
         text = F.format_string(f"%.1f {unit}", F.bround(n.cast("double") / float(1024**power), 1))
-        out = F.when(n < 1024 ** (power + 1), text) if out is None else out.when(n < 1024 ** (power + 1), text)
-    return out.otherwise(F.format_string("%.1f TB", F.bround(n.cast("double") / float(1024**4), 1)))
+        below = n < 1024 ** (power + 1) if power < len(units) - 1 else F.lit(True)
+        out = F.when(below, text) if out is None else out.when(below, text)
+    return out
 
 
 def next_patch(version: Column) -> Column:
