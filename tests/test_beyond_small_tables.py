@@ -20,3 +20,11 @@ def test_sizes_of_large_keys(spark, tmp_path):
     held(spark, "human_sizes", tmp_path)
     sizes = spark.range(1).select(*[T.human_size(F.lit(1 << p)).alias(str(p)) for p in (9, 10, 30, 40, 50)]).first()
     assert list(sizes) == ["512.0 B", "1.0 KB", "1.0 GB", "1.0 TB", "1024.0 TB"]
+
+
+@pytest.mark.parametrize("name", ["quality_report", "shard_faults", "shard_statistics", "spectrum_attrition", "spectrum_canonicalize", "spectrum_reject_summary", "spectrum_strict"])
+def test_spectra_of_large_ids(spark, tmp_path, name):
+    small = pq.read_table("/root/testdata/sf0.001/embeddings.parquet")
+    parts = [small.set_column(0, "vec_id", pa.array([i + shift for i in small["vec_id"].to_pylist()], pa.int64())) for shift in (0, 9_800, 5_000_000_000)]
+    pq.write_table(pa.concat_tables(parts), tmp_path / "embeddings.parquet")
+    held(spark, name, tmp_path)
