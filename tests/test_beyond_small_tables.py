@@ -1,10 +1,15 @@
 """Queries against their SQL on keys and values that the small tables don't have."""
 
+import math
+
+import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import arrays as A
 from quarry.functions import text as T
 from quarry.plans import catalog
 
@@ -28,3 +33,14 @@ def test_spectra_of_large_ids(spark, tmp_path, name):
     parts = [small.set_column(0, "vec_id", pa.array([i + shift for i in small["vec_id"].to_pylist()], pa.int64())) for shift in (0, 9_800, 5_000_000_000)]
     pq.write_table(pa.concat_tables(parts), tmp_path / "embeddings.parquet")
     held(spark, name, tmp_path)
+
+
+def test_rounding_is_that_of_the_sql_in_every_bit(spark, tmp_path):
+    ties = [(k + 0.5) / 1e6 for k in range(0, 400_000, 97)]
+    x = [*ties, *(-t for t in ties), *np.nextafter(ties, 1).tolist(), 0.0, -0.0, -2.1e-7, 3e-7, 1e300, -1e300, math.inf, -math.inf, math.nan, 4503599627.370497]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(A.nearest(F.col("x"), 6)).collect()]
+    want = [r[0] for r in duckdb.connect().execute("SELECT round(unnest(?::DOUBLE[]), 6)", [x]).fetchall()]
+    assert list(map(repr, got)) == list(map(repr, want))
+    pq.write_table(pa.table({"vec_id": [0], "embedding": pa.array([[1.0, -2e-7, 0.0, 3e-7]], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    unit = catalog.QUERIES["vector_l2norm"](spark, str(tmp_path)).first().unit
+    assert list(map(repr, unit)) == list(map(repr, duckdb.connect().execute(catalog.ORACLE["vector_l2norm"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet'")).fetchone()[1]))
