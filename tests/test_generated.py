@@ -34,6 +34,17 @@ def test_philox_gives_the_published_numbers(spark):
     assert all(list(r.x) == words(r.c, r.s, 0xDEADBEEF12345678) for r in rows)
 
 
+def test_philox_by_rows_names_each_product_once(spark):
+    """The same numbers as the definition's, and a plan without interpreted lambdas in which a round is read by the next one's name."""
+    rows = spark.createDataFrame([(i * 0x123456789AB - 5,) for i in range(40)], "c long")
+    out = P.philox_rows(rows, "c", 2, 0xDEADBEEF12345678)
+    for r in out.collect():
+        assert list(r[1:]) == words(r.c & ((1 << 64) - 1), 0, 0xDEADBEEF12345678) + words(r.c & ((1 << 64) - 1), 1, 0xDEADBEEF12345678)
+    for made in (G.linear(rows, "c"), G.classification(rows, "c")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and len(plan) < 60_000 and plan.count("3528531795") < 200
+
+
 def test_rows_do_not_depend_on_partitions(spark):
     prompts = ({"prompt_text": "a", "domain": "x"}, {"prompt_text": "b", "domain": "y"}, {"prompt_text": "c", "domain": "z"})
     for make in (lambda k: G.classification(k, "id", 5, 3), lambda k: G.linear(k, "id"), lambda k: G.corpus(k, "id", prompts, seed=1)):
