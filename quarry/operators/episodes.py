@@ -30,6 +30,7 @@ BUGGY_CODE = "import numpy as np\nprint(np.linspace(0, 10, num='fast'))"
 PREMATURE = '{"task": "premature_final", "note": "(omitted)"}'
 NOTES = "Prioritise literature grounding before quantitative modelling."
 GOAL = "Outline best tool sequence for the task."
+MOST_WORKS = 3
 REPAIR_MS = {"bad_json": 12, "fixed_json": 45, "search": 62, "warning": 5, "fetch": 31, "bad_python": 18}
 #: Where each kind of step may come from, where it leads, and who speaks.
 STEPS = {
@@ -74,8 +75,9 @@ def walked(steps: list[tuple[str, Column]]) -> Column:
 class Scene:
     """What the steps of one row's episodes are made of."""
 
-    def __init__(self, kind: str, key: Column, prompt: Column):
-        self.kind, self.key, self.prompt = kind, key.cast("string"), prompt
+    def __init__(self, kind: str, key: Column, prompt: Column, works: Column | None = None, capacity: Column | None = None):
+        """works, capacity: columns of what is made from the prompt, where that is no fixed text; an expression would be computed again for each use."""
+        self.kind, self.key, self.prompt, self.known, self.printed = kind, key.cast("string"), prompt, works, capacity
 
     def ident(self, step: str) -> Column:
         return F.md5(F.concat(F.lit(f"{self.kind}:"), self.key, F.lit(f":{step}")))
@@ -99,7 +101,7 @@ class Scene:
         return "report", T.pretty_block("final", fields)
 
     def works(self, n: int) -> Column:
-        return T.synthetic_works(self.prompt, n)
+        return T.synthetic_works(self.prompt, n) if self.known is None else F.slice(self.known, 1, n)
 
     def search(self, n: int, step: str = "search", ms: int | None = None) -> list[tuple[str, Column]]:
         args = obj(query=quoted(self.prompt), top_k=n, corpus="crossref")
@@ -115,6 +117,8 @@ class Scene:
 
     def capacity(self) -> Column:
         """The number that the simulation prints: less the higher the first number of the prompt."""
+        if self.printed is not None:
+            return self.printed
         rate = F.coalesce(F.get(T.numbers(self.prompt), 0), F.lit(1.0))
         return F.round(165 * F.exp(-F.least(F.abs(rate), F.lit(50.0)) / 120), 2)
 
@@ -130,10 +134,13 @@ class Scene:
 
 def built(prompts: DataFrame, key: str, prompt: str, category: str) -> DataFrame:
     """key, category, messages: an episode per prompt; unknown categories are hybrid. A hybrid one thinks first where the MD5 of the prompt says so."""
-    s = Scene("episode", F.col(key), F.col(prompt))
+    made = Scene("episode", F.col(key), F.col(prompt))
+    rows = prompts.select(key, prompt, category, made.works(MOST_WORKS).alias("_works"), made.capacity().alias("_capacity"), T.conversion_request(F.col(prompt)).alias("_ask"))
+    s = Scene("episode", F.col(key), F.col(prompt), F.col("_works"), F.col("_capacity"))
     asked = ("ask", F.col(prompt))
-    ask = T.conversion_request(F.col(prompt))
-    value = F.coalesce(T.converted(ask["value"], ask["from_unit"], ask["to_unit"]), ask["value"]).cast("string")
+    ask = F.col("_ask")
+    rows = rows.withColumn("_value", F.coalesce(T.converted(ask["value"], ask["from_unit"], ask["to_unit"]), ask["value"]).cast("string"))
+    value = F.col("_value")
     args = obj(value=ask["value"].cast("string"), from_unit=quoted(ask["from_unit"]), to_unit=quoted(ask["to_unit"]))
     units = [s.call("units", "units.convert", args), s.result("units", obj(value=value, unit=quoted(ask["to_unit"])))]
     think = [s.call("think", "think", obj(budget_tokens=256, goal=GOAL)), s.result("think", obj(notes=NOTES, budget_tokens=256))]
@@ -148,7 +155,7 @@ def built(prompts: DataFrame, key: str, prompt: str, category: str) -> DataFrame
     messages = F.when(thinks, walked([asked, *think, *mixed])).otherwise(walked([asked, *mixed]))
     for name, scene in scenes.items():
         messages = F.when(F.col(category) == name, scene).otherwise(messages)
-    return prompts.select(key, category, messages.alias("messages"))
+    return rows.select(key, category, messages.alias("messages"))
 
 
 def repairs(rows: DataFrame, key: str) -> DataFrame:

@@ -123,3 +123,9 @@ def _reads(text):
     except ValueError:
         return False
     return True
+
+
+def test_parts_of_an_episode_are_made_once_a_row(spark):
+    prompts = spark.createDataFrame([(1, "Convert 2 m to cm", "units"), (2, "Porosity of 3 cathodes", "hybrid")], "id long, prompt string, category string").repartition(2)
+    plan = E.built(prompts, "id", "prompt", "category")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") <= 3 and plan.count("EXP(") <= 1 and plan.count("convert\\s+") <= 8
