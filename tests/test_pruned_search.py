@@ -1,6 +1,7 @@
 """Vector search by cells against all products: ties, copies, hot cells, rows and queries without a direction."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.operators import vectors as V
@@ -65,3 +66,16 @@ def test_whole_cells_are_skipped_and_never_wrongly():
         assert cells.rows[cells.near(a[q], 10)].sum() >= 10
         share.append(cells.rows[list(allowed)].sum() / 3000)
     assert np.mean(share) < 0.2
+
+
+def test_visits_are_few_and_go_out_in_bounded_batches():
+    """Uniform vectors, of which no cell can be skipped: each query is sent once to each group, and no batch grows with the cells."""
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    cells = Cells(x, 600)
+    cells.rows[:], cells.radius[:] = 5, 1.0
+    asked = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(list(x[:500]), pa.list_(pa.float64())), pa.nulls(500, pa.float64())], ["query_id", "query_vector", "_bound"])
+    first = list(V.visited(asked, cells, 10, ["query_id", "query_vector", "_group"]))
+    more = list(V.visited(asked.set_column(2, "_bound", pa.array([-1.0] * 500)), cells, 10, ["query_id", "query_vector", "_group"]))
+    assert max(b.num_rows for b in first + more) <= V.VISITS
+    met = [(q, g) for b in first + more for q, g in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+    assert len(met) == len(set(met)) == 500 * len(set(cells.group.tolist())) <= 500 * V.MOST_GROUPS
