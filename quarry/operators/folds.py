@@ -21,8 +21,8 @@ from pyspark.sql.types import DataType, IntegerType, StructField, StructType
 
 from ..session import shared_folder, written
 
-#: Rows of a block: folded by one task, with its columns in memory.
-BLOCK_ROWS = 1_000_000
+#: Rows of a block: folded by one task, with its columns in memory. Rows that are Python's objects at a time.
+BLOCK_ROWS, SLICE_ROWS = 1_000_000, 16_384
 
 
 def plain(x: object) -> object:
@@ -42,6 +42,7 @@ def folded(df: DataFrame, key: tuple[str, ...], order: tuple[str, ...], inputs:
     dealt = written(dealt.withColumn("_block", F.shiftright("_at", 33)), "blocks")
     values = [StructField(out[0], out[1]), StructField("_end", StructType.fromDDL("first string, last string, state string"))]
     schema = StructType([f for f in dealt.schema if f.name == "_block" or f.name in names or f.name.startswith("_y")] + values)
+    kind = {"boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}.get(out[1].simpleString(), pa.string())
     firsts_at = [dealt.columns.index(n) for n in names]
     inputs_at = [dealt.columns.index(f"_x{i}") for i in range(len(inputs))]
 
@@ -49,17 +50,23 @@ def folded(df: DataFrame, key: tuple[str, ...], order: tuple[str, ...], inputs:
         def fold(block: pa.Table) -> pa.Table:
             block = block.sort_by("_at")
             number = block["_block"][0].as_py()
-            keys = list(zip(*[map(plain, block.column(i).to_pylist()) for i in firsts_at])) if firsts_at else [()] * block.num_rows
-            state, last, found = json.loads(begin.get(number, json.dumps(start))), keys[0], []
-            for k, *x in zip(keys, *[block.column(i).to_pylist() for i in inputs_at]):
-                if k != last:
-                    state, last = json.loads(json.dumps(start)), k
-                state, value = step(state, *x)
-                found.append(value)
-            end = {"first": json.dumps(keys[0]), "last": json.dumps(last), "state": json.dumps(state)}
-            ends = pa.array([None] * (len(found) - 1) + [end], pa.struct([(n, pa.string()) for n in ("first", "last", "state")]))
+            state, first, last, parts = json.loads(begin.get(number, json.dumps(start))), None, None, []
+            for at in range(0, block.num_rows, SLICE_ROWS):
+                part, found = block.slice(at, SLICE_ROWS), []
+                keys = list(zip(*[map(plain, part.column(i).to_pylist()) for i in firsts_at])) if firsts_at else [()] * part.num_rows
+                if not at:
+                    first = last = keys[0]
+                for k, *x in zip(keys, *[part.column(i).to_pylist() for i in inputs_at]):
+                    if k != last:
+                        state, last = json.loads(json.dumps(start)), k
+                    state, value = step(state, *x)
+                    found.append(value)
+                parts.append(pa.array(found, kind))
+            end = {"first": json.dumps(first), "last": json.dumps(last), "state": json.dumps(state)}
+            end_t = pa.struct([(n, pa.string()) for n in ("first", "last", "state")])
+            ends = pa.chunked_array([pa.nulls(block.num_rows - 1, end_t), pa.array([end], end_t)])
             columns = [block[f.name] for f in schema[: -len(values)]]
-            return pa.table([*columns, pa.array(found, {"boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}.get(out[1].simpleString(), pa.string())), ends], names=schema.names)
+            return pa.table([*columns, pa.chunked_array(parts, kind), ends], names=schema.names)
 
         return fold
 
