@@ -44,3 +44,14 @@ def test_rounding_is_that_of_the_sql_in_every_bit(spark, tmp_path):
     pq.write_table(pa.table({"vec_id": [0], "embedding": pa.array([[1.0, -2e-7, 0.0, 3e-7]], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
     unit = catalog.QUERIES["vector_l2norm"](spark, str(tmp_path)).first().unit
     assert list(map(repr, unit)) == list(map(repr, duckdb.connect().execute(catalog.ORACLE["vector_l2norm"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet'")).fetchone()[1]))
+
+
+def test_word_patterns_find_what_the_plain_alternation_finds(spark):
+    """A pattern that looks at a character once, and the same hits on texts with each word, cut words and words after other letters."""
+    lists = (T.MEASURABLE, T.ACTIONABLE, T.FLUFF, T.UNSAFE, T.KNOWN_FACTS, T.TESTABLE, *T.METHOD_GROUPS, ("a", "ab", "b.c", "x|y", "-z"))
+    words = sorted({w for ws in lists for w in ws})
+    texts = [*words, *(w[:-1] for w in words), *(w[1:] for w in words), *(f"zq{w.upper()}9" for w in words), "", "bxc", "x", "a-", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = df.select("i", "t", *[T.contains_any(F.col("t"), ws).alias(f"w{n}") for n, ws in enumerate(lists)]).collect()
+    assert all(r[f"w{n}"] == any(w in (r.t or "").lower() for w in ws) for r in got for n, ws in enumerate(lists))
+    assert T.any_of(T.TESTABLE).startswith("(?=[wsphit])") and T.any_of(("ab", "a", "ac")) == "(?=[a])a"
