@@ -282,5 +282,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...] = (
             for o in outputs:
                 names += ["ids_sha256", "decoded_sha256"] if o == "digests" else [o]
             yield pa.RecordBatch.from_arrays(columns, names)
+        c.merges.clear()  # the worker lives on, for tasks of other stages too
+        common.give_back()
 
     return source.mapInArrow(run, schema)

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows and bytes in an Arrow batch for operators that take whole texts.
-TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 2000, 8 << 20
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 2000, 4 << 20
 #: A side is broadcast only if its counted rows times their width stay below this.
 BROADCAST_BYTES = 64 << 20
 

@@ -61,18 +61,15 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     def run(batches):
         block = TaskContext.get().partitionId() << 33
         for batch in common.slices(batches, budget=BLOCK_BYTES):
-            texts = [words(t) for t in common.texts(batch)]
-            lengths = [len(ws) for ws in texts]
+            lengths, names, term = numbered(batch)
             bases = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64) + GAP)[:-1]])
-            names = sorted(set().union(*texts))
-            number = dict(zip(names, range(len(names))))
-            term = np.fromiter((number[w] for ws in texts for w in ws), dtype=np.int32, count=sum(lengths))
             at = np.repeat(bases - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(term))
             at = at[np.argsort(term, kind="stable")]
             counts = np.bincount(term, minlength=len(names))
             ends = np.cumsum(counts)
             gaps = np.diff(at, prepend=0)
             gaps[ends[:-1]] = at[ends[:-1]]  # each list begins anew
+            del term, at
             data, upto = packed(gaps)
             offsets = np.concatenate([[0], upto[ends - 1]]).astype(np.int32)
             lists = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
@@ -89,14 +86,31 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def numbered(batch: pa.RecordBatch) -> tuple[list[int], list[bytes], np.ndarray]:
+    """(words of each text, the sorted different words, the number of each word in the order of the texts). Words are objects for one text at a
+    time; of all texts only the numbers are held."""
+    number: dict[bytes, int] = {}
+    lengths, parts = [], [np.zeros(0, dtype=np.int32)]
+    for text in batch.column(batch.schema.get_field_index("text")):
+        ws = words(text.as_py())
+        lengths.append(len(ws))
+        parts.append(np.fromiter((number.setdefault(w, len(number)) for w in ws), dtype=np.int32, count=len(ws)))
+    names = sorted(number)
+    place = np.empty(len(names), dtype=np.int32)
+    place[np.fromiter(map(number.__getitem__, names), dtype=np.int32, count=len(names))] = np.arange(len(names), dtype=np.int32)
+    return lengths, names, place[np.concatenate(parts)]
+
+
 def packed(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, where each number's end): seven bits a byte, lowest first, the top bit set on all but a number's last."""
-    size = 1 + sum((gaps >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
-    ends = np.cumsum(size)
+    size = np.ones(len(gaps), dtype=np.int8)
+    for k in range(1, 5):
+        size += gaps >= 1 << 7 * k
+    ends = np.cumsum(size, dtype=np.int64)
     out = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint8)
     for k in range(int(size.max(initial=0))):
         more = np.flatnonzero(size > k)
-        out[(ends - size)[more] + k] = (gaps[more] >> 7 * k & 127) | np.where(size[more] > k + 1, 128, 0)
+        out[ends[more] - size[more] + k] = (gaps[more] >> 7 * k & 127) | np.where(size[more] > k + 1, 128, 0)
     return out, ends
 
 

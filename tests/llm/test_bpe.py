@@ -68,3 +68,20 @@ def test_rows(spark):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
     assert bpe.encode_decode(docs.where(F.lit(False)), PATH).count() == 0
+
+
+def test_a_worker_keeps_no_merges_after_its_task(spark):
+    """Workers are reused: what a task has merged must not stay in memory for later tasks."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, f"zqxv{i}kw qjzx{i * 7919}") for i in range(400)], "doc_id long, text string").repartition(8)
+    assert bpe.encode_decode(docs, PATH).count() == 400
+    docs_ids = bpe.encode_decode(docs, PATH, outputs=("ids", "digests"))
+    assert docs_ids.agg(F.sum(F.size("ids"))).first()[0] > 800
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.codec(PATH).merges)], pa.int64())], ["n"])
+
+    held = [r.n for r in spark.range(64).repartition(8).mapInArrow(kept, "n long").collect()]
+    assert held and max(held) == 0
