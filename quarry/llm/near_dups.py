@@ -9,11 +9,15 @@ Similarity is M / (a + b - M), a and b being the shingle counts and M the length
 common shingles that an order-preserving alignment keeps. As labelled shingles are unique, the alignment inside the band that the
 threshold leaves is a longest increasing subsequence.
 
-Buckets are never expanded into all pairs. (1) Every text meets the bucket's first text; the links found give classes. (2) In buckets that
-still hold several classes, one text of each class meets one of each other class. (3) What classes are left there meet text by text, but for
-the pairs that have met. Small buckets are joined, large ones compared in blocks by matrix products that count common shingles; texts of the
+Keys of the same first text (the least node) are one bucket: near copies share many keys, and a text is in their bucket once, not once a
+key. A text has at most 96 keys, so no bucket unites more. What shares a key shares its bucket.
+
+Buckets are never expanded into all pairs. (1) Every text meets the bucket's first text, which is done with there; the links found give
+classes. (2) In buckets whose other texts are of several classes, one text of each class meets one of each other class. (3) What classes are
+left there meet text by text, but for the pairs that have met. Small buckets are joined, large ones compared in blocks: texts of which too
+little occurs among those they meet are set aside at once, for the others matrix products count common shingles; texts of the
 class with most shingles in a bucket meet only those of the others. So a bucket of many near copies and a few strangers costs their number
-times the strangers'. No pair at the threshold that shares a sketch is lost.
+times the strangers', and one of texts with no more than a passage in common costs their length. No pair at the threshold that shares a sketch is lost.
 
 Texts are nodes by 64-bit hash, so exact copies are one node however many they are. Hashes of different texts that fall together are found by
 a second 64-bit hash with another seed, and those texts are hashed anew. A text's shingles are hashed once for all comparisons. Classes come from alternating
@@ -241,21 +245,28 @@ def connected(links: DataFrame) -> DataFrame:
         before = tuple(state)
 
 
+def buckets(rows: DataFrame) -> DataFrame:
+    """(key, node, n): the texts that share a sketch with the text `key` where that is the least of all that have the sketch; without that
+    text itself. rows: what sketch() gives."""
+    shared = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
+    own = rows.join(shared, "key").where("node <> first").select(F.col("first").alias("key"), "node", "n")
+    return common.materialise(own.distinct(), "buckets")
+
+
 def classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of the nodes that are linked to another. texts: node, text."""
-    rows = common.materialise(sketch(texts), "sketches")
-    shared = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
-    rows = common.materialise(rows.join(shared, "key").distinct(), "buckets")
-    hashes = hashes_of(common.materialise(rows.select("node").distinct(), "candidates"), texts)
-    star = common.materialise(rows.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    rows = buckets(common.materialise(sketch(texts), "sketches"))
+    star = rows.select(F.col("key").alias("a"), F.col("node").alias("b"))
+    nodes = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
+    hashes = hashes_of(common.materialise(nodes, "candidates"), texts)
     found = common.materialise(connected(verify(star, hashes, threshold)), "classes")
 
     def labelled(of: DataFrame) -> DataFrame:
         return of.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def mixed(of: DataFrame, more: str) -> DataFrame:
+    def mixed(of: DataFrame, more: str = "true") -> DataFrame:
         """The rows of buckets that hold several classes, with the bucket's size. more: what else must hold of the bucket."""
-        several = of.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c"), F.min("rep").alias("p0"), F.max("rep").alias("p1")).where(f"r0 < r1 AND {more}").select("key", "c")
+        several = of.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c"), F.min("rep").alias("p0")).where(f"r0 < r1 AND {more}").select("key", "c")
         return common.materialise(of.join(several, "key"), "mixed")
 
     def merged(links: list[DataFrame]) -> DataFrame:
@@ -266,8 +277,8 @@ def classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # The first of each class in its bucket meets those of the other classes.
     own = labelled(rows)
-    firsts = own.groupBy("key", "root").agg(F.min(F.struct("node", "n", "first")).alias("m")).select("key", "root", "m.*", F.lit(1).alias("rep"))
-    reps = mixed(firsts, "c > 2 OR p1 > 1")  # two classes alone have met: one of them holds the bucket's first text
+    firsts = own.groupBy("key", "root").agg(F.min(F.struct("node", "n")).alias("m")).select("key", "root", "m.*", F.lit(1).alias("rep"))
+    reps = mixed(firsts)
     links = apart(reps, hashes, star, threshold)
     if links:
         found = merged(links)
@@ -332,8 +343,30 @@ def dealt(rows: DataFrame) -> DataFrame:
     with_rest = F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
     from_top = F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda k: F.struct(minus.alias("i"), k.alias("j")))
     pairs = F.when(F.col("side") == 0, from_top).otherwise(F.concat(with_top, with_rest))
-    out = rows.withColumn("own", F.when(F.col("side") == 0, minus).otherwise(own))
-    return out.select("key", F.explode(pairs).alias("p"), "own", "node", "root").select("key", "p.i", "p.j", "own", "node", "root")
+    out = rows.select("key", F.explode(pairs).alias("p"), F.when(F.col("side") == 0, minus).otherwise(own).alias("own"), "node", "root")
+    return out.select("key", "p.i", "p.j", "own", "node", "root")
+
+
+def sides(number: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple:
+    """What is left to compare between the left and right texts (masks: the same, or apart): for each side its texts with the row and
+    column of each of their shingles in an incidence matrix, and the number of columns, shingles that both sides hold. A text of which
+    less than the threshold occurs among those it meets reaches it with none, whatever their length: it is set aside, and what it alone
+    has shared with a text counts no more for that. number: the shingles of all texts, one text after the other."""
+    owner, same = np.repeat(np.arange(len(sizes)), sizes), np.array_equal(left, right)
+    while True:
+        held = [np.bincount(number[of[owner]], minlength=int(number.max(initial=-1)) + 1) for of in (left, right)]
+        met = [n > same for n in held[::-1]]
+        kept = [of & (np.bincount(owner, at[number], len(sizes)) >= threshold * sizes - 1e-6) for of, at in zip((left, right), met)]
+        if all((a == b).all() for a, b in zip(kept, (left, right))):
+            break
+        left, right = kept
+    both = met[0] & met[1]
+    column = np.where(both, np.cumsum(both) - 1, -1)[number]
+    out = []
+    for of in (left, right):
+        inside = of[owner] & (column >= 0)
+        out.append((np.flatnonzero(of), ((np.cumsum(of) - 1)[owner[inside]], column[inside])))
+    return *out, int(both.sum())
 
 
 def alike(rows: DataFrame, hashes: DataFrame, threshold: float) -> DataFrame:
@@ -345,41 +378,39 @@ def alike(rows: DataFrame, hashes: DataFrame, threshold: float) -> DataFrame:
         node, root, own = (group[c].to_numpy() for c in ("node", "root", "own"))
         sets = [np.frombuffer(h, dtype=np.uint64) for h in group["h"].to_pylist()]
         sizes = np.array([len(x) for x in sets])
-        _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[number]
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        width = int((times > 1).sum())
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        lefts, rights = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        on, forest, links = column >= 0, Forest(root), []
+        (lefts, x), (rights, y), width = sides(number, sizes, own == i, own == j, threshold)
+        forest, links = Forest(root), []
+        label = forest.labels()
         step = max(1, CELLS // max(1, width))
 
-        def incidence(which: np.ndarray) -> np.ndarray:
-            spot = np.full(len(sets), -1)
-            spot[which] = np.arange(len(which))
-            inside = on & (spot[owner] >= 0)
-            out = np.zeros((len(which), width), dtype=np.float32)
-            out[spot[owner[inside]], column[inside]] = 1
+        def incidence(of: tuple[np.ndarray, np.ndarray], at: int, rows: int) -> np.ndarray:
+            out = np.zeros((rows, width), dtype=np.float32)
+            part = slice(*np.searchsorted(of[0], (at, at + rows)))
+            out[of[0][part] - at, of[1][part]] = 1
             return out
 
         for at in range(0, len(rights), step):
             part = rights[at : at + step]
-            y = incidence(part)
+            theirs = incidence(y, at, len(part))
             for start in range(0, len(lefts), step):
                 mine = lefts[start : start + step]
-                label = forest.labels()
                 different = label[mine][:, None] != label[part][None, :]
                 if not different.any():
                     continue
-                shared = incidence(mine) @ y.T
+                shared = incidence(x, start, len(mine)) @ theirs.T
                 both = sizes[mine][:, None] + sizes[part][None, :]
                 hit = (shared >= threshold * (both - shared) - 1e-6) & different
+                before = len(links)
                 for u, v in zip(*(x.tolist() for x in np.nonzero(hit))):
                     a, b = mine[u], part[v]
                     if forest.apart(a, b) and similarity(sets[a], sets[b], threshold) >= threshold - 1e-12:
                         forest.join(a, b)
                         links.append((a, b))
-        common.give_back()
+                label = forest.labels() if len(links) > before else label
+        if group.nbytes > 2 * common.SLICE_BYTES:  # what a small group has used is little, and there may be thousands
+            common.give_back()
         a, b = (node[[x[k] for x in links]] if links else np.zeros(0, dtype=np.int64) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 

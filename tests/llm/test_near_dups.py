@@ -176,6 +176,70 @@ def test_many_copies_and_a_stranger_are_linear_work(spark):
     assert out.groupBy("key", "i", "j").count().agg(F.max("count")).first()[0] < 2 * nd.BLOCK_SHINGLES / 60
 
 
+def test_a_text_is_once_in_the_bucket_of_its_near_copies(spark, monkeypatch):
+    """However many sketches near copies share: rows of buckets grow with the copies alone."""
+    r, write, seen = random.Random(8), common.materialise, []
+
+    def written(df, label):
+        out = write(df, label)
+        if label in ("buckets", "mixed"):
+            seen.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(common, "materialise", written)
+    base = [f"w{i}" for i in range(120)]
+    for n in (30, 60):
+        rows = []
+        for i in range(n):
+            copy = list(base)
+            copy[r.randrange(120)] = f"x{i}"
+            rows.append((i, " ".join(copy)))
+        got = nd.near_dup_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert {x.class_id for x in got} == {0}
+        assert 0 < sum(count for _, count in seen) <= 10 * n
+        seen.clear()
+
+
+def test_the_largest_class_of_a_bucket_meets_the_others(spark):
+    """A stranger that is like one text of the largest class alone, and one that is like none."""
+    base = [f"w{i}" for i in range(100)]
+    texts = {1: base[:], 2: base[:], 3: base[:], 4: base[:], 5: [f"y{i}" for i in range(80)] + base[80:]}
+    for node, places in ((2, range(0, 6)), (3, range(0, 12)), (4, range(0, 18))):
+        for i in places:
+            texts[node][i] = f"x{i}"
+    words = {node: " ".join(t) for node, t in texts.items()}
+    near = {(a, b) for a in words for b in words if a < b and similar(words[a], words[b]) >= 0.8}
+    assert near & {(1, 4), (2, 4), (3, 4)} == {(3, 4)} and not any(5 in pair for pair in near)
+    root = {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    rows = spark.createDataFrame([(7, k, len(nd.shingles(t, {})), root[k]) for k, t in words.items()], "key long, node long, n int, root long")
+    hashes = spark.createDataFrame([(k, bytearray(nd.shingles(t, {}).tobytes())) for k, t in words.items()], "node long, h binary")
+    assert [tuple(x) for x in nd.alike(rows, hashes, 0.8).collect()] == [(3, 4)]
+    met = nd.dealt(rows).groupBy("key", "i", "j").agg(F.collect_set("root").alias("roots")).where("i < 0").collect()
+    assert [sorted(x.roots) for x in met] == [[1, 4, 5]]
+
+
+def test_texts_set_aside_reach_the_threshold_with_none():
+    r = random.Random(2)
+    for _ in range(40):
+        rows = [t for _, t in corpus(r.random()) if t and t.split()]
+        sets = [nd.shingles(t, {}) for t in rows]
+        sizes = np.array([len(x) for x in sets])
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        left = np.array([r.random() < 0.5 for _ in rows])
+        for one, other in ((left, ~left), (left, left)):
+            (a, x), (b, y), width = nd.sides(number, sizes, one, other, 0.8)
+            assert len(x[0]) == len(x[1]) and (not width or max(x[1].max(initial=0), y[1].max(initial=0)) < width)
+            for u in np.flatnonzero(one):
+                for v in np.flatnonzero(other):
+                    if u != v and nd.similarity(sets[u], sets[v]) >= 0.8:
+                        assert u in a and v in b
+    passage = [f"p{i}" for i in range(50)]
+    sets = [nd.shingles(" ".join(passage + [f"t{k}_{i}" for i in range(50)]), {}) for k in range(20)]
+    everyone = np.ones(20, dtype=bool)
+    (a, _), (b, _), width = nd.sides(np.unique(np.concatenate(sets), return_inverse=True)[1], np.array([len(x) for x in sets]), everyone, everyone, 0.8)
+    assert len(a) == len(b) == width == 0
+
+
 def test_recall_against_all_pairs_of_the_documents(spark):
     """Every pair of sf0.01's documents with an ordered similarity of 0.8 or more, found through an exact index of shingles."""
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
